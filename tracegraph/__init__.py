@@ -1 +1,13 @@
-"""Graphs of execution traces as Spark DataFrames."""
+"""Execution traces as property graphs in Spark DataFrames."""
+
+from .plans.build import TraceGraphs, build, build_all, build_graphs
+from .plans.document import dump, dumps, to_document, validate
+from .schema import ENGINE_VERSION as __version__
+from .schema import SCHEMA_FROZEN, SCHEMA_VERSION, TraceGraphError
+from .sources import openinference  # registers the dialect  # noqa: F401
+from .sources.registry import default as registry
+
+__all__ = [
+    "SCHEMA_FROZEN", "SCHEMA_VERSION", "TraceGraphError", "TraceGraphs", "__version__", "build", "build_all",
+    "build_graphs", "dump", "dumps", "registry", "to_document", "validate",
+]

@@ -1 +1 @@
-"""."""
+"""Relational operators over spans, nodes and edges."""

@@ -1 +1 @@
-"""."""
+"""Plans made of the operators: building, documents, reports, registered queries."""
