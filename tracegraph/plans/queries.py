@@ -1,2 +1,465 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Registered queries over the table views, and for each SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators import annotate, diagnostics as diag, edges as edge, identity, order, rollup, traverse
+from ..schema import ANNOTATIONS
+from ..sources import tables
+from .build import build_graphs
+from .document import problems
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+# Views of the tables in SQL: g graph, id span, p parent, t start in microseconds.
+_LINE = "'l' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::bigint || '-' || epoch_us(l_shipdate)"
+
+
+def _commerce_sql(without: str = "false", key: str = _LINE) -> str:
+    return f"""s as (select o_custkey::varchar g, 'o' || o_orderkey id, null::varchar p, 'chain' kind, null::varchar op, epoch_us(o_orderdate) t, null::bigint e, 'unset' status
+      from orders where not ({without}) union all
+      select o_custkey::varchar, {key}, 'o' || l_orderkey, 'tool', l_returnflag, epoch_us(l_shipdate), epoch_us(o_orderdate), case l_linestatus when 'F' then 'ok' else 'unset' end
+      from lineitem join orders on l_orderkey = o_orderkey)"""
+
+
+_COMMERCE = _commerce_sql()
+_LOST = "o_orderkey % 5 = 0"
+_HIERARCHY = """s as (select 'world' g, 'r' || r_regionkey id, null::varchar p from region union all select 'world', 'n' || n_nationkey, 'r' || n_regionkey from nation
+  union all select 'world', 'c' || c_custkey, 'n' || c_nationkey from customer union all select 'world', 'o' || o_orderkey, 'c' || o_custkey from orders)"""
+_ACTIVITY = """s as (select user_id::varchar g, 'e' || event_id id, case when event_type = 'error' then 'x' else 'u' end || user_id tr,
+  case event_type when 'click' then 'tool' when 'view' then 'retriever' when 'purchase' then 'llm' when 'signup' then 'agent' else 'unknown' end kind, event_type op,
+  epoch_us(ts) t, case when event_type = 'error' then 'error' else 'ok' end status, floor(value)::bigint ti, (props->>'$.k')::bigint tout from events)"""
+_DIALOGUE = """s as (select conv_id::varchar g, conv_id, 't' || turn id, turn t, role, case role when 'user' then 'agent' when 'assistant' then 'llm' else 'chain' end kind from conversations),
+  req as (select g, id, 'q' || t c from s where role = 'user'), ful as (select g, id, 'q' || (t - 1) c from s where role = 'assistant')"""
+_TEMPORAL = """w as (select *, lead(id) over (partition by g, p order by t, id) nid, lead(t) over (partition by g, p order by t, id) nt from s where t is not null)"""
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of (spark, sf_dir); sql: the same rows in DuckDB."""
+
+    def add(f):
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _ided(spans: DataFrame) -> DataFrame:
+    spans = spans.withColumn("adapter_id", F.lit("tables"))
+    return identity.identified(spans, identity.majority_trace(spans), F.col("adapter_id"))
+
+
+def _commerce(spark, d, **kw):
+    return _ided(tables.commerce(spark, d, **kw))
+
+
+def _activity(spark, d):
+    return _ided(tables.activity(spark, d))
+
+
+def _dialogue(spark, d):
+    return _ided(tables.dialogue(spark, d))
+
+
+def _hierarchy(spark, d):
+    return _ided(tables.hierarchy(spark, d))
+
+
+def _n(c="n"):
+    return F.count(F.lit(1)).alias(c)
+
+
+# -- nodes ---------------------------------------------------------------------------------------------------
+
+
+@query("node_kinds", f"with {_COMMERCE} select kind, count(*) n from s group by kind")
+def node_kinds(spark, d):
+    return _commerce(spark, d).groupBy("kind").agg(_n())
+
+
+@query("node_status_counts", f"with {_COMMERCE} select kind, status, count(*) n from s group by all")
+def node_status_counts(spark, d):
+    return _commerce(spark, d).groupBy("kind", "status").agg(_n())
+
+
+@query("node_filter_kind", f"with {_ACTIVITY} select g graph_key, id node_id, op operation from s where kind in ('llm', 'agent')")
+def node_filter_kind(spark, d):
+    return _activity(spark, d).where(F.col("kind").isin("llm", "agent")).select("graph_key", "node_id", "operation")
+
+
+@query("derived_ids", f"""with {_commerce_sql(key="'l' || l_orderkey || '-' || l_linenumber")}, k as (select o_custkey::varchar g, 'l' || l_orderkey || '-' || l_linenumber id, {_LINE} sk
+  from lineitem join orders on l_orderkey = o_orderkey), c as (select g, id from k group by g, id having count(*) > 1)
+  select k.g graph_key, sk source_key, 'sw_' || left(sha256('tables' || chr(0) || 'c' || k.g || chr(0) || sk), 16) node_id from k join c using (g, id)""")
+def derived_ids(spark, d):
+    ided = _commerce(spark, d, key="concat('l', l_orderkey, '-', l_linenumber)", source_key=tables.LINE_KEY)
+    return ided.where("not unique").select("graph_key", "source_key", "node_id")
+
+
+@query("duplicate_source_ids", """select o_custkey::varchar graph_key, '"l' || l_orderkey || '-' || l_linenumber || '"' source_json from lineitem join orders on l_orderkey = o_orderkey
+  group by o_custkey, l_orderkey, l_linenumber having count(*) > 1""")
+def duplicate_source_ids(spark, d):
+    ided = _commerce(spark, d, key="concat('l', l_orderkey, '-', l_linenumber)", source_key=tables.LINE_KEY)
+    return diag.duplicate_source_ids(ided).select("graph_key", "source_json")
+
+
+@query("majority_trace", f"""with {_ACTIVITY}, c as (select g, tr, count(*) n from s group by g, tr)
+  select g graph_key, arg_min(tr, (-n, tr)) trace_id from c group by g""")
+def majority_trace(spark, d):
+    return identity.majority_trace(tables.activity(spark, d))
+
+
+@query("payload_states", """with p as (select 'documents' t, text v from documents union all select 'pages', html from pages union all select 'events', props from events)
+  select t graph_key, case when v is null then 'absent' when v = '' then 'empty' else 'present' end state, count(*) n, sum(length(v))::bigint chars from p group by all""")
+def payload_states(spark, d):
+    return tables.payloads(spark, d).groupBy("graph_key", "inputs.state").agg(_n(), F.sum(F.length("inputs.raw")).alias("chars"))
+
+
+@query("usage_totals", f"with {_ACTIVITY} select g graph_key, sum(ti)::bigint input_tokens, sum(tout)::bigint output_tokens, count(*) n from s where kind = 'llm' group by g")
+def usage_totals(spark, d):
+    used = tables.activity(spark, d).where("usage is not null")
+    return used.groupBy("graph_key").agg(F.sum("usage.input_tokens").alias("input_tokens"), F.sum("usage.output_tokens").alias("output_tokens"), _n())
+
+
+# -- edges ---------------------------------------------------------------------------------------------------
+
+
+def _commerce_edges(spark, d):
+    ided = _commerce(spark, d)
+    parent = edge.parent_edges(edge.parents(ided))
+    return parent.unionByName(edge.temporal_edges(ided, parent))
+
+
+@query("edge_counts_by_kind_warrant", f"""with {_COMMERCE}, {_TEMPORAL} select 'parent' kind, 'explicit' warrant, count(*) n from s a join s b on a.g = b.g and a.p = b.id
+  union all select 'temporal', 'derived', count(*) from w where nid is not null""")
+def edge_counts_by_kind_warrant(spark, d):
+    return _commerce_edges(spark, d).groupBy("kind", "warrant").agg(_n())
+
+
+@query("parent_edges", f"with {_HIERARCHY} select a.g graph_key, a.p src, a.id dst from s a join s b on a.g = b.g and a.p = b.id")
+def parent_edges(spark, d):
+    return edge.parent_edges(edge.parents(_hierarchy(spark, d))).select("graph_key", "src", "dst")
+
+
+@query("orphan_parent_diag", f"""with {_commerce_sql(_LOST)} select a.g graph_key, a.id node_id, '"' || a.p || '"' source_json from s a where p is not null
+  and not exists (select 1 from s b where b.g = a.g and b.id = a.p)""")
+def orphan_parent_diag(spark, d):
+    return diag.orphans(edge.parents(_commerce(spark, d, without=_LOST))).select("graph_key", "node_id", "source_json")
+
+
+@query("roots", f"with {_commerce_sql(_LOST)} select g graph_key, id node_id from s a where not exists (select 1 from s b where b.g = a.g and b.id = a.p)")
+def roots(spark, d):
+    ided = _commerce(spark, d, without=_LOST)
+    below = edge.parent_edges(edge.parents(ided)).select("graph_key", F.col("dst").alias("node_id"))
+    return ided.select("graph_key", "node_id").join(below, ["graph_key", "node_id"], "left_anti")
+
+
+@query("leaf_nodes", f"with {_HIERARCHY} select left(id, 1) level, count(*) n from s a where not exists (select 1 from s b where b.p = a.id) group by 1")
+def leaf_nodes(spark, d):
+    ided = _hierarchy(spark, d)
+    above = edge.parent_edges(edge.parents(ided)).select("graph_key", F.col("src").alias("node_id"))
+    leaves = ided.select("graph_key", "node_id").join(above, ["graph_key", "node_id"], "left_anti")
+    return leaves.groupBy(F.left("node_id", F.lit(1)).alias("level")).agg(_n())
+
+
+@query("children", f"with {_HIERARCHY} select id node_id, row_number() over (order by id) - 1 rank from s where p = 'r1'")
+def children(spark, d):
+    return _below(spark, d, "src", "dst", "r1")
+
+
+@query("parents", f"with {_HIERARCHY} select p node_id, 0::bigint rank from s where id = 'n3'")
+def parents(spark, d):
+    return _below(spark, d, "dst", "src", "n3")
+
+
+def _below(spark, d, at, to, node):
+    g = edge.parent_edges(edge.parents(_hierarchy(spark, d))).where(F.col(at) == node)
+    one = g.groupBy(F.col(to).alias("node_id")).agg(F.min(F.struct("kind", "src", "dst", "basis")).alias("k"))
+    ranked = one.selectExpr("node_id", "cast(row_number() over (order by k) - 1 as bigint) rank")
+    return ranked
+
+
+@query("call_result_edges", f"with {_DIALOGUE} select req.g graph_key, req.id src, ful.id dst from req join ful using (g, c)")
+def call_result_edges(spark, d):
+    return edge.call_result_edges(edge.call_sides(_dialogue(spark, d))).select("graph_key", "src", "dst")
+
+
+@query("unpaired_calls", f"with {_DIALOGUE} select g graph_key, id node_id, c call_id from req anti join ful using (g, c)")
+def unpaired_calls(spark, d):
+    return edge.unpaired(edge.call_sides(_dialogue(spark, d)), "requester").select("graph_key", "node_id", "call_id")
+
+
+@query("unpaired_results", f"with {_DIALOGUE} select g graph_key, id node_id, c call_id from ful anti join req using (g, c)")
+def unpaired_results(spark, d):
+    return edge.unpaired(edge.call_sides(_dialogue(spark, d)), "fulfiller").select("graph_key", "node_id", "call_id")
+
+
+@query("data_edges_received", f"""with {_DIALOGUE} select s.g graph_key, ful.id src, s.id dst from s join ful on ful.g = s.g and ful.c = 'q' || (s.t - 2) where role = 'user' and ful.id <> s.id""")
+def data_edges_received(spark, d):
+    ided = _dialogue(spark, d)
+    return edge.data_edges(ided, edge.call_sides(ided)).select("graph_key", "src", "dst")
+
+
+@query("link_edges_with_foreign_target", f"""with {_DIALOGUE}, l as (select g, id, 't0' dst from s union all select g, id, 'x' || conv_id from s where role = 'user')
+  select l.g graph_key, l.id src, dst, exists (select 1 from s where s.g = l.g and s.id = dst) here from l""")
+def link_edges_with_foreign_target(spark, d):
+    ided = _dialogue(spark, d)
+    known = ided.select("graph_key", F.col("node_id").alias("dst"), F.lit(True).alias("known"))
+    e = edge.link_edges(ided).select("graph_key", "src", "dst").join(known, ["graph_key", "dst"], "left")
+    return e.select("graph_key", "src", "dst", F.coalesce("known", F.lit(False)).alias("here"))
+
+
+@query("temporal_edges", f"""with {_COMMERCE}, {_TEMPORAL} select g graph_key, id src, nid dst,
+  case when nt = t then 'sibling start_time ordering (tied, broken by node_id)' else 'sibling start_time ordering' end basis from w where nid is not null""")
+def temporal_edges(spark, d):
+    ided = _commerce(spark, d)
+    return edge.temporal_edges(ided, edge.parent_edges(edge.parents(ided))).select("graph_key", "src", "dst", "basis")
+
+
+@query("temporal_edges_sliced", f"with {_COMMERCE}, {_TEMPORAL} select g graph_key, id src, nid dst from w where nid is not null")
+def temporal_edges_sliced(spark, d):
+    ided = _commerce(spark, d)
+    return edge.temporal_edges(ided, edge.parent_edges(edge.parents(ided)), slices=16).select("graph_key", "src", "dst")
+
+
+@query("temporal_ties", f"with {_COMMERCE}, {_TEMPORAL} select g graph_key, count(*) ties from w where nt = t group by g")
+def temporal_ties(spark, d):
+    ided = _commerce(spark, d)
+    pairs = edge.siblings(ided, edge.parent_edges(edge.parents(ided)))
+    return pairs.where("tied").groupBy("graph_key").agg(_n("ties"))
+
+
+# -- diagnostics ---------------------------------------------------------------------------------------------
+
+
+@query("missing_timestamp_diag", f"with {_HIERARCHY} select id node_id from s where left(id, 1) <> 'o'")
+def missing_timestamp_diag(spark, d):
+    return diag.missing_starts(_hierarchy(spark, d)).select("node_id")
+
+
+@query("nonmonotonic_diag", f"with {_COMMERCE} select g graph_key, id node_id from s where e < t")
+def nonmonotonic_diag(spark, d):
+    return diag.backward_time(_commerce(spark, d)).select("graph_key", "node_id")
+
+
+@query("unknown_kind_diag", f"with {_ACTIVITY} select g graph_key, id node_id, '\"' || op || '\"' source_json from s where kind = 'unknown'")
+def unknown_kind_diag(spark, d):
+    return diag.of_spans(_activity(spark, d)).select("graph_key", "node_id", "source_json")
+
+
+@query("multi_trace_diag", f"""with {_ACTIVITY}, c as (select g, tr, count(*) n from s group by g, tr), m as (select g, arg_min(tr, (-n, tr)) tr from c group by g)
+  select s.g graph_key, s.id node_id, '"' || s.tr || '"' source_json from s join m on s.g = m.g where s.tr <> m.tr""")
+def multi_trace_diag(spark, d):
+    return diag.foreign_traces(_activity(spark, d)).select("graph_key", "node_id", "source_json")
+
+
+@query("diagnostics_ordered_rank", f"""with {_commerce_sql(_LOST)}, x as (select g, 'orphan_parent' code, id, '"' || p || '"' src from s a where p is not null and not exists (select 1 from s b where b.g = a.g and b.id = a.p)
+  union all select g, 'nonmonotonic_time', id, null from s where e < t)
+  select g graph_key, code, id node_id, row_number() over (partition by g order by code, id) - 1 pos from x""")
+def diagnostics_ordered_rank(spark, d):
+    ided = _commerce(spark, d, without=_LOST)
+    found = diag.orphans(edge.parents(ided)).unionByName(diag.backward_time(ided))
+    from pyspark.sql import Window as W
+
+    pos = F.row_number().over(W.partitionBy("graph_key").orderBy(*diag.ordered(found))) - 1
+    return found.select("graph_key", "code", "node_id", pos.cast("long").alias("pos"))
+
+
+# -- order and traversal -------------------------------------------------------------------------------------
+
+
+@query("topo_order_activity", f"with {_ACTIVITY} select g graph_key, id node_id, row_number() over (partition by g order by t, id) - 1 pos from s")
+def topo_order_activity(spark, d):
+    ided = _activity(spark, d)
+    return order.positions(ided, edge.parent_edges(edge.parents(ided)))[0]
+
+
+@query("topo_order_commerce")
+def topo_order_commerce(spark, d):
+    ided = _commerce(spark, d)
+    return order.positions(ided, edge.parent_edges(edge.parents(ided)))[0]
+
+
+def _hierarchy_edges(spark, d):
+    return edge.parent_edges(edge.parents(_hierarchy(spark, d)))
+
+
+def _start(spark, *nodes):
+    return spark.createDataFrame([("world", n) for n in nodes], "graph_key string, start string")
+
+
+_DESCENDANTS = f"""with {_HIERARCHY}, a as (select id, row_number() over (order by id) r from s where p = 'r1'), b as (select s.id, row_number() over (order by a.r, s.id) r from s join a on s.p = a.id),
+  c as (select s.id, row_number() over (order by b.r, s.id) r from s join b on s.p = b.id), u as (select id, 1 depth, r from a union all select id, 2, r from b union all select id, 3, r from c)"""
+
+
+@query("descendants_region", f"{_DESCENDANTS} select id node_id, depth::int depth, row_number() over (order by depth, r) - 1 rank from u")
+def descendants_region(spark, d):
+    return traverse.breadth_first(_hierarchy_edges(spark, d), _start(spark, "r1")).select("node_id", "depth", "rank")
+
+
+@query("depth_histogram", f"{_DESCENDANTS} select depth::int depth, count(*) n from u group by depth")
+def depth_histogram(spark, d):
+    return traverse.breadth_first(_hierarchy_edges(spark, d), _start(spark, "r1")).groupBy("depth").agg(_n())
+
+
+@query("ancestors_order", """select 'o' || o_orderkey start, x.id node_id, x.depth::int depth from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey,
+  lateral (select 'c' || c_custkey id, 1 depth union all select 'n' || n_nationkey, 2 union all select 'r' || n_regionkey, 3) x where o_orderkey % 10 = 0""")
+def ancestors_order(spark, d):
+    starts = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 10 = 0").select(F.lit("world").alias("graph_key"), F.expr("concat('o', o_orderkey)").alias("start"))
+    return traverse.breadth_first(_hierarchy_edges(spark, d), starts, backward=True).select("start", "node_id", "depth")
+
+
+@query("reachable_temporal", f"""with {_DIALOGUE}, r as (select g, id, row_number() over (partition by g order by t, id) - 1 n from s) select g graph_key, id node_id, n::int depth from r where n > 0""")
+def reachable_temporal(spark, d):
+    ided = _dialogue(spark, d)
+    e = edge.temporal_edges(ided, edge.parent_edges(edge.parents(ided)))
+    first = ided.groupBy("graph_key").agg(F.min_by("node_id", F.struct("started_at", "node_id")).alias("start"))
+    return traverse.breadth_first(e, first, None).select("graph_key", "node_id", "depth")
+
+
+def _dialogue_edges(spark, d):
+    ided = _dialogue(spark, d)
+    sides = edge.call_sides(ided)
+    parent = edge.parent_edges(edge.parents(ided))
+    return edge.all_edges(parent, edge.call_result_edges(sides), edge.data_edges(ided, sides), edge.link_edges(ided), edge.temporal_edges(ided, parent))
+
+
+@query("paths_dialogue", f"""with recursive {_DIALOGUE}, e as (select req.g, req.id a, ful.id b from req join ful using (g, c) union
+  select g, id, lead(id) over (partition by g order by t, id) from s union
+  select s.g, ful.id, s.id from s join ful on ful.g = s.g and ful.c = 'q' || (s.t - 2) where role = 'user' and ful.id <> s.id),
+  walk as (select g, [a, b] path from e where a = 't0' and b is not null union all select walk.g, list_append(path, e.b) from walk join e on e.g = walk.g and e.a = path[-1]
+  where path[-1] <> 't3' and e.b is not null and not list_contains(path, e.b))
+  select g graph_key, array_to_string(path, '>') path from walk where path[-1] = 't3'""")
+def paths_dialogue(spark, d):
+    found = traverse.simple_paths(_dialogue_edges(spark, d), "t0", "t3", ["call_result", "temporal", "data"])
+    return found.select("graph_key", F.array_join("path", ">").alias("path"))
+
+
+@query("subgraph_edges", f"with {_DIALOGUE} select 'call_result' kind, count(*) n from req join ful using (g, c)")
+def subgraph_edges(spark, d):
+    return _dialogue_edges(spark, d).where(F.col("kind").isin("parent", "call_result")).groupBy("kind").agg(_n())
+
+
+# -- annotations, validation, roll-ups -----------------------------------------------------------------------
+
+
+def _entries(ided: DataFrame) -> DataFrame:
+    value = F.expr("cast(cast(round(started_at) as bigint) % 7 as string)")
+    return ided.select("graph_key", F.lit("demo").alias("namespace"), "node_id", F.lit("week").alias("key"), value.alias("value_json"))
+
+
+@query("annotations_join", f"with {_DIALOGUE} select g graph_key, id node_id, kind from s where t % 7 = 2")
+def annotations_join(spark, d):
+    ided = _dialogue(spark, d)
+    return ided.join(annotate.nodes_with(_entries(ided), "demo", "week", 2), ["graph_key", "node_id"], "left_semi").select("graph_key", "node_id", "kind")
+
+
+@query("annotation_last_wins", "select conv_id::varchar graph_key, arg_max(role, turn) value_json from conversations group by conv_id")
+def annotation_last_wins(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    all_ = c.select(F.col("conv_id").cast("string").alias("graph_key"), F.lit("demo").alias("namespace"), F.lit("t0").alias("node_id"), F.lit("last").alias("key"), F.col("role").alias("value_json"), "turn")
+    return annotate.latest(all_, "turn").select("graph_key", "value_json")
+
+
+@query("validate_dangling", f"""with {_DIALOGUE} select conv_id::varchar graph_key, 'edge temporal ' || id || ' nowhere ends outside the graph' problem from s where t = 0""")
+def validate_dangling(spark, d):
+    ided = _dialogue(spark, d)
+    e = _dialogue_edges(spark, d)
+    bad = ided.where("started_at = 0").select("graph_key", F.col("node_id").alias("src"), F.lit("nowhere").alias("dst"), F.lit("temporal").alias("kind"), F.lit("derived").alias("warrant"), F.lit("made").alias("basis"), F.lit(None).cast("string").alias("adapter"))
+    return _check(spark, ided, e.unionByName(bad))
+
+
+def _check(spark, nodes, edges):
+    from .build import TraceGraphs
+
+    empty = spark.createDataFrame([], ANNOTATIONS)
+    return problems(TraceGraphs(nodes, edges, empty, empty, empty))
+
+
+@query("validate_duplicates", """select o_custkey::varchar graph_key, 'node ids are not unique: l' || l_orderkey || '-' || l_linenumber problem from lineitem join orders on l_orderkey = o_orderkey
+  group by o_custkey, l_orderkey, l_linenumber having count(*) > 1""")
+def validate_duplicates(spark, d):
+    spans = tables.commerce(spark, d, key="concat('l', l_orderkey, '-', l_linenumber)").withColumn("node_id", F.col("span_id"))
+    edges = spark.createDataFrame([], "graph_key string, src string, dst string, kind string, warrant string, basis string, adapter string")
+    return _check(spark, spans, edges)
+
+
+_TALLIES = f"""with {_DIALOGUE}, x as (select 'nodes' what, kind label from s union all select 'inputs', case when text is null then 'absent' when text = '' then 'empty' else 'present' end from conversations
+  union all select 'outputs', null from s union all select 'edges', 'call_result (explicit)' from req join ful using (g, c)
+  union all select 'edges', 'temporal (derived)' from (select lead(id) over (partition by g order by t, id) n from s) where n is not null
+  union all select 'edges', 'link (explicit)' from (select g, id, 't0' d from s union select g, id, 'x' || conv_id from s where role = 'user')
+  union all select 'edges', 'data (explicit)' from (select distinct s.g, ful.id a, s.id b from s join ful on ful.g = s.g and ful.c = 'q' || (s.t - 2) where role = 'user' and ful.id <> s.id)
+  union all select 'diagnostics', 'unpaired_call' from (select * from req anti join ful using (g, c)) union all select 'diagnostics', 'unpaired_result' from (select * from ful anti join req using (g, c)))
+  select what, label, count(*) n from x group by all"""
+
+
+@query("inspect_tallies", _TALLIES)
+def inspect_tallies(spark, d):
+    ided = _dialogue(spark, d)
+    return rollup.tallies(ided, _dialogue_edges(spark, d), diag.unpaired_calls(edge.call_sides(ided)))
+
+
+@query("fleet_counts", """with k as (select o_custkey, count(*) > 1 dup from lineitem join orders on l_orderkey = o_orderkey group by o_custkey, l_orderkey, l_linenumber),
+  g as (select o.o_custkey, coalesce(bool_or(dup), false) bad from (select distinct o_custkey from orders) o left join k on o.o_custkey = k.o_custkey group by o.o_custkey)
+  select count(*) given, count(*) filter (not bad) built, count(*) filter (bad) unbuildable, count(*) filter (not bad) distinct_trace_ids from g""")
+def fleet_counts(spark, d):
+    return rollup.counts(_refusing(spark, d).graphs_df)
+
+
+def _refusing(spark, d):
+    """Graphs of customers whose lines are named by order and number, which is not always unique."""
+    return build_graphs(tables.commerce(spark, d, key="concat('l', l_orderkey, '-', l_linenumber)"))
+
+
+@query("fleet_failures", """select distinct o_custkey::varchar graph_key, 'duplicate_node_id' error_code, 'DuplicateNodeIdError' error_type from lineitem join orders on l_orderkey = o_orderkey
+  group by o_custkey, l_orderkey, l_linenumber having count(*) > 1""")
+def fleet_failures(spark, d):
+    return rollup.failures(_refusing(spark, d).graphs_df).drop("error_message")
+
+
+@query("fleet_node_kinds_with_zeros", f"""with {_ACTIVITY}, k as (select unnest(['agent', 'chain', 'embedding', 'llm', 'retriever', 'tool', 'unknown']) kind)
+  select k.kind, count(s.id) n from k left join s on s.kind = k.kind group by k.kind""")
+def fleet_node_kinds_with_zeros(spark, d):
+    return rollup.node_kinds(_activity(spark, d))
+
+
+@query("fleet_tool_status_pivot", f"""with {_COMMERCE} select op operation, count(*) calls, count(*) filter (status = 'error') errors, count(*) filter (status = 'ok') ok, count(*) filter (status = 'unset') unset
+  from s where kind = 'tool' and op is not null group by op""")
+def fleet_tool_status_pivot(spark, d):
+    return rollup.tools(_commerce(spark, d))
+
+
+@query("fleet_models", f"with {_ACTIVITY} select op operation, count(*) n from s where kind = 'llm' group by op")
+def fleet_models(spark, d):
+    return rollup.models(_activity(spark, d))
+
+
+@query("fleet_unfulfilled_by_model", f"with {_DIALOGUE} select case when kind = 'llm' then 'assistant' else '(unnamed ' || kind || ')' end asker, count(*) n from (select * from req anti join ful using (g, c)) r join s on s.g = r.g and s.id = r.id group by 1")
+def fleet_unfulfilled_by_model(spark, d):
+    ided = _dialogue(spark, d)
+    return rollup.askers(ided, diag.unpaired_calls(edge.call_sides(ided)))
+
+
+@query("graph_shapes", f"""with {_ACTIVITY} select g graph_key, array_to_string(list_sort(list(distinct op) filter (kind = 'tool')), ',') tools, bool_or(status = 'error') failing,
+  count(*) filter (kind = 'agent') > 1 nested, bool_or(kind = 'retriever') retrieves from s group by g""")
+def graph_shapes(spark, d):
+    ided = _activity(spark, d)
+    made = rollup.shapes(ided, edge.call_result_edges(edge.call_sides(ided)))
+    return made.select("graph_key", F.when(F.size("tools") > 0, F.array_join("tools", ",")).alias("tools"), "failing", "nested", "retrieves")
+
+
+@query("whole_build_edges", f"""with {_DIALOGUE} select g graph_key, count(*) n from (
+  select req.g, req.id a, ful.id b, 1 k from req join ful using (g, c) union all select g, id, 't0', 2 from s union all select g, id, 'x' || conv_id, 2 from s where role = 'user'
+  union all select g, a, b, 3 from (select g, id a, lead(id) over (partition by g order by t, id) b from s) where b is not null
+  union all select distinct s.g, ful.id, s.id, 4 from s join ful on ful.g = s.g and ful.c = 'q' || (s.t - 2) where role = 'user' and ful.id <> s.id) group by g""")
+def whole_build_edges(spark, d):
+    return build_graphs(tables.dialogue(spark, d)).edges_df.groupBy("graph_key").agg(_n())
