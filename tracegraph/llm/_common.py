@@ -96,8 +96,8 @@ def text_or_empty(batch, name: str = "text"):
     return pc.fill_null(batch.column(name).cast(pa.large_string()), "")
 
 
-def pieces_of(batch, rows_bytes: int = 16 << 20, name: str = "text"):
-    """Slices of an Arrow batch of about rows_bytes of text each, so that memory does not follow the batch's size."""
+def pieces_of(batch, rows_bytes: int = 1 << 20, name: str = "text"):
+    """Slices of an Arrow batch of about rows_bytes of text each, so that memory does not follow the batch's size and arrays stay in cache."""
     import pyarrow.compute as pc
 
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(name)), 0)).astype(np.int64)

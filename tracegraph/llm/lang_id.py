@@ -29,6 +29,7 @@ MAX_ENTRIES = 4_000_000  # n-grams in a model, of 8 + 4 * languages bytes each
 CALIBRATE = 4_000  # training documents, about, that the rejection threshold is set on
 SHARPNESS = 4.0  # of the score, a softmax over cross-entropies
 UNKNOWN = "und"
+SLICE = 4 << 20  # bytes of text worked on at a time
 
 
 @functools.cache
@@ -68,7 +69,7 @@ def gram_counts(train: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part in pieces_of(batch):
+            for part in pieces_of(batch, SLICE):
                 langs = np.array(part.column("lang").to_pylist(), object)
                 units, starts, ends, doc = words_of(part.column("text").to_pylist())
                 h = span_hashes(units, starts, ends)
@@ -208,7 +209,7 @@ def predict(df: DataFrame, model: Model | None, key: list[str], text: str = "tex
 
         m = sent.value
         for batch in batches:
-            for part in pieces_of(batch, name="_text"):
+            for part in pieces_of(batch, SLICE, "_text"):
                 texts = [x or "" for x in part.column("_text").to_pylist()]
                 if m is None:
                     lang, score, entropy = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)

@@ -3,10 +3,11 @@
 A line is the set of its words. Lines match at Jaccard 0.8 or more; a line goes if a line before it (by
 doc_id, then line number) matches it. Steps, over all lines of all documents:
 
-1. `bucket_counts`: how often words occur, in a table of fixed size (2^20 counts), so that what is
+1. `bucket_counts`: how often words occur, in a table of fixed size (2^23 counts), so that what is
    broadcast never grows. Any function of the word orders prefixes correctly; this one puts rare first.
 2. Each line sorts its words by rarity and sends its prefix (n - ceil(0.8 n) + 1 words), each as a row
-   keyed by the word, and one row keyed by the whole set. Rows are shuffled by key and sorted.
+   keyed by the word, and one row keyed by the whole set. A word whose bucket counts 1 stands in no other
+   line and sends no row. Rows are shuffled by key and sorted.
 3. Within a key, rows of equal sets keep the first. Rows that share a prefix word are compared by length,
    position and a bitmap of word parities (a bound on the symmetric difference). Each line names the
    earliest lines that pass. Keys of more than HOT rows are passed on in blocks, and each pair of blocks
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._common import column_bytes, cut, documents, mix64, pieces_of, row_key, span_hashes, spans_of, text_or_empty
 
-BUCKETS = 1 << 20
+BUCKETS = 1 << 23
 SLICES = 64
 HOT = 8192  # rows of a key that one task compares
 SMALL = 48  # rows of a key of which all candidates are named
@@ -73,7 +74,8 @@ def _reduce_counts(rows: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "counts"])
 
     out = np.zeros(size, np.int64)
-    for r in rows.repartition(SLICES, "slice").mapInArrow(run, "slice int, counts binary").collect():  # size * 8 bytes at most
+    # size * 8 bytes at most
+    for r in rows.repartition(SLICES, "slice").mapInArrow(run, "slice int, counts binary").collect():
         out[r["slice"] * per : (r["slice"] + 1) * per] = np.frombuffer(r["counts"], np.int64)
     return out
 
@@ -83,7 +85,7 @@ def _packed_slices(counts: np.ndarray):
 
     per = len(counts) // SLICES
     at = np.flatnonzero(counts)
-    packed = at.astype(np.uint64) << np.uint64(40) | np.minimum(counts[at], (1 << 40) - 1).astype(np.uint64)
+    packed = at.astype(np.uint64) << np.uint64(40) | np.minimum(counts[at].astype(np.int64), (1 << 40) - 1).astype(np.uint64)
     cuts = np.searchsorted(at, np.arange(SLICES + 1) * per)
     have = [k for k in range(SLICES) if cuts[k + 1] > cuts[k]]
     return pa.RecordBatch.from_arrays(
@@ -92,21 +94,22 @@ def _packed_slices(counts: np.ndarray):
 
 
 def bucket_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Occurrences of the words of all texts, by the low 20 bits of their hash."""
+    """Occurrences of the words of all texts, by the low bits of their hash."""
 
     def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.int32)
         for batch in batches:
             for part in pieces_of(batch):
-                h = _words(text_or_empty(part))[0]
-                total += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                at, times = np.unique(_words(text_or_empty(part))[0] & np.uint64(BUCKETS - 1), return_counts=True)
+                total[at.astype(np.int64)] += times.astype(np.int32)
         yield _packed_slices(total)
 
     return _reduce_counts(docs.select(F.col(text).alias("text")).mapInArrow(run, "slice int, packed binary"), BUCKETS)
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(255, 6 * np.log2(counts + 1)).astype(np.uint8)
+    """Classes of counts, 0 for a count of 1 at most."""
+    return np.minimum(255, np.ceil(6 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
 
 
 def _sets(texts, classes: np.ndarray):
@@ -155,8 +158,12 @@ def signatures(docs: DataFrame, classes) -> DataFrame:
                     near = np.sort(once[n[once] >= 5])  # of four words or fewer, only equal sets match
                     count = n[near] - needed(n[near]) + 1
                     pos = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    k = np.concatenate([exact, np.repeat(near, count)])
-                    key = np.concatenate([-1 - sid.astype(np.int64), w[begin[np.repeat(near, count)] + pos].astype(np.int64)])
+                    of = np.repeat(near, count)
+                    word = w[begin[of] + pos]
+                    seen = np.flatnonzero(word >> np.uint64(40))
+                    pos, word, of = pos[seen], word[seen], of[seen]
+                    k = np.concatenate([exact, of])
+                    key = np.concatenate([-1 - sid.astype(np.int64), word.astype(np.int64)])
                     bits = _bitmaps(w, begin).view(np.int64)
                     cols = [key, n[k].astype(np.int32), np.concatenate([np.full(len(exact), -1), pos]).astype(np.int32), sid.astype(np.int64)[k], bits[k], doc[row][k], th[row][k], number[k].astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in ROWS.split(", ")])
@@ -317,7 +324,7 @@ def _sid_filter(sids: DataFrame) -> np.ndarray:
     size = 1 << 23
 
     def run(batches):
-        bits = np.zeros(size, np.int64)
+        bits = np.zeros(size, np.uint8)
         for batch in batches:
             bits[(mix64(np.asarray(batch.column("sid")).view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)] = 1
         yield _packed_slices(bits)
@@ -366,7 +373,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc, th, line, matches): the lines of docs (doc_id, text, _th) that go, and how many named sets each matches (its own counts)."""
+    """(doc, th, line): the lines of docs (doc_id, text, _th) that go."""
     sc = docs.sparkSession.sparkContext
     classes = sc.broadcast(rarity(bucket_counts(docs)))
     rows = signatures(docs, classes)
@@ -379,26 +386,26 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     place = ["doc", "th", "line"]
     links = lambda found: found.where("kind = 1").select("sid", "other").distinct()
     pairs = cut(_verified(links(found), docs, classes))
-    gone = lambda found, pairs: found.where("kind = 1").join(pairs, ["sid", "other"]).select(*place, "other")
-    out = found.where("kind = 0").select(*place, F.col("sid").alias("other")).unionByName(gone(found, pairs))
+    gone = lambda found, pairs: found.where("kind = 1").join(pairs, ["sid", "other"]).select(*place)
+    out = found.where("kind = 0").select(*place).unionByName(gone(found, pairs))
     open_ = found.where("kind = 2").select("sid").distinct().join(pairs.select("sid").distinct(), "sid", "left_anti")
     open_ = cut(open_.join(found.where("kind = 0").select("sid").distinct(), "sid", "left_anti"))
     if not open_.isEmpty():  # rare: these compare with every candidate
         again = found_by(rows, None).where("kind = 1").join(open_, "sid")
         again = cut(again)
         out = out.unionByName(gone(again, _verified(links(again), docs, classes)))
-    return out.groupBy(*place).agg(F.countDistinct("other").alias("matches"))
+    return out.distinct()
 
 
 def line_decisions(docs: DataFrame) -> DataFrame:
-    """(doc_id, _th, removed, matches): per document with removals, its removed line numbers (from 0, ascending) and its links."""
+    """(doc, th, removed): per document with removals, its removed line numbers (from 0, ascending)."""
     gone = removed_lines(row_key(docs).select("doc_id", "text", "_th"))
-    return gone.groupBy("doc", "th").agg(F.sort_array(F.collect_list("line")).alias("removed"), F.sum("matches").alias("matches"))
+    return gone.groupBy("doc", "th").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
 def _decided(docs: DataFrame) -> DataFrame:
-    """docs with _th, _removed (null: nothing) and _matches."""
-    d = line_decisions(docs).select(F.col("doc").alias("_doc"), F.col("th").alias("_t"), F.col("removed").alias("_removed"), F.col("matches").alias("_matches"))
+    """docs with _th and _removed (null: nothing)."""
+    d = line_decisions(docs).select(F.col("doc").alias("_doc"), F.col("th").alias("_t"), F.col("removed").alias("_removed"))
     keyed = row_key(docs)
     return keyed.join(d, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == d["_doc"]) & (keyed["_th"] == d["_t"]), "left")
 
@@ -411,14 +418,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its lines, how many stay, which go (numbers from 0), and to how many sets they are linked."""
+    """Per document: its lines, how many stay, and which go (numbers from 0)."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     n = F.coalesce(lines, F.lit(1)).cast("long")
     small = row_key(docs).select("doc_id", "_th", n.alias("n_lines"))
-    d = line_decisions(docs).select(F.col("doc").alias("_doc"), F.col("th").alias("_t"), "removed", "matches")
+    d = line_decisions(docs).select(F.col("doc").alias("_doc"), F.col("th").alias("_t"), "removed")
     out = small.join(d, (F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == d["_doc"]) & (small["_th"] == d["_t"]), "left")
     removed = F.coalesce("removed", F.expr("cast(array() as array<int>)"))
     return out.select(
-        "doc_id", "n_lines", (F.col("n_lines") - F.size(removed)).alias("n_kept"), removed.alias("removed"), F.coalesce("matches", F.lit(0)).cast("long").alias("n_links")
+        "doc_id", "n_lines", (F.col("n_lines") - F.size(removed)).alias("n_kept"), removed.alias("removed")
     )
