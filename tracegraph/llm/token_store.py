@@ -30,7 +30,7 @@ END_ID = 0
 AVERAGE = 512  # ids a chunk, on average; a power of two
 LONGEST = 8192
 WINDOW = 16  # ids that the rolling hash sees
-MEMO = 400_000  # distinct words that a Python worker remembers
+MEMO = 400_000  # distinct words, and as many before those, that a Python worker remembers
 #: White space of the tokenizer's splitting pattern besides space and line feed.
 _ODD_ASCII = ("\t", "\r", "\x0b", "\x0c")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -57,20 +57,43 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(vocabulary), dtype
-        self.inner: dict[str, bytes] = {}  # words after a space
-        self.first: dict[str, bytes] = {}  # at the start of a line
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # what memo held until it was full
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.newline = self._encode(["\n"])[0]
+        self.newline_id = int(np.frombuffer(self.newline, dtype)[0])
+        self.marks = dict(zip(".,;:!?", self._encode(list(".,;:!?"))))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, memo: dict, words: set, before: str) -> None:
-        if len(memo) > MEMO:
-            memo.clear()
-        new = [w for w in words if w not in memo]
-        for a in range(0, len(new), 20_000):
-            memo.update(zip(new[a : a + 20_000], self._encode([before + w for w in new[a : a + 20_000]])))
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of many words, which hold no line feed: many are encoded as the lines of one text and parted at its line feeds."""
+        size, out = np.dtype(self.dtype).itemsize, []
+        for data in self._encode(["\n".join(words[a : a + 200]) for a in range(0, len(words), 200)]):
+            at = np.flatnonzero(np.frombuffer(data, self.dtype) == self.newline_id) * size
+            out += [data[a:b] for a, b in zip([0, *(at + size).tolist()], [*at.tolist(), len(data)])]
+        return out
+
+    def _learn(self, words: set) -> None:
+        """Sees to it that memo knows the words; a line feed before a word stands for itself and no space."""
+        if len(self.memo) > MEMO:
+            self.memo, self.old = {}, self.memo
+        known, old = self.memo, self.old
+        missing = words.difference(known)
+        known.update({w: old[w] for w in missing.intersection(old)})
+        missing.difference_update(known)
+        # letters and one mark after them are split there, so the ids of the letters serve
+        ended = [w for w in missing if w[-1:] in self.marks and w[:-1].isalpha()]
+        missing.difference_update(ended)
+        stems = {w[:-1] for w in ended}.difference(known)
+        known.update({w: old[w] for w in stems.intersection(old)})
+        new = list(missing | stems.difference(known))
+        after = [w for w in new if w[:1] != "\n"]
+        lead = [w for w in new if w[:1] == "\n"]
+        known.update(zip(after, self._encode_words([" " + w for w in after])))
+        known.update(zip(lead, map(self.newline.__add__, self._encode_words([w[1:] for w in lead]))))
+        known.update({w: known[w[:-1]] + self.marks[w[-1]] for w in ended})
 
     def _plain(self, text: str) -> bool:
         odd = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in _ODD_ASCII)
@@ -79,29 +102,14 @@ class WordEncoder:
         return not _ODD.search(text) and not any(s in text for s in self.special)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        plain = [self._plain(t) for t in texts]
-        split = [[line.split(" ") for line in t.split("\n")] if ok else None for t, ok in zip(texts, plain)]
-        inner, first = set(), set()
-        for lines in split:
-            for words in lines or ():
-                first.add(words[0])
-                inner.update(words[1:])
-        self._learn(self.inner, inner, " ")
-        self._learn(self.first, first, "")
-        odd = iter(self._encode([t for t, ok in zip(texts, plain) if not ok]))
-        out = []
-        one, lead = self.inner.__getitem__, self.first.__getitem__
-        for lines in split:
-            if lines is None:
-                out.append(next(odd))
-                continue
-            parts = []
-            for words in lines:
-                parts.append(self.newline)
-                parts.append(lead(words[0]))
-                parts.extend(map(one, words[1:]))
-            out.append(b"".join(parts[1:]))
-        return out
+        split = [(" \n" + t.replace("\n", " \n")).split(" ")[1:] if self._plain(t) else None for t in texts]
+        words: set[str] = set()
+        for s in split:
+            words.update(s or ())
+        self._learn(words)
+        odd = iter(self._encode([t for t, s in zip(texts, split) if s is None]))
+        ids = self.memo.__getitem__
+        return [next(odd) if s is None else b"".join(map(ids, s))[len(self.newline) :] for s in split]
 
 
 @functools.cache
