@@ -3,8 +3,9 @@
 A line is the set of its words. Lines match at Jaccard 0.8 or more; a line goes if a line before it (by
 doc_id, then line number) matches it. Steps, over all lines of all documents:
 
-1. `bucket_counts`: how often words occur, in a table of fixed size (2^23 counts), so that what is
-   broadcast never grows. Any function of the word orders prefixes correctly; this one puts rare first.
+1. `word_table`: how often words occur, counted in 2^25 buckets and kept as two tables of fixed size (which
+   buckets count 2 or more, 4 MB; a class of rarity for every 8 buckets, 4 MB), so that what is broadcast
+   never grows. Any function of the word orders prefixes correctly; this one puts rare words first.
 2. Each line sorts its words by rarity and sends its prefix (n - ceil(0.8 n) + 1 words), each as a row
    keyed by the word, and one row keyed by the whole set. A word whose bucket counts 1 stands in no other
    line and sends no row. Rows are shuffled by key and sorted.
@@ -15,7 +16,7 @@ doc_id, then line number) matches it. Steps, over all lines of all documents:
 4. The words of the named lines are fetched and the Jaccard index is verified. A line that had more
    candidates than it named, and of which none matched, is compared with all of them in a second round.
 
-Words are compared by a 48-bit key (8 bits of rarity, 40 of hash), sets by a 63-bit sum of mixed keys.
+Words are compared by a 48-bit key (8 bits of rarity, 39 of hash, 1 for several lines), sets by a 63-bit sum of mixed keys.
 Defined results: null texts have one empty line; lines without words never match and always stay; of
 repeated rows (same doc_id and text) all stay or go alike; a null doc_id comes before all others; columns
 besides doc_id and text pass untouched, whatever their names.
@@ -28,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._common import column_bytes, cut, documents, mix64, pieces_of, row_key, span_hashes, spans_of, text_or_empty
 
-BUCKETS = 1 << 23
+BUCKETS = 1 << 25
+COARSE = 3  # bits: so many buckets share a class
 SLICES = 64
 HOT = 8192  # rows of a key that one task compares
 SMALL = 48  # rows of a key of which all candidates are named
@@ -58,8 +60,10 @@ def _words(texts) -> tuple[np.ndarray, ...]:
     return span_hashes(data, starts, ends), line, row, np.arange(len(breaks)) - first[row]
 
 
-def _reduce_counts(rows: DataFrame, size: int) -> np.ndarray:
-    """Sums (slice, packed) rows of bucket << 40 | count into one table of `size` counts on the driver."""
+def _reduce_counts(rows: DataFrame, size: int, finish) -> list[bytes]:
+    """Sums (slice, packed) rows of bucket << 38 | count; what finish makes of each slice's counts, in order of slice.
+
+    finish gives a fixed number of bytes, so what the driver gets does not grow."""
     per = size // SLICES
 
     def run(batches):
@@ -70,14 +74,12 @@ def _reduce_counts(rows: DataFrame, size: int) -> np.ndarray:
             for k, x in zip(batch.column("slice").to_pylist(), batch.column("packed")):
                 got = np.frombuffer(x.as_buffer(), np.uint64)
                 into = total.setdefault(k, np.zeros(per, np.int64))
-                into[(got >> np.uint64(40)).astype(np.int64) - k * per] += (got & np.uint64((1 << 40) - 1)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "counts"])
+                into[(got >> np.uint64(38)).astype(np.int64) - k * per] += (got & np.uint64((1 << 38) - 1)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([finish(x) for x in total.values()], pa.binary())], ["slice", "done"])
 
-    out = np.zeros(size, np.int64)
-    # size * 8 bytes at most
-    for r in rows.repartition(SLICES, "slice").mapInArrow(run, "slice int, counts binary").collect():
-        out[r["slice"] * per : (r["slice"] + 1) * per] = np.frombuffer(r["counts"], np.int64)
-    return out
+    got = {r["slice"]: bytes(r["done"]) for r in rows.repartition(SLICES, "slice").mapInArrow(run, "slice int, done binary").collect()}
+    blank = finish(np.zeros(per, np.int64))
+    return [got.get(k, blank) for k in range(SLICES)]
 
 
 def _packed_slices(counts: np.ndarray):
@@ -85,7 +87,7 @@ def _packed_slices(counts: np.ndarray):
 
     per = len(counts) // SLICES
     at = np.flatnonzero(counts)
-    packed = at.astype(np.uint64) << np.uint64(40) | np.minimum(counts[at].astype(np.int64), (1 << 40) - 1).astype(np.uint64)
+    packed = at.astype(np.uint64) << np.uint64(38) | np.minimum(counts[at].astype(np.int64), (1 << 38) - 1).astype(np.uint64)
     cuts = np.searchsorted(at, np.arange(SLICES + 1) * per)
     have = [k for k in range(SLICES) if cuts[k + 1] > cuts[k]]
     return pa.RecordBatch.from_arrays(
@@ -93,8 +95,12 @@ def _packed_slices(counts: np.ndarray):
     )
 
 
-def bucket_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Occurrences of the words of all texts, by the low bits of their hash."""
+def rarity(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.ceil(6 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+
+
+def word_table(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Over all texts: classes of rarity by coarse bucket, and a bit for each bucket that counts 2 or more."""
 
     def run(batches):
         total = np.zeros(BUCKETS, np.int32)
@@ -104,18 +110,24 @@ def bucket_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
                 total[at.astype(np.int64)] += times.astype(np.int32)
         yield _packed_slices(total)
 
-    return _reduce_counts(docs.select(F.col(text).alias("text")).mapInArrow(run, "slice int, packed binary"), BUCKETS)
+    def finish(counts: np.ndarray) -> bytes:
+        return rarity(counts.reshape(-1, 1 << COARSE).max(axis=1)).tobytes() + np.packbits(counts > 1).tobytes()
 
+    made = _reduce_counts(docs.select(F.col(text).alias("text")).mapInArrow(run, "slice int, packed binary"), BUCKETS, finish)
+    split = (BUCKETS // SLICES) >> COARSE
+    parts = [np.frombuffer(x, np.uint8) for x in made]
+    return np.concatenate([x[:split] for x in parts]), np.concatenate([x[split:] for x in parts])
 
-def rarity(counts: np.ndarray) -> np.ndarray:
-    """Classes of counts, 0 for a count of 1 at most."""
-    return np.minimum(255, np.ceil(6 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
 
+def _sets(texts, table: tuple[np.ndarray, np.ndarray]):
+    """Yields, for up to 65,536 lines at a time that have words: row, line number, words in order of rarity (all lines'), where each line's begin, how many, and the set's hash.
 
-def _sets(texts, classes: np.ndarray):
-    """Yields, for up to 65,536 lines at a time that have words: row, line number, words in order of rarity (all lines'), where each line's begin, how many, and the set's hash."""
+    A word's lowest bit says whether it may stand in several lines."""
+    classes, common = table
     h, line, row, number = _words(texts)
-    word = (classes[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
+    at = (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+    several = common[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+    word = classes[at >> COARSE].astype(np.uint64) << np.uint64(40) | h >> np.uint64(25) << np.uint64(1) | several
     for base in range(0, len(row), 1 << 16):
         a, b = np.searchsorted(line, [base, base + (1 << 16)])
         if a == b:
@@ -134,13 +146,14 @@ def _bitmaps(w: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduceat(np.uint64(1) << (mix64(w) & np.uint64(63)), begin)
 
 
-ROWS = "key long, n int, pos int, sid long, bits long, doc long, th int, line int"
+#: shape: words in the line << 32 | place of the key's word in the prefix + 1, 0 for a whole set. at: _th << 32 | line number.
+ROWS = "key long, shape long, sid long, bits long, doc long, at long"
 
 
-def signatures(docs: DataFrame, classes) -> DataFrame:
-    """Rows to be matched: one for each word of each line's prefix, and one (pos -1) for each whole set.
+def signatures(docs: DataFrame, table) -> DataFrame:
+    """Rows to be matched: one for each word of each line's prefix, and one for each whole set.
 
-    classes: broadcast of rarity(). docs has doc_id, text and _th.
+    table: broadcast of word_table(). docs has doc_id, text and _th.
     """
 
     def run(batches):
@@ -150,9 +163,10 @@ def signatures(docs: DataFrame, classes) -> DataFrame:
         for batch in batches:
             for part in pieces_of(batch):
                 doc = np.asarray(pc.fill_null(part.column("doc_id").cast(pa.int64()), NULL_ID))
-                th = np.asarray(part.column("_th")).astype(np.int32)
-                for row, number, w, begin, n, sid in _sets(text_or_empty(part), classes.value):
-                    order = np.lexsort((number, th[row], doc[row], sid))
+                th = np.asarray(part.column("_th")).astype(np.int64) << 32
+                for row, number, w, begin, n, sid in _sets(text_or_empty(part), table.value):
+                    place = th[row] | number
+                    order = np.lexsort((place, doc[row], sid))
                     once = order[np.concatenate([[True], sid[order][1:] != sid[order][:-1]])]
                     exact = np.arange(len(sid))
                     near = np.sort(once[n[once] >= 5])  # of four words or fewer, only equal sets match
@@ -160,47 +174,55 @@ def signatures(docs: DataFrame, classes) -> DataFrame:
                     pos = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                     of = np.repeat(near, count)
                     word = w[begin[of] + pos]
-                    seen = np.flatnonzero(word >> np.uint64(40))
+                    seen = np.flatnonzero(word & np.uint64(1))
                     pos, word, of = pos[seen], word[seen], of[seen]
                     k = np.concatenate([exact, of])
                     key = np.concatenate([-1 - sid.astype(np.int64), word.astype(np.int64)])
                     bits = _bitmaps(w, begin).view(np.int64)
-                    cols = [key, n[k].astype(np.int32), np.concatenate([np.full(len(exact), -1), pos]).astype(np.int32), sid.astype(np.int64)[k], bits[k], doc[row][k], th[row][k], number[k].astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in ROWS.split(", ")])
+                    shape = n[k].astype(np.int64) << 32 | np.concatenate([np.zeros(len(exact), np.int64), pos + 1])
+                    cols = [key, shape, sid.astype(np.int64)[k], bits[k], doc[row][k], place[k]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], COLUMNS)
 
     return docs.select("doc_id", "text", "_th").mapInArrow(run, ROWS)
 
 
-#: kind 0: the line (doc, th, line) goes. 1: it may match the set `other`. 2: it has more candidates than it named. 3: a row of a hot key, with its block in `other`.
-OUT = "kind int, key long, n int, pos int, sid long, bits long, doc long, th int, line int, other long"
+COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
+#: kind 0: the line (doc, at) goes. 1: it may match the set `other`. 2: it has more candidates than it named. 3: a row of a hot key, with its block in `other`.
+OUT = f"kind int, {ROWS}, other long"
 
 
-def _passes(x: dict, y: dict) -> np.ndarray:
-    """Whether lines x (later) and y can match, by length, position and bitmap."""
-    least = (4 * (x["n"] + y["n"]) + 8) // 9
-    ok = (np.minimum(x["n"], y["n"]) >= needed(np.maximum(x["n"], y["n"]))) & (x["sid"] != y["sid"])
-    ok &= 1 + np.minimum(x["n"] - x["pos"], y["n"] - y["pos"]) - 1 >= least
-    return ok & (np.bitwise_count(x["bits"] ^ y["bits"]) <= x["n"] + y["n"] - 2 * least)
+def _fields(r: dict, i=slice(None)) -> tuple[np.ndarray, ...]:
+    """Number of words, place of the key's word, set and bitmap of rows i."""
+    shape = r["shape"][i]
+    return shape >> 32, (shape & 0xFFFFFFFF) - 1, r["sid"][i], r["bits"][i]
 
 
-def _after(x: dict, y: dict) -> np.ndarray:
-    return (x["doc"] > y["doc"]) | (x["doc"] == y["doc"]) & ((x["th"] > y["th"]) | (x["th"] == y["th"]) & (x["line"] > y["line"]))
+def _passes(x: tuple, y: tuple) -> np.ndarray:
+    """Whether lines of fields x and y can match, by length, position and bitmap."""
+    (n, p, s, b), (m, q, t, c) = x, y
+    least = (4 * (n + m) + 8) // 9
+    ok = (np.minimum(n, m) >= needed(np.maximum(n, m))) & (s != t) & (np.minimum(n - p, m - q) >= least)
+    return ok & (np.bitwise_count(b ^ c) <= n + m - 2 * least)
 
 
-def _in_large(x: dict, y: dict, named: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later, earlier) rows of x and y that may match, `named` of them for each x at most, and the x that had more."""
+def _after(r: dict, i, j) -> np.ndarray:
+    return (r["doc"][i] > r["doc"][j]) | (r["doc"][i] == r["doc"][j]) & (r["at"][i] > r["at"][j])
+
+
+def _in_large(r: dict, xs: np.ndarray, ys: np.ndarray, named: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier) rows of r among xs and ys that may match, `named` of them for each x at most, and the x that had more."""
     left, right, more = [], [], []
-    for a in range(0, len(x["n"]), 256):
-        some = {k: v[a : a + 256, None] for k, v in x.items()}
-        ok = _passes(some, {k: v[None] for k, v in y.items()})
-        ok &= _after(some, {k: v[None] for k, v in y.items()})
+    y = tuple(f[None] for f in _fields(r, ys))
+    for a in range(0, len(xs), 256):
+        some = xs[a : a + 256]
+        ok = _passes(tuple(f[:, None] for f in _fields(r, some)), y) & _after(r, some[:, None], ys[None])
         if named is not None:
             nth = np.cumsum(ok, axis=1)
-            more.append(a + np.flatnonzero(nth[:, -1] > named))
+            more.append(some[nth[:, -1] > named])
             ok &= nth <= named
         i, j = np.nonzero(ok)
-        left.append(a + i)
-        right.append(j)
+        left.append(some[i])
+        right.append(ys[j])
     join = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
     return join(left), join(right), join(more)
 
@@ -208,47 +230,42 @@ def _in_large(x: dict, y: dict, named: int | None) -> tuple[np.ndarray, np.ndarr
 def _match(r: dict, named: int | None):
     """r: rows sorted by key and place, whole keys only. Yields (kind, indexes of rows, other)."""
     key, n = r["key"], len(r["key"])
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    group = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.concatenate([first, [n]]))
-    lead = first[group]
-    exact = np.flatnonzero((r["pos"] < 0) & _after(r, {k: v[lead] for k, v in r.items()}))
-    yield 0, exact, r["sid"][exact]
-    small = (r["pos"] >= 0) & (sizes[group] <= SMALL)
+    near = key[first] >= 0
+    whole = np.repeat(first[~near], sizes[~near])
+    i = np.flatnonzero(np.repeat(~near, sizes))
+    gone = _after(r, i, whole)
+    yield 0, i[gone], r["sid"][i[gone]]
+    small = near & (sizes <= SMALL) & (sizes > 1)
+    rows = np.flatnonzero(np.repeat(small, sizes))
+    rank = rows - np.repeat(first[small], sizes[small])
     for d in range(1, SMALL):
-        i = np.flatnonzero(small & (np.arange(n) - lead >= d))
-        if not len(i):
+        more = rank >= d
+        rows, rank = rows[more], rank[more]
+        if not len(rows):
             break
-        x, y = {k: v[i] for k, v in r.items()}, {k: v[i - d] for k, v in r.items()}
-        i = i[_passes(x, y) & _after(x, y)]
+        i = rows[_passes(_fields(r, rows), _fields(r, rows - d))]
+        i = i[_after(r, i, i - d)]
         yield 1, i, r["sid"][i - d]
-    for g in np.flatnonzero((sizes > SMALL) & (r["pos"][first] >= 0)):
-        one = {k: v[first[g] : first[g] + sizes[g]] for k, v in r.items()}
-        i, j, more = _in_large(one, one, named)
-        yield 1, first[g] + i, one["sid"][j]
-        yield 2, first[g] + more, one["sid"][more]
-
-
-_COLUMNS = ["key", "n", "pos", "sid", "bits", "doc", "th", "line"]
+    for g in np.flatnonzero(near & (sizes > SMALL)):
+        own = np.arange(first[g], first[g] + sizes[g])
+        i, j, rest = _in_large(r, own, own, named)
+        yield 1, i, r["sid"][j]
+        yield 2, rest, r["sid"][rest]
 
 
 def _table(batch) -> dict:
-    import pyarrow as pa
-
-    t = {c: np.asarray(batch.column(c)) for c in _COLUMNS if c in batch.schema.names}
+    t = {c: np.asarray(batch.column(c)) for c in COLUMNS}
     t["bits"] = t["bits"].view(np.uint64)
-    t["n"], t["pos"] = t["n"].astype(np.int64), t["pos"].astype(np.int64)
     return t
 
 
 def _out(kind: int, r: dict, i: np.ndarray, other: np.ndarray):
     import pyarrow as pa
 
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    cols = [pa.array(np.full(len(i), kind, np.int32))]
-    cols += [pa.array((r[c].view(np.int64) if c == "bits" else r[c])[i]).cast(k) for c, k in zip(_COLUMNS, kinds)]
-    return pa.RecordBatch.from_arrays([*cols, pa.array(other.astype(np.int64))], [c.split()[0] for c in OUT.split(", ")])
+    cols = [pa.array(np.full(len(i), kind, np.int32)), *(pa.array((r[c].view(np.int64) if c == "bits" else r[c])[i]) for c in COLUMNS)]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(other.astype(np.int64))], ["kind", *COLUMNS, "other"])
 
 
 def matches(rows: DataFrame, named: int | None = NAMED) -> DataFrame:
@@ -277,12 +294,12 @@ def matches(rows: DataFrame, named: int | None = NAMED) -> DataFrame:
                         if len(i):
                             yield _out(kind, whole, i, other)
             held = {k: v[cut_at:] for k, v in r.items()}
-            if held["pos"][0] < 0 and len(held["key"]) > 1:  # of equal sets, only the first is needed later
+            if held["key"][0] < 0 and len(held["key"]) > 1:  # of equal sets, only the first is needed later
                 for kind, i, other in _match(held, named):
                     if len(i):
                         yield _out(kind, held, i, other)
                 held = {k: v[:1] for k, v in held.items()}
-            while held["pos"][0] >= 0 and len(held["key"]) > HOT:
+            while held["key"][0] >= 0 and len(held["key"]) > HOT:
                 yield _out(3, held, np.arange(HOT), np.full(HOT, block))
                 held = {k: v[HOT:] for k, v in held.items()}
                 block += 1
@@ -293,12 +310,13 @@ def matches(rows: DataFrame, named: int | None = NAMED) -> DataFrame:
                 if len(i):
                     yield _out(kind, held, i, other)
 
-    return rows.repartition("key").sortWithinPartitions("key", "doc", "th", "line").mapInArrow(run, OUT)
+    return rows.repartition("key").sortWithinPartitions("key", "doc", "at").mapInArrow(run, OUT)
 
 
 def hot_matches(hot: DataFrame, named: int | None = NAMED) -> DataFrame:
     """OUT rows of the rows that matches() passed on: each pair of blocks of a key is a group of 2 * HOT rows at most."""
-    blocks = hot.groupBy("key", "other").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    n = F.shiftright("shape", 32)
+    blocks = hot.groupBy("key", "other").agg(F.min(n).alias("lo"), F.max(n).alias("hi"))
     a, b = blocks.select("key", F.col("other").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i")), blocks.withColumnRenamed("other", "j")
     pairs = a.join(b, "key").where("i <= j and lo_i <= 1.25 * hi and lo <= 1.25 * hi_i").select("key", "i", "j")
     place = F.explode(F.expr("case when i = j then array(i) else array(i, j) end")).alias("other")
@@ -311,10 +329,9 @@ def hot_matches(hot: DataFrame, named: int | None = NAMED) -> DataFrame:
         r = _table(group.combine_chunks())
         other = np.asarray(group.column("other"))
         xs, ys = np.flatnonzero(other == j), np.flatnonzero(other == i)
-        ys = ys[np.lexsort((r["line"][ys], r["th"][ys], r["doc"][ys]))]
-        x, y = {k: v[xs] for k, v in r.items()}, {k: v[ys] for k, v in r.items()}
-        left, right, more = _in_large(x, y, named)
-        return pa.Table.from_batches([_out(1, x, left, y["sid"][right]), _out(2, x, more, x["sid"][more])])
+        ys = ys[np.lexsort((r["at"][ys], r["doc"][ys]))]
+        left, right, more = _in_large(r, xs, ys, named)
+        return pa.Table.from_batches([_out(1, r, left, r["sid"][right]), _out(2, r, more, r["sid"][more])])
 
     return rows.groupBy("key", "i", "j").applyInArrow(run, OUT)
 
@@ -329,10 +346,11 @@ def _sid_filter(sids: DataFrame) -> np.ndarray:
             bits[(mix64(np.asarray(batch.column("sid")).view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)] = 1
         yield _packed_slices(bits)
 
-    return np.packbits(_reduce_counts(sids.mapInArrow(run, "slice int, packed binary"), size) > 0)
+    made = _reduce_counts(sids.mapInArrow(run, "slice int, packed binary"), size, lambda counts: np.packbits(counts > 0).tobytes())
+    return np.frombuffer(b"".join(made), np.uint8)
 
 
-def _word_sets(docs: DataFrame, classes, wanted) -> DataFrame:
+def _word_sets(docs: DataFrame, table, wanted) -> DataFrame:
     """(sid, words) of the sets that the filter `wanted` lets through, once each."""
 
     def run(batches):
@@ -340,7 +358,7 @@ def _word_sets(docs: DataFrame, classes, wanted) -> DataFrame:
 
         for batch in batches:
             for part in pieces_of(batch):
-                for _, _, w, begin, n, sid in _sets(text_or_empty(part), classes.value):
+                for _, _, w, begin, n, sid in _sets(text_or_empty(part), table.value):
                     at = (mix64(sid) & np.uint64((1 << 23) - 1)).astype(np.int64)
                     have = np.flatnonzero(wanted.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
                     have = have[np.unique(sid[have], return_index=True)[1]]
@@ -350,11 +368,11 @@ def _word_sets(docs: DataFrame, classes, wanted) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sid long, words binary").groupBy("sid").agg(F.first("words").alias("words"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, table) -> DataFrame:
     """Of (sid, other) pairs, those with a Jaccard index of 0.8 or more."""
     spark = pairs.sparkSession
     sids = pairs.select("sid").union(pairs.select(F.col("other").alias("sid"))).distinct()
-    sets = _word_sets(docs, classes, spark.sparkContext.broadcast(_sid_filter(sids)))
+    sets = cut(_word_sets(docs, table, spark.sparkContext.broadcast(_sid_filter(sids))))
     both = pairs.join(sets, "sid").join(sets.select(F.col("sid").alias("other"), F.col("words").alias("other_words")), "other")
 
     def run(batches):
@@ -373,19 +391,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc, th, line): the lines of docs (doc_id, text, _th) that go."""
+    """(doc, at): the lines of docs (doc_id, text, _th) that go."""
     sc = docs.sparkSession.sparkContext
-    classes = sc.broadcast(rarity(bucket_counts(docs)))
-    rows = signatures(docs, classes)
+    table = sc.broadcast(word_table(docs))
+    rows = signatures(docs, table)
 
     def found_by(rows: DataFrame, named: int | None) -> DataFrame:
         out = cut(matches(rows, named))
         return out.where("kind < 3").unionByName(hot_matches(out.where("kind = 3"), named))
 
     found = cut(found_by(rows, NAMED).where("kind < 3"))
-    place = ["doc", "th", "line"]
+    place = ["doc", "at"]
     links = lambda found: found.where("kind = 1").select("sid", "other").distinct()
-    pairs = cut(_verified(links(found), docs, classes))
+    pairs = cut(_verified(links(found), docs, table))
     gone = lambda found, pairs: found.where("kind = 1").join(pairs, ["sid", "other"]).select(*place)
     out = found.where("kind = 0").select(*place).unionByName(gone(found, pairs))
     open_ = found.where("kind = 2").select("sid").distinct().join(pairs.select("sid").distinct(), "sid", "left_anti")
@@ -393,13 +411,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     if not open_.isEmpty():  # rare: these compare with every candidate
         again = found_by(rows, None).where("kind = 1").join(open_, "sid")
         again = cut(again)
-        out = out.unionByName(gone(again, _verified(links(again), docs, classes)))
+        out = out.unionByName(gone(again, _verified(links(again), docs, table)))
     return out.distinct()
 
 
 def line_decisions(docs: DataFrame) -> DataFrame:
     """(doc, th, removed): per document with removals, its removed line numbers (from 0, ascending)."""
     gone = removed_lines(row_key(docs).select("doc_id", "text", "_th"))
+    gone = gone.select("doc", F.shiftright("at", 32).cast("int").alias("th"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("line"))
     return gone.groupBy("doc", "th").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
