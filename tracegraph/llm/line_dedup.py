@@ -14,7 +14,8 @@ doc_id, then line number) matches it. Steps, over all lines of all documents:
    earliest lines that pass. Keys of more than HOT rows are passed on in blocks, and each pair of blocks
    whose lengths can match is compared by a task of its own.
 4. The words of the named lines are fetched and the Jaccard index is verified. A line that had more
-   candidates than it named, and of which none matched, is compared with all of them in a second round.
+   candidates under a key than it named, and of which none matched, is compared with all of them in a
+   second round over those keys.
 
 Words are compared by a 48-bit key (8 bits of rarity, 39 of hash, 1 for several lines), sets by a 63-bit sum of mixed keys.
 Defined results: null texts have one empty line; lines without words never match and always stay; of
@@ -150,10 +151,11 @@ def _bitmaps(w: np.ndarray, begin: np.ndarray) -> np.ndarray:
 ROWS = "key long, shape long, sid long, bits long, doc long, at long"
 
 
-def signatures(docs: DataFrame, table) -> DataFrame:
+def signatures(docs: DataFrame, table, wanted=None) -> DataFrame:
     """Rows to be matched: one for each word of each line's prefix, and one for each whole set.
 
-    table: broadcast of word_table(). docs has doc_id, text and _th.
+    table: broadcast of word_table(). docs has doc_id, text and _th. wanted: broadcast of a filter of keys; only
+    words' rows that it lets through are made.
     """
 
     def run(batches):
@@ -174,10 +176,14 @@ def signatures(docs: DataFrame, table) -> DataFrame:
                     pos = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                     of = np.repeat(near, count)
                     word = w[begin[of] + pos]
-                    seen = np.flatnonzero(word & np.uint64(1))
+                    use = (word & np.uint64(1)).astype(bool)
+                    if wanted is not None:
+                        use &= _let_through(wanted.value, word)
+                        exact = exact[:0]
+                    seen = np.flatnonzero(use)
                     pos, word, of = pos[seen], word[seen], of[seen]
                     k = np.concatenate([exact, of])
-                    key = np.concatenate([-1 - sid.astype(np.int64), word.astype(np.int64)])
+                    key = np.concatenate([-1 - sid.astype(np.int64)[exact], word.astype(np.int64)])
                     bits = _bitmaps(w, begin).view(np.int64)
                     shape = n[k].astype(np.int64) << 32 | np.concatenate([np.zeros(len(exact), np.int64), pos + 1])
                     cols = [key, shape, sid.astype(np.int64)[k], bits[k], doc[row][k], place[k]]
@@ -227,7 +233,7 @@ def _in_large(r: dict, xs: np.ndarray, ys: np.ndarray, named: int | None) -> tup
     return join(left), join(right), join(more)
 
 
-def _match(r: dict, named: int | None):
+def _match(r: dict, named: int | None, small_key: int = SMALL):
     """r: rows sorted by key and place, whole keys only. Yields (kind, indexes of rows, other)."""
     key, n = r["key"], len(r["key"])
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -237,10 +243,10 @@ def _match(r: dict, named: int | None):
     i = np.flatnonzero(np.repeat(~near, sizes))
     gone = _after(r, i, whole)
     yield 0, i[gone], r["sid"][i[gone]]
-    small = near & (sizes <= SMALL) & (sizes > 1)
+    small = near & (sizes <= small_key) & (sizes > 1)
     rows = np.flatnonzero(np.repeat(small, sizes))
     rank = rows - np.repeat(first[small], sizes[small])
-    for d in range(1, SMALL):
+    for d in range(1, small_key):
         more = rank >= d
         rows, rank = rows[more], rank[more]
         if not len(rows):
@@ -248,7 +254,7 @@ def _match(r: dict, named: int | None):
         i = rows[_passes(_fields(r, rows), _fields(r, rows - d))]
         i = i[_after(r, i, i - d)]
         yield 1, i, r["sid"][i - d]
-    for g in np.flatnonzero(near & (sizes > SMALL)):
+    for g in np.flatnonzero(near & (sizes > small_key)):
         own = np.arange(first[g], first[g] + sizes[g])
         i, j, rest = _in_large(r, own, own, named)
         yield 1, i, r["sid"][j]
@@ -268,8 +274,8 @@ def _out(kind: int, r: dict, i: np.ndarray, other: np.ndarray):
     return pa.RecordBatch.from_arrays([*cols, pa.array(other.astype(np.int64))], ["kind", *COLUMNS, "other"])
 
 
-def matches(rows: DataFrame, named: int | None = NAMED) -> DataFrame:
-    """OUT rows of signatures(); a task holds HOT rows of one key at most."""
+def matches(rows: DataFrame, named: int | None = NAMED, hot: int = HOT, small: int = SMALL) -> DataFrame:
+    """OUT rows of signatures(); a task holds `hot` rows of one key, and a batch, at most."""
 
     def run(batches):
         held: dict | None = None  # the rows of the last key, which may go on
@@ -290,23 +296,23 @@ def matches(rows: DataFrame, named: int | None = NAMED) -> DataFrame:
                     whole = {k: v[end:] for k, v in whole.items()}
                     block = 0
                 if len(whole["key"]):
-                    for kind, i, other in _match(whole, named):
+                    for kind, i, other in _match(whole, named, small):
                         if len(i):
                             yield _out(kind, whole, i, other)
             held = {k: v[cut_at:] for k, v in r.items()}
             if held["key"][0] < 0 and len(held["key"]) > 1:  # of equal sets, only the first is needed later
-                for kind, i, other in _match(held, named):
+                for kind, i, other in _match(held, named, small):
                     if len(i):
                         yield _out(kind, held, i, other)
                 held = {k: v[:1] for k, v in held.items()}
-            while held["key"][0] >= 0 and len(held["key"]) > HOT:
-                yield _out(3, held, np.arange(HOT), np.full(HOT, block))
-                held = {k: v[HOT:] for k, v in held.items()}
+            while held["key"][0] >= 0 and len(held["key"]) > hot:
+                yield _out(3, held, np.arange(hot), np.full(hot, block))
+                held = {k: v[hot:] for k, v in held.items()}
                 block += 1
         if held is not None and block:
             yield _out(3, held, np.arange(len(held["key"])), np.full(len(held["key"]), block))
         elif held is not None:
-            for kind, i, other in _match(held, named):
+            for kind, i, other in _match(held, named, small):
                 if len(i):
                     yield _out(kind, held, i, other)
 
@@ -336,20 +342,27 @@ def hot_matches(hot: DataFrame, named: int | None = NAMED) -> DataFrame:
     return rows.groupBy("key", "i", "j").applyInArrow(run, OUT)
 
 
-def _sid_filter(sids: DataFrame) -> np.ndarray:
-    """2^23 bits in which each sid's is set: a filter of fixed size, exact joins follow it."""
-    size = 1 << 23
+FILTER = 1 << 23
+
+
+def _filter_of(keys: DataFrame, column: str) -> np.ndarray:
+    """2^23 bits in which that of each value is set: a filter of fixed size, exact steps follow it."""
 
     def run(batches):
-        bits = np.zeros(size, np.uint8)
+        bits = np.zeros(FILTER, np.uint8)
         for batch in batches:
-            bits[(mix64(np.asarray(batch.column("sid")).view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)] = 1
+            bits[(mix64(np.asarray(batch.column(column)).view(np.uint64)) & np.uint64(FILTER - 1)).astype(np.int64)] = 1
         yield _packed_slices(bits)
 
-    made = _reduce_counts(sids.mapInArrow(run, "slice int, packed binary"), size, lambda counts: np.packbits(counts > 0).tobytes())
+    made = _reduce_counts(keys.select(column).mapInArrow(run, "slice int, packed binary"), FILTER, lambda counts: np.packbits(counts > 0).tobytes())
     return np.frombuffer(b"".join(made), np.uint8)
 
 
+def _let_through(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = (mix64(values) & np.uint64(FILTER - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def _word_sets(docs: DataFrame, table, wanted) -> DataFrame:
     """(sid, words) of the sets that the filter `wanted` lets through, once each."""
 
@@ -359,8 +372,7 @@ def _word_sets(docs: DataFrame, table, wanted) -> DataFrame:
         for batch in batches:
             for part in pieces_of(batch):
                 for _, _, w, begin, n, sid in _sets(text_or_empty(part), table.value):
-                    at = (mix64(sid) & np.uint64((1 << 23) - 1)).astype(np.int64)
-                    have = np.flatnonzero(wanted.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+                    have = np.flatnonzero(_let_through(wanted.value, sid))
                     have = have[np.unique(sid[have], return_index=True)[1]]
                     words = [w[begin[k] : begin[k] + n[k]].tobytes() for k in have]
                     yield pa.RecordBatch.from_arrays([pa.array(sid[have].astype(np.int64)), pa.array(words, pa.binary())], ["sid", "words"])
@@ -372,7 +384,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, table) -> DataFrame:
     """Of (sid, other) pairs, those with a Jaccard index of 0.8 or more."""
     spark = pairs.sparkSession
     sids = pairs.select("sid").union(pairs.select(F.col("other").alias("sid"))).distinct()
-    sets = cut(_word_sets(docs, table, spark.sparkContext.broadcast(_sid_filter(sids))))
+    sets = cut(_word_sets(docs, table, spark.sparkContext.broadcast(_filter_of(sids, "sid"))))
     both = pairs.join(sets, "sid").join(sets.select(F.col("sid").alias("other"), F.col("words").alias("other_words")), "other")
 
     def run(batches):
@@ -390,34 +402,36 @@ def _verified(pairs: DataFrame, docs: DataFrame, table) -> DataFrame:
     return both.select("sid", "words", "other", "other_words").mapInArrow(run, "sid long, other long")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, named: int = NAMED, hot: int = HOT, small: int = SMALL) -> DataFrame:
     """(doc, at): the lines of docs (doc_id, text, _th) that go."""
     sc = docs.sparkSession.sparkContext
     table = sc.broadcast(word_table(docs))
     rows = signatures(docs, table)
 
     def found_by(rows: DataFrame, named: int | None) -> DataFrame:
-        out = cut(matches(rows, named))
+        out = cut(matches(rows, named, hot, small))
         return out.where("kind < 3").unionByName(hot_matches(out.where("kind = 3"), named))
 
-    found = cut(found_by(rows, NAMED).where("kind < 3"))
+    found = cut(found_by(rows, named).where("kind < 3"))
     place = ["doc", "at"]
     links = lambda found: found.where("kind = 1").select("sid", "other").distinct()
     pairs = cut(_verified(links(found), docs, table))
     gone = lambda found, pairs: found.where("kind = 1").join(pairs, ["sid", "other"]).select(*place)
     out = found.where("kind = 0").select(*place).unionByName(gone(found, pairs))
-    open_ = found.where("kind = 2").select("sid").distinct().join(pairs.select("sid").distinct(), "sid", "left_anti")
-    open_ = cut(open_.join(found.where("kind = 0").select("sid").distinct(), "sid", "left_anti"))
-    if not open_.isEmpty():  # rare: these compare with every candidate
-        again = found_by(rows, None).where("kind = 1").join(open_, "sid")
-        again = cut(again)
+    # lines that had more candidates under a key than they named, and no match yet
+    more = found.where("kind = 2").select("key", "sid").distinct()
+    matched = pairs.select("sid").union(found.where("kind = 0").select("sid")).distinct()
+    more = cut(more.join(matched, "sid", "left_anti"))
+    if not more.isEmpty():  # they compare with all candidates under those keys
+        keys = sc.broadcast(_filter_of(more, "key"))
+        again = cut(found_by(signatures(docs, table, keys), None).where("kind = 1").join(more.select("sid").distinct(), "sid", "left_semi"))
         out = out.unionByName(gone(again, _verified(links(again), docs, table)))
     return out.distinct()
 
 
-def line_decisions(docs: DataFrame) -> DataFrame:
+def line_decisions(docs: DataFrame, **limits) -> DataFrame:
     """(doc, th, removed): per document with removals, its removed line numbers (from 0, ascending)."""
-    gone = removed_lines(row_key(docs).select("doc_id", "text", "_th"))
+    gone = removed_lines(row_key(docs).select("doc_id", "text", "_th"), **limits)
     gone = gone.select("doc", F.shiftright("at", 32).cast("int").alias("th"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("line"))
     return gone.groupBy("doc", "th").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
