@@ -27,7 +27,7 @@ SPACE, MARK = 0x20, 0x2581
 ALPHA = 1.0
 OFFSET = 10.0
 BYTE_COST = -14.0  # log weight of a byte
-SLICE = 4 << 20  # bytes of text worked on at a time
+SLICE = 2 << 20  # bytes of text worked on at a time
 
 
 def default_model() -> str:
@@ -70,18 +70,40 @@ class Vocabulary:
             seen += 1
         if (self.byte_id < 0).any():
             raise ValueError("the vocabulary lacks bytes")
-        keys = np.array([a << 21 | c for a, c in children], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.next = keys[order], np.array(list(children.values()), np.int64)[order]
         self.piece, self.rank = np.array(self.piece, np.int64), np.array(self.rank, np.float64)
         self.roots = np.full(0x110000, -1, np.int64)  # the first step, without a search
-        first = keys < 1 << 21
-        self.roots[keys[first]] = np.array(list(children.values()))[first]
+        for (node, c), child in children.items():
+            if not node:
+                self.roots[c] = child
+        size = 1 << max(10, (4 * len(children)).bit_length())  # a quarter full at most: nearly all keys lie where they hash
+        self.shift = np.uint64(64 - size.bit_length() + 1)
+        self.keys, self.next = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+        keys = np.array([a << 21 | c for a, c in children], np.int64)
+        for key, at, child in zip(keys.tolist(), self._slot(keys).tolist(), children.values()):
+            while self.keys[at] >= 0:
+                at = (at + 1) % size
+            self.keys[at], self.next[at] = key, child
+        self.sizes = np.array([len(x) for x in self.bytes_of], np.int64)
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
 
     def step(self, node: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The node that c leads to, or -1."""
         key = node << 21 | c
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.next[at], -1)
+        at = self._slot(key)
+        there = self.keys[at]
+        out = np.where(there == key, self.next[at], -1)
+        open_ = np.flatnonzero((there != key) & (there >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % len(self.keys)
+            there = self.keys[at[open_]]
+            hit = there == key[open_]
+            out[open_[hit]] = self.next[at[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+        return out
 
 
 @functools.cache
@@ -128,29 +150,32 @@ class Lattice:
         pieces.append(np.full(len(raw), -1, np.int64))
         logs.append(BYTE_COST * _byte_lengths(c[raw]))
         node, length, piece, log = (np.concatenate(x) for x in (nodes, lengths, pieces, logs))
-        step = pos[node]  # the forward sums go by the place in the unit, all units at once
-        order = np.lexsort((length, node, step))
-        node, length, piece, log, step = (x[order] for x in (node, length, piece, log, step))
+        order = np.argsort(node, kind="stable")  # runs in order: merged, not sorted
+        node, length, piece, log = node[order], length[order], piece[order], log[order]
+        step = pos[node]
+        by_step = np.argsort(step.astype(np.int16) if total and pos.max() < 1 << 15 else step, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(step))]) if len(step) else [0]
         alpha_at = np.full(total, -np.inf)  # log weight of all ways up to and with this character
         chance = np.empty(len(node))
-        cuts = np.searchsorted(step, np.arange(int(step[-1]) + 2)) if len(step) else [0]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            e_node, e_len = node[a:b], length[a:b]
-            before = np.where(e_len > step[a], 0.0, alpha_at[np.maximum(e_node - e_len, 0)])
-            w = before + log[a:b]
+        for place, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):  # the forward sums, all units at once
+            edge = by_step[a:b]
+            e_node, e_len = node[edge], length[edge]
+            w = log[edge]
+            inner = np.flatnonzero(e_len <= place)
+            w[inner] += alpha_at[e_node[inner] - e_len[inner]]
             first = np.flatnonzero(np.concatenate([[True], e_node[1:] != e_node[:-1]]))
             count = np.diff(np.concatenate([first, [b - a]]))
-            top = np.repeat(np.maximum.reduceat(w, first), count)
-            x = np.exp(w - top)
+            top = np.maximum.reduceat(w, first)
+            x = np.exp(w - np.repeat(top, count))
             run = np.cumsum(x)
-            run = run - np.repeat(run[first] - x[first], count)
+            run -= np.repeat(run[first] - x[first], count)
             whole = run[first + count - 1]
-            chance[a:b] = run / np.repeat(whole, count)
-            chance[a + first + count - 1] = 1.0
-            alpha_at[e_node[first]] = top[first] + np.log(whole)
-        order = np.argsort(node, kind="stable")
-        self.length, self.piece, self.chance = length[order], piece[order], chance[order]
-        self.first = np.searchsorted(node[order], np.arange(total + 1))
+            run /= np.repeat(whole, count)
+            run[first + count - 1] = 1.0
+            chance[edge] = run
+            alpha_at[e_node[first]] = top + np.log(whole)
+        self.length, self.piece, self.chance = length, piece, chance
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(node, minlength=total))])
 
 
 def sample(v: Vocabulary, texts: list[str], seeds: np.ndarray, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
@@ -204,8 +229,14 @@ def sample(v: Vocabulary, texts: list[str], seeds: np.ndarray, alpha: float = AL
     return out, total[np.searchsorted(used, stops)]
 
 
-def decode(v: Vocabulary, ids: list[int]) -> str:
-    return b"".join(map(v.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
+def decode_all(v: Vocabulary, ids: np.ndarray, stops: np.ndarray) -> list[str]:
+    """The texts that runs of ids stand for; stops: where each ends."""
+    sizes = v.sizes[ids]
+    ends = np.cumsum(sizes)
+    at = np.repeat(v.offsets[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    data = v.all_bytes[at].tobytes()
+    cuts = np.concatenate([[0], ends])[stops].tolist()
+    return [data[a:b].decode("utf-8", "replace")[1:] for a, b in zip([0, *cuts], cuts)]
 
 
 def encode_sampled(df: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, alpha: float = ALPHA, seed: int = 0, ids: str = "ids") -> DataFrame:
@@ -237,13 +268,16 @@ def decoded(df: DataFrame, ids: str = "ids", text: str = "decoded", model: str |
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         v = vocabulary(model)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                texts = [None if x is None else decode(v, x) for x in (part.column(ids)[i].as_py() for i in range(part.num_rows))]
-                yield part.append_column(text, pa.array(texts, pa.string()))
+                lists = part.column(ids)
+                stops = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64))
+                texts = decode_all(v, np.asarray(lists.flatten()).astype(np.int64), stops)
+                yield part.append_column(text, pa.array(texts, pa.string(), mask=np.asarray(lists.is_null())))
 
     return df.mapInArrow(run, StructType(list(df.schema.fields)).add(text, "string"))
 
