@@ -11,7 +11,7 @@ paragraph's vector inserts or deletes it. The vector has two parts:
 
 DataFrame functions only. Defined results: a null text is empty; the empty text is one empty paragraph; rows
 that share a doc_id and a text count as one document when the next is sought and have equal results; those that share a
-doc_id only are in the order of a hash of their text; null doc_ids come first; other columns are ignored.
+doc_id only are in the order of a hash of their text; null doc_ids come first (held as the least long); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ._common import cut, documents
+from ._common import cut, documents, fresh_path
 
 SEEDS = 8
 #: Runs of up to three words that do not go past the end of a line.
@@ -54,7 +54,7 @@ def _hex(lanes: Column, digits: int) -> Column:
 
 
 def vectors(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """key, fingerprint, lanes array<int> (128 sums of signs), for each key of rows; rows with one key add up."""
+    """key and vector (lanes of both parts, in as many bits as they have), for each key of rows; rows with one key add up."""
     whole = F.coalesce(F.col(text), F.lit(""))
     element = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("s"))
     paragraphs = F.transform(F.split(whole, "\n", -1), element(0))
@@ -63,22 +63,34 @@ def vectors(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     run = F.col("kind") == 1
     each = each.withColumn("h1", F.when(run, F.xxhash64("s"))).withColumn("h2", F.when(run, F.xxhash64(F.lit(1), F.col("s"))))
     sums = each.groupBy(*key).agg(*_dense(), *_signs(), F.sum("kind").cast("long").alias("_runs"))
-    dense = F.transform(F.array(*[F.col(f"d{i}") for i in range(2 * SEEDS)]), lambda x: x.bitwiseAND(LOW))
+    half = lambda x: F.when(x >= 32768, x - 65536).otherwise(x).cast("short")  # noqa: E731  16 bits as they are
+    whole32 = lambda x: F.when(x > 0x7FFFFFFF, x - 0x100000000).otherwise(x).cast("int")
+    dense = F.transform(F.array(*[F.col(f"d{i}") for i in range(2 * SEEDS)]), lambda x: whole32(x.bitwiseAND(LOW)))
     pairs = F.array(*[F.col(f"l{k}") for k in range(64)])
-    counts = F.transform(F.concat(F.transform(pairs, lambda x: x.bitwiseAND(LOW)), F.transform(pairs, lambda x: F.shiftrightunsigned(x, 32))), lambda x: x.bitwiseAND(0xFFFF))
-    out = sums.select(*key, dense.alias("dense"), counts.alias("counts"), F.col("_runs").bitwiseAND(0xFFFF).alias("_runs"))
-    name = F.concat(_hex(F.col("dense"), 8), F.lit(":"), F.lpad(F.lower(F.hex("_runs")), 4, "0"), _hex(F.col("counts"), 4))
-    # ones less zeros, modulo 2^16, the remainder nearest to 0
-    signs = F.transform("counts", lambda c: (F.pmod(2 * c - F.col("_runs") + 32768, F.lit(65536)) - 32768).cast("int"))
-    return out.select(*key, name.alias("fingerprint"), signs.alias("lanes"))
+    lanes = F.concat(F.transform(pairs, lambda x: x.bitwiseAND(LOW)), F.transform(pairs, lambda x: F.shiftrightunsigned(x, 32)))
+    counts = F.transform(lanes, lambda x: half(x.bitwiseAND(0xFFFF)))
+    return sums.select(*key, F.struct(dense.alias("dense"), half(F.col("_runs").bitwiseAND(0xFFFF)).alias("runs"), counts.alias("counts")).alias("vector"))
 
 
-def likeness(f: Column, a: Column, g: Column, b: Column) -> Column:
-    """1 for equal fingerprints f, g; else the cosine of their lanes a, b, 0 at least, below 1."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+def fingerprint(vector: Column) -> Column:
+    """The vector as hex digits: 16 lanes of 8, the number of runs, 128 lanes of 4."""
+    low = lambda x: x.cast("int").bitwiseAND(0xFFFF)
+    dense = F.transform(vector["dense"], lambda x: x.cast("long").bitwiseAND(LOW))
+    return F.concat(_hex(dense, 8), F.lit(":"), F.lpad(F.lower(F.hex(low(vector["runs"]))), 4, "0"), _hex(F.transform(vector["counts"], low), 4))
+
+
+def signs(vector: Column) -> Column:
+    """Ones less zeros at each bit, modulo 2^16, as the remainder nearest to 0."""
+    return F.transform(vector["counts"], lambda c: (F.pmod(2 * c.cast("int") - vector["runs"] + 32768, F.lit(65536)) - 32768).cast("double"))
+
+
+def likeness(v: Column, w: Column) -> Column:
+    """Of two vectors: 1 if they are equal; else the cosine of their sums of signs, 0 at least, below 1."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+    a, b = signs(v), signs(w)
     size = F.sqrt(dot(a, a) * dot(b, b))
     cosine = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(0.999999), dot(a, b) / size))).otherwise(F.lit(0.0))
-    return F.when(f == g, 1.0).otherwise(cosine)
+    return F.when(v == w, 1.0).otherwise(cosine)
 
 
 def successors(keys: DataFrame) -> DataFrame:
@@ -100,25 +112,30 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and its likeness to that and to the next document's."""
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("_th", F.xxhash64("text"))
-    rows = docs.groupBy("_id", "_th").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    # both uses of rows read the same columns, so that one exchange of texts serves both
+    rows = docs.groupBy("_id", "_th").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     order = cut(successors(docs.select("_id", "_th", F.length("text").cast("long").alias("n")).distinct()))
     need = F.expr("n div 4").cast("int")
     asked = order.select(F.col("_id").alias("of_id"), F.col("_th").alias("of_th"), F.col("next_id").alias("_id"), F.col("next_th").alias("_th"), "n")
-    heads = rows.select("_id", "_th", "text").join(asked, ["_id", "_th"]).select(F.col("of_id").alias("_id"), F.col("of_th").alias("_th"), "n", F.substring("text", F.lit(1), need).alias("head"))
-    both = rows.join(heads, ["_id", "_th"])
+    heads = rows.where("copies > 0").join(asked, ["_id", "_th"]).select(
+        F.col("of_id"), F.col("of_th"), F.col("_id").alias("next_id"), F.col("_th").alias("next_th"), "n", F.substring("text", F.lit(1), need).alias("head")
+    )
+    both = rows.join(heads, (F.col("_id") == F.col("of_id")) & (F.col("_th") == F.col("of_th")))
     edited = F.concat(F.substring("text", F.lit(1), F.col("n").cast("int") - need), F.col("head"))
-    key = ["_id", "_th", "doc_id", "copies", "n"]
+    key = ["_id", "_th", "next_id", "next_th", "copies", "n"]
     texts = both.select(*key, "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     key.append("edited_sha256")
     each = texts.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("text")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("text")))).alias("t"))
     made = vectors(each.select(*key, "t.v", "t.text"), [*key, "v"])
-    of = lambda v: F.max(F.when(F.col("v") == v, F.struct("fingerprint", "lanes")))
-    pairs = cut(made.groupBy(*key).agg(of(0).alias("own"), of(1).alias("changed")))
+    of = lambda v: F.max(F.when(F.col("v") == v, F.col("vector")))
+    path = fresh_path(spark, "fingerprints")
+    made.groupBy(*key).agg(of(0).alias("own"), of(1).alias("changed")).write.option("compression", "zstd").parquet(path)
+    pairs = spark.read.parquet(path)
     after = pairs.select(F.col("_id").alias("next_id"), F.col("_th").alias("next_th"), F.col("own").alias("next"))
-    out = pairs.join(order.drop("n"), ["_id", "_th"]).join(after, ["next_id", "next_th"])
-    like = lambda x: likeness(F.col("own.fingerprint"), F.col("own.lanes"), F.col(f"{x}.fingerprint"), F.col(f"{x}.lanes"))
+    out = pairs.join(after, ["next_id", "next_th"])
     out = out.select(
-        "doc_id", F.col("n").alias("n_chars"), "edited_sha256", F.col("own.fingerprint").alias("fingerprint"), F.col("changed.fingerprint").alias("edited_fingerprint"),
-        like("changed").alias("near_edited"), like("next").alias("near_next"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy"),
+        F.nullif("_id", F.lit(NULL_ID)).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"),
+        fingerprint(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        likeness(F.col("own"), F.col("next")).alias("near_next"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy"),
     )
     return out.drop("_copy")
