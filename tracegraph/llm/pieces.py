@@ -27,7 +27,7 @@ SPACE, MARK = 0x20, 0x2581
 ALPHA = 1.0
 OFFSET = 10.0
 BYTE_COST = -14.0  # log weight of a byte
-SLICE = 2 << 20  # bytes of text worked on at a time
+SLICE = 1 << 20  # bytes of text worked on at a time
 
 
 def default_model() -> str:
