@@ -14,6 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import has_content
+from ..functions.storage import settled
 from ..operators import annotate, diagnostics as diag, edges as edge, identity, order, traverse
 from ..schema import ANNOTATIONS, DuplicateNodeIdError, STATED_KINDS, error_of
 from ..sources import reader
@@ -40,6 +41,10 @@ class TraceGraphs:
     def spark(self) -> SparkSession:
         return self.nodes_df.sparkSession
 
+    def settled(self) -> TraceGraphs:
+        """The same graphs as written tables: later queries start from them and not from the telemetry."""
+        return TraceGraphs(*map(settled, (self.nodes_df, self.edges_df, self.diagnostics_df, self.graphs_df, self.annotations_df)))
+
     # -- selection -------------------------------------------------------------------------------------
 
     def nodes(self, kind: Kinds = None, annotated: tuple | None = None) -> DataFrame:
@@ -206,8 +211,8 @@ def build_all(spark: SparkSession, *sources: str | bytes | Path, adapter: str |
 
 
 def build(spark: SparkSession, source: str | bytes | Path, *, adapter: str | None = None, temporal: bool = True, registry: Registry | None = None) -> TraceGraphs:
-    """The graph of one source; raises what refuses it."""
-    out = build_all(spark, source, adapter=adapter, temporal=temporal, registry=registry)
+    """The graph of one source, settled; raises what refuses it."""
+    out = build_all(spark, source, adapter=adapter, temporal=temporal, registry=registry).settled()
     for r in out.graphs_df.where("error_code is not null").limit(1).collect():
         raise error_of(r["error_code"], r["error_message"])
     return out

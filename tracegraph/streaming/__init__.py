@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.storage import settled
 from ..plans.build import build_graphs
 from ..plans.document import documents
 from ..sources import reader
@@ -24,9 +25,8 @@ def stream_graphs(spark: SparkSession, path: str, out: str, checkpoint: str, ada
     """Writes a Parquet row (graph_key, document) for each new input, a folder a batch so that a retry replaces its own."""
 
     def finish(batch: DataFrame, number: int) -> None:
-        rows = reader.parsed(batch, adapter).persist()
-        graphs = build_graphs(reader.spans_of(rows), graphs=reader.graphs_of(rows), malformed=reader.malformed_of(rows))
+        rows = settled(reader.parsed(batch, adapter))
+        graphs = build_graphs(reader.spans_of(rows), graphs=reader.graphs_of(rows), malformed=reader.malformed_of(rows)).settled()
         documents(graphs).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        rows.unpersist()
 
     return stream_inputs(spark, path, pattern).writeStream.foreachBatch(finish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
