@@ -436,9 +436,9 @@ def line_decisions(docs: DataFrame, **limits) -> DataFrame:
     return gone.groupBy("doc", "th").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
-def _decided(docs: DataFrame) -> DataFrame:
+def _decided(docs: DataFrame, **limits) -> DataFrame:
     """docs with _th and _removed (null: nothing)."""
-    d = line_decisions(docs).select(F.col("doc").alias("_doc"), F.col("th").alias("_t"), F.col("removed").alias("_removed"))
+    d = line_decisions(docs, **limits).select(F.col("doc").alias("_doc"), F.col("th").alias("_t"), F.col("removed").alias("_removed"))
     keyed = row_key(docs)
     return keyed.join(d, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == d["_doc"]) & (keyed["_th"] == d["_t"]), "left")
 
