@@ -15,7 +15,7 @@ from tracegraph.llm._common import documents, fresh_path
 from tracegraph.llm.lang_id import reject_languages
 from tracegraph.llm.line_dedup import dedup_lines
 from tracegraph.llm.mixing import mixed_documents
-from tracegraph.llm.pieces import decoded, encode_sampled
+from tracegraph.llm.pieces import encode_sampled
 from tracegraph.llm.simhash import keep_one
 
 
@@ -37,8 +37,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = decoded(encode_sampled(docs))
-    return out.withColumn("lossless", F.col("decoded") == F.col("text")).withColumn("n_pieces", F.size("ids").cast("long")).drop("decoded")
+    return encode_sampled(docs, check="lossless").withColumn("n_pieces", F.size("ids").cast("long"))
 
 
 STAGES = [

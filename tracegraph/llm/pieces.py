@@ -19,7 +19,7 @@ import functools
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructType
 
 from ._common import documents, mix64, pieces_of, span_hashes
 
@@ -239,8 +239,9 @@ def decode_all(v: Vocabulary, ids: np.ndarray, stops: np.ndarray) -> list[str]:
     return [data[a:b].decode("utf-8", "replace")[1:] for a, b in zip([0, *cuts], cuts)]
 
 
-def encode_sampled(df: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, alpha: float = ALPHA, seed: int = 0, ids: str = "ids") -> DataFrame:
-    """df with ids, a sampled segmentation of text seeded by seed and key (any type)."""
+def encode_sampled(df: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, alpha: float = ALPHA, seed: int = 0, ids: str = "ids", check: str | None = None) -> DataFrame:
+    """df with ids, a sampled segmentation of text seeded by seed and key (any type). check: a column that says
+    whether the ids, decoded, are the text."""
     model = model or default_model()
     columns = list(df.columns)
     seeded = df.withColumn("_seed", F.xxhash64(F.lit(seed), F.col(key)))
@@ -257,9 +258,15 @@ def encode_sampled(df: DataFrame, key: str = "doc_id", text: str = "text", model
                 offsets = pa.array(np.concatenate([[0], stops]).astype(np.int32))
                 none = np.array([t is None for t in texts])
                 made = pa.ListArray.from_arrays(offsets, pa.array(values), mask=pa.array(none)) if none.any() else pa.ListArray.from_arrays(offsets, pa.array(values))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), made], [*columns, ids])
-
-    return seeded.mapInArrow(run, StructType(list(df.schema.fields)).add(ids, ArrayType(IntegerType())))
+                out = [*(part.column(c) for c in columns), made]
+                if check:
+                    same = [None if t is None else t == u for t, u in zip(texts, decode_all(v, values.astype(np.int64), stops))]
+                    out.append(pa.array(same, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(out, [*columns, ids, *([check] if check else [])])
+            pa.default_memory_pool().release_unused()
+
+    schema = StructType(list(df.schema.fields)).add(ids, ArrayType(IntegerType()))
+    return seeded.mapInArrow(run, schema.add(check, BooleanType()) if check else schema)
 
 
 def decoded(df: DataFrame, ids: str = "ids", text: str = "decoded", model: str | None = None) -> DataFrame:
