@@ -34,8 +34,8 @@ BUCKETS = 1 << 25
 COARSE = 3  # bits: so many buckets share a class
 SLICES = 64
 HOT = 8192  # rows of a key that one task compares
-SMALL = 48  # rows of a key of which all candidates are named
-NAMED = 8  # candidates that a line names within a larger key
+SMALL = 48  # rows of a key that are compared with those of many other keys at once
+NAMED = 2  # candidates that a line names within a key
 NULL_ID = -(1 << 63)
 _LOW48 = np.uint64((1 << 48) - 1)
 _SPACE = np.zeros(256, bool)
@@ -193,7 +193,7 @@ def signatures(docs: DataFrame, table, wanted=None) -> DataFrame:
 
 
 COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
-#: kind 0: the line (doc, at) goes. 1: it may match the set `other`. 2: it has more candidates than it named. 3: a row of a hot key, with its block in `other`.
+#: kind 0: the line (doc, at) goes. 1: it may match the set `other`. 2: it may have more candidates than it named. 3: a row of a hot key, with its block in `other`.
 OUT = f"kind int, {ROWS}, other long"
 
 
@@ -245,15 +245,19 @@ def _match(r: dict, named: int | None, small_key: int = SMALL):
     yield 0, i[gone], r["sid"][i[gone]]
     small = near & (sizes <= small_key) & (sizes > 1)
     rows = np.flatnonzero(np.repeat(small, sizes))
-    rank = rows - np.repeat(first[small], sizes[small])
-    for d in range(1, small_key):
-        more = rank >= d
-        rows, rank = rows[more], rank[more]
+    lead = np.repeat(first[small], sizes[small])
+    said = np.zeros(len(rows), np.int64)
+    for d in range(small_key):  # the d-th row of each key with those after it, so the earliest are named first
+        later = rows - lead > d
+        full = later & (said >= named) if named is not None else np.zeros(len(rows), bool)
+        if full.any():
+            yield 2, rows[full], r["sid"][rows[full]]
+        rows, lead, said = (x[later & ~full] for x in (rows, lead, said))
         if not len(rows):
             break
-        i = rows[_passes(_fields(r, rows), _fields(r, rows - d))]
-        i = i[_after(r, i, i - d)]
-        yield 1, i, r["sid"][i - d]
+        ok = _passes(_fields(r, rows), _fields(r, lead + d)) & _after(r, rows, lead + d)
+        said += ok
+        yield 1, rows[ok], r["sid"][(lead + d)[ok]]
     for g in np.flatnonzero(near & (sizes > small_key)):
         own = np.arange(first[g], first[g] + sizes[g])
         i, j, rest = _in_large(r, own, own, named)
