@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import column_bytes, cut, documents, mix64, pieces_of, row_key, span_hashes, spans_of, text_or_empty
+from ._common import column_bytes, cut, documents, mix64, pieces_of, row_key, span_hashes, spans_of, stored, text_or_empty
 
 BUCKETS = 1 << 25
 COARSE = 3  # bits: so many buckets share a class
@@ -388,7 +388,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, table) -> DataFrame:
     """Of (sid, other) pairs, those with a Jaccard index of 0.8 or more."""
     spark = pairs.sparkSession
     sids = pairs.select("sid").union(pairs.select(F.col("other").alias("sid"))).distinct()
-    sets = cut(_word_sets(docs, table, spark.sparkContext.broadcast(_filter_of(sids, "sid"))))
+    sets = stored(_word_sets(docs, table, spark.sparkContext.broadcast(_filter_of(sids, "sid"))), "sets")
     both = pairs.join(sets, "sid").join(sets.select(F.col("sid").alias("other"), F.col("words").alias("other_words")), "other")
 
     def run(batches):
@@ -413,13 +413,16 @@ def removed_lines(docs: DataFrame, named: int = NAMED, hot: int = HOT, small: in
     rows = signatures(docs, table)
 
     def found_by(rows: DataFrame, named: int | None) -> DataFrame:
-        out = cut(matches(rows, named, hot, small))
-        return out.where("kind < 3").unionByName(hot_matches(out.where("kind = 3"), named))
+        out = stored(matches(rows, named, hot, small), "matches")
+        passed = out.where("kind = 3")
+        if passed.isEmpty():
+            return out
+        return out.where("kind < 3").unionByName(stored(hot_matches(passed, named), "hot-matches"))
 
-    found = cut(found_by(rows, named).where("kind < 3"))
+    found = found_by(rows, named)
     place = ["doc", "at"]
     links = lambda found: found.where("kind = 1").select("sid", "other").distinct()
-    pairs = cut(_verified(links(found), docs, table))
+    pairs = stored(_verified(links(found), docs, table), "pairs")
     gone = lambda found, pairs: found.where("kind = 1").join(pairs, ["sid", "other"]).select(*place)
     out = found.where("kind = 0").select(*place).unionByName(gone(found, pairs))
     # lines that had more candidates under a key than they named, and no match yet
@@ -428,7 +431,7 @@ def removed_lines(docs: DataFrame, named: int = NAMED, hot: int = HOT, small: in
     more = cut(more.join(matched, "sid", "left_anti"))
     if not more.isEmpty():  # they compare with all candidates under those keys
         keys = sc.broadcast(_filter_of(more, "key"))
-        again = cut(found_by(signatures(docs, table, keys), None).where("kind = 1").join(more.select("sid").distinct(), "sid", "left_semi"))
+        again = stored(found_by(signatures(docs, table, keys), None).where("kind = 1").join(more.select("sid").distinct(), "sid", "left_semi"), "again")
         out = out.unionByName(gone(again, _verified(links(again), docs, table)))
     return out.distinct()
 
