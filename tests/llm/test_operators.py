@@ -63,6 +63,23 @@ def test_line_dedup(docs, corpus, limits):
     assert line_dedup.dedup_lines(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("limits", [{}, {"hot": 7, "small": 3}, {"later": (1, 2, None)}, {"later": (3, None), "hot": 7}])
+def test_line_dedup_asks_again(spark, limits):
+    """A match behind many lines that pass the short bitmap and do not match, of a line that also has a copy."""
+    rng = np.random.default_rng(3)
+    often = [f"often{k}" for k in range(60)]  # so common that they come last, else the place of a word in its line tells
+    texts = []
+    for group in range(3):
+        base = [f"g{group}w{k}" for k in range(100)]
+        near = lambda n: " ".join([*rng.permutation(base)[n:], *rng.permutation(often)[:n]])  # noqa: E731, B023
+        texts += [near(15) for _ in range(40)] + [near(5), " ".join(base)] + [near(15) for _ in range(5)] + [" ".join(base)] * 2
+    texts.append(" ".join(often * 500))
+    sets = [frozenset(t.split()) for t in texts]
+    want = {i for i, x in enumerate(sets) if any(5 * len(x & y) >= 4 * len(x | y) for y in sets[:i])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r["doc"] for r in line_dedup.line_decisions(docs, **limits).collect()} == want and 41 in want
+
+
 def test_token_store(spark, sf_dir, corpus):
     from tokenizers import Tokenizer
 

@@ -14,8 +14,10 @@ doc_id, then line number) matches it. Steps, over all lines of all documents:
    earliest lines that pass. Keys of more than HOT rows are passed on in blocks, and each pair of blocks
    whose lengths can match is compared by a task of its own.
 4. The words of the named lines are fetched and the Jaccard index is verified. A line that had more
-   candidates under a key than it named, and of which none matched, is compared with all of them in a
-   second round over those keys.
+   candidates under a key than it named, and of which none matched, asks again in a further round over only
+   those keys, in which rows carry a bitmap as long as their line needs: what passes it nearly always
+   matches. It names more lines in each round and all in the last, so the result is exact and the number
+   of rows follows the open lines and not the square of a group.
 
 Words are compared by a 48-bit key (8 bits of rarity, 39 of hash, 1 for several lines), sets by a 63-bit sum of mixed keys.
 Defined results: null texts have one empty line; lines without words never match and always stay; of
@@ -36,6 +38,7 @@ SLICES = 64
 HOT = 8192  # rows of a key that one task compares
 SMALL = 48  # rows of a key that are compared with those of many other keys at once
 NAMED = 2  # candidates that a line names within a key
+LATER = (4, 64, None)  # candidates that an open line names in the rounds after the first
 NULL_ID = -(1 << 63)
 _LOW48 = np.uint64((1 << 48) - 1)
 _SPACE = np.zeros(256, bool)
@@ -147,15 +150,28 @@ def _bitmaps(w: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduceat(np.uint64(1) << (mix64(w) & np.uint64(63)), begin)
 
 
+def _wide(w: np.ndarray) -> bytes:
+    """Parities of a line's words in 512 to 32,768 bits, 8 or more a word; the first half xor the second is the bitmap of half the length."""
+    size = min(32768, max(512, 1 << (8 * len(w) - 1).bit_length()))
+    at = (mix64(w ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(bool), bitorder="little").tobytes()
+
+
 #: shape: words in the line << 32 | place of the key's word in the prefix + 1, 0 for a whole set. at: _th << 32 | line number.
 ROWS = "key long, shape long, sid long, bits long, doc long, at long"
 
 
+def _number(key, doc, at):
+    """A number of a line's row under a key, for filters."""
+    return mix64(mix64(key.view(np.uint64)) ^ doc.view(np.uint64)) ^ at.view(np.uint64)
+
+
 def signatures(docs: DataFrame, table, wanted=None) -> DataFrame:
     """Rows to be matched: one for each word of each line's prefix, and one for each whole set.
 
-    table: broadcast of word_table(). docs has doc_id, text and _th. wanted: broadcast of a filter of keys; only
-    words' rows that it lets through are made.
+    table: broadcast of word_table(). docs has doc_id, text and _th. wanted: broadcast of filters of keys and of
+    (key, doc, at); only words' rows that the first lets through are made, with the columns of ASKED; those
+    that the second lets through ask.
     """
 
     def run(batches):
@@ -178,7 +194,7 @@ def signatures(docs: DataFrame, table, wanted=None) -> DataFrame:
                     word = w[begin[of] + pos]
                     use = (word & np.uint64(1)).astype(bool)
                     if wanted is not None:
-                        use &= _let_through(wanted.value, word)
+                        use &= _let_through(wanted.value[0], word)
                         exact = exact[:0]
                     seen = np.flatnonzero(use)
                     pos, word, of = pos[seen], word[seen], of[seen]
@@ -186,13 +202,19 @@ def signatures(docs: DataFrame, table, wanted=None) -> DataFrame:
                     key = np.concatenate([-1 - sid.astype(np.int64)[exact], word.astype(np.int64)])
                     bits = _bitmaps(w, begin).view(np.int64)
                     shape = n[k].astype(np.int64) << 32 | np.concatenate([np.zeros(len(exact), np.int64), pos + 1])
-                    cols = [key, shape, sid.astype(np.int64)[k], bits[k], doc[row][k], place[k]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], COLUMNS)
+                    cols = [pa.array(c) for c in (key, shape, sid.astype(np.int64)[k], bits[k], doc[row][k], place[k])]
+                    if wanted is None:
+                        yield pa.RecordBatch.from_arrays(cols, COLUMNS)
+                        continue
+                    wide = {x: _wide(w[begin[x] : begin[x] + n[x]]) for x in np.unique(of).tolist()}
+                    cols += [pa.array(_let_through(wanted.value[1], _number(word, doc[row][k], place[k]))), pa.array([wide[x] for x in of.tolist()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, COLUMNS + ASKED_COLUMNS)
 
-    return docs.select("doc_id", "text", "_th").mapInArrow(run, ROWS)
+    return docs.select("doc_id", "text", "_th").mapInArrow(run, ROWS if wanted is None else f"{ROWS}, {ASKED}")
 
 
-COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
+ASKED = "asks boolean, wide binary"
+COLUMNS, ASKED_COLUMNS = ([c.split()[0] for c in x.split(", ")] for x in (ROWS, ASKED))
 #: kind 0: the line (doc, at) goes. 1: it may match the set `other`. 2: it may have more candidates than it named. 3: a row of a hot key, with its block in `other`.
 OUT = f"kind int, {ROWS}, other long"
 
@@ -211,6 +233,29 @@ def _passes(x: tuple, y: tuple) -> np.ndarray:
     return ok & (np.bitwise_count(b ^ c) <= n + m - 2 * least)
 
 
+def _wide_passes(r: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j, which passed before, can match by their long bitmaps too."""
+    n, m = r["shape"][i] >> 32, r["shape"][j] >> 32
+    most = n + m - 2 * ((4 * (n + m) + 8) // 9)
+    ok = np.zeros(len(i), bool)
+    size = np.fromiter(map(len, r["wide"]), np.int64, len(r["wide"])) >> 3
+    for a, b in sorted({*zip(size[i].tolist(), size[j].tolist())}):
+        some = np.flatnonzero((size[i] == a) & (size[j] == b))
+        sides = []
+        for rows in (i[some], j[some]):
+            which, at = np.unique(rows, return_inverse=True)
+            x = np.frombuffer(b"".join(r["wide"][which].tolist()), np.uint64).reshape(len(which), -1)
+            while x.shape[1] > min(a, b):
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            sides.append((x, at))
+        (x, at), (y, to) = sides
+        step = (1 << 20) // min(a, b)
+        for k in range(0, len(some), step):
+            differ = np.bitwise_count(x[at[k : k + step]] ^ y[to[k : k + step]]).sum(axis=1, dtype=np.int64)
+            ok[some[k : k + step]] = differ <= most[some[k : k + step]]
+    return ok
+
+
 def _after(r: dict, i, j) -> np.ndarray:
     return (r["doc"][i] > r["doc"][j]) | (r["doc"][i] == r["doc"][j]) & (r["at"][i] > r["at"][j])
 
@@ -218,10 +263,15 @@ def _after(r: dict, i, j) -> np.ndarray:
 def _in_large(r: dict, xs: np.ndarray, ys: np.ndarray, named: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(later, earlier) rows of r among xs and ys that may match, `named` of them for each x at most, and the x that had more."""
     left, right, more = [], [], []
+    if "wide" in r:
+        xs = xs[r["asks"][xs]]
     y = tuple(f[None] for f in _fields(r, ys))
     for a in range(0, len(xs), 256):
         some = xs[a : a + 256]
         ok = _passes(tuple(f[:, None] for f in _fields(r, some)), y) & _after(r, some[:, None], ys[None])
+        if "wide" in r:
+            i, j = np.nonzero(ok)
+            ok[i, j] = _wide_passes(r, some[i], ys[j])
         if named is not None:
             nth = np.cumsum(ok, axis=1)
             more.append(some[nth[:, -1] > named])
@@ -246,6 +296,8 @@ def _match(r: dict, named: int | None, small_key: int = SMALL):
     small = near & (sizes <= small_key) & (sizes > 1)
     rows = np.flatnonzero(np.repeat(small, sizes))
     lead = np.repeat(first[small], sizes[small])
+    if "wide" in r:
+        rows, lead = rows[r["asks"][rows]], lead[r["asks"][rows]]
     said = np.zeros(len(rows), np.int64)
     for d in range(small_key):  # the d-th row of each key with those after it, so the earliest are named first
         later = rows - lead > d
@@ -256,6 +308,8 @@ def _match(r: dict, named: int | None, small_key: int = SMALL):
         if not len(rows):
             break
         ok = _passes(_fields(r, rows), _fields(r, lead + d)) & _after(r, rows, lead + d)
+        if "wide" in r:
+            ok[ok] = _wide_passes(r, rows[ok], lead[ok] + d)
         said += ok
         yield 1, rows[ok], r["sid"][(lead + d)[ok]]
     for g in np.flatnonzero(near & (sizes > small_key)):
@@ -268,6 +322,10 @@ def _match(r: dict, named: int | None, small_key: int = SMALL):
 def _table(batch) -> dict:
     t = {c: np.asarray(batch.column(c)) for c in COLUMNS}
     t["bits"] = t["bits"].view(np.uint64)
+    if "wide" in batch.schema.names:
+        t["asks"] = np.asarray(batch.column("asks")).astype(bool)
+        t["wide"] = np.empty(len(t["key"]), object)
+        t["wide"][:] = batch.column("wide").to_pylist()
     return t
 
 
@@ -275,7 +333,15 @@ def _out(kind: int, r: dict, i: np.ndarray, other: np.ndarray):
     import pyarrow as pa
 
     cols = [pa.array(np.full(len(i), kind, np.int32)), *(pa.array((r[c].view(np.int64) if c == "bits" else r[c])[i]) for c in COLUMNS)]
-    return pa.RecordBatch.from_arrays([*cols, pa.array(other.astype(np.int64))], ["kind", *COLUMNS, "other"])
+    cols.append(pa.array(other.astype(np.int64)))
+    if "wide" not in r:
+        return pa.RecordBatch.from_arrays(cols, ["kind", *COLUMNS, "other"])
+    wide = pa.array(r["wide"][i].tolist(), pa.binary()) if kind == 3 else pa.nulls(len(i), pa.binary())
+    return pa.RecordBatch.from_arrays([*cols, pa.array(r["asks"][i]), wide], ["kind", *COLUMNS, "other", *ASKED_COLUMNS])
+
+
+def _out_schema(rows: DataFrame) -> str:
+    return f"{OUT}, {ASKED}" if "wide" in rows.columns else OUT
 
 
 def matches(rows: DataFrame, named: int | None = NAMED, hot: int = HOT, small: int = SMALL) -> DataFrame:
@@ -320,15 +386,16 @@ def matches(rows: DataFrame, named: int | None = NAMED, hot: int = HOT, small: i
                 if len(i):
                     yield _out(kind, held, i, other)
 
-    return rows.repartition("key").sortWithinPartitions("key", "doc", "at").mapInArrow(run, OUT)
+    return rows.repartition("key").sortWithinPartitions("key", "doc", "at").mapInArrow(run, _out_schema(rows))
 
 
 def hot_matches(hot: DataFrame, named: int | None = NAMED) -> DataFrame:
     """OUT rows of the rows that matches() passed on: each pair of blocks of a key is a group of 2 * HOT rows at most."""
     n = F.shiftright("shape", 32)
-    blocks = hot.groupBy("key", "other").agg(F.min(n).alias("lo"), F.max(n).alias("hi"))
+    asks = F.max("asks") if "asks" in hot.columns else F.lit(True)
+    blocks = hot.groupBy("key", "other").agg(F.min(n).alias("lo"), F.max(n).alias("hi"), asks.alias("asks"))
     a, b = blocks.select("key", F.col("other").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i")), blocks.withColumnRenamed("other", "j")
-    pairs = a.join(b, "key").where("i <= j and lo_i <= 1.25 * hi and lo <= 1.25 * hi_i").select("key", "i", "j")
+    pairs = a.join(b, "key").where("asks and i <= j and lo_i <= 1.25 * hi and lo <= 1.25 * hi_i").select("key", "i", "j")
     place = F.explode(F.expr("case when i = j then array(i) else array(i, j) end")).alias("other")
     rows = hot.join(pairs.select("key", "i", "j", place), ["key", "other"])
 
@@ -343,22 +410,24 @@ def hot_matches(hot: DataFrame, named: int | None = NAMED) -> DataFrame:
         left, right, more = _in_large(r, xs, ys, named)
         return pa.Table.from_batches([_out(1, r, left, r["sid"][right]), _out(2, r, more, r["sid"][more])])
 
-    return rows.groupBy("key", "i", "j").applyInArrow(run, OUT)
+    return rows.groupBy("key", "i", "j").applyInArrow(run, _out_schema(hot))
 
 
 FILTER = 1 << 23
 
 
-def _filter_of(keys: DataFrame, column: str) -> np.ndarray:
-    """2^23 bits in which that of each value is set: a filter of fixed size, exact steps follow it."""
+def _filter_of(keys: DataFrame, *columns: str) -> np.ndarray:
+    """2^23 bits in which that of each value, or (key, doc, at), is set: a filter of fixed size, exact steps follow it."""
 
     def run(batches):
         bits = np.zeros(FILTER, np.uint8)
         for batch in batches:
-            bits[(mix64(np.asarray(batch.column(column)).view(np.uint64)) & np.uint64(FILTER - 1)).astype(np.int64)] = 1
+            values = [np.asarray(batch.column(c)).view(np.uint64) for c in columns]
+            values = values[0] if len(values) == 1 else _number(*values)
+            bits[(mix64(values) & np.uint64(FILTER - 1)).astype(np.int64)] = 1
         yield _packed_slices(bits)
 
-    made = _reduce_counts(keys.select(column).mapInArrow(run, "slice int, packed binary"), FILTER, lambda counts: np.packbits(counts > 0).tobytes())
+    made = _reduce_counts(keys.select(*columns).mapInArrow(run, "slice int, packed binary"), FILTER, lambda counts: np.packbits(counts > 0).tobytes())
     return np.frombuffer(b"".join(made), np.uint8)
 
 
@@ -406,7 +475,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, table) -> DataFrame:
     return both.select("sid", "words", "other", "other_words").mapInArrow(run, "sid long, other long")
 
 
-def removed_lines(docs: DataFrame, named: int = NAMED, hot: int = HOT, small: int = SMALL) -> DataFrame:
+def removed_lines(docs: DataFrame, named: int = NAMED, hot: int = HOT, small: int = SMALL, later: tuple = LATER) -> DataFrame:
     """(doc, at): the lines of docs (doc_id, text, _th) that go."""
     sc = docs.sparkSession.sparkContext
     table = sc.broadcast(word_table(docs))
@@ -425,14 +494,13 @@ def removed_lines(docs: DataFrame, named: int = NAMED, hot: int = HOT, small: in
     pairs = stored(_verified(links(found), docs, table), "pairs")
     gone = lambda found, pairs: found.where("kind = 1").join(pairs, ["sid", "other"]).select(*place)
     out = found.where("kind = 0").select(*place).unionByName(gone(found, pairs))
-    # lines that had more candidates under a key than they named, and no match yet
-    more = found.where("kind = 2").select("key", "sid").distinct()
-    matched = pairs.select("sid").union(found.where("kind = 0").select("sid")).distinct()
-    more = cut(more.join(matched, "sid", "left_anti"))
-    if not more.isEmpty():  # they compare with all candidates under those keys
-        keys = sc.broadcast(_filter_of(more, "key"))
-        again = stored(found_by(signatures(docs, table, keys), None).where("kind = 1").join(more.select("sid").distinct(), "sid", "left_semi"), "again")
-        out = out.unionByName(gone(again, _verified(links(again), docs, table)))
+    for named in later:  # lines that had more candidates under a key than they named, and no match yet
+        more = cut(found.where("kind = 2").select("key", *place).distinct().join(out.distinct(), place, "left_anti"))
+        if more.isEmpty():
+            break
+        asked = sc.broadcast((_filter_of(more, "key"), _filter_of(more, "key", *place)))
+        found = found_by(signatures(docs, table, asked), named)
+        out = out.unionByName(gone(found, stored(_verified(links(found), docs, table), "pairs")))
     return out.distinct()
 
 
