@@ -146,8 +146,12 @@ def _sets(texts, table: tuple[np.ndarray, np.ndarray]):
         yield row[at], number[at], w, begin, n, sid
 
 
-def _bitmaps(w: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    return np.bitwise_xor.reduceat(np.uint64(1) << (mix64(w) & np.uint64(63)), begin)
+def _bitmaps(w: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of words by 64 places; for lines of more than 64 words also the second half of those by 128, whose halves xor to the first."""
+    h = mix64(w)
+    one = np.uint64(1) << (h & np.uint64(63))
+    half = np.bitwise_xor.reduceat(np.where(h & np.uint64(64), one, np.uint64(0)), begin)
+    return np.bitwise_xor.reduceat(one, begin), np.where(n > 64, half, np.uint64(0))
 
 
 def _wide(w: np.ndarray) -> bytes:
@@ -158,7 +162,7 @@ def _wide(w: np.ndarray) -> bytes:
 
 
 #: shape: words in the line << 32 | place of the key's word in the prefix + 1, 0 for a whole set. at: _th << 32 | line number.
-ROWS = "key long, shape long, sid long, bits long, doc long, at long"
+ROWS = "key long, shape long, sid long, bits long, half long, doc long, at long"
 
 
 def _number(key, doc, at):
@@ -200,9 +204,9 @@ def signatures(docs: DataFrame, table, wanted=None) -> DataFrame:
                     pos, word, of = pos[seen], word[seen], of[seen]
                     k = np.concatenate([exact, of])
                     key = np.concatenate([-1 - sid.astype(np.int64)[exact], word.astype(np.int64)])
-                    bits = _bitmaps(w, begin).view(np.int64)
+                    bits, half = (x.view(np.int64) for x in _bitmaps(w, begin, n))
                     shape = n[k].astype(np.int64) << 32 | np.concatenate([np.zeros(len(exact), np.int64), pos + 1])
-                    cols = [pa.array(c) for c in (key, shape, sid.astype(np.int64)[k], bits[k], doc[row][k], place[k])]
+                    cols = [pa.array(c) for c in (key, shape, sid.astype(np.int64)[k], bits[k], half[k], doc[row][k], place[k])]
                     if wanted is None:
                         yield pa.RecordBatch.from_arrays(cols, COLUMNS)
                         continue
@@ -213,6 +217,7 @@ def signatures(docs: DataFrame, table, wanted=None) -> DataFrame:
     return docs.select("doc_id", "text", "_th").mapInArrow(run, ROWS if wanted is None else f"{ROWS}, {ASKED}")
 
 
+BITMAPS = ("bits", "half")
 ASKED = "asks boolean, wide binary"
 COLUMNS, ASKED_COLUMNS = ([c.split()[0] for c in x.split(", ")] for x in (ROWS, ASKED))
 #: kind 0: the line (doc, at) goes. 1: it may match the set `other`. 2: it may have more candidates than it named. 3: a row of a hot key, with its block in `other`.
@@ -233,10 +238,14 @@ def _passes(x: tuple, y: tuple) -> np.ndarray:
     return ok & (np.bitwise_count(b ^ c) <= n + m - 2 * least)
 
 
-def _wide_passes(r: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether rows i and j, which passed before, can match by their long bitmaps too."""
+def _passes_too(r: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j, which passed before, can match by the longer bitmaps they have."""
     n, m = r["shape"][i] >> 32, r["shape"][j] >> 32
     most = n + m - 2 * ((4 * (n + m) + 8) // 9)
+    if "wide" not in r:
+        a, b = r["half"][i], r["half"][j]
+        second = np.where((a != 0) & (b != 0), a ^ b, np.uint64(0))
+        return np.bitwise_count(second).astype(np.int64) + np.bitwise_count(r["bits"][i] ^ r["bits"][j] ^ second) <= most
     ok = np.zeros(len(i), bool)
     size = np.fromiter(map(len, r["wide"]), np.int64, len(r["wide"])) >> 3
     for a, b in sorted({*zip(size[i].tolist(), size[j].tolist())}):
@@ -269,9 +278,8 @@ def _in_large(r: dict, xs: np.ndarray, ys: np.ndarray, named: int | None) -> tup
     for a in range(0, len(xs), 256):
         some = xs[a : a + 256]
         ok = _passes(tuple(f[:, None] for f in _fields(r, some)), y) & _after(r, some[:, None], ys[None])
-        if "wide" in r:
-            i, j = np.nonzero(ok)
-            ok[i, j] = _wide_passes(r, some[i], ys[j])
+        i, j = np.nonzero(ok)
+        ok[i, j] = _passes_too(r, some[i], ys[j])
         if named is not None:
             nth = np.cumsum(ok, axis=1)
             more.append(some[nth[:, -1] > named])
@@ -308,8 +316,7 @@ def _match(r: dict, named: int | None, small_key: int = SMALL):
         if not len(rows):
             break
         ok = _passes(_fields(r, rows), _fields(r, lead + d)) & _after(r, rows, lead + d)
-        if "wide" in r:
-            ok[ok] = _wide_passes(r, rows[ok], lead[ok] + d)
+        ok[ok] = _passes_too(r, rows[ok], lead[ok] + d)
         said += ok
         yield 1, rows[ok], r["sid"][(lead + d)[ok]]
     for g in np.flatnonzero(near & (sizes > small_key)):
@@ -321,7 +328,7 @@ def _match(r: dict, named: int | None, small_key: int = SMALL):
 
 def _table(batch) -> dict:
     t = {c: np.asarray(batch.column(c)) for c in COLUMNS}
-    t["bits"] = t["bits"].view(np.uint64)
+    t |= {c: t[c].view(np.uint64) for c in BITMAPS}
     if "wide" in batch.schema.names:
         t["asks"] = np.asarray(batch.column("asks")).astype(bool)
         t["wide"] = np.empty(len(t["key"]), object)
@@ -332,7 +339,7 @@ def _table(batch) -> dict:
 def _out(kind: int, r: dict, i: np.ndarray, other: np.ndarray):
     import pyarrow as pa
 
-    cols = [pa.array(np.full(len(i), kind, np.int32)), *(pa.array((r[c].view(np.int64) if c == "bits" else r[c])[i]) for c in COLUMNS)]
+    cols = [pa.array(np.full(len(i), kind, np.int32)), *(pa.array((r[c].view(np.int64) if c in BITMAPS else r[c])[i]) for c in COLUMNS)]
     cols.append(pa.array(other.astype(np.int64)))
     if "wide" not in r:
         return pa.RecordBatch.from_arrays(cols, ["kind", *COLUMNS, "other"])
