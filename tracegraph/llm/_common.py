@@ -105,6 +105,7 @@ def text_or_empty(batch, name: str = "text"):
 
 def pieces_of(batch, rows_bytes: int = 1 << 20, name: str = "text"):
     """Slices of an Arrow batch of about rows_bytes of text each, so that memory does not follow the batch's size and arrays stay in cache."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(name)), 0)).astype(np.int64)
@@ -113,6 +114,7 @@ def pieces_of(batch, rows_bytes: int = 1 << 20, name: str = "text"):
     for a, b in zip(cuts[:-1], cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # a worker goes on to other stages
 
 
 def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ MAX_ENTRIES = 4_000_000  # n-grams in a model, of 8 + 4 * languages bytes each
 CALIBRATE = 4_000  # training documents, about, that the rejection threshold is set on
 SHARPNESS = 4.0  # of the score, a softmax over cross-entropies
 UNKNOWN = "und"
-SLICE = 1 << 20  # bytes of text worked on at a time
+SLICE = 1 << 19  # bytes of text worked on at a time
 
 
 @functools.cache
@@ -209,8 +209,8 @@ def predict(df: DataFrame, model: Model | None, key: list[str], text: str = "tex
 
         m = sent.value
         for batch in batches:
-            for part in pieces_of(batch, SLICE, "_text"):
-                texts = [x or "" for x in part.column("_text").to_pylist()]
+            for part in pieces_of(batch, SLICE, text):
+                texts = [x or "" for x in part.column(text).to_pylist()]
                 if m is None:
                     lang, score, entropy = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
                     none = np.ones(len(texts), bool)
@@ -224,7 +224,7 @@ def predict(df: DataFrame, model: Model | None, key: list[str], text: str = "tex
                 out = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64(), mask=none)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in key), *out], [*key, "lang_pred", "score", "cross_entropy"])
 
-    return df.select(*key, F.col(text).alias("_text")).mapInArrow(run, f"{schema}, {PREDICTED}")
+    return df.select(*key, *({text} - {*key})).mapInArrow(run, f"{schema}, {PREDICTED}")
 
 
 def held_out(doc_id):

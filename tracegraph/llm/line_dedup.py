@@ -35,6 +35,7 @@ from ._common import column_bytes, cut, documents, mix64, pieces_of, row_key, sp
 BUCKETS = 1 << 25
 COARSE = 3  # bits: so many buckets share a class
 SLICES = 64
+HELD = 1 << 20  # buckets that a task counts at a time
 HOT = 8192  # rows of a key that one task compares
 SMALL = 48  # rows of a key that are compared with those of many other keys at once
 NAMED = 2  # candidates that a line names within a key
@@ -86,12 +87,12 @@ def _reduce_counts(rows: DataFrame, size: int, finish) -> list[bytes]:
     return [got.get(k, blank) for k in range(SLICES)]
 
 
-def _packed_slices(counts: np.ndarray):
+def _packed_slices(at: np.ndarray, counts: np.ndarray, size: int):
+    """at: buckets of `size`, ascending, and the count of each."""
     import pyarrow as pa
 
-    per = len(counts) // SLICES
-    at = np.flatnonzero(counts)
-    packed = at.astype(np.uint64) << np.uint64(38) | np.minimum(counts[at].astype(np.int64), (1 << 38) - 1).astype(np.uint64)
+    per = size // SLICES
+    packed = at.astype(np.uint64) << np.uint64(38) | np.minimum(counts.astype(np.int64), (1 << 38) - 1).astype(np.uint64)
     cuts = np.searchsorted(at, np.arange(SLICES + 1) * per)
     have = [k for k in range(SLICES) if cuts[k + 1] > cuts[k]]
     return pa.RecordBatch.from_arrays(
@@ -99,6 +100,15 @@ def _packed_slices(counts: np.ndarray):
     )
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all parts, ascending, and their total counts."""
+    at, times = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(at, kind="stable")
+    at, times = at[order], times[order]
+    begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), at[1:] != at[:-1]]))
+    return at[begin], np.add.reduceat(times, begin) if len(begin) else times
+
+
 def rarity(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.ceil(6 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
 
@@ -107,12 +117,17 @@ def word_table(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndar
     """Over all texts: classes of rarity by coarse bucket, and a bit for each bucket that counts 2 or more."""
 
     def run(batches):
-        total = np.zeros(BUCKETS, np.int32)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for part in pieces_of(batch):
-                at, times = np.unique(_words(text_or_empty(part))[0] & np.uint64(BUCKETS - 1), return_counts=True)
-                total[at.astype(np.int64)] += times.astype(np.int32)
-        yield _packed_slices(total)
+                at, times = np.unique((_words(text_or_empty(part))[0] & np.uint64(BUCKETS - 1)).astype(np.int32), return_counts=True)
+                held.append((at, times))
+                if sum(len(x) for x, _ in held) > HELD:
+                    held = [_summed(held)]
+                    if len(held[0][0]) > HELD // 2:  # sent on, and summed up later
+                        yield _packed_slices(*held.pop(), BUCKETS)
+        if held:
+            yield _packed_slices(*_summed(held), BUCKETS)
 
     def finish(counts: np.ndarray) -> bytes:
         return rarity(counts.reshape(-1, 1 << COARSE).max(axis=1)).tobytes() + np.packbits(counts > 1).tobytes()
@@ -432,7 +447,8 @@ def _filter_of(keys: DataFrame, *columns: str) -> np.ndarray:
             values = [np.asarray(batch.column(c)).view(np.uint64) for c in columns]
             values = values[0] if len(values) == 1 else _number(*values)
             bits[(mix64(values) & np.uint64(FILTER - 1)).astype(np.int64)] = 1
-        yield _packed_slices(bits)
+        at = np.flatnonzero(bits)
+        yield _packed_slices(at, bits[at], FILTER)
 
     made = _reduce_counts(keys.select(*columns).mapInArrow(run, "slice int, packed binary"), FILTER, lambda counts: np.packbits(counts > 0).tobytes())
     return np.frombuffer(b"".join(made), np.uint8)
