@@ -80,6 +80,19 @@ def test_line_dedup_asks_again(spark, limits):
     assert {r["doc"] for r in line_dedup.line_decisions(docs, **limits).collect()} == want and 41 in want
 
 
+@pytest.mark.parametrize("limits", [{}, {"named": 1, "hot": 5, "small": 2}])
+def test_line_dedup_of_short_lines(spark, limits):
+    """Lines of 1 to 6 words out of few, among them four words before and after five that contain them."""
+    rng = np.random.default_rng(5)
+    texts = ["a b c d", "a b c d e", "p q r s t", "s r q p", "a b c", "f g h", "f g h i"]
+    texts += [" ".join(rng.permutation([f"w{k}" for k in range(12)])[: rng.integers(1, 7)]) for _ in range(150)]
+    sets = [frozenset(t.split()) for t in texts]
+    want = {i for i, x in enumerate(sets) if any(5 * len(x & y) >= 4 * len(x | y) for y in sets[:i])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {1, 3} <= want and not {4, 6} & want
+    assert {r["doc"] for r in line_dedup.line_decisions(docs, **limits).collect()} == want
+
+
 def test_token_store(spark, sf_dir, corpus):
     from tokenizers import Tokenizer
 

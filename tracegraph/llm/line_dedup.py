@@ -206,7 +206,7 @@ def signatures(docs: DataFrame, table, wanted=None) -> DataFrame:
                     order = np.lexsort((place, doc[row], sid))
                     once = order[np.concatenate([[True], sid[order][1:] != sid[order][:-1]])]
                     exact = np.arange(len(sid))
-                    near = np.sort(once[n[once] >= 5])  # of four words or fewer, only equal sets match
+                    near = np.sort(once[n[once] >= 4])  # of three words or fewer, only equal sets match
                     count = n[near] - needed(n[near]) + 1
                     pos = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                     of = np.repeat(near, count)
