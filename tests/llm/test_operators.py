@@ -329,6 +329,19 @@ def test_multiset_is_a_sum(spark):
         assert all((x + y - z) % (1 << size) == 0 for x, y, z in zip(v["c"][part], v["d"][part], v["a"][part]))
 
 
+def test_likeness_after_a_shift(spark):
+    """A word put before a long line, or left out of it, leaves nearly all its runs; the runs are those of brute force."""
+    words = [f"w{k}" for k in range(300)]
+    texts = {"whole": " ".join(words), "before": " ".join(["new", *words]), "without": " ".join(words[:30] + words[31:]), "other": " ".join(f"v{k}" for k in range(300)), "odd": " a  b\tc\r\n\nd e\n"}
+    v = multiset.vectors(spark.createDataFrame(list(texts.items()), "k string, text string"), ["k"])
+    assert {r["k"]: r["n"] for r in v.select("k", F.col("vector.runs").alias("n")).collect()} == {"whole": 300, "before": 301, "without": 299, "other": 300, "odd": 5}
+    pairs = v.where("k = 'whole'").select(F.col("vector").alias("own")).crossJoin(v)
+    near = {r["k"]: r["l"] for r in pairs.select("k", multiset.likeness(F.col("own"), F.col("vector")).alias("l")).collect()}
+    assert near["whole"] == 1 and near["before"] > 0.9 and near["without"] > 0.9 and near["other"] < 0.4
+    got = spark.createDataFrame([(texts["odd"],)], "t string").select(F.regexp_extract_all("t", F.lit(multiset.RUNS), F.lit(1))).first()[0]
+    assert got == ["a  b\tc", "b\tc", "c", "d e", "e"]
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
