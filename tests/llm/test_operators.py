@@ -221,6 +221,19 @@ def test_language_id(spark, docs, sf_dir):
     assert lang_id.reject_languages(docs).columns == docs.columns
 
 
+def test_sharded_language_model(docs):
+    """A model beyond the entries of a shard knows and says the same; a rare language is learned too."""
+    rare = docs.limit(1).select(F.lit(1000).cast("long").alias("doc_id"), F.lit("zz").alias("lang"), F.lit("qwxyz jkvqz").alias("text"))
+    train = lang_id.training_rows(docs).select("doc_id", "lang", "text").unionByName(rare)
+    one, several = lang_id.train_model(train), lang_id.train_model(train, 300)
+    assert several.langs == one.langs == ["de", "en", "zz"] and len(several.sent) > 3
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("k"), "text").distinct().unionByName(rare.select(F.lit(1).cast("long").alias("k"), "text"))
+    got, want = ({r["k"]: r for r in lang_id.predict(texts, m, ["k"]).collect()} for m in (several, one))
+    assert got.keys() == want.keys() and got[1]["lang_pred"] == "zz"
+    for k, r in want.items():
+        assert got[k]["lang_pred"] == r["lang_pred"] and abs((got[k]["cross_entropy"] or 0) - (r["cross_entropy"] or 0)) < 1e-4
+
+
 def test_kneser_ney_adds_up(docs):
     model = lang_id.train_model(lang_id.training_rows(docs))
     letters = sorted({c for t in docs.where("text is not null").select("text").collect() for c in t["text"].lower() if c.isalpha()} | {chr(lang_id.EDGE)})

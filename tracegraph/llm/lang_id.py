@@ -7,7 +7,9 @@ result, log probabilities already backed off and side by side for all languages,
 hash of the n-gram and is found by binary search. A text gets the language of the lowest cross-entropy a
 character; if even that is far above what training documents have, it is rejected.
 
-The model's size is checked: beyond `max_entries` n-grams, 4-grams below a growing count are left out.
+Every n-gram is kept. A model of more than `max_entries` n-grams is cut into shards by a hash of the last character
+but one of an n-gram, which all that a 4-gram's probability backs off to has in common. A task holds one shard at a
+time and adds up what each gives of a text, so memory follows neither the alphabet nor the number of languages.
 
 Defined results: a null text, or one without letters, is `und` with score 0; a null language does not teach;
 without any training document everything is `und`; ties go to the first language by code point; repeated
@@ -25,11 +27,13 @@ from ._common import cut, documents, mix64, pieces_of, span_hashes, spans_of
 
 ORDER = 4
 EDGE = 1  # the mark at both ends of a word
-MAX_ENTRIES = 4_000_000  # n-grams in a model, of 8 + 4 * languages bytes each
+MAX_ENTRIES = 4_000_000  # n-grams in a shard of a model, about, of 8 + 4 * languages bytes each
 CALIBRATE = 4_000  # training documents, about, that the rejection threshold is set on
 SHARPNESS = 4.0  # of the score, a softmax over cross-entropies
 UNKNOWN = "und"
 SLICE = 1 << 19  # bytes of text worked on at a time
+WIDE = 32  # languages beyond which a shard has fewer n-grams
+HELD = 1 << 25  # bytes of text that a task scores by one shard after the other
 
 
 @functools.cache
@@ -88,11 +92,19 @@ def gram_counts(train: DataFrame) -> DataFrame:
     return made.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
+def shard_of(char, shards: int):
+    """The shard of n-grams by their last character but one: numbers, or a column of longs."""
+    mixed = char * 40503  # a character has 16 bits
+    if isinstance(char, np.ndarray):
+        return (mixed >> 5) % shards
+    return F.pmod(F.shiftrightunsigned(mixed, 5), F.lit(shards))
+
+
 class Model:
-    """Log probabilities of all languages, by order: hashes (sorted), and a row of the languages for each."""
+    """Log probabilities of all languages, by order: hashes (sorted), and a row of the languages for each; of one shard of n-grams."""
 
-    def __init__(self, langs: list[str], probs: list, backoffs: list, unseen: np.ndarray):
-        self.langs, self.unseen = langs, unseen.astype(np.float32)
+    def __init__(self, langs: list[str], probs: list, backoffs: list, unseen: np.ndarray, shard: int = 0, shards: int = 1):
+        self.langs, self.unseen, self.shard, self.shards = langs, unseen.astype(np.float32), shard, shards
         self.p: list[tuple[np.ndarray, np.ndarray]] = []
         self.b: list[tuple[np.ndarray, np.ndarray]] = []
         for k in range(1, ORDER + 1):
@@ -136,40 +148,59 @@ class Model:
             out[~hit] = self._back(grams[~hit], k)
         return out
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts x languages) cross-entropy a character, and the characters counted (0: no letters)."""
+    def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(texts x languages) log probability of what lies in the shard, and the characters of all (0: no letters)."""
         units, starts, ends, doc = words_of(texts)
         total = np.zeros((len(texts), len(self.langs)))
         count = np.zeros(len(texts))
         if len(starts):
             _, first, inverse = np.unique(span_hashes(units, starts, ends), return_index=True, return_inverse=True)
             gram, begin = grams_of(units, starts[first], ends[first])
-            each = np.add.reduceat(self.log_prob(gram), begin, axis=0)
+            if self.shards == 1:
+                p = self.log_prob(gram)
+            else:
+                own = shard_of((gram >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64), self.shards) == self.shard
+                p = np.zeros((len(gram), len(self.langs)), np.float32)
+                p[own] = self.log_prob(gram[own])
+            each = np.add.reduceat(p, begin, axis=0)
             n = (ends - starts + 1)[first]
             for j in range(len(self.langs)):
                 total[:, j] = np.bincount(doc, weights=each[:, j][inverse], minlength=len(texts))
             count = np.bincount(doc, weights=n[inverse], minlength=len(texts))
-        return -total / np.maximum(count, 1)[:, None], count
+        return total, count
+
+
+class Shards:
+    """A model in several broadcasts, of which a reader keeps one at a time."""
 
+    def __init__(self, langs: list[str], sent: list):
+        self.langs, self.sent = langs, sent
 
-def train_model(train: DataFrame, max_entries: int = MAX_ENTRIES) -> Model | None:
+    def totals(self, groups: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Model.totals() of each group, over all shards."""
+        out = []
+        for one in self.sent:
+            got = [one.value.totals(texts) for texts in groups]
+            vars(one).pop("_value", None)  # else it would stay with the worker
+            out = [(x + y, n) for (x, _), (y, n) in zip(out, got)] if out else got
+        return out
+
+
+def train_model(train: DataFrame, max_entries: int = MAX_ENTRIES) -> Model | Shards | None:
     """train: lang (not null), text (not null). None if there is nothing to learn."""
-    counted = cut(gram_counts(train))
-    least = 1
-    while counted.where(F.col("c") >= least).count() > max_entries // 2:
-        least *= 2
-    c = counted.where(F.col("c") >= least)
+    c = cut(gram_counts(train))
     langs = [r["lang"] for r in c.select("lang").distinct().collect()]
     langs = sorted(langs, key=lambda x: x.encode())
     if not langs:
         return None
+    shards = -(-c.count() * max(WIDE, len(langs)) // max(1, max_entries // 2 * WIDE))
     tables = {ORDER: c}
     for k in range(ORDER, 1, -1):  # how many different characters stand before: the continuation counts
         shorter = F.col("gram").bitwiseAND((1 << 16 * (k - 1)) - 1).alias("gram")
         tables[k - 1] = tables[k].groupBy("lang", shorter).agg(F.count(F.lit(1)).alias("c"))
     index = {x: i for i, x in enumerate(langs)}
     alphabet = tables[1].select("gram").distinct().count() + 1
-    probs, backoffs, unseen = [], [], np.zeros(len(langs))
+    made, unseen = [], np.zeros(len(langs))
     lower = None
     for k in range(1, ORDER + 1):
         t = tables[k].withColumn("context", F.shiftrightunsigned("gram", 16))
@@ -186,14 +217,40 @@ def train_model(train: DataFrame, max_entries: int = MAX_ENTRIES) -> Model | Non
             p = joined.withColumn("shorter", F.col("gram").bitwiseAND((1 << 16 * (k - 1)) - 1)).join(low, ["lang", "shorter"])
             p = p.withColumn("p", own + F.col("gamma") * F.col("low"))
         lower = cut(p.select("lang", "gram", "p"))
-        rows = lower.select("lang", "gram", F.log("p").alias("v")).toArrow()  # checked above: max_entries at most
-        to = lambda col: np.array([index[x] for x in col.to_pylist()], np.int64)
-        probs.append((np.asarray(rows["gram"].combine_chunks()).view(np.uint64), to(rows["lang"]), np.asarray(rows["v"])))
-        found = context.select("lang", "context", F.log("gamma").alias("v")).toArrow()
-        backoffs.append((np.asarray(found["context"].combine_chunks()).view(np.uint64), to(found["lang"]), np.asarray(found["v"])))
-        if k == 1:
-            unseen[backoffs[0][1]] = backoffs[0][2] - np.log(alphabet)
-    return Model(langs, probs, backoffs, unseen)
+        made.append((lower, cut(context.select("lang", "context", "gamma")) if shards > 1 else context))
+
+    def read(table: DataFrame, key: str, value: str, char, one: int):
+        """What a shard has of a table; order 1 is in all."""
+        some = table if char is None or shards == 1 else table.where(shard_of(char.bitwiseAND(0xFFFF), shards) == one)
+        rows = some.select("lang", key, F.log(value).alias("v")).toArrow()
+        of = np.array([index[x] for x in rows["lang"].to_pylist()], np.int64)
+        return np.asarray(rows[key].combine_chunks()).view(np.uint64), of, np.asarray(rows["v"])
+
+    def shard(one: int) -> Model:
+        probs, backoffs = [], []
+        for k, (p, context) in enumerate(made, 1):
+            probs.append(read(p, "gram", "p", F.shiftrightunsigned("gram", 16) if k > 1 else None, one))
+            backoffs.append(read(context, "context", "gamma", F.col("context") if k > 1 else None, one))
+            if k == 1:
+                unseen[backoffs[0][1]] = backoffs[0][2] - np.log(alphabet)
+        return Model(langs, probs, backoffs, unseen, one, shards)
+
+    if shards == 1:
+        return shard(0)
+    return Shards(langs, [train.sparkSession.sparkContext.broadcast(shard(one)) for one in range(shards)])
+
+
+def _held(parts):
+    """Lists of parts of about HELD bytes."""
+    some, size = [], 0
+    for part in parts:
+        some.append(part)
+        size += part.nbytes
+        if size > HELD:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 PREDICTED = "lang_pred string, score double, cross_entropy double"
@@ -201,21 +258,24 @@ PREDICTED = "lang_pred string, score double, cross_entropy double"
 
 def predict(df: DataFrame, model: Model | None, key: list[str], text: str = "text") -> DataFrame:
     """key columns, lang_pred, score (0 to 1) and cross_entropy (null for `und`) of each row."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = model if isinstance(model, Shards) else df.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in key)
 
     def run(batches):
         import pyarrow as pa
 
-        m = sent.value
-        for batch in batches:
-            for part in pieces_of(batch, SLICE, text):
-                texts = [x or "" for x in part.column(text).to_pylist()]
+        m = sent if isinstance(sent, Shards) else sent.value
+        parts = (part for batch in batches for part in pieces_of(batch, SLICE, text))
+        for held in _held(parts) if isinstance(m, Shards) else ([part] for part in parts):
+            groups = [[x or "" for x in part.column(text).to_pylist()] for part in held]
+            ready = m.totals(groups) if isinstance(m, Shards) else [m and m.totals(texts) for texts in groups]
+            for part, texts, found in zip(held, groups, ready):
                 if m is None:
                     lang, score, entropy = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
                     none = np.ones(len(texts), bool)
                 else:
-                    e, count = m.entropies(texts)
+                    total, count = found
+                    e = -total / np.maximum(count, 1)[:, None]
                     best = e.argmin(axis=1)
                     entropy, none = e.min(axis=1), count == 0
                     soft = np.exp(-SHARPNESS * (e - entropy[:, None]))
