@@ -234,6 +234,16 @@ def test_sharded_language_model(docs):
         assert got[k]["lang_pred"] == r["lang_pred"] and abs((got[k]["cross_entropy"] or 0) - (r["cross_entropy"] or 0)) < 1e-4
 
 
+def test_no_training_document_is_rejected(spark):
+    """The one unlike all others sets the limit, wherever it is among more than 4,000."""
+    odd = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) > 900_000
+    ids = spark.range(6000).select(F.col("id").alias("doc_id"))
+    at = ids.where(odd & ~lang_id.held_out(F.col("doc_id"))).agg(F.min("doc_id")).first()[0]
+    text = F.when(F.col("doc_id") == at, "qzxv kjwq vxzj").otherwise("the cat and the dog sat on the mat")
+    docs = ids.select("doc_id", text.alias("text"), F.lit("en").alias("lang"))
+    assert lang_id.reject_languages(docs).count() == 6000
+
+
 def test_kneser_ney_adds_up(docs):
     model = lang_id.train_model(lang_id.training_rows(docs))
     letters = sorted({c for t in docs.where("text is not null").select("text").collect() for c in t["text"].lower() if c.isalpha()} | {chr(lang_id.EDGE)})

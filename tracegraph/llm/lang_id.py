@@ -23,12 +23,11 @@ import functools
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import cut, documents, mix64, pieces_of, span_hashes, spans_of
+from ._common import cut, documents, mix64, pieces_of, span_hashes, spans_of, stored
 
 ORDER = 4
 EDGE = 1  # the mark at both ends of a word
 MAX_ENTRIES = 4_000_000  # n-grams in a shard of a model, about, of 8 + 4 * languages bytes each
-CALIBRATE = 4_000  # training documents, about, that the rejection threshold is set on
 SHARPNESS = 4.0  # of the score, a softmax over cross-entropies
 UNKNOWN = "und"
 SLICE = 1 << 19  # bytes of text worked on at a time
@@ -295,24 +294,17 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
 
-def rejection_threshold(train: DataFrame, model: Model | None, sample: int = CALIBRATE) -> float:
-    """Cross-entropy above which a text is in no learned language: a margin over the highest of about
-    `sample` training documents, taken by a hash of their ids."""
-    n = train.count()
-    if model is None or not n:
-        return float("inf")
-    share = min(1.0, sample / n)
-    some = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    top = predict(some, model, ["doc_id"]).agg(F.max("cross_entropy")).first()[0]
+def rejection_threshold(judged: DataFrame) -> float:
+    """Cross-entropy above which a text is in no learned language: a margin over the highest of all training
+    documents, of judged (docs with the columns of PREDICTED)."""
+    top = training_rows(judged).agg(F.max("cross_entropy")).first()[0]
     return 1.25 * top if top is not None else float("inf")
 
 
 def reject_languages(docs: DataFrame) -> DataFrame:
     """docs without those whose language is `und` or whose cross-entropy is above the threshold."""
-    train = training_rows(docs)
-    model = train_model(train)
-    limit = rejection_threshold(train, model)
-    judged = predict(docs, model, docs.columns)
+    judged = stored(predict(docs, train_model(training_rows(docs)), docs.columns), "judged")
+    limit = rejection_threshold(judged)
     return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("cross_entropy") <= limit)).select(*docs.columns)
 
 
