@@ -239,3 +239,26 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(180)
     assert q.exception() is None
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_order_of_large_graphs(spark):
+    """In rounds as by a heap: random graphs, with parallel edges, ties of starts, edges against the keys, and cycles."""
+    import random
+
+    from pyspark.sql import functions as F
+    from tracegraph.operators import order
+
+    rng, nodes, edges = random.Random(7), [], []
+    for g in range(12):
+        n = rng.randint(2, 40)
+        nodes += [(f"g{g}", f"n{i}", None if rng.random() < 0.1 else float(rng.randint(0, 15))) for i in range(n)]
+        for _ in range(rng.randint(1, 2 * n)):
+            a, b = sorted(rng.sample(range(n), 2))
+            edges.append((f"g{g}", f"n{a}", f"n{b}", "parent") if g % 3 or rng.random() < 0.9 else (f"g{g}", f"n{b}", f"n{a}", "parent"))
+        edges.append((f"g{g}", "n0", "nowhere", "parent"))
+    nodes = spark.createDataFrame(nodes, "graph_key string, node_id string, started_at double")
+    edges = spark.createDataFrame(edges, "graph_key string, src string, dst string, kind string")
+    want, got = order.positions(nodes, edges), order.positions(nodes, edges, largest=1)
+    for a, b in zip(want, got):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert 0 < want[1].count() < 12 and nodes.count() == got[0].select("graph_key", "pos").distinct().where(F.col("pos") >= 0).count()

@@ -3,7 +3,7 @@
 Where every such edge of a graph leads from a lesser key to a greater one, that order is the order of the keys
 (the least unplaced node has only lesser predecessors, which are placed, so it is ready): a window. Only
 graphs with an edge against the keys, cycles among them, are sorted by Kahn's algorithm with a heap, one graph a
-task; a graph beyond `largest` nodes fails there rather than spill.
+task. A graph beyond `largest` nodes is ordered by joins in rounds (`in_rounds`), as many as its longest path has nodes.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import json
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import start_key
+from ..functions.storage import settled
 from ..schema import STATED_KINDS
 
 LARGEST = 2_000_000
@@ -49,6 +50,38 @@ def kahn(keys: list[tuple[float, str]], edges: list[tuple[str, str]]) -> tuple[l
     return done, [k for _, k in sorted(key[x] for x in key if x not in placed)]
 
 
+def in_rounds(keyed: DataFrame, stated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What kahn() gives for each graph, by joins: ((graph_key, node_id, pos), (graph_key, ids json) of those with a cycle).
+
+    keyed: graph_key, node_id, t. stated: graph_key, src, dst. A node is ready when the last of its sources is placed.
+    The heap then gives it before all that waits if its key is less, so it follows in the order of a sequence: that of its last
+    source without the keys below its own, and its own. A round places the nodes of which all sources are placed."""
+    at = ["graph_key", "node_id"]
+    key = F.struct("t", F.col("node_id").alias("i"))
+    known = settled(keyed.select(*at, key.alias("k")))
+    e = stated.join(known.select("graph_key", F.col("node_id").alias("src")), ["graph_key", "src"])
+    e = settled(e.join(known.select("graph_key", F.col("node_id").alias("dst")), ["graph_key", "dst"]).groupBy("graph_key", "src", "dst").agg(F.count(F.lit(1)).alias("n")))
+    waits = e.groupBy("graph_key", F.col("dst").alias("node_id")).agg(F.sum("n").alias("left"))
+    own = known.join(waits, at, "left").select(*at, "k", F.coalesce("left", F.lit(0)).alias("left"))
+    state = settled(own.select("*", F.slice(F.array("k"), 1, 0).alias("best")))
+    done = None
+    while True:
+        over = F.concat(F.filter("best", lambda x: x > F.col("k")), F.array("k"))
+        ready = settled(state.where("left = 0").select(*at, over.alias("seq")))
+        if ready.isEmpty():
+            break
+        done = ready if done is None else done.unionByName(ready)
+        came = ready.withColumnRenamed("node_id", "src").join(e, ["graph_key", "src"]).groupBy("graph_key", F.col("dst").alias("node_id")).agg(F.sum("n").alias("came"), F.max("seq").alias("seq"))
+        best = F.greatest("best", F.coalesce("seq", "best"))
+        state = settled(state.where("left > 0").join(came, at, "left").select(*at, "k", (F.col("left") - F.coalesce("came", F.lit(0))).alias("left"), best.alias("best")))
+    rest = state.select(*at, F.array("k").alias("seq"), F.lit(True).alias("late"))
+    every = rest if done is None else done.withColumn("late", F.lit(False)).unionByName(rest)
+    pos = (F.row_number().over(W.partitionBy("graph_key").orderBy("late", "seq")) - 1).cast("long")
+    text = F.udf(lambda ks: json.dumps([k["i"] for k in ks], ensure_ascii=False), "string", useArrow=False)
+    cycle = state.groupBy("graph_key").agg(text(F.sort_array(F.collect_list("k"))).alias("cycle"))
+    return every.select(*at, pos.alias("pos")), cycle
+
+
 def positions(nodes: DataFrame, edges: DataFrame, largest: int = LARGEST) -> tuple[DataFrame, DataFrame]:
     """((graph_key, node_id, pos from 0), (graph_key, ids json) of graphs with a cycle)."""
     slow = backward_graphs(nodes, edges)
@@ -58,11 +91,15 @@ def positions(nodes: DataFrame, edges: DataFrame, largest: int = LARGEST) -> tup
     some = keyed.join(slow, "graph_key", "left_semi").select("graph_key", "node_id", start_key(F.col("started_at")).alias("t"))
     stated = edges.where(F.col("kind").isin(*STATED_KINDS)).select("graph_key", "src", "dst").join(slow, "graph_key", "left_semi")
 
+    large = settled(nodes.groupBy("graph_key").count().where(F.col("count") > largest).select("graph_key"))
+    more = None
+    if not large.isEmpty():
+        more = in_rounds(some.join(large, "graph_key", "left_semi"), stated.join(large, "graph_key", "left_semi"))
+        some, stated = (x.join(large, "graph_key", "left_anti") for x in (some, stated))
+
     def sort(left, right):
         import pyarrow as pa
 
-        if left.num_rows > largest:
-            raise ValueError(f"a graph has {left.num_rows} nodes that only a topological sort orders; {largest} are allowed")
         key = left["graph_key"][0].as_py() if left.num_rows else None
         done, rest = kahn(list(zip(left["t"].to_pylist(), left["node_id"].to_pylist())), list(zip(right["src"].to_pylist(), right["dst"].to_pylist())))
         ids = done + rest
@@ -72,4 +109,5 @@ def positions(nodes: DataFrame, edges: DataFrame, largest: int = LARGEST) -> tup
         return pa.table({"graph_key": pa.array([key] * len(ids), pa.string()), "node_id": pa.array(ids, pa.string()), "pos": pa.array(range(len(ids)), pa.int64()), "cycle": pa.array(cycle, pa.string())})
 
     made = some.toDF("graph_key", "node_id", "t").groupBy("graph_key").cogroup(stated.toDF("g", "src", "dst").groupBy("g")).applyInArrow(sort, "graph_key string, node_id string, pos long, cycle string")
-    return fast.unionByName(made.drop("cycle")), made.where(F.col("cycle").isNotNull()).select("graph_key", "cycle")
+    place, cycle = fast.unionByName(made.drop("cycle")), made.where(F.col("cycle").isNotNull()).select("graph_key", "cycle")
+    return (place, cycle) if more is None else (place.unionByName(more[0]), cycle.unionByName(more[1]))
