@@ -36,3 +36,13 @@ def test_entry_imports_with_or_without_the_llm_package():
 
     assert ("pipeline" in entry.queries()) == (importlib.util.find_spec("corpus_pipeline") is not None)
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_ancestors_of_every_line(spark, duck):
+    import __spark_entry__ as entry
+
+    got = sorted(tuple(r) for r in entry.queries()["ancestors_lineitem"](spark, SF).select("start", "node_id", "depth").collect())
+    assert got == sorted(duck.sql(entry.oracle_sql()["ancestors_lineitem"]).fetchall())
+    orders = duck.sql("select count(distinct l_orderkey) from lineitem").fetchall()[0][0]
+    assert len({n for _, n, depth in got if depth == 1}) == orders

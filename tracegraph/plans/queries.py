@@ -318,6 +318,15 @@ def ancestors_order(spark, d):
     return traverse.breadth_first(_hierarchy_edges(spark, d), starts, backward=True).select("start", "node_id", "depth")
 
 
+@query("ancestors_lineitem", f"""select distinct {_LINE} start, x.id node_id, x.depth::int depth from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey,
+  lateral (select 'o' || o_orderkey id, 1 depth union all select 'c' || c_custkey, 2 union all select 'n' || n_nationkey, 3 union all select 'r' || n_regionkey, 4) x""")
+def ancestors_lineitem(spark, d):
+    lines = tables.commerce(spark, d).where("parent_id is not null").select(F.lit("world").alias("graph_key"), F.col("parent_id").alias("src"), F.col("span_id").alias("dst"))
+    own = lines.select("*", F.lit("parent").alias("kind"), F.lit("").alias("basis"))
+    e = _hierarchy_edges(spark, d).select(*own.columns).unionByName(own)
+    return traverse.breadth_first(e, lines.select("graph_key", F.col("dst").alias("start")), backward=True).select("start", "node_id", "depth")
+
+
 @query("reachable_temporal", f"""with {_DIALOGUE}, r as (select g, id, row_number() over (partition by g order by t, id) - 1 n from s) select g graph_key, id node_id, n::int depth from r where n > 0""")
 def reachable_temporal(spark, d):
     ided = _dialogue(spark, d)
