@@ -19,7 +19,7 @@ def ordered(corpus):
     return sorted({(d[0], d[1]) for d in corpus}, key=lambda d: (d[0] is not None, d[0] or 0))
 
 
-@pytest.mark.parametrize("name", ["op1_media_columns", "op2_line_dedup", "op5_url_filter", "op6_mixing", "op7_language_id", "op8_simhash", "op9_sentencepiece"])
+@pytest.mark.parametrize("name", ["op1_media_columns", "op2_line_dedup", "op3_token_store", "op4_revisits", "op5_url_filter", "op6_mixing", "op7_language_id", "op8_simhash", "op9_sentencepiece", "op10_fingerprints", "pipeline"])
 def test_empty_tables(spark, empty_dir, name):
     assert queries.QUERIES[name](spark, empty_dir).count() == 0
 
@@ -93,7 +93,7 @@ def test_line_dedup_of_short_lines(spark, limits):
     assert {r["doc"] for r in line_dedup.line_decisions(docs, **limits).collect()} == want
 
 
-def test_token_store(spark, sf_dir, corpus):
+def test_token_store(spark, sf_dir, corpus, monkeypatch):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(token_store.default_vocabulary())
@@ -108,7 +108,82 @@ def test_token_store(spark, sf_dir, corpus):
         assert r["start"] == at
         at += r["n_tokens"]
     assert {(r["doc_id"], tuple(r["ids"])) for r in token_store.read_documents(spark, path).collect()} == ids
-    assert all(r["ok"] for r in token_store.verify_manifest(spark, path).collect())
+    held = token_store.verified_parts(spark, path).collect()
+    assert all(r["ok"] for r in held) and -1 in {r["part"] for r in held}
+    chunks = spark.read.parquet(f"{path}/objects/kind=chunk")
+    assert chunks.count() == chunks.select("hash").distinct().count()
+    monkeypatch.setattr(token_store, "HOT", 1)  # so that the chunks of repeated documents go to all tasks
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == sorted(map(tuple, token_store.stream_checks(spark, path).collect()), key=lambda r: r[1])
+
+
+@pytest.mark.parametrize("damage", ["chunk", "order", "lost"])
+def test_a_damaged_store_does_not_verify(spark, sf_dir, damage):
+    import shutil
+
+    path = token_store.write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), token_store.fresh_path(spark, "t"))
+    name = "recipes" if damage != "chunk" else "objects/kind=chunk"
+    rows = spark.read.parquet(f"{path}/{name}")
+    if damage == "chunk":
+        rows = rows.withColumn("ids", F.when(F.col("n") > 100, F.reverse("ids")).otherwise(F.col("ids")))
+    elif damage == "order":
+        rows = rows.withColumn("chunks", F.reverse("chunks"))
+    else:
+        rows = rows.where("start > 0")
+    rows.write.parquet(f"{path}/changed")
+    local = path.removeprefix("file:")
+    shutil.rmtree(f"{local}/{name}")
+    shutil.move(f"{local}/changed", f"{local}/{name}")
+    said = {r["verified"] for r in token_store.stream_checks(spark, path).collect()}
+    assert said == ({True, False} if damage == "chunk" else {False})
+
+
+def test_encoding_is_that_of_whole_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_store.default_vocabulary())
+    rng = np.random.default_rng(1)
+    parts = [*"ab 1.\n\t\r\x0b\u00a0\u2003\u3000é好😀'(-", "<|endoftext|>", "\n\n", "  ", "'s", "'ll", "ing", "the", "x" * 70, "\x1c"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(3000)] + ["", " ", "\n", "word" * 5000]
+    for encode in (token_store.encoder(token_store.default_vocabulary()), token_store.Encoder(token_store.default_vocabulary(), "<u4")):
+        for again in range(2):  # from memory the second time
+            ids, stops = encode(pa.array(texts, pa.large_string()))
+            got = [ids[a:b].tolist() for a, b in zip([0, *stops[:-1]], stops)]
+            assert got == [tok.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+        encode.splits = False
+        ids, stops = encode(pa.array(texts[:50], pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip([0, *stops[:-1]], stops)] == got[:50]
+        encode.splits = True
+
+
+def test_tokenizers_of_other_kinds_get_whole_texts():
+    import json
+
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    other = public_tokenizers.path("word_bpe_49k.json")
+    encode, tok = token_store.Encoder(other), Tokenizer.from_file(other)
+    texts = ["One two  THREE", "", "a\nb's <|endoftext|> c"]
+    ids, stops = encode(pa.array(texts, pa.large_string()))
+    assert not encode.splits and [ids[a:b].tolist() for a, b in zip([0, *stops[:-1]], stops)] == [tok.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    spec = json.loads(Tokenizer.from_file(token_store.default_vocabulary()).to_str())
+    assert token_store.splits_at_spaces(spec)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}):
+        assert not token_store.splits_at_spaces(spec | change)
+
+
+def test_merkle_root_is_that_of_the_tree():
+    def tree(leaves):
+        level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [hashlib.sha256(b"").digest()]
+        while len(level) > 1:
+            level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        return level[0]
+
+    for n in range(40):
+        leaves = [bytes([i]) for i in range(n)]
+        assert token_store.merkle(leaves) == tree(leaves)
 
 
 def test_crc_of_parts():

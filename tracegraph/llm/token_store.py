@@ -5,35 +5,55 @@ SHA-256 of its bytes; a document's recipe lists its chunks; recipes lie in ascen
 running id count, and Merkle roots (over a document's chunks, a recipe part's documents, all parts) let a
 reader verify what it rebuilds. Layout below the store's path, all Parquet:
 
-  objects/kind=chunk   hash, ids (little-endian, `width` bytes an id)
-  objects/kind=recipe  doc_id, th, copy, seq, hash, n   (unsorted; the sorted recipes are built from it)
-  recipes              doc_id, th, copy, start, n_tokens, chunks array<struct<hash, n>>, root; ascending
+  objects/kind=chunk   hash, n, ids (little-endian, `width` bytes an id); one row a hash
+  objects/kind=recipe  doc_id, th, chunks, n_tokens, root; one row a document, in no order
+  recipes              part, doc_id, th, start, n_tokens, chunks array<struct<hash, n>>, root; ascending
   manifest             part, docs, tokens, root; one row a recipe part, and part -1 for the whole
 
-Defined results: a null text is empty; an empty document has one chunk with only the end id; repeated rows
-(same doc_id and text) are kept as copies 0, 1, ...; null doc_ids come first; other columns are ignored.
+A task sends a chunk's bytes once; documents' rows are dealt by their id and not by a chunk they hold, so a chunk that
+many share stands in no task more often than there are tasks.
+
+Defined results: a null text is empty; an empty document has one chunk with only the end id; an empty table gives an empty
+store, whose manifest has only part -1; repeated rows are kept, each with its own place; null doc_ids come first; rows of
+one doc_id lie in the order of a hash of their text; other columns are ignored, whatever their names. A text is encoded in
+slices of rows, but always whole, however long.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import re
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ._common import documents, fresh_path, mix64, pieces_of, row_key, text_or_empty
+from ._common import column_bytes, documents, fresh_path, mix64, pieces_of, row_key, span_hashes, text_or_empty
 
 END_ID = 0
 AVERAGE = 512  # ids a chunk, on average; a power of two
 LONGEST = 8192
-WINDOW = 16  # ids that the rolling hash sees
-MEMO = 400_000  # distinct words, and as many before those, that a Python worker remembers
-#: White space of the tokenizer's splitting pattern besides space and line feed.
-_ODD_ASCII = ("\t", "\r", "\x0b", "\x0c")
+WINDOW = 16  # ids that the rolling hash sees; a power of two
+MEMO = 2_000_000  # distinct units that a Python worker remembers, of 45 bytes or so each; beyond them it begins anew
+RECENT = 1 << 17  # of them, those not yet merged with the others
+LONG = 64  # bytes of a unit beyond which it is not remembered
+SLICE = 1 << 20  # bytes of text worked on at a time
+SENT = 200_000  # hashes of chunks that a task remembers having sent
+HOT = 10_000  # documents that may meet a chunk by its hash in one task; more, and the chunk is one of those sent to all tasks
+#: White space of the tokenizer's splitting pattern besides that of ASCII, and what some count as such.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD_LEAD = np.zeros(256, bool)  # the first bytes of these
+_ODD_LEAD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_WORD = np.zeros(256, bool)  # ASCII letters and digits
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)  # ASCII marks but the apostrophe, which may begin a match of letters
+_MARK[[x for x in range(33, 127) if not _WORD[x] and x != 39]] = True
 
 
 def default_vocabulary() -> str:
@@ -42,79 +62,183 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class WordEncoder:
-    """Encodes whole texts with a byte-level BPE of the tokenizers library.
-
-    The splitting pattern never joins across the start of a space that follows a non-space, so a word with
-    the space before it has the same ids wherever it stands; each is encoded once and remembered. Texts with
-    other white space, or runs of it, are encoded as they are.
+def splits_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer (its JSON) is byte-level BPE with the splitting pattern that never joins across the start of a
+    run of white space, and changes nothing of a text before it splits it."""
+    splitter, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = spec.get("normalizer") is None and spec.get("post_processor") in (None, {"type": "ByteLevel"}) and spec.get("truncation") is None and spec.get("padding") is None
+    split = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space", True)
+    return bool(plain and split and model.get("type") == "BPE" and not model.get("dropout"))
+
+
+class Memo:
+    """What units (spans of bytes) are encoded as, found by arrays: a hash, and the first and last eight bytes, which must agree too."""
+
+    def __init__(self, dtype: str):
+        self.pool, self.used = np.zeros(1 << 16, dtype), 0
+        self.main, self.recent = self._none(), self._none()
+
+    @staticmethod
+    def _none() -> tuple[np.ndarray, ...]:
+        """Hashes (sorted), first bytes, last bytes, place in the pool, number of ids."""
+        return (*(np.zeros(0, np.uint64) for _ in range(3)), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+    def find(self, h: np.ndarray, head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, number of ids, and whether the unit is known."""
+        at, n, hit = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        for keys, first, last, place, count in (self.main, self.recent):
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                same = (keys[i] == h) & (first[i] == head) & (last[i] == tail)
+                at[same], n[same], hit = place[i[same]], count[i[same]], hit | same
+        return at, n, hit
+
+    def put(self, ids: np.ndarray) -> int:
+        """Appends ids to the pool; where they begin."""
+        at, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.pool):
+            self.pool = np.concatenate([self.pool[:at], np.zeros(max(len(self.pool), self.used - at), self.pool.dtype)])
+        self.pool[at : self.used] = ids
+        return at
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple[np.ndarray, ...]:
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b))
+
+    def add(self, *columns: np.ndarray) -> None:
+        order = np.argsort(columns[0], kind="stable")
+        self.recent = self._merged(self.recent, tuple(c[order] for c in columns))
+        if len(self.recent[0]) > RECENT:
+            self.main, self.recent = self._merged(self.main, self.recent), self._none()
+
+    def trim(self) -> None:
+        """Forgets all once it holds MEMO units."""
+        if len(self.main[0]) + len(self.recent[0]) > MEMO:
+            self.__init__(self.pool.dtype)
+
+
+class Encoder:
+    """Encodes whole texts with a tokenizer of the tokenizers library.
+
+    The splitting pattern of byte-level BPE never joins across the start of white space after what is none, and a match does
+    not depend on what lies before it. So a unit (white space and the word after it) has the same ids wherever it stands:
+    the distinct units of a slice are found by hash, and those not met before are encoded. A text with white space beyond ASCII or
+    with a special token in it is one unit, and so is every text if the tokenizer is of another kind.
     """
 
-    def __init__(self, vocabulary: str, dtype: str):
+    def __init__(self, vocabulary: str, dtype: str | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(vocabulary), dtype
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}  # what memo held until it was full
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.newline = self._encode(["\n"])[0]
-        self.newline_id = int(np.frombuffer(self.newline, dtype)[0])
-        self.marks = dict(zip(".,;:!?", self._encode(list(".,;:!?"))))
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each of many words, which hold no line feed: many are encoded as the lines of one text and parted at its line feeds."""
-        size, out = np.dtype(self.dtype).itemsize, []
-        for data in self._encode(["\n".join(words[a : a + 200]) for a in range(0, len(words), 200)]):
-            at = np.flatnonzero(np.frombuffer(data, self.dtype) == self.newline_id) * size
-            out += [data[a:b] for a, b in zip([0, *(at + size).tolist()], [*at.tolist(), len(data)])]
-        return out
-
-    def _learn(self, words: set) -> None:
-        """Sees to it that memo knows the words; a line feed before a word stands for itself and no space."""
-        if len(self.memo) > MEMO:
-            self.memo, self.old = {}, self.memo
-        known, old = self.memo, self.old
-        missing = words.difference(known)
-        known.update({w: old[w] for w in missing.intersection(old)})
-        missing.difference_update(known)
-        # letters and one mark after them are split there, so the ids of the letters serve
-        ended = [w for w in missing if w[-1:] in self.marks and w[:-1].isalpha()]
-        missing.difference_update(ended)
-        stems = {w[:-1] for w in ended}.difference(known)
-        known.update({w: old[w] for w in stems.intersection(old)})
-        new = list(missing | stems.difference(known))
-        after = [w for w in new if w[:1] != "\n"]
-        lead = [w for w in new if w[:1] == "\n"]
-        known.update(zip(after, self._encode_words([" " + w for w in after])))
-        known.update(zip(lead, map(self.newline.__add__, self._encode_words([w[1:] for w in lead]))))
-        known.update({w: known[w[:-1]] + self.marks[w[-1]] for w in ended})
-
-    def _plain(self, text: str) -> bool:
-        odd = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in _ODD_ASCII)
-        if odd or not text or text[0] in " \n" or text[-1] in " \n":
-            return False
-        return not _ODD.search(text) and not any(s in text for s in self.special)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [(" \n" + t.replace("\n", " \n")).split(" ")[1:] if self._plain(t) else None for t in texts]
-        words: set[str] = set()
-        for s in split:
-            words.update(s or ())
-        self._learn(words)
-        odd = iter(self._encode([t for t, s in zip(texts, split) if s is None]))
-        ids = self.memo.__getitem__
-        return [next(odd) if s is None else b"".join(map(ids, s))[len(self.newline) :] for s in split]
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.dtype = dtype or ("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.splits = splits_at_spaces(json.loads(self.tokenizer.to_str()))
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.memo = Memo(self.dtype)
+        if self.splits:
+            (self.newline,) = self._encode(["\n"])[0]
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_units(self, units: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of units, where those of each begin, and how many there are. Plain ones, which hold no white space but a space before a word, are
+        encoded as the lines of a text and parted at its line feeds; the others one by one."""
+        made, count, lines = [], np.zeros(len(units), np.int64), np.flatnonzero(plain)
+        for a in range(0, len(lines), 256):
+            some = lines[a : a + 256]
+            data = np.array(self._encode([b"\n".join([units[k] for k in some.tolist()]).decode()])[0], self.dtype)
+            at = np.flatnonzero(data == self.newline)
+            count[some] = np.diff(np.concatenate([[-1], at, [len(data)]])) - 1
+            made.append(np.delete(data, at))
+        rest = np.flatnonzero(~plain)
+        for k in rest.tolist():
+            made.append(np.array(self._encode([units[k].decode()])[0], self.dtype))
+            count[k] = len(made[-1])
+        order = np.concatenate([lines, rest])
+        at = np.cumsum(count[order])
+        begin = np.empty(len(units), np.int64)
+        begin[order] = at - count[order]
+        return np.concatenate(made) if made else np.zeros(0, self.dtype), begin, count
+
+    def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """texts: an Arrow string array without nulls. The ids of all, END_ID after each text, and where each one's end."""
+        data, offsets = column_bytes(texts)
+        n, size = len(offsets) - 1, len(data)
+        space = _SPACE[data]
+        start = space.copy()
+        start[1:] &= ~space[:-1]
+        start[1:] |= _MARK[data[1:]] & _WORD[data[:-1]]
+        if size > 2:  # after one line feed between what is no white space
+            start[2:] |= ~space[2:] & (data[1:-1] == 10) & ~space[:-2]
+        whole = self._whole_rows(data, offsets)
+        for row in np.flatnonzero(whole).tolist():
+            start[offsets[row] : offsets[row + 1]] = False
+        start[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(start)
+        ends = np.concatenate([starts[1:], [size]])[: len(starts)]
+        h, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        a, b = starts[first], ends[first]
+        head, tail = self._edges(data, a, b)
+        at, count, hit = self.memo.find(h, head, tail)
+        new = np.flatnonzero(~hit)
+        if len(new):
+            spaces = np.concatenate([[0], np.cumsum(space)])
+            inside = spaces[b[new]] - spaces[a[new]]
+            lead = data[a[new]]
+            odd = whole[np.searchsorted(offsets, a[new], side="right") - 1]
+            plain = ~odd & ((inside == 0) | (inside == 1) & (lead == 32) & (b[new] - a[new] > 1))
+            raw = data.tobytes()
+            ids, begin, count[new] = self._encode_units([raw[x:y] for x, y in zip(a[new].tolist(), b[new].tolist())], plain)
+            at[new] = self.memo.put(ids) + begin
+            short = new[b[new] - a[new] <= LONG]
+            self.memo.add(h[short], head[short], tail[short], at[short], count[short].astype(np.int32))
+        # the end id after each text is a unit of its own
+        end_at = self.memo.put(np.array([END_ID], self.dtype))
+        last = np.searchsorted(starts, offsets[1:])
+        which = np.insert(which, last, len(h))
+        at, count = np.append(at, end_at), np.append(count, 1)
+        each = count[which]
+        stop = np.cumsum(each)
+        ids = self.memo.pool[np.repeat(at[which] - (stop - each), each) + np.arange(stop[-1] if len(stop) else 0)]
+        self.memo.trim()
+        return ids, stop[last + np.arange(n)]
+
+    def _whole_rows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether each text is one unit."""
+        n = len(offsets) - 1
+        whole = np.full(n, not self.splits)
+        if not self.splits:
+            return whole
+        rows = np.unique(np.searchsorted(offsets, np.flatnonzero(_ODD_LEAD[data]), side="right") - 1)
+        for row in rows.tolist():
+            whole[row] = bool(_ODD.search(data[offsets[row] : offsets[row + 1]].tobytes().decode()))
+        raw = data.tobytes()
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                whole[np.searchsorted(offsets, at, side="right") - 1] = True
+                at = raw.find(s, at + 1)
+        return whole
+
+    @staticmethod
+    def _edges(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the last eight bytes of spans, as numbers."""
+        head, tail = np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64)
+        for k in range(8):
+            own = a + k < b
+            head[own] |= data[a[own] + k].astype(np.uint64) << np.uint64(8 * k)
+            tail[own] |= data[b[own] - 1 - k].astype(np.uint64) << np.uint64(8 * k)
+        return head, tail
 
 
 @functools.cache
-def encoder(vocabulary: str, dtype: str) -> WordEncoder:
-    return WordEncoder(vocabulary, dtype)
+def encoder(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
 
 
 _GEAR = mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x51ED270B))
@@ -122,12 +246,14 @@ _GEAR = mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x51ED270B))
 
 def chunk_ends(ids: np.ndarray, stream_ends: np.ndarray) -> np.ndarray:
     """Where chunks end: after ids at which a hash of the last WINDOW ids has its low bits zero, at the end of
-    each stream, and LONGEST ids after the last end. Only ids of the stream itself and those before it in
-    the window count, so equal passages are cut alike but for their first WINDOW ids."""
-    g = _GEAR[ids & 0xFFFF]
-    h = np.zeros(len(ids), np.uint64)
-    for k in range(WINDOW):  # the running hash h = (h << 1) + gear, all positions at once
-        h[k:] += g[: len(ids) - k] << np.uint64(k)
+    each stream, and LONGEST ids after the last end. A cut depends on the WINDOW ids before it only, so equal passages are
+    cut alike but for their first ids."""
+    h = _GEAR[ids & 0xFFFF]
+    width = 1
+    while width < WINDOW:  # the hash of twice as many ids: that of the last half, and that of the half before it, shifted
+        double = h.copy()
+        double[width:] += h[:-width] << np.uint64(width)
+        h, width = double, 2 * width
     ends = np.flatnonzero((h >> np.uint64(8)) & np.uint64(AVERAGE - 1) == 0) + 1
     ends = np.union1d(ends, stream_ends)
     gap = np.diff(np.concatenate([[0], ends]))
@@ -136,157 +262,238 @@ def chunk_ends(ids: np.ndarray, stream_ends: np.ndarray) -> np.ndarray:
     return np.union1d(ends, np.concatenate(more)) if more else ends
 
 
-def _id_width(vocabulary: str) -> str:
-    return "<u2" if encoder(vocabulary, "<u4").tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+class Merkle:
+    """Root of a binary hash tree over leaves that are added one by one; a leaf without a neighbour rises as it is. Keeps a hash a level."""
+
+    def __init__(self) -> None:
+        self.n, self.peaks = 0, []
+
+    def add(self, leaf: bytes) -> None:
+        node, n = hashlib.sha256(b"\0" + leaf).digest(), self.n
+        while n & 1:
+            node, n = hashlib.sha256(b"\1" + self.peaks.pop() + node).digest(), n >> 1
+        self.peaks.append(node)
+        self.n += 1
+
+    def root(self) -> bytes:
+        if not self.peaks:
+            return hashlib.sha256(b"").digest()
+        node = self.peaks[-1]
+        for left in reversed(self.peaks[:-1]):
+            node = hashlib.sha256(b"\1" + left + node).digest()
+        return node
+
+
+def merkle(leaves) -> bytes:
+    tree = Merkle()
+    for leaf in leaves:
+        tree.add(leaf)
+    return tree.root()
 
 
-def merkle(leaves: list[bytes]) -> bytes:
-    """Root of a binary hash tree; a leaf without a neighbour rises as it is."""
-    level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [hashlib.sha256(b"").digest()]
-    while len(level) > 1:
-        level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+CHUNK_LIST = "array<struct<hash: binary, n: int>>"
+OBJECTS = f"kind string, hash binary, n int, ids binary, doc_id long, th int, chunks {CHUNK_LIST}, n_tokens long, root binary"
+_CHUNK_COLUMNS, _RECIPE_COLUMNS = ("hash", "n", "ids"), ("doc_id", "th", "chunks", "n_tokens", "root")
 
 
-CHUNKS = "doc_id long, th int, seq int, hash binary, n int, ids binary"
+def _objects(pa, kind: str, schema, rows: int, **columns):
+    """Rows of one kind, null where the other kind has its columns."""
+    made = [pa.array([kind] * rows) if f.name == "kind" else columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in schema]
+    return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, schema)], schema=schema)
 
 
-def encode_chunks(docs: DataFrame, vocabulary: str, dtype: str) -> DataFrame:
-    """CHUNKS rows of docs (doc_id, text, _th): ids of the whole texts and the end id."""
+def encoded_objects(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """OBJECTS rows of docs (doc_id, text, _th): a recipe for each, and the chunks, each once a task or a few times more."""
+
+    schema = to_arrow_schema(StructType.fromDDL(OBJECTS))
 
     def run(batches):
         import pyarrow as pa
 
-        encode = encoder(vocabulary, dtype)
-        end = np.array([END_ID], dtype).tobytes()
+        entry = schema.field("chunks").type.value_type
+        encode, sent = encoder(vocabulary), set()
+        size = np.dtype(encode.dtype).itemsize
         for batch in batches:
-            for part in pieces_of(batch, 4 << 20):
-                streams = [x + end for x in encode(text_or_empty(part).to_pylist())]
-                size = np.dtype(dtype).itemsize
-                data = b"".join(streams)
-                stops = np.cumsum([len(x) // size for x in streams])
-                ends = chunk_ends(np.frombuffer(data, dtype).astype(np.int64), stops)
+            for part in pieces_of(batch, SLICE):
+                values, stops = encode(text_or_empty(part))
+                ends = chunk_ends(values, stops)
                 starts = np.concatenate([[0], ends[:-1]])
-                row = np.searchsorted(stops, ends)
-                seq = np.arange(len(ends)) - np.searchsorted(row, row)
-                ids = [data[a * size : b * size] for a, b in zip(starts.tolist(), ends.tolist())]
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id").take(at),
-                        part.column("_th").take(at),
-                        pa.array(seq.astype(np.int32)),
-                        pa.array([hashlib.sha256(x).digest() for x in ids], pa.binary()),
-                        pa.array((ends - starts).astype(np.int32)),
-                        pa.array(ids, pa.binary()),
-                    ],
-                    [c.split()[0] for c in CHUNKS.split(", ")],
+                data = memoryview(values.tobytes())
+                hashes = [hashlib.sha256(data[a * size : b * size]).digest() for a, b in zip(starts.tolist(), ends.tolist())]
+                last = np.searchsorted(ends, stops) + 1  # chunks up to the end of each document
+                first = np.concatenate([[0], last[:-1]])
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], last]).astype(np.int32)),
+                    pa.StructArray.from_arrays([pa.array(hashes, pa.binary()), pa.array((ends - starts).astype(np.int32))], fields=list(entry)),
                 )
-
-    return docs.select("doc_id", "text", "_th").mapInArrow(run, CHUNKS)
-
-
-def _store_rows(chunks: DataFrame) -> DataFrame:
-    """Of all chunks: a `recipe` row each, and a `chunk` row with the ids of the first of each hash."""
+                n = np.diff(np.concatenate([[0], stops])).astype(np.int64)
+                roots = pa.array([merkle(hashes[a:b]) for a, b in zip(first.tolist(), last.tolist())], pa.binary())
+                yield _objects(pa, "recipe", schema, part.num_rows, doc_id=part.column("doc_id"), th=part.column("_th"), chunks=lists, n_tokens=pa.array(n), root=roots)
+                new = []
+                for k, h in enumerate(hashes):
+                    if h not in sent:
+                        sent.add(h)
+                        new.append(k)
+                if new:
+                    ids = pa.array([bytes(data[starts[k] * size : ends[k] * size]) for k in new], pa.binary())
+                    yield _objects(pa, "chunk", schema, len(new), hash=pa.array([hashes[k] for k in new], pa.binary()), n=pa.array((ends - starts)[new].astype(np.int32)), ids=ids)
+                if len(sent) > SENT:
+                    sent.clear()
+
+    return docs.select("doc_id", "text", "_th").mapInArrow(run, OBJECTS)
+
+
+def _once(objects: DataFrame) -> DataFrame:
+    """objects with one row of each chunk; recipes are spread by their document and pass."""
 
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             h = batch.column("hash").to_pylist()
-            new = [a != b for a, b in zip(h, [last, *h[:-1]])]
+            new = [a is None or a != b for a, b in zip(h, [last, *h[:-1]])]
             last = h[-1]
-            one = batch.filter(pa.array(new))
-            for kind, b in (("recipe", batch), ("chunk", one)):
-                blank = lambda c: pa.nulls(b.num_rows, batch.column(c).type)  # noqa: B023, E731
-                cols = [b.column(c) if (c in ("hash", "n") or (c == "ids") == (kind == "chunk")) else blank(c) for c in ("doc_id", "th", "seq", "hash", "n", "ids")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([kind] * b.num_rows)], [*(c.split()[0] for c in CHUNKS.split(", ")), "kind"])
+            yield batch.filter(pa.array(new))
 
-    return chunks.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, f"{CHUNKS}, kind string")
+    key = F.coalesce(F.xxhash64("hash"), F.xxhash64("doc_id", "th"))
+    dealt = objects.withColumn("deal", F.when(F.col("hash").isNull(), F.xxhash64("doc_id", "root")).otherwise(key))
+    return dealt.repartition("deal").sortWithinPartitions("hash").drop("deal").mapInArrow(run, OBJECTS)
 
 
-def write_store(docs: DataFrame, path: str, vocabulary: str | None = None) -> str:
-    """Writes the store of docs (doc_id, text) and returns its path."""
-    spark = docs.sparkSession
-    vocabulary = vocabulary or default_vocabulary()
-    dtype = _id_width(vocabulary)
-    keyed = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    rows = _store_rows(encode_chunks(keyed, vocabulary, dtype))
-    rows.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
-    parts = spark.read.schema("doc_id long, th int, seq int, hash binary, n int").parquet(f"{path}/objects/kind=recipe")
-    # a repeated row has its chunks as often: equal (doc_id, th, seq) are copies of one another
-    one = parts.groupBy("doc_id", "th", "seq").agg(F.first("hash").alias("hash"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    doc = one.groupBy("doc_id", "th").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("seq", "hash", "n"))), lambda x: F.struct(x["hash"].alias("hash"), x["n"].alias("n"))).alias("chunks"),
-        F.sum("n").cast("long").alias("n_tokens"),
-        F.max("copies").alias("copies"),
-    )
-    doc = doc.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1))).drop("copies")
-    doc.repartitionByRange("doc_id", "th", "copy").sortWithinPartitions("doc_id", "th", "copy").withColumn("part", F.spark_partition_id()).write.option(
-        "compression", "zstd"
-    ).parquet(f"{path}/sorted")
-    laid = spark.read.parquet(f"{path}/sorted")  # the parts are fixed now
-    totals = laid.groupBy("part").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    base = totals.select("part", F.coalesce(F.sum("tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    within = W.partitionBy("part").orderBy("doc_id", "th", "copy").rowsBetween(W.unboundedPreceding, -1)
-    root = F.udf(lambda chunks: merkle([bytes(c["hash"]) for c in chunks]), "binary", useArrow=False)
-    recipes = (
-        laid.join(base, "part")
-        .withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-        .select("part", "doc_id", "th", "copy", "start", "n_tokens", "chunks", root("chunks").alias("root"))
-    )
-    recipes.sortWithinPartitions("part", "doc_id", "th", "copy").write.option("compression", "zstd").parquet(f"{path}/recipes")
-
-    def part_roots(batches):
+RECIPES = f"part int, doc_id long, th int, start long, n_tokens long, chunks {CHUNK_LIST}, root binary"
+PARTS = "part int, docs long, tokens long, root binary, ok boolean"
+
+
+def _rooted(rows: DataFrame) -> DataFrame:
+    """PARTS rows of recipes: each part's root over its documents' roots in order, made again from their chunks' hashes; ok:
+    whether documents have the roots they state, and starts follow one another."""
+
+    def run(batches):
         import pyarrow as pa
 
-        part, roots, tokens = None, [], 0
+        part, tree, tokens, ok, at = None, Merkle(), 0, True, None
 
         def row():
-            return pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "docs": pa.array([len(roots)], pa.int64()), "tokens": pa.array([tokens], pa.int64()), "root": pa.array([merkle(roots)], pa.binary())}
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([tree.n], pa.int64()), pa.array([tokens], pa.int64()), pa.array([tree.root()], pa.binary()), pa.array([ok])],
+                [c.split()[0] for c in PARTS.split(", ")],
             )
 
         for batch in batches:
-            for p, r, n in zip(batch.column("part").to_pylist(), batch.column("root").to_pylist(), batch.column("n_tokens").to_pylist()):
+            lists = batch.column("chunks")
+            hashes = lists.flatten().field("hash").to_pylist()
+            sizes = np.asarray(lists.value_lengths()).astype(np.int64)
+            ends = np.cumsum(sizes)
+            columns = (batch.column(c).to_pylist() for c in ("part", "start", "n_tokens", "root"))
+            for p, start, n, stated, a, b in zip(*columns, (ends - sizes).tolist(), ends.tolist()):
                 if p != part:
                     if part is not None:
                         yield row()
-                    part, roots, tokens = p, [], 0
-                roots.append(r)
-                tokens += n
+                    part, tree, tokens, ok, at = p, Merkle(), 0, True, None
+                made = merkle(hashes[a:b])
+                ok = ok and made == stated and at in (None, start)
+                tree.add(made)
+                tokens, at = tokens + n, start + n
         if part is not None:
             yield row()
 
-    stored = spark.read.parquet(f"{path}/recipes").select("part", "start", "root", "n_tokens")
-    parts = stored.repartition("part").sortWithinPartitions("part", "start").mapInArrow(part_roots, "part int, docs long, tokens long, root binary")
-    parts.write.parquet(f"{path}/manifest")
+    ordered = rows.select("part", "start", "n_tokens", "root", "chunks").repartition("part").sortWithinPartitions("part", "start")
+    return ordered.mapInArrow(run, PARTS)
+
+
+def _whole(parts: DataFrame) -> DataFrame:
+    """The manifest's row for all parts: a row a part, in order of part, is read by one task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        tree, docs, tokens, ok = Merkle(), 0, 0, True
+        for batch in batches:
+            for d, n, r, good in zip(*(batch.column(c).to_pylist() for c in ("docs", "tokens", "root", "ok"))):
+                tree.add(r)
+                docs, tokens, ok = docs + d, tokens + n, ok and good
+        values = ((-1, pa.int32()), (docs, pa.int64()), (tokens, pa.int64()), (tree.root(), pa.binary()), (ok, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], [c.split()[0] for c in PARTS.split(", ")])
+
+    return parts.repartition(1).sortWithinPartitions("part").mapInArrow(run, PARTS)
+
+
+def write_store(docs: DataFrame, path: str, vocabulary: str | None = None) -> str:
+    """Writes the store of docs (doc_id, text) and returns its path."""
+    spark = docs.sparkSession
+    keyed = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = _once(encoded_objects(keyed, vocabulary or default_vocabulary()))
+    rows.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
+    order = ["doc_id", "th", "root"]  # rows equal in these are alike
+    laid = _objects_of(spark, path).where("kind = 'recipe'").select(*_RECIPE_COLUMNS).repartitionByRange(*order).sortWithinPartitions(*order)
+    laid.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/sorted")
+    laid = spark.read.schema(f"part int, doc_id long, th int, n_tokens long, chunks {CHUNK_LIST}, root binary").parquet(f"{path}/sorted")  # the parts are fixed now
+    totals = laid.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))  # a row a part
+    base = totals.select("part", F.coalesce(F.sum("tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    within = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    recipes = laid.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
+    recipes.select(*(c.split()[0] for c in RECIPES.replace(CHUNK_LIST, "x").split(", "))).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    parts = _rooted(_recipes(spark, path))
+    parts.write.parquet(f"{path}/manifest/of=parts")
+    _whole(_manifest(spark, path, "parts")).write.parquet(f"{path}/manifest/of=all")
     return path
 
 
-def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(part, ok): whether each recipe part has the root that the manifest states."""
-    got = spark.read.parquet(f"{path}/recipes").select("part", "start", F.col("root").alias("r"))
-    root = F.udf(lambda rows: merkle([bytes(x["r"]) for x in sorted(rows, key=lambda x: x["start"])]), "binary", useArrow=False)
-    again = got.groupBy("part").agg(root(F.collect_list(F.struct("start", "r"))).alias("again"))
-    return spark.read.parquet(f"{path}/manifest").join(again, "part", "left").select("part", (F.col("root") == F.col("again")).alias("ok"))
+def _objects_of(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(OBJECTS).parquet(f"{path}/objects")
+
+
+def _recipes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RECIPES).parquet(f"{path}/recipes")
+
+
+def _manifest(spark: SparkSession, path: str, of: str) -> DataFrame:
+    return spark.read.schema(PARTS).parquet(f"{path}/manifest/of={of}")
+
+
+def _chunks(spark: SparkSession, path: str) -> DataFrame:
+    return _objects_of(spark, path).where("kind = 'chunk'").select(*_CHUNK_COLUMNS)
+
+
+def verified_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(part, ok): whether each recipe part, and all of them, have the roots that the manifest states, made again from the
+    recipes' chunk lists; a part that is missing, or that the manifest does not know, is not ok. Part -1 stands for all."""
+    again = _rooted(_recipes(spark, path))
+    names = [c.split()[0] for c in PARTS.split(", ")]
+    other = [F.col(c).alias(f"s_{c}") for c in names]
+
+    def held(got: DataFrame, said: DataFrame) -> DataFrame:
+        both = got.join(said.select(*other), F.col("part") == F.col("s_part"), "full")
+        same = F.col("ok") & (F.col("root") == F.col("s_root")) & (F.col("docs") == F.col("s_docs")) & (F.col("tokens") == F.col("s_tokens"))
+        return both.select(F.coalesce("part", "s_part").alias("part"), F.coalesce(same, F.lit(False)).alias("ok"))
+
+    return held(again, _manifest(spark, path, "parts")).unionByName(held(_whole(again), _manifest(spark, path, "all")))
 
 
 def read_documents(spark: SparkSession, path: str, doc_ids: DataFrame | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids array<int>) rebuilt from recipes and chunks; doc_ids: those wanted."""
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes = _recipes(spark, path)
     if doc_ids is not None:
-        recipes = recipes.join(doc_ids.select("doc_id"), "doc_id", "left_semi")
-    parts = recipes.select("doc_id", "th", "copy", "start", "n_tokens", F.posexplode("chunks").alias("seq", "chunk"))
-    chunks = spark.read.parquet(f"{path}/objects/kind=chunk").select("hash", "n", "ids")
-    both = parts.withColumn("hash", F.col("chunk.hash")).join(chunks, "hash")
-    docs = both.groupBy("doc_id", "th", "copy", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("seq", "n", "ids"))).alias("parts"))
-    to_ids = F.udf(lambda ps: np.concatenate([np.frombuffer(bytes(p["ids"]), f"<u{len(p['ids']) // p['n']}") for p in ps]).astype(np.int32).tolist(), "array<int>", useArrow=False)
-    return docs.select("doc_id", "start", "n_tokens", to_ids("parts").alias("ids"))
+        recipes = recipes.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    parts = recipes.select("doc_id", "start", "n_tokens", F.posexplode("chunks").alias("seq", "chunk")).withColumn("hash", F.col("chunk.hash"))
+    both = parts.join(_chunks(spark, path), "hash")
+    docs = both.groupBy("start", "n_tokens").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("seq", "n", "ids"))).alias("parts"))
+
+    def rebuild(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made = []
+            for ps in batch.column("parts"):
+                ps = ps.as_py()
+                made.append(np.concatenate([np.frombuffer(p["ids"], f"<u{len(p['ids']) // p['n']}") for p in ps]).astype(np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32)), pa.array(np.concatenate(made) if made else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), ids], ["doc_id", "start", "n_tokens", "ids"])
+
+    return docs.select("doc_id", "start", "n_tokens", "parts").mapInArrow(rebuild, "doc_id long, start long, n_tokens long, ids array<int>")
 
 
 _REFLECTED = 0xEDB88320
@@ -331,8 +538,10 @@ def stream_checks(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, verified) of each recipe from the stored files.
 
     Every chunk is read and its hash verified where it lies; what moves is its CRC. A document's CRC over
-    32-bit ids is joined from its chunks' by the rule for concatenations, so a long document or a chunk that
-    many share never gathers in one task.
+    32-bit ids is joined from its chunks' by the rule for concatenations, so a long document never gathers in one task. The
+    few chunks (fewer than 1,000, see `hot`) that a thousandth of all places or more hold are sent to all tasks, the others are
+    joined by hash. verified: all chunks of the document are what their hashes say, and its recipe part and the
+    whole store have the Merkle roots of the manifest.
     """
 
     def read(batches):
@@ -345,28 +554,46 @@ def stream_checks(spark: SparkSession, path: str) -> DataFrame:
             ok = [hashlib.sha256(x).digest() == h for x, h in zip(raw, batch.column("hash").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array(crc, pa.int64()), pa.array(ok)], ["hash", "crc", "ok"])
 
-    chunks = spark.read.parquet(f"{path}/objects/kind=chunk").select("hash", "n", "ids").mapInArrow(read, "hash binary, crc long, ok boolean")
-    recipes = spark.read.parquet(f"{path}/recipes")
-    key = ["doc_id", "th", "copy"]
-    parts = recipes.select(*key, F.posexplode("chunks").alias("seq", "c")).select(*key, "seq", F.col("c.hash").alias("hash"), F.col("c.n").alias("n"))
-    left = F.sum("n").over(W.partitionBy(*key).orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, -1))
-    parts = parts.withColumn("zeros", 4 * F.coalesce(left, F.lit(0)))
+    checked = lambda chunks: chunks.mapInArrow(read, "hash binary, crc long, ok boolean")
+    chunks, recipes = _chunks(spark, path), _recipes(spark, path)
+    size = F.transform("chunks", lambda c: c["n"])
+    # ids after each chunk of its document: all that the chunks up to it leave over
+    upto = F.aggregate(size, F.struct(F.expr("cast(array() as array<bigint>)").alias("l"), F.lit(0).cast("long").alias("t")), lambda s, n: F.struct(F.concat(s["l"], F.array(s["t"] + n)).alias("l"), (s["t"] + n).alias("t")))["l"]
+    few = F.size("chunks") <= 64  # longer lists by a window, as the sums above copy the list
+    short = recipes.where(few).select("start", "n_tokens", F.explode(F.arrays_zip(F.col("chunks.hash").alias("hash"), upto.alias("upto"))).alias("c"))
+    short = short.select("start", F.col("c.hash").alias("hash"), (4 * (F.col("n_tokens") - F.col("c.upto"))).alias("zeros"))
+    each = recipes.where(~few).select("start", "n_tokens", F.posexplode("chunks").alias("seq", "c"))
+    before = F.sum("c.n").over(W.partitionBy("start").orderBy("seq"))
+    long = each.select("start", F.col("c.hash").alias("hash"), (4 * (F.col("n_tokens") - before)).alias("zeros"))
+    places = short.unionByName(long)
 
     def carry(batches):
         import pyarrow as pa
 
         for batch in batches:
             moved = shift_crc(np.asarray(batch.column("crc")), np.asarray(batch.column("zeros")))
-            yield batch.drop_columns(["crc", "zeros", "hash"]).append_column("crc", pa.array(moved.astype(np.int64)))
-
-    moved = parts.join(chunks, "hash", "left").select(*key, "hash", "zeros", F.coalesce("crc", F.lit(0)).alias("crc"), F.coalesce("ok", F.lit(False)).alias("ok"))
-    moved = moved.mapInArrow(carry, "doc_id long, th int, copy int, ok boolean, crc long")
-    sums = moved.groupBy(*key).agg(F.bit_xor("crc").alias("ids_crc32"), F.bool_and("ok").alias("verified"))
-    same = F.expr("r.doc_id <=> s.doc_id and r.th = s.th and r.copy = s.copy")
-    return recipes.alias("r").join(sums.alias("s"), same).select("r.doc_id", "r.start", "r.n_tokens", "s.ids_crc32", "s.verified")
+            yield pa.RecordBatch.from_arrays([batch.column("start"), batch.column("ok"), pa.array(moved.astype(np.int64))], ["start", "ok", "crc"])
+
+    uses = recipes.select(F.explode("chunks.hash").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
+    total = recipes.agg(F.sum(F.size("chunks"))).first()[0] or 0
+    hot = uses.where(F.col("n") > total // 1000).select("hash").collect()  # fewer than 1,000
+    found = lambda places, chunks: places.join(chunks, "hash", "left").select("start", "zeros", F.coalesce("crc", F.lit(0)).alias("crc"), F.coalesce("ok", F.lit(False)).alias("ok"))
+    if hot:
+        is_hot = F.col("hash").isin([bytes(r["hash"]) for r in hot])
+        some = found(places.where(is_hot), F.broadcast(checked(chunks.where(is_hot))))
+        both = found(places.where(~is_hot), checked(chunks.where(~is_hot))).unionByName(some)
+    else:
+        both = found(places, checked(chunks))
+    moved = both.mapInArrow(carry, "start long, ok boolean, crc long")
+    sums = moved.groupBy("start").agg(F.bit_xor("crc").alias("ids_crc32"), F.bool_and("ok").alias("chunks_ok"))
+    held = verified_parts(spark, path)
+    every = held.where("part = -1").select("ok").scalar()
+    out = recipes.drop("chunks", "root").join(sums, "start").join(F.broadcast(held.where("part >= 0")), "part", "left")
+    verified = F.col("chunks_ok") & F.coalesce("ok", F.lit(False)) & F.coalesce(every, F.lit(False))
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32", verified.alias("verified"))
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents encoded, stored and read back: where each one's ids start, how many, and their CRC."""
+    """All documents encoded, stored and read back: where each one's ids start, how many, their CRC, and whether all verifies."""
     path = write_store(documents(spark, sf_dir).select("doc_id", "text"), fresh_path(spark, "token-store"))
     return stream_checks(spark, path)
