@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir of the session, or the one set on its context. Where neither
+    is set, a new temporary folder if all runs on this machine (a local master), else an error: no other machine could read it."""
+    sc = spark.sparkContext
+    there = sc._jsc.sc().getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or (there.get() if there.isDefined() else None)
+    if found is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="checkpoints-")
+    if not there.isDefined():
+        sc.setCheckpointDir(found)
+    return found
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir (a folder of our own only where it is unset) and read from there."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    """df written to the shared folder and read from there; survives lost executors."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
