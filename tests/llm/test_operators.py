@@ -57,10 +57,13 @@ def test_line_dedup(docs, corpus, limits):
                     want.setdefault((i, t), []).append(k)
                 seen.append(w)
     want = {k: v for k, v in want.items() if k[0] != 5}  # rows that share an id are in the order of a hash
-    got = line_dedup._decided(docs, **limits) if limits else line_dedup._decided(docs)
-    got = {(r["doc_id"], r["text"]): r["_removed"] for r in got.where("_removed is not null").collect() if r["doc_id"] != 5}
+    got = line_dedup.decided(docs, **limits)
+    got = {(r["doc_id"], r["text"]): r["removed"] for r in got.where("removed is not null").collect() if r["doc_id"] != 5}
     assert got == want
-    assert line_dedup.dedup_lines(docs).columns == docs.columns
+    left = line_dedup.dedup_lines(docs, **limits)
+    assert left.columns == docs.columns
+    kept = lambda i, t: t if (i, t) not in want else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i, t])
+    assert {(r["doc_id"], r["text"]) for r in left.collect() if r["doc_id"] != 5} == {(d[0], kept(d[0], d[1])) for d in corpus if d[0] != 5}
 
 
 @pytest.mark.parametrize("limits", [{}, {"hot": 7, "small": 3}, {"later": (1, 2, None)}, {"later": (3, None), "hot": 7}])
@@ -309,16 +312,6 @@ def test_sharded_language_model(docs):
         assert got[k]["lang_pred"] == r["lang_pred"] and abs((got[k]["cross_entropy"] or 0) - (r["cross_entropy"] or 0)) < 1e-4
 
 
-def test_no_training_document_is_rejected(spark):
-    """The one unlike all others sets the limit, wherever it is among more than 4,000."""
-    odd = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) > 900_000
-    ids = spark.range(6000).select(F.col("id").alias("doc_id"))
-    at = ids.where(odd & ~lang_id.held_out(F.col("doc_id"))).agg(F.min("doc_id")).first()[0]
-    text = F.when(F.col("doc_id") == at, "qzxv kjwq vxzj").otherwise("the cat and the dog sat on the mat")
-    docs = ids.select("doc_id", text.alias("text"), F.lit("en").alias("lang"))
-    assert lang_id.reject_languages(docs).count() == 6000
-
-
 def test_kneser_ney_adds_up(docs):
     model = lang_id.train_model(lang_id.training_rows(docs))
     letters = sorted({c for t in docs.where("text is not null").select("text").collect() for c in t["text"].lower() if c.isalpha()} | {chr(lang_id.EDGE)})
@@ -366,7 +359,7 @@ def test_simhash_links_of_a_large_group(spark):
 def test_keep_one(docs):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    n = simhash.near_duplicates(docs.withColumn("k", F.struct("doc_id", F.hash("text").alias("h"))), "k")
+    n = simhash.near_duplicates(docs.withColumn("k", F.struct("doc_id", F.hash("text").alias("h"))), "k", simhash.STAGE_SHINGLE, simhash.STAGE_DISTANCE)
     assert kept.count() == n.select("component_id").distinct().count()
 
 
@@ -448,3 +441,164 @@ def test_pipeline(spark, sf_dir):
     assert rows and all(r["lossless"] for r in rows) and len(corpus_pipeline.STAGES) == 5
     assert all(r["text"] and r["n_chars"] == len(r["text"]) for r in rows)
     assert 69 not in {r["doc_id"] for r in rows} and 66 not in {r["doc_id"] for r in rows}
+
+
+CLASHING = ["score", "lang_pred", "cross_entropy", "_removed", "removed", "_t", "_th", "_id", "_times", "ids", "_seed", "seed", "media_info", "c0", "c7", "k", "r", "rank", "at", "size", "Text2", "lossless", "slot", "fp"]
+
+
+def clashing(docs):
+    """docs with columns of the names that operators use, of several types, which must come through as they are."""
+    for i, c in enumerate(CLASHING):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) if i % 2 else F.col("doc_id") + i)
+    return docs
+
+
+def same_rows(got, docs, but=()):
+    """Whether all rows of got are rows of docs, columns of `but` left out."""
+    own = [c for c in docs.columns if c not in but]
+    return got.select(own).subtract(docs.select(own)).isEmpty()
+
+
+def test_columns_of_clashing_names_come_through(spark, docs):
+    odd = clashing(docs)
+    for f, but in ((lang_id.reject_languages, ()), (line_dedup.dedup_lines, ("text",)), (simhash.keep_one, ()), (mixing.mixed_documents, ())):
+        got = f(odd)
+        assert got.columns == odd.columns and got.count() > 0 and same_rows(got, odd, but)
+        assert sorted(map(repr, f(docs).select("doc_id").collect())) == sorted(map(repr, got.select("doc_id").collect()))
+    got = pieces.encode_sampled(odd, check="lossless")
+    assert got.columns == [*odd.columns, "ids_", "lossless_"] and same_rows(got, odd)
+    back = pieces.decoded(got, ids="ids_", text="size")
+    assert back.columns[-1] == "size_" and back.where("not (size_ <=> text)").isEmpty()
+    stored = media.store_payloads(odd).join(odd, "doc_id")
+    got = media.media_columns(stored)
+    assert got.columns == [*stored.columns, "media_info_"] and got.where("media_info_.codec is null").isEmpty()
+    urls = odd.select(F.lit("http://a.org/x").alias("url"), "score", F.lit(1).alias("Host"), "_at" if "_at" in odd.columns else "at")
+    assert url_filter.judge(urls).columns == [*urls.columns, "host_", "path", "rule", "verdict", "score_"]
+
+
+def test_stages_of_empty_tables(spark, empty):
+    for f in (lang_id.reject_languages, line_dedup.dedup_lines, simhash.keep_one, mixing.mixed_documents, pieces.encode_sampled):
+        got = f(empty)
+        assert got.columns[: len(empty.columns)] == empty.columns and got.count() == 0
+
+
+def test_rejection(spark, docs, corpus):
+    """What goes has no letters or is above the threshold, which is that of documents left out of the counts; nonsense goes."""
+    kept = {(r["doc_id"], r["text"]) for r in lang_id.reject_languages(docs).collect()}
+    model, limit = lang_id.train_with_threshold(lang_id.training_rows(docs))
+    judged = lang_id.predict(docs.withColumn("id", F.col("doc_id")), model, ["id", "text"]).collect()
+    assert kept == {(r["id"], r["text"]) for r in judged if r["lang_pred"] != "und" and r["cross_entropy"] <= limit} and 0 < limit < 100
+    assert not {(70, "12 34 !!"), (67, None), (68, "")} & kept
+    words = "the cat and the dog sat on the mat with some friends of theirs".split()
+    many = spark.range(600).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(words))) + 1).cast("int")) for k in range(30)]).alias("text"), F.lit("en").alias("lang"))
+    odd = spark.createDataFrame([(1000, "ξψωφ ζηθκ λμνπ", None), (1001, "qzxv kjwq vxzj qqzz", None)], many.schema)
+    left = {r["doc_id"] for r in lang_id.reject_languages(many.unionByName(odd)).collect()}
+    assert left == set(range(600))
+
+
+def test_kneser_ney_by_brute_force(spark):
+    """Probabilities of the model against interpolated Kneser-Ney made from the texts by its definition."""
+    from collections import Counter
+
+    rng = np.random.default_rng(8)
+    texts = {lang: [" ".join("".join(rng.choice(list(letters), rng.integers(1, 7))) for _ in range(rng.integers(1, 8))) for _ in range(40)] for lang, letters in (("aa", "abcde"), ("bb", "cdefü"))}
+    rows = [(lang, t) for lang, ts in texts.items() for t in ts]
+    model = lang_id.train_model(spark.createDataFrame(rows, "lang string, text string"))
+    edge = chr(lang_id.EDGE)
+    alphabet = len({c for _, t in rows for c in t if c != " "} | {edge}) + 1
+
+    def probability(lang):
+        counts = {4: Counter()}
+        for t in texts[lang]:
+            for w in t.split():
+                padded = edge * 3 + w + edge
+                counts[4].update(padded[i : i + 4] for i in range(len(padded) - 3))
+        for k in (3, 2, 1):
+            counts[k] = Counter(g[1:] for g in counts[k + 1])
+        discount = {}
+        for k, c in counts.items():
+            n1, n2 = (sum(v == x for v in c.values()) for x in (1, 2))
+            discount[k] = max(0.1, min(0.95, n1 / (n1 + 2 * n2))) if n1 else 0.1
+
+        def p(g):
+            k = len(g)
+            if not k:
+                return 1 / alphabet
+            same = [v for h, v in counts[k].items() if h[:-1] == g[:-1]]
+            if not same:
+                return p(g[1:])
+            d = discount[k]
+            return max(counts[k][g] - d, 0) / sum(same) + d * len(same) / sum(same) * p(g[1:])
+
+        return p
+
+    for j, lang in enumerate(model.langs):
+        p = probability(lang)
+        letters = sorted({c for _, t in rows for c in t if c != " "} | {edge})
+        grams = ["".join(rng.choice(letters, 4)) for _ in range(200)] + [edge * 3 + "c", "z" * 4]
+        coded = np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(g)) for g in grams], np.uint64)
+        assert np.allclose(model.log_prob(coded)[:, j], [math.log(p(g)) for g in grams], atol=1e-4)
+
+
+def test_long_texts_without_spaces(spark):
+    """Units whose parts are long, and those of letters without pieces, in batches and alone: the same pieces, without loss."""
+    v = pieces.vocabulary(pieces.default_model())
+    rng = np.random.default_rng(0)
+    texts = ["x" * 5000, "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 3000))), "".join(rng.choice(list("etaoinshr"), 4000)), "the " * 30 + "e" * 200, "an" * 100]
+    seeds = np.arange(5, dtype=np.uint64)
+    ids, stops = pieces.sample(v, texts, seeds)
+    assert pieces.decode_all(v, ids.astype(np.int64), stops) == texts
+    for k, (a, b) in enumerate(zip([0, *stops[:-1]], stops)):
+        alone, _ = pieces.sample(v, [texts[k]], seeds[k : k + 1])
+        assert (alone == ids[a:b]).all()
+    many = [t for t in texts[3:] for _ in range(40)]  # so many that all are drawn side by side
+    ids, stops = pieces.sample(v, many, np.repeat(seeds[3:], 40))
+    alone, end = pieces.sample(v, texts[4:], seeds[4:])
+    assert (ids[stops[-2] : stops[-1]] == alone).all()
+
+
+def test_forward_sums_of_long_parts():
+    """Chances beyond LONG characters of a part are those of the sums by definition."""
+    v = pieces.vocabulary(pieces.default_model())
+    units = np.array([ord(c) for c in " " + "the" * 60], np.uint32)
+    lattice = pieces.Lattice(v, units, np.array([0]), np.array([len(units)]), 1.0)
+    text, sums = " " + "the" * 60, [1.0]
+    rank = {v.bytes_of[v.piece[k]].decode(): v.rank[k] for k in range(1, len(v.piece)) if v.piece[k] >= 0}
+    for end in range(1, len(text) + 1):
+        ways = [(n, sums[end - n] / (rank[text[end - n : end]] + pieces.OFFSET)) for n in range(1, min(end, 20) + 1) if text[end - n : end] in rank]
+        total = sum(w for _, w in ways)
+        a, b = lattice.first[end - 1], lattice.first[end]
+        assert lattice.length[a:b].tolist() == [n for n, _ in ways]
+        assert np.allclose(lattice.chance[a:b], np.cumsum([w / total for _, w in ways]))
+        sums.append(total)
+        sums = [x * 1e3 for x in sums] if total < 1e-200 else sums
+
+
+def test_media_columns_by_brute_force(spark, sf_dir, corpus):
+    """feature, media_bytes and media_sha256 from a container that is read byte by byte here, and the keyframes' bytes."""
+    import struct
+
+    def find(data, path):
+        a, b = 0, len(data)
+        for kind in path:
+            at = a
+            while data[at + 4 : at + 8] != kind:
+                at += struct.unpack(">I", data[at : at + 4])[0]
+            a, b = at + 8, at + struct.unpack(">I", data[at : at + 4])[0]
+        return data[a:b]
+
+    rows = media.op1_media_columns(spark, sf_dir).collect()
+    files = {(r["doc_id"], r["n_bytes"]): bytes(r["media"]) for r in media.store_payloads(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    assert len(rows) == len(corpus)
+    for r in rows:
+        data = files[r["doc_id"], r["n_bytes"]]
+        assert (r["media_bytes"], r["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+        stbl = [b"moov", b"trak", b"mdia", b"minf", b"stbl"]
+        each, n = struct.unpack(">II", find(data, [*stbl, b"stsz"])[4:12])
+        keys = struct.unpack(f">{struct.unpack('>I', find(data, [*stbl, b'stss'])[4:8])[0]}I", find(data, [*stbl, b"stss"])[8:])
+        first = struct.unpack(">I", find(data, [*stbl, b"stco"])[8:12])[0]
+        ranges = [(first + each * (k - 1), each) for k in keys]  # chunks lie one after the other
+        said = ",".join(f"{a}+{b}" for a, b in ranges)
+        assert r["feature"] == f"codec=raw;seconds={each * n / 8000:.6f};samples={n};keyframes={len(keys)};ranges={zlib.crc32(said.encode()):08x}"
+        assert [tuple(k) for k in r["media_info"]["keyframes"]] == ranges and each * n == r["payload_bytes"]
+        assert data[first : first + r["n_bytes"]][:40] == data[data.index(b"mdat") + 4 :][: min(40, r["n_bytes"])]

@@ -6,6 +6,9 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import AtomicType, NullType
+
+from ..functions.storage import settled, shared_dir
 
 #: A word of the contracts is a run of bytes other than these ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,26 +19,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a folder of our own only where it is unset."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if found is None:
-        found = sc._jsc.sc().getCheckpointDir()
-        found = found.get() if found.isDefined() else "/tmp/checkpoints"
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(found)
-    return found
+_made: list[str] = []  # paths of fresh_path
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder. What is written there is read as long as results are; see remove_tables."""
+    _made.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def remove_tables(spark: SparkSession) -> int:
+    """Deletes what operators wrote under fresh_path in this process; results that are not written yet are lost. How many there were."""
+    gone = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder and forget how it was made; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return settled(df)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -117,6 +121,41 @@ def pieces_of(batch, rows_bytes: int = 1 << 20, name: str = "text"):
     pa.default_memory_pool().release_unused()  # a worker goes on to other stages
 
 
-def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "_th") -> DataFrame:
     """Adds _th, a hash of the text: with the id it names a row; repeated rows share it."""
-    return df.withColumn("_th", F.hash(F.coalesce(F.col(text_col), F.lit(""))))
+    return df.withColumn(name, F.hash(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+class Sealed:
+    """A table whose columns have names by place (c0, c1, ...), so that an operator's own columns clash with none of them.
+
+    df is that table; seal["text"] is the name of its column text there, and opened(df) has the first names again."""
+
+    def __init__(self, df: DataFrame):
+        self.names = list(df.columns)
+        self.columns = [f"c{i}" for i in range(len(self.names))]
+        self.df = df.toDF(*self.columns)
+
+    def __getitem__(self, name: str) -> str:
+        return self.columns[self.names.index(name)]
+
+    def free(self, name: str) -> str:
+        """name, with underscores after it as long as the table has a column of that name."""
+        taken = {x.lower() for x in self.names}
+        while name.lower() in taken:
+            name += "_"
+        return name
+
+    def opened(self, df: DataFrame, **more: str) -> DataFrame:
+        """The columns of the table in df under their first names, then those of df that more names, under free names."""
+        return df.select(*self.columns, *more.values()).toDF(*self.names, *map(self.free, more))
+
+
+def row_hash(df: DataFrame):
+    """A 64-bit hash of all columns of a row: equal rows have equal ones."""
+    parts = []
+    for i, f in enumerate(df.schema.fields):
+        c = F.col(f"`{f.name}`")
+        plain = isinstance(f.dataType, (AtomicType, NullType)) and f.dataType.typeName() != "variant"
+        parts += [F.lit(i), c if plain else F.to_json(F.struct(c))]  # the number tells which columns are null
+    return F.xxhash64(*parts)

@@ -5,7 +5,8 @@ Counting: each task counts the 4-grams of the distinct words of its texts; Spark
 continuation counts of all lower orders, discounts and back-off weights, over all training documents. The
 result, log probabilities already backed off and side by side for all languages, lies in arrays sorted by a
 hash of the n-gram and is found by binary search. A text gets the language of the lowest cross-entropy a
-character; if even that is far above what training documents have, it is rejected.
+character; if even that is above what documents have that the model has not learned from (a quantile of a tenth of them, left out
+of the counts), it is rejected.
 
 Every n-gram is kept. A model of more than `max_entries` n-grams is cut into shards by a hash of the last character
 but one of an n-gram, which all that a 4-gram's probability backs off to has in common. A task holds one shard at a
@@ -13,7 +14,8 @@ time and adds up what each gives of a text, so memory follows neither the alphab
 
 Defined results: a null text, or one without letters, is `und` with score 0; a null language does not teach;
 without any training document everything is `und`; ties go to the first language by code point; repeated
-rows count each; other columns pass untouched.
+rows count each; an empty table gives no rows; a text is read whole, however long, texts of SLICE bytes at a time; characters
+above U+FFFF share 2^15 numbers; other columns pass untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ import functools
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from ._common import cut, documents, mix64, pieces_of, span_hashes, spans_of, stored
+from ._common import Sealed, cut, documents, mix64, pieces_of, span_hashes, spans_of
 
 ORDER = 4
 EDGE = 1  # the mark at both ends of a word
@@ -31,6 +34,7 @@ MAX_ENTRIES = 4_000_000  # n-grams in a shard of a model, about, of 8 + 4 * lang
 SHARPNESS = 4.0  # of the score, a softmax over cross-entropies
 UNKNOWN = "und"
 SLICE = 1 << 19  # bytes of text worked on at a time
+QUANTILE, MARGIN = 0.999, 1.25  # of the cross-entropies of documents left out, and what is added for chance
 WIDE = 32  # languages beyond which a shard has fewer n-grams
 HELD = 1 << 25  # bytes of text that a task scores by one shard after the other
 
@@ -252,13 +256,15 @@ def _held(parts):
         yield some
 
 
-PREDICTED = "lang_pred string, score double, cross_entropy double"
+PREDICTED = [("lang_pred", "string"), ("score", "double"), ("cross_entropy", "double")]
 
 
 def predict(df: DataFrame, model: Model | None, key: list[str], text: str = "text") -> DataFrame:
-    """key columns, lang_pred, score (0 to 1) and cross_entropy (null for `und`) of each row."""
+    """key columns (which are not called as those that follow), lang_pred, score (0 to 1) and cross_entropy (null for `und`) of each row."""
     sent = model if isinstance(model, Shards) else df.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in key)
+    schema = StructType([df.schema[c] for c in key])
+    for name, kind in PREDICTED:
+        schema = schema.add(name, kind)
 
     def run(batches):
         import pyarrow as pa
@@ -281,9 +287,9 @@ def predict(df: DataFrame, model: Model | None, key: list[str], text: str = "tex
                     score = np.where(none, 0.0, 1 / soft.sum(axis=1))
                     lang = [UNKNOWN if z else m.langs[b] for b, z in zip(best, none)]
                 out = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64(), mask=none)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in key), *out], [*key, "lang_pred", "score", "cross_entropy"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in key), *out], [*key, *(c for c, _ in PREDICTED)])
 
-    return df.select(*key, *({text} - {*key})).mapInArrow(run, f"{schema}, {PREDICTED}")
+    return df.select(*key, *({text} - {*key})).mapInArrow(run, schema)
 
 
 def held_out(doc_id):
@@ -294,22 +300,47 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
 
+def is_calibration(doc_id, text):
+    """A tenth of the documents, by hash: they are left out of the counts of the model that sets the threshold."""
+    return F.pmod(F.xxhash64(F.lit("calibration"), doc_id, text), F.lit(10)) == 0
+
+
 def rejection_threshold(judged: DataFrame) -> float:
-    """Cross-entropy above which a text is in no learned language: a margin over the highest of all training
-    documents, of judged (docs with the columns of PREDICTED)."""
-    top = training_rows(judged).agg(F.max("cross_entropy")).first()[0]
-    return 1.25 * top if top is not None else float("inf")
+    """Cross-entropy a character above which a text is in no learned language: MARGIN times the QUANTILE of rows of cross_entropy,
+    which no model has learned from; infinite if there is none (all null)."""
+    exact = judged.where("cross_entropy is not null").agg(F.percentile_approx("cross_entropy", QUANTILE, 100_000)).first()[0]
+    return MARGIN * exact if exact is not None else float("inf")
+
+
+def train_with_threshold(train: DataFrame) -> tuple[Model | Shards | None, float]:
+    """The model of train (doc_id, text, lang), and the threshold for it.
+
+    The model learns from all documents but a tenth; the threshold is calibrated on that tenth, all of it, at any size. Without a document in either
+    part, all are learned from and nothing is rejected."""
+    held = is_calibration(F.col("doc_id"), F.col("text"))
+    model = train_model(train.where(~held))
+    if model is None:
+        return train_model(train), float("inf")
+    left = train.where(held).select("text")
+    return model, rejection_threshold(predict(left, model, []).select("cross_entropy"))
+
+
+def rejected(limit: float):
+    """Whether a row of predict() is in no learned language."""
+    return (F.col("lang_pred") == UNKNOWN) | F.coalesce(F.col("cross_entropy") > limit, F.lit(False))
 
 
 def reject_languages(docs: DataFrame) -> DataFrame:
     """docs without those whose language is `und` or whose cross-entropy is above the threshold."""
-    judged = stored(predict(docs, train_model(training_rows(docs)), docs.columns), "judged")
-    limit = rejection_threshold(judged)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("cross_entropy") <= limit)).select(*docs.columns)
+    seal = Sealed(docs)
+    model, limit = train_with_threshold(training_rows(docs.select("doc_id", "text", "lang")))
+    judged = predict(seal.df, model, seal.columns, seal["text"])
+    return seal.opened(judged.where(~rejected(limit)))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's predicted language and its score; a fifth of the documents teach nothing."""
+    """Every document's predicted language and its score; whether its entropy is above the threshold, or it has none; a fifth of the documents teach nothing."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    found = predict(docs.select("doc_id", "text"), train_model(training_rows(docs)), ["doc_id"])
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy")
+    model, limit = train_with_threshold(training_rows(docs))
+    found = predict(docs.select("doc_id", "text"), model, ["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", rejected(limit).alias("rejected"))

@@ -21,8 +21,8 @@ doc_id, then line number) matches it. Steps, over all lines of all documents:
 
 Words are compared by a 48-bit key (8 bits of rarity, 39 of hash, 1 for several lines), sets by a 63-bit sum of mixed keys.
 Defined results: null texts have one empty line; lines without words never match and always stay; of
-repeated rows (same doc_id and text) all stay or go alike; a null doc_id comes before all others; columns
-besides doc_id and text pass untouched, whatever their names.
+repeated rows (same doc_id, an integer, and text) all stay or go alike; a null doc_id comes before all others; an empty table gives
+no rows; a text is read whole, however long; columns besides doc_id and text pass untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import column_bytes, cut, documents, mix64, pieces_of, row_key, span_hashes, spans_of, stored, text_or_empty
+from ._common import Sealed, column_bytes, cut, documents, mix64, pieces_of, row_key, span_hashes, spans_of, stored, text_or_empty
 
 BUCKETS = 1 << 25
 COARSE = 3  # bits: so many buckets share a class
@@ -528,24 +528,40 @@ def removed_lines(docs: DataFrame, named: int = NAMED, hot: int = HOT, small: in
 
 
 def line_decisions(docs: DataFrame, **limits) -> DataFrame:
-    """(doc, th, removed): per document with removals, its removed line numbers (from 0, ascending)."""
-    gone = removed_lines(row_key(docs).select("doc_id", "text", "_th"), **limits)
+    """(doc, th, removed): per document of docs (doc_id, text) with removals, its removed line numbers (from 0, ascending)."""
+    gone = removed_lines(row_key(docs.select("doc_id", "text")), **limits)
     gone = gone.select("doc", F.shiftright("at", 32).cast("int").alias("th"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("line"))
     return gone.groupBy("doc", "th").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
-def _decided(docs: DataFrame, **limits) -> DataFrame:
-    """docs with _th and _removed (null: nothing)."""
-    d = line_decisions(docs, **limits).select(F.col("doc").alias("_doc"), F.col("th").alias("_t"), F.col("removed").alias("_removed"))
-    keyed = row_key(docs)
-    return keyed.join(d, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == d["_doc"]) & (keyed["_th"] == d["_t"]), "left")
+def decided(docs: DataFrame, **limits) -> DataFrame:
+    """docs with the array of the line numbers that go as their last column, `removed` under a free name (null: none)."""
+    seal = Sealed(docs)
+    doc_id, text = F.col(seal["doc_id"]), F.col(seal["text"])
+    d = line_decisions(seal.df.select(doc_id.alias("doc_id"), text.alias("text")), **limits)
+    keyed = row_key(seal.df, text_col=seal["text"], name="own_th")
+    same = (F.coalesce(doc_id.cast("long"), F.lit(NULL_ID)) == F.col("doc")) & (F.col("own_th") == F.col("th"))
+    return seal.opened(keyed.join(d, same, "left"), removed="removed")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def _without(text, gone):
+    """text without the lines of numbers gone (ascending): runs between them are cut out whole, so time is linear."""
+    lines = F.split(text, "\n", -1)
+    bounds = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
+    both = F.array(F.struct(lines.alias("lines"), bounds.alias("at")))  # bound by a lambda, so made once
+    run = lambda x: lambda k: F.slice(x["lines"], F.get(x["at"], k) + 2, F.get(x["at"], k + 1) - F.get(x["at"], k) - 1)
+    kept = F.transform(both, lambda x: F.flatten(F.transform(F.sequence(F.lit(0), F.size(x["at"]) - 2), run(x))))
+    return F.array_join(kept[0], "\n")
+
+
+def dedup_lines(docs: DataFrame, **limits) -> DataFrame:
     """docs with the later matching lines cut out of text; all rows stay, some with an empty text."""
-    gone = F.col("_removed")
-    kept = F.expr("array_join(filter(split(text, '\n', -1), (x, i) -> not array_contains(_removed, i)), '\n')")
-    return _decided(docs).withColumn("text", F.when(gone.isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    made = decided(docs, **limits)
+    seal = Sealed(made)
+    text, gone = F.col(seal["text"]), F.col(seal.columns[-1])
+    changed = F.when(gone.isNull(), text).otherwise(_without(text, gone))
+    names = list(docs.columns)
+    return seal.df.withColumn(seal["text"], changed).select(*seal.columns[: len(names)]).toDF(*names)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -554,9 +570,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     n = F.coalesce(lines, F.lit(1)).cast("long")
     small = row_key(docs).select("doc_id", "_th", n.alias("n_lines"))
-    d = line_decisions(docs).select(F.col("doc").alias("_doc"), F.col("th").alias("_t"), "removed")
-    out = small.join(d, (F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == d["_doc"]) & (small["_th"] == d["_t"]), "left")
+    d = line_decisions(docs)
+    out = small.join(d, (F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("doc")) & (F.col("_th") == F.col("th")), "left")
     removed = F.coalesce("removed", F.expr("cast(array() as array<int>)"))
-    return out.select(
-        "doc_id", "n_lines", (F.col("n_lines") - F.size(removed)).alias("n_kept"), removed.alias("removed")
-    )
+    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size(removed)).alias("n_kept"), removed.alias("removed"))

@@ -5,7 +5,9 @@ file and decodes the sample tables of each track to codec, duration and the byte
 keyframes. Payload bytes are only addressed, never interpreted.
 
 Defined results: a null payload counts as empty; an empty payload is stored as one padded block; bytes
-that are not a readable container give a null description with a reason; other columns pass untouched.
+that are not a readable container give a null description with a reason; an empty table gives no rows; a text is stored whole,
+however long (up to 2 GB, which a value can have); other columns pass untouched, and where one is called media_info, the new one
+gets underscores after its name.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ._common import documents
+from ._common import Sealed, documents, pieces_of
 
 BLOCK = 576  # bytes in a stored sample
 PAD = b"\xff"
@@ -225,79 +229,89 @@ STORED = "n_bytes long, media binary"
 
 def store_payloads(df: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(key, n_bytes, media): each whole text's UTF-8 bytes, padded to blocks, as an ISO media file."""
+    schema = StructType().add("key", df.schema[key].dataType).add("n_bytes", "long").add("media", "binary")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            raw = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([mux(pad(x, block), block) for x in raw], pa.binary())],
-                ["key", "n_bytes", "media"],
-            )
+            for part in pieces_of(batch, name="b"):
+                raw = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column("b")]
+                media = pa.array([mux(pad(x, block), block) for x in raw], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([len(x) for x in raw], pa.int64()), media], ["key", "n_bytes", "media"])
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("b")).mapInArrow(run, f"key {kind}, {STORED}").withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("b")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def media_columns(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with a struct `media_info` (see MEDIA_TYPE) of the first track of each file."""
-    from pyspark.sql.functions import udf
+    """df with a struct `media_info` (see MEDIA_TYPE) of the first track of each file; null for a null file."""
+    seal = Sealed(df)
+    schema = StructType(list(seal.df.schema.fields)).add("info", StructType.fromDDL(MEDIA_TYPE))
+    info_type = to_arrow_schema(schema).field("info").type
+    media = seal[media]
 
-    @udf(MEDIA_TYPE)
-    def info(value):
-        if value is None:
-            return None
-        try:
-            t = describe(bytes(value))[0]
-        except Malformed as error:
-            return None, None, None, None, None, None, str(error)
-        return t["codec"], t["duration"] / t["timescale"] if t["timescale"] else None, t["timescale"], len(t["samples"]), len(t["keyframes"]), t["keyframes"], None
+    def run(batches):
+        import pyarrow as pa
 
-    return df.withColumn("media_info", info(F.col(media)))
+        for batch in batches:
+            for part in pieces_of(batch, name=media):
+                yield part.append_column("info", pa.array([info_of(x.as_buffer().to_pybytes()) if x.is_valid else None for x in part.column(media)], info_type))
+
+    return seal.opened(seal.df.mapInArrow(run, schema), media_info="info")
+
+
+def info_of(media: bytes) -> dict:
+    """The media columns of a file, by name."""
+    try:
+        t = describe(media)[0]
+    except Malformed as error:
+        return {"problem": str(error)}
+    return {
+        "codec": t["codec"], "duration_s": t["duration"] / t["timescale"] if t["timescale"] else None, "timescale": t["timescale"], "n_samples": len(t["samples"]),
+        "n_keyframes": len(t["keyframes"]), "keyframes": [{"offset": a, "size": n} for a, n in t["keyframes"]], "problem": None,
+    }
 
 
 MEDIA_TYPE = (
-    "struct<codec: string, duration_s: double, timescale: bigint, n_samples: bigint, n_keyframes: bigint, "
-    "keyframes: array<struct<offset: bigint, size: bigint>>, problem: string>"
+    "codec string, duration_s double, timescale bigint, n_samples bigint, n_keyframes bigint, "
+    "keyframes array<struct<offset: bigint, size: bigint>>, problem string"
 )
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document through a container and back: sizes and hashes of what was read, and its features.
+    """Every document through a container and back: sizes and hashes of what was read, its features and its media columns.
 
-    feature: codec, duration in seconds, samples, keyframes, and a CRC of the keyframes' byte ranges.
+    feature: codec, duration in seconds, samples, keyframes, and a CRC of the keyframes' byte ranges, all from media_info.
     """
-    stored = store_payloads(documents(spark, sf_dir))
+    stored = media_columns(store_payloads(documents(spark, sf_dir)))
+    info_type = stored.schema["media_info"].dataType
+    columns = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    names = [c.split()[0] for c in columns.split(", ")]
+    schema = StructType.fromDDL(columns).add("media_info", info_type)
 
     def read(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = []
-            for media in batch.column("media"):
-                media = media.as_buffer().to_pybytes()
-                track = describe(media)[0]
-                payload = payload_of(media, track)
-                ranges = ",".join(f"{a}+{n}" for a, n in track["keyframes"])
-                rows.append(
-                    (
-                        len(payload),
-                        hashlib.sha256(payload).hexdigest(),
-                        zlib.crc32(payload[-32:]),
-                        len(media),
-                        hashlib.sha256(media).hexdigest(),
-                        f"codec={track['codec'].strip()};seconds={track['duration'] / track['timescale']:.6f};samples={len(track['samples'])};"
-                        f"keyframes={len(track['keyframes'])};ranges={zlib.crc32(ranges.encode()):08x}",
+            for part in pieces_of(batch, name="media"):
+                rows = []
+                for media, info in zip(part.column("media"), part.column("media_info").to_pylist()):
+                    media = media.as_buffer().to_pybytes()
+                    payload = payload_of(media, describe(media)[0])
+                    ranges = ",".join(f"{k['offset']}+{k['size']}" for k in info["keyframes"])
+                    rows.append(
+                        (
+                            len(payload),
+                            hashlib.sha256(payload).hexdigest(),
+                            zlib.crc32(payload[-32:]),
+                            len(media),
+                            hashlib.sha256(media).hexdigest(),
+                            f"codec={info['codec'].strip()};seconds={info['duration_s']:.6f};samples={info['n_samples']};"
+                            f"keyframes={info['n_keyframes']};ranges={zlib.crc32(ranges.encode()):08x}",
+                        )
                     )
-                )
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
-
-    return stored.mapInArrow(
-        read,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
-    )
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *made, part.column("media_info")], [*names, "media_info"])
+
+    return stored.mapInArrow(read, schema)

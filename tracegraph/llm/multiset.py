@@ -2,7 +2,8 @@
 
 Each paragraph (a line) is hashed to a wide vector; a text's fingerprint is the sum of its paragraphs' vectors,
 each lane modulo a power of two. So it does not depend on their order, and adding or subtracting a
-paragraph's vector inserts or deletes it. The vector has two parts:
+paragraph's vector inserts or deletes it (`inserted`, `deleted`); an edited text's vector is made so from that of the text before.
+The vector has two parts:
 
 - 16 lanes modulo 2^32, from eight 64-bit hashes of the whole paragraph: equality;
 - 128 lanes modulo 2^16: how many of the paragraph's runs of up to three words, one from each word on, have a 1 at
@@ -11,13 +12,12 @@ paragraph's vector inserts or deletes it. The vector has two parts:
 
 DataFrame functions only. Defined results: a null text is empty; the empty text is one empty paragraph; rows
 that share a doc_id and a text count as one document when the next is sought and have equal results; those that share a
-doc_id only are in the order of a hash of their text; null doc_ids come first (held as the least long); other columns are ignored.
+doc_id only are in the order of a hash of their text; null doc_ids come first (held as the least long); an empty table gives no rows;
+texts are read whole, however long; other columns are ignored.
 """
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ._common import cut, documents, fresh_path
@@ -72,6 +72,26 @@ def vectors(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     return sums.select(*key, F.struct(dense.alias("dense"), half(F.col("_runs").bitwiseAND(0xFFFF)).alias("runs"), counts.alias("counts")).alias("vector"))
 
 
+def _lanes(v: Column, w: Column, sign: int) -> Column:
+    """v + sign * w, lane by lane."""
+    wrapped = lambda x, bits: (x + (1 << bits - 1)).bitwiseAND((1 << bits) - 1) - (1 << bits - 1)
+    total = lambda bits, kind: lambda x, y: wrapped(x.cast("long") + sign * y.cast("long"), bits).cast(kind)
+    return F.struct(
+        F.zip_with(v["dense"], w["dense"], total(32, "int")).alias("dense"), total(16, "short")(v["runs"], w["runs"]).alias("runs"),
+        F.zip_with(v["counts"], w["counts"], total(16, "short")).alias("counts"),
+    )
+
+
+def inserted(v: Column, w: Column) -> Column:
+    """The vector of a text with the paragraphs of v and those of w."""
+    return _lanes(v, w, 1)
+
+
+def deleted(v: Column, w: Column) -> Column:
+    """The vector of a text with the paragraphs of v without those of w, which must be among them."""
+    return _lanes(v, w, -1)
+
+
 def fingerprint(vector: Column) -> Column:
     """The vector as hex digits: 16 lanes of 8, the number of runs, 128 lanes of 4."""
     low = lambda x: x.cast("int").bitwiseAND(0xFFFF)
@@ -121,15 +141,24 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("of_id"), F.col("of_th"), F.col("_id").alias("next_id"), F.col("_th").alias("next_th"), "n", F.substring("text", F.lit(1), need).alias("head")
     )
     both = rows.join(heads, (F.col("_id") == F.col("of_id")) & (F.col("_th") == F.col("of_th")))
-    edited = F.concat(F.substring("text", F.lit(1), F.col("n").cast("int") - need), F.col("head"))
+    kept = F.substring("text", F.lit(1), F.col("n").cast("int") - need)
     key = ["_id", "_th", "next_id", "next_th", "copies", "n"]
-    texts = both.select(*key, "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    # paragraphs that end before the edit stay as they are; the others are taken out and those of the new end put in
+    same = F.regexp_extract(kept, r"^(?s:.*\n)", 0)
+    texts = both.select(*key, "text", kept.alias("kept"), "head", same.alias("same")).withColumn("edited_sha256", F.sha2(F.concat("kept", "head").cast("binary"), 256))
     key.append("edited_sha256")
-    each = texts.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("text")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("text")))).alias("t"))
-    made = vectors(each.select(*key, "t.v", "t.text"), [*key, "v"])
+    rest = lambda c: F.substring(c, F.length("same") + 1, F.length(c))
+    part = lambda v, text: F.struct(F.lit(v).alias("v"), text.alias("text"))
+    before = F.when(F.length("same") > 0, F.substring("same", F.lit(1), F.length("same") - 1))  # its last line feed parts it from the rest
+    parts = F.filter(F.array(part(0, before), part(1, rest("text")), part(2, F.concat(rest("kept"), F.col("head")))), lambda t: t["text"].isNotNull())
+    made = vectors(texts.select(*key, F.explode(parts).alias("t")).select(*key, "t.v", "t.text"), [*key, "v"])
     of = lambda v: F.max(F.when(F.col("v") == v, F.col("vector")))
     path = fresh_path(spark, "fingerprints")
-    made.groupBy(*key).agg(of(0).alias("own"), of(1).alias("changed")).write.option("compression", "zstd").parquet(path)
+    sums = made.groupBy(*key).agg(of(0).alias("same"), of(1).alias("old"), of(2).alias("new"))
+    whole = F.when(F.col("same").isNull(), F.col("old")).otherwise(inserted(F.col("same"), F.col("old")))
+    sums = sums.select(*key, whole.alias("own"), "old", "new")
+    sums = sums.select(*key, "own", inserted(deleted(F.col("own"), F.col("old")), F.col("new")).alias("changed"))
+    sums.write.option("compression", "zstd").parquet(path)
     pairs = spark.read.parquet(path)
     after = pairs.select(F.col("_id").alias("next_id"), F.col("_th").alias("next_th"), F.col("own").alias("next"))
     out = pairs.join(after, ["next_id", "next_th"])

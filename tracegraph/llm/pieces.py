@@ -3,7 +3,7 @@
 A text, with a space put before it, is the lattice of all ways to write it in pieces of a SentencePiece
 vocabulary (spaces as U+2581; a character without a piece as its UTF-8 bytes). A piece of rank r weighs
 (r + 10) ** -alpha. No piece of such vocabularies goes on past the start of a space after a non-space, so the lattice falls
-into units there. Forward sums are made once for each distinct unit of a batch; then every occurrence draws
+into units there, and a unit into parts where no piece reaches across. Forward sums are made once for each distinct unit of a batch; then every occurrence draws
 its pieces from its end backward, each in proportion to the weight of all ways to get there. The random number
 at a character is a hash of the row's key and the character's place in the text: equal rows give equal
 segmentations, in any batch, order or retry. Decoding joins the pieces and drops the first space, without loss.
@@ -16,18 +16,21 @@ other columns pass untouched.
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructType
 
-from ._common import documents, mix64, pieces_of, span_hashes
+from ._common import Sealed, documents, mix64, pieces_of, span_hashes
 
 SPACE, MARK = 0x20, 0x2581
 ALPHA = 1.0
 OFFSET = 10.0
 BYTE_COST = -14.0  # log weight of a byte
 SLICE = 1 << 20  # bytes of text worked on at a time
+LONG = 64  # characters of a part that are worked on with those of all others
+FEW = 16  # parts that are written one by one
 
 
 def default_model() -> str:
@@ -152,12 +155,23 @@ class Lattice:
         node, length, piece, log = (np.concatenate(x) for x in (nodes, lengths, pieces, logs))
         order = np.argsort(node, kind="stable")  # runs in order: merged, not sorted
         node, length, piece, log = node[order], length[order], piece[order], log[order]
+        # parts: a unit is cut before each character that no edge reaches over, as all ways pass there
+        over = np.zeros(total + 2, np.int64)
+        np.add.at(over, node - length + 2, 1)
+        np.add.at(over, node + 1, -1)
+        self.part = np.flatnonzero(np.cumsum(over[:total]) == 0)
+        sizes = np.diff(np.concatenate([self.part, [total]]))
+        self.part_size = sizes
+        self.part_of_unit = np.searchsorted(self.part, np.concatenate([self.begin, [total]]))
+        pos = np.arange(total) - np.repeat(self.part, sizes)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(node, minlength=total))])
         step = pos[node]
-        by_step = np.argsort(step.astype(np.int16) if total and pos.max() < 1 << 15 else step, kind="stable")
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(step))]) if len(step) else [0]
+        near = np.flatnonzero(step < LONG)
+        by_step = near[np.argsort(step[near].astype(np.int16), kind="stable")]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(step[near]))]) if len(near) else [0]
         alpha_at = np.full(total, -np.inf)  # log weight of all ways up to and with this character
         chance = np.empty(len(node))
-        for place, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):  # the forward sums, all units at once
+        for place, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):  # the forward sums, all parts at once
             edge = by_step[a:b]
             e_node, e_len = node[edge], length[edge]
             w = log[edge]
@@ -174,8 +188,44 @@ class Lattice:
             run[first + count - 1] = 1.0
             chance[edge] = run
             alpha_at[e_node[first]] = top + np.log(whole)
+        for k in np.flatnonzero(sizes > LONG).tolist():  # and what lies beyond LONG characters of a part, one by one
+            self._walk(int(self.part[k]), int(sizes[k]), length, log, alpha_at, chance)
         self.length, self.piece, self.chance = length, piece, chance
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(node, minlength=total))])
+
+    def _walk(self, begin: int, size: int, length: np.ndarray, log: np.ndarray, alpha_at: np.ndarray, chance: np.ndarray) -> None:
+        """The forward sums of the part at begin, from its LONG-th character on: a few steps an edge, however long the part."""
+        edges = self.first[begin + LONG : begin + size + 1]
+        low = int(edges[0])
+        lengths, logs, cuts = length[low : edges[-1]].tolist(), log[low : edges[-1]].tolist(), (edges - low).tolist()
+        sums = alpha_at[begin : begin + LONG].tolist()
+        out: list[float] = []
+        for place in range(LONG, size):
+            ways = [logs[e] + (sums[place - lengths[e]] if lengths[e] <= place else 0.0) for e in range(cuts[place - LONG], cuts[place - LONG + 1])]
+            top = max(ways)
+            run, runs = 0.0, []
+            for w in ways:
+                run += math.exp(w - top)
+                runs.append(run)
+            out += [r / run for r in runs[:-1]]
+            out.append(1.0)
+            sums.append(top + math.log(run))
+        chance[low : edges[-1]] = out
+
+
+    def write(self, begin: int, left: int, u: np.ndarray, out: np.ndarray) -> None:
+        """Draws the pieces of the part at begin from its left-th character backward into out; u: the number drawn where that many are left."""
+        edges = self.first[begin : begin + left + 1]
+        low = int(edges[0])
+        lengths, chances, cuts, draws = self.length[low : edges[-1]].tolist(), self.chance[low : edges[-1]].tolist(), (edges - low).tolist(), u.tolist()
+        starts, chosen = [], []
+        while left:
+            edge = cuts[left - 1]
+            while chances[edge] <= draws[left]:
+                edge += 1
+            left -= lengths[edge]
+            starts.append(left)
+            chosen.append(edge)
+        out[starts] = self.piece[low + np.array(chosen, np.int64)]
 
 
 def sample(v: Vocabulary, texts: list[str], seeds: np.ndarray, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
@@ -195,15 +245,18 @@ def sample(v: Vocabulary, texts: list[str], seeds: np.ndarray, alpha: float = AL
     _, first, which = np.unique(span_hashes(units, starts, ends), return_index=True, return_inverse=True)
     lattice = Lattice(v, units, starts[first], ends[first], alpha)
     place = np.full(len(units), -2, np.int64)  # the piece that starts at each character
-    row = np.searchsorted(stops, starts, side="right")
-    at, left = lattice.begin[which], ends - starts  # the unit's first node; characters still to be written
-    base = starts
+    begin, end = lattice.part_of_unit[which], lattice.part_of_unit[which + 1]
+    of = np.repeat(np.arange(len(starts)), end - begin)  # the unit of each part
+    part = np.arange(len(of)) - np.repeat(np.cumsum(end - begin) - end, end - begin)
+    at, left = lattice.part[part], lattice.part_size[part].copy()  # the part's first node; characters still to be written
+    base = starts[of] + at - lattice.begin[which[of]]
+    row = np.searchsorted(stops, base, side="right")
     own = seeds[row] ^ mix64(seeds[row] + np.uint64(1))
     offset = (stops - sizes)[row]
-    while len(at):
+    draw = lambda own, spot: (mix64(own + spot.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    while len(at) > FEW:
         node = at + left - 1
-        spot = base + left - offset
-        u = (mix64(own + spot.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        u = draw(own, base + left - offset)
         edge = lattice.first[node]
         low = np.flatnonzero(lattice.chance[edge] <= u)
         while len(low):
@@ -214,6 +267,8 @@ def sample(v: Vocabulary, texts: list[str], seeds: np.ndarray, alpha: float = AL
         go = left > 0
         if not go.all():
             at, left, base, own, offset = at[go], left[go], base[go], own[go], offset[go]
+    for k in range(len(at)):  # the last few, which may be long, one by one
+        lattice.write(int(at[k]), int(left[k]), draw(own[k], base[k] + np.arange(left[k] + 1) - offset[k]), place[base[k] : base[k] + left[k]])
     used = np.flatnonzero(place > -2)
     ids = place[used]
     size = np.ones(len(ids), np.int64)
@@ -243,8 +298,9 @@ def encode_sampled(df: DataFrame, key: str = "doc_id", text: str = "text", model
     """df with ids, a sampled segmentation of text seeded by seed and key (any type). check: a column that says
     whether the ids, decoded, are the text."""
     model = model or default_model()
-    columns = list(df.columns)
-    seeded = df.withColumn("_seed", F.xxhash64(F.lit(seed), F.col(key)))
+    seal = Sealed(df)
+    seeded = seal.df.withColumn("seed", F.xxhash64(F.lit(seed), F.col(seal[key])))
+    text, columns = seal[text], seal.columns
 
     def run(batches):
         import pyarrow as pa
@@ -253,7 +309,7 @@ def encode_sampled(df: DataFrame, key: str = "doc_id", text: str = "text", model
         for batch in batches:
             for part in pieces_of(batch, SLICE, text):
                 texts = part.column(text).to_pylist()
-                seeds = np.asarray(part.column("_seed")).view(np.uint64)
+                seeds = np.asarray(part.column("seed")).view(np.uint64)
                 values, stops = sample(v, [t or "" for t in texts], seeds, alpha)
                 offsets = pa.array(np.concatenate([[0], stops]).astype(np.int32))
                 none = np.array([t is None for t in texts])
@@ -262,16 +318,19 @@ def encode_sampled(df: DataFrame, key: str = "doc_id", text: str = "text", model
                 if check:
                     same = [None if t is None else t == u for t, u in zip(texts, decode_all(v, values.astype(np.int64), stops))]
                     out.append(pa.array(same, pa.bool_()))
-                yield pa.RecordBatch.from_arrays(out, [*columns, ids, *([check] if check else [])])
+                yield pa.RecordBatch.from_arrays(out, [*columns, "ids", *(["same"] if check else [])])
             pa.default_memory_pool().release_unused()
 
-    schema = StructType(list(df.schema.fields)).add(ids, ArrayType(IntegerType()))
-    return seeded.mapInArrow(run, schema.add(check, BooleanType()) if check else schema)
+    schema = StructType(list(seal.df.schema.fields)).add("ids", ArrayType(IntegerType()))
+    made = seeded.mapInArrow(run, schema.add("same", BooleanType()) if check else schema)
+    return seal.opened(made, **{ids: "ids"}, **({check: "same"} if check else {}))
 
 
 def decoded(df: DataFrame, ids: str = "ids", text: str = "decoded", model: str | None = None) -> DataFrame:
     """df with the text that ids stand for."""
     model = model or default_model()
+    seal = Sealed(df)
+    ids = seal[ids]
 
     def run(batches):
         import pyarrow as pa
@@ -284,9 +343,9 @@ def decoded(df: DataFrame, ids: str = "ids", text: str = "decoded", model: str |
                 lists = part.column(ids)
                 stops = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64))
                 texts = decode_all(v, np.asarray(lists.flatten()).astype(np.int64), stops)
-                yield part.append_column(text, pa.array(texts, pa.string(), mask=np.asarray(lists.is_null())))
+                yield part.append_column("text", pa.array(texts, pa.string(), mask=np.asarray(lists.is_null())))
 
-    return df.mapInArrow(run, StructType(list(df.schema.fields)).add(text, "string"))
+    return seal.opened(seal.df.mapInArrow(run, StructType(list(seal.df.schema.fields)).add("text", "string")), **{text: "text"})
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,20 +2,20 @@
 
 The models are variable-order Markov models (contexts of 0 to 3 characters, Witten-Bell interpolation) of the
 host and path of the URLs that rules accept and of those that they reject. Characters fall in 32 classes, so a model
-has 32^4 entries however many URLs there are: one array of 2^20 log ratios, looked up in a map-only pass. The
+has 32^4 entries however many URLs there are: one array of 2^20 log ratios, looked up where the characters are. The
 score is the mean log ratio per character; its threshold is the one with the best balanced accuracy on a
 fifth of the ruled URLs that the counts leave out. DataFrame functions only.
 
 Defined results: a null URL or one without `://` has empty host and path, no rule and score 0; the threshold
-is 0 where either class has no URL to calibrate on; repeated rows are judged and counted each; other columns
-are ignored.
+is 0 where either class has no URL to calibrate on; repeated rows are judged and counted each; an empty table gives no rows;
+other columns (no maps) pass untouched, and where one has the name of a column to be added, that one gets underscores after its name.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ._common import cut
+from ._common import Sealed, cut
 
 #: (host, path, verdict). A rule fits its host and all subdomains where the path starts with its own.
 RULES = [
@@ -99,7 +99,8 @@ def log_ratios(counted: DataFrame) -> DataFrame:
 def score(df: DataFrame, ratios: Column) -> DataFrame:
     """df with score, the mean log ratio of the characters of text (0 if null or empty). df keeps its other columns.
 
-    The characters of a row are added up where they are made; what is shuffled is one row each.
+    The table of ratios is a scalar subquery, which no function of arrays may hold, so characters are rows for a while: they are
+    added up in the task that makes them, and what is shuffled is one row each. The other columns are those of a group, so none may be a map.
     """
     columns = [c for c in df.columns if c != "text"]
     each = df.select(*columns, F.posexplode_outer(grams(F.col("text"))).alias("_at", "_gram"))
@@ -128,10 +129,11 @@ def threshold(scored: DataFrame) -> float:
 
 
 def judge(urls: DataFrame, rules=RULES) -> DataFrame:
-    """urls (url and any others that can be grouped by) with host, path, rule, score and verdict (`allow` or `block`)."""
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    df = with_rule(urls.withColumn("host", host).withColumn("path", path), rules).withColumn("text", F.concat("host", "path"))
-    held = F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(HELD_OUT)) == 0
+    """urls (url and any others) with host, path, rule, verdict (`allow` or `block`) and score (null where a rule decides)."""
+    seal = Sealed(urls)
+    url = F.col(seal["url"])
+    df = with_rule(seal.df.withColumn("host", host_of(url)).withColumn("path", path_of(url)), rules).withColumn("text", F.concat("host", "path"))
+    held = F.pmod(F.crc32(url.cast("binary")), F.lit(HELD_OUT)) == 0
     labelled = df.where(F.col("rule").isNotNull()).select("text", (F.col("rule_verdict") == "allow").alias("accept"), held.alias("held"))
     model = cut(log_ratios(cut(counts(labelled.where(~F.col("held"))))))
     ratios = model.select("ratios").scalar()
@@ -139,7 +141,7 @@ def judge(urls: DataFrame, rules=RULES) -> DataFrame:
     judged = score(df.withColumn("text", F.when(F.col("rule").isNull(), F.col("text"))), ratios)
     judged = judged.withColumn("score", F.when(F.col("rule").isNull(), F.col("score")))
     judged = judged.withColumn("verdict", F.coalesce("rule_verdict", F.when(F.col("score") >= limit, "allow").otherwise("block")))
-    return judged.drop("rule_verdict")
+    return seal.opened(judged, host="host", path="path", rule="rule", verdict="verdict", score="score")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
