@@ -5,6 +5,12 @@
 3. near_dedup: of each group of near copies one document stays.
 4. mixing: sources are mixed to their target weights; a document that is taken twice is there twice.
 5. sentencepiece: each text is segmented by sampling, and decoded again to show that nothing was lost.
+
+Defined results, of each stage and so of all: an empty table gives none but its columns; a document with a null or empty text, or
+one without letters, goes in the first stage, so later ones see none of these from it (alone they take a null text as empty);
+a null doc_id, lang or source is a value like others; repeated rows are judged each, and near_dedup keeps one of them; texts are
+worked on whole, however long; columns besides those of documents pass through all stages untouched, whatever their names (the last
+stage's ids, n_pieces and lossless get underscores after their names where the table has such columns).
 """
 
 from __future__ import annotations
@@ -37,7 +43,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_sampled(docs, check="lossless").withColumn("n_pieces", F.size("ids").cast("long"))
+    made = encode_sampled(docs, check="lossless")
+    ids = made.columns[len(docs.columns)]
+    taken = {c.lower() for c in made.columns}
+    name = next(n for n in ("n_pieces" + "_" * k for k in range(len(taken) + 1)) if n not in taken)
+    return made.withColumn(name, F.size(ids).cast("long"))
 
 
 STAGES = [
@@ -48,7 +58,7 @@ STAGES = [
     ("sentencepiece", sentencepiece),
 ]
 
-#: Trained models, hashes and sampled segmentations have no SQL; the tests hold run() against a brute-force version.
+#: Trained models, hashes and sampled segmentations have no SQL; test_pipeline holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
