@@ -175,6 +175,57 @@ def test_annotations(fleet):
     assert T.to_document(g)["annotations"] == [{"namespace": "me", "node_id": "x", "key": "k", "value": 2}, {"namespace": "me", "node_id": "y", "key": "k", "value": True}]
 
 
+def test_annotations_in_bulk(fleet, spark):
+    g = fleet.one("calls")
+    rows = [("calls", "me", "x", "k", str(i), i) for i in range(6)] + [("calls", "me", "y", "k", '{"b": 1, "a": [2]}', 0)]
+    columns = "graph_key string, namespace string, node_id string, key string, value_json string, at int"
+    got = g.annotate_all(spark.createDataFrame(rows, columns).repartition(4), "at")
+    assert [(r["node_id"], r["value_json"]) for r in got.annotations().collect()] == [("x", "5"), ("y", '{"a":[2],"b":1}')]
+    for bad in (("calls", "me", "nobody", "k", "1", 0), ("calls", "tracegraph.x", "x", "k", "1", 0), ("calls", None, "x", "k", "1", 0), ("calls", "me", "x", "k", "not json", 0)):
+        with pytest.raises(ValueError):
+            g.annotate_all(spark.createDataFrame([*rows, bad], columns), "at")
+
+
+def test_call_edges_are_unique(spark):
+    """Two nodes that share two calls have one edge."""
+    record = lambda i, role, ids: {"graph_key": "g", "span_id": i, "source_key": i, "kind": "tool", "call_ids": ids, "call_role": role, "started_at": 1.0}
+    from pyspark.sql.types import StructType
+    from tracegraph.schema import SPANS
+
+    schema = StructType.fromDDL(SPANS)
+    rows = [record("a", "requester", ["c1", "c2"]), record("b", "fulfiller", ["c1", "c2"]), record("d", "fulfiller", ["c2"])]
+    spans = spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in rows], schema)
+    g = T.build_graphs(spans, temporal=False).settled()
+    assert sorted((e["src"], e["dst"]) for e in g.edges("call_result").collect()) == [("a", "b"), ("a", "d")] and problems(g).count() == 0
+
+
+def test_paths_are_read_as_they_are(spark, tmp_path):
+    for name in ("_hidden.jsonl", ".dot.jsonl", "run[1].jsonl", "a{b}c*.jsonl", "plain.jsonl"):
+        (tmp_path / name).write_bytes(FLEET["calls"])
+        assert T.build(spark, str(tmp_path / name)).nodes().count() == 5
+    assert T.build_all(spark, f"{tmp_path}/*.jsonl").graphs_df.count() == 3 and T.build_all(spark, str(tmp_path)).graphs_df.count() == 3
+    assert T.build_all(spark, tmp_path / "_hidden.jsonl", tmp_path / "plain.jsonl", FLEET["late"]).graphs_df.count() == 3
+
+
+def test_shapes(fleet):
+    from tracegraph.operators import rollup
+
+    made = rollup.shapes(fleet.nodes_df, fleet.edges_df)
+    got = {r["shape"]: r["graphs"] for r in rollup.coverage(made).collect()}
+    assert got == {"tool_call": 3, "no_tool_call": 2, "parallel": 0, "failing": 0, "nested": 0, "retrieves": 0, "varied_tools": 1}
+    shown = sorted((r["shape"], r["graph_key"]) for r in rollup.showing(made).collect())
+    assert [g for s, g in shown if s == "varied_tools"] == ["calls"] and [g for s, g in shown if s == "no_tool_call"] == ["array", "cycle"]
+    assert {r["shape"] for r in rollup.missing(made).collect()} == {"parallel", "failing", "nested", "retrieves"}
+
+
+def test_paths_longer_than_any_limit(spark):
+    from tracegraph.operators import traverse
+
+    chain = spark.createDataFrame([("g", f"n{i}", f"n{i + 1}", "parent", "") for i in range(70)], "graph_key string, src string, dst string, kind string, basis string")
+    (row,) = traverse.simple_paths(chain, "n0", "n70").collect()
+    assert len(row["path"]) == 71 and traverse.simple_paths(chain, "n0", "n70", max_length=69).count() == 0
+
+
 def test_validate_finds_what_is_planted(docs):
     good = docs["calls"]
     plant = [
@@ -223,7 +274,8 @@ def test_command_line(tmp_path, capsys, spark, monkeypatch):
     assert cli.main(["build", str(tmp_path / "in.jsonl"), "-o", out]) == 0
     assert cli.main(["validate", out]) == 0 and cli.main(["inspect", out]) == 0
     said = capsys.readouterr().out
-    assert "nodes: 5" in said and "call_result (explicit): 1" in said
+    said = [line.split() for line in said.splitlines()]
+    assert ["5", "nodes"] in said and ["1", "call_result", "(explicit)"] in said
     (tmp_path / "bad").write_bytes(FLEET["twice"])
     assert cli.main(["build", str(tmp_path / "bad")]) == 1 and cli.main(["validate", str(tmp_path / "bad")]) == 1
     assert cli.main(["adapters"]) == 0 and cli.main(["build", str(tmp_path / "none")]) == 1

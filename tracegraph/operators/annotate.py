@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import canonical_json
@@ -22,6 +24,37 @@ def checked_value(namespace: str, value) -> str:
         raise ValueError(f"the value is no JSON: {error}") from error
 
 
+def canonical_values(entries: DataFrame) -> DataFrame:
+    """entries with value_json as canonical JSON text; null where it is none."""
+    schema = entries.schema
+    at = entries.columns.index("value_json")
+
+    def one(text):
+        try:
+            return None if text is None else canonical_json(json.loads(text))
+        except (ValueError, RecursionError):
+            return None
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.set_column(at, "value_json", pa.array([one(x) for x in batch.column(at).to_pylist()], pa.string()))
+
+    return entries.mapInArrow(run, schema)
+
+
+def refusals(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """entries (canonical) that annotate() would refuse, with the reason in `refused`."""
+    space = F.coalesce("namespace", F.lit(""))
+    reason = (
+        F.when(space == "", "an annotation needs a namespace").when((space == RESERVED) | space.startswith(f"{RESERVED}."), "the namespace is reserved")
+        .when(F.col("value_json").isNull(), "the value is no JSON").when(F.col("_known").isNull(), "there is no such node")
+    )
+    known = nodes.select("graph_key", "node_id", F.lit(True).alias("_known"))
+    return entries.join(known, ["graph_key", "node_id"], "left").withColumn("refused", reason).where("refused is not null").drop("_known")
+
+
 def latest(entries: DataFrame, order: str) -> DataFrame:
     """One entry a key, the last by `order`."""
     rank = F.row_number().over(W.partitionBy(*KEY).orderBy(F.col(order).desc()))

@@ -23,8 +23,10 @@ def of_spans(ided: DataFrame) -> DataFrame:
     return d.select("graph_key", "d.code", "d.level", "d.message", "node_id", "d.source_json", F.col("adapter_id").alias("adapter")).select(*COLUMNS)
 
 
-def foreign_traces(ided: DataFrame) -> DataFrame:
-    strange = ided.where(F.col("trace_id").isNotNull() & ~F.col("trace_id").eqNullSafe(F.col("majority")))
+def foreign_traces(ided: DataFrame, traces: DataFrame) -> DataFrame:
+    """traces: majority_trace() of the inputs."""
+    most = traces.withColumnRenamed("trace_id", "majority")
+    strange = ided.where(F.col("trace_id").isNotNull()).join(most, "graph_key").where(~F.col("trace_id").eqNullSafe(F.col("majority")))
     said = F.concat(F.lit("the record is of trace "), F.col("trace_id"), F.lit(", most of the input of "), F.col("majority"))
     return _rows(strange, "multi_trace_input", said, json_text(F.col("trace_id")), adapter=F.col("adapter_id"))
 

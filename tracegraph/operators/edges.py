@@ -34,10 +34,11 @@ def call_sides(ided: DataFrame) -> DataFrame:
 
 
 def call_result_edges(sides: DataFrame) -> DataFrame:
-    """Every requester of a call to every fulfiller of it."""
+    """Every requester of a call to every fulfiller of it; once, however many calls they share."""
     asked = sides.where("call_role = 'requester'").select("graph_key", "call_id", F.col("node_id").alias("src"), "adapter_id")
     answered = sides.where("call_role = 'fulfiller'").select("graph_key", "call_id", F.col("node_id").alias("dst"))
-    return _edges(asked.join(answered, ["graph_key", "call_id"]), "src", "dst", "call_result", F.lit(CALL_BASIS), F.col("adapter_id"))
+    once = asked.join(answered, ["graph_key", "call_id"]).groupBy("graph_key", "src", "dst").agg(F.min("adapter_id").alias("adapter_id"))
+    return _edges(once, "src", "dst", "call_result", F.lit(CALL_BASIS), F.col("adapter_id"))
 
 
 def unpaired(sides: DataFrame, role: str) -> DataFrame:
@@ -70,13 +71,24 @@ def data_edges(ided: DataFrame, sides: DataFrame) -> DataFrame:
     )
 
 
-def siblings(nodes: DataFrame, parent: DataFrame, slices: int = 1) -> DataFrame:
+GROUP = 1_000_000  # siblings that one task sorts, about
+
+
+def slices_for(nodes: DataFrame, parent: DataFrame) -> int:
+    """How many slices the largest group of siblings wants; from counts alone, which are summed before they move."""
+    below = parent.groupBy("graph_key", "src").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    every = nodes.groupBy("graph_key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0 if below <= GROUP else below
+    return max(1, -(-max(below, every) // GROUP))
+
+
+def siblings(nodes: DataFrame, parent: DataFrame, slices: int | None = 1) -> DataFrame:
     """(graph_key, node_id, next_id, tied): each node with a start and the sibling after it, by start and id.
 
     nodes: graph_key, node_id, started_at. parent: graph_key, src, dst edges; nodes without one are siblings at
     the root. With slices > 1 each group of siblings is also cut at that many quantiles of all starts, so that one
-    huge group is sorted by many tasks; the last of a slice is joined to the first of the next.
+    huge group is sorted by many tasks; the last of a slice is joined to the first of the next. None: as many as slices_for says.
     """
+    slices = slices_for(nodes, parent) if slices is None else slices
     known = nodes.where(F.col("started_at").isNotNull()).select("graph_key", "node_id", "started_at")
     placed = known.join(parent.select("graph_key", F.col("dst").alias("node_id"), F.col("src").alias("parent")), ["graph_key", "node_id"], "left")
     group, order = ["graph_key", "parent"], ["started_at", "node_id"]
@@ -99,13 +111,14 @@ def siblings(nodes: DataFrame, parent: DataFrame, slices: int = 1) -> DataFrame:
     return found.select("graph_key", "node_id", F.col("after.node_id").alias("next_id"), (F.col("started_at") == F.col("after.started_at")).alias("tied"))
 
 
-def temporal_edges(nodes: DataFrame, parent: DataFrame, slices: int = 1) -> DataFrame:
+def temporal_edges(nodes: DataFrame, parent: DataFrame, slices: int | None = 1) -> DataFrame:
     pairs = siblings(nodes, parent, slices)
     return _edges(pairs, "node_id", "next_id", "temporal", F.when(F.col("tied"), TIED_BASIS).otherwise(TEMPORAL_BASIS), None)
 
 
 def all_edges(parent: DataFrame, calls: DataFrame, data: DataFrame, links: DataFrame, temporal: DataFrame | None) -> DataFrame:
-    """One row for each (src, dst, kind, basis). Parent, call_result and temporal edges are unique as they are made."""
+    """One row for each (src, dst, kind, basis): a node has one parent and one sibling after it at most, and call_result_edges
+    gives a pair once, so only the others can repeat."""
     once = ["graph_key", "src", "dst", "kind", "basis"]
     out = parent.unionByName(calls).unionByName(data.unionByName(links).dropDuplicates(once))
     return out if temporal is None else out.unionByName(temporal)

@@ -14,15 +14,17 @@ def majority_trace(spans: DataFrame) -> DataFrame:
 
 
 def identified(spans: DataFrame, traces: DataFrame, adapter: Column) -> DataFrame:
-    """spans with node_id, majority (their input's trace) and unique (whether span_id names this span alone).
+    """spans with node_id and unique (whether span_id names this span alone). traces: majority_trace() of the inputs.
 
-    adapter: a column of the adapter's id, a literal or of spans itself."""
+    adapter: a column of the adapter's id, a literal or of spans itself. Only spans whose id is derived, or claimed twice, meet their
+    input's trace; the others keep the id they have."""
     claims = spans.where(F.col("span_id").isNotNull()).groupBy("graph_key", "span_id").agg(F.count(F.lit(1)).alias("_claims"))
-    many = claims.where("_claims > 1").select("graph_key", "span_id", F.lit(False).alias("_own"))
-    joined = spans.join(many, ["graph_key", "span_id"], "left").join(traces.withColumnRenamed("trace_id", "majority"), "graph_key", "left")
-    own = F.col("span_id").isNotNull() & F.coalesce("_own", F.lit(True))
-    node_id = F.when(own, F.col("span_id")).otherwise(derived_id(adapter, F.col("majority"), F.col("source_key")))
-    return joined.withColumn("unique", own).withColumn("node_id", node_id).drop("_own")
+    many = claims.where("_claims > 1").select("graph_key", "span_id")
+    own = spans.where(F.col("span_id").isNotNull()).join(many, ["graph_key", "span_id"], "left_anti").select("*", F.lit(True).alias("unique"), F.col("span_id").alias("node_id"))
+    rest = spans.where(F.col("span_id").isNull()).unionByName(spans.join(many, ["graph_key", "span_id"], "left_semi"))
+    rest = rest.join(traces.withColumnRenamed("trace_id", "_majority"), "graph_key", "left")
+    made = rest.select(*spans.columns, F.lit(False).alias("unique"), derived_id(adapter, F.col("_majority"), F.col("source_key")).alias("node_id"))
+    return own.unionByName(made)
 
 
 def collisions(ided: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """The canonical order of nodes: topological over parent and call_result edges, least (start, id) first.
 
 Where every such edge of a graph leads from a lesser key to a greater one, that order is the order of the keys
-(the least unplaced node has only lesser predecessors, which are placed, so it is ready): a window. Only
-graphs with an edge against the keys, cycles among them, are sorted by Kahn's algorithm with a heap, one graph a
-task. A graph beyond `largest` nodes is ordered by joins in rounds (`in_rounds`), as many as its longest path has nodes.
+(the least unplaced node has only lesser predecessors, which are placed, so it is ready): a window. An edge against the keys
+delays its target until its source is placed. In a graph whose such edges make trees of two levels (a source has none itself,
+a target has one) a delayed node follows its source at once, before all that is greater, so a window by the greater of both
+keys gives the order too. Only other graphs with an edge against the keys, cycles among them, are sorted by Kahn's algorithm with a
+heap, one graph a task, and those beyond `largest` nodes by joins in rounds (`in_rounds`), as many as the longest path has nodes.
 """
 
 from __future__ import annotations
@@ -20,12 +22,15 @@ from ..schema import STATED_KINDS
 LARGEST = 2_000_000
 
 
-def backward_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph_key of the graphs with an ordering edge whose source does not sort before its target."""
-    keys = nodes.select("graph_key", "node_id", F.struct(start_key(F.col("started_at")).alias("t"), F.col("node_id").alias("i")).alias("k"))
+def _key(node: str = "node_id", start: str = "started_at"):
+    return F.struct(start_key(F.col(start)).alias("t"), F.col(node).alias("i"))
+
+
+def ordering_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_key, src, dst, from, to): the ordering edges between nodes, with the keys of both ends."""
+    keys = nodes.select("graph_key", "node_id", _key().alias("k"))
     e = edges.where(F.col("kind").isin(*STATED_KINDS)).select("graph_key", "src", "dst")
-    e = e.join(keys.toDF("graph_key", "src", "from"), ["graph_key", "src"]).join(keys.toDF("graph_key", "dst", "to"), ["graph_key", "dst"])
-    return e.where(~(F.col("from") < F.col("to"))).select("graph_key").distinct()
+    return e.join(keys.toDF("graph_key", "src", "from"), ["graph_key", "src"]).join(keys.toDF("graph_key", "dst", "to"), ["graph_key", "dst"])
 
 
 def kahn(keys: list[tuple[float, str]], edges: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
@@ -84,14 +89,27 @@ def in_rounds(keyed: DataFrame, stated: DataFrame) -> tuple[DataFrame, DataFrame
 
 def positions(nodes: DataFrame, edges: DataFrame, largest: int = LARGEST) -> tuple[DataFrame, DataFrame]:
     """((graph_key, node_id, pos from 0), (graph_key, ids json) of graphs with a cycle)."""
-    slow = backward_graphs(nodes, edges)
-    order = W.partitionBy("graph_key").orderBy(start_key(F.col("started_at")), "node_id")
     keyed = nodes.select("graph_key", "node_id", "started_at")
-    fast = keyed.join(slow, "graph_key", "left_anti").select("graph_key", "node_id", (F.row_number().over(order) - 1).cast("long").alias("pos"))
+    e = settled(ordering_edges(keyed, edges))
+    back = e.where(~(F.col("from") < F.col("to")))
+    turned = back.select("graph_key").distinct()
+    some = e.join(turned, "graph_key", "left_semi")
+    twice = some.groupBy("graph_key", "dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("graph_key")
+    below = some.join(some.select("graph_key", F.col("dst").alias("src")), ["graph_key", "src"], "left_semi").select("graph_key")
+    slow = settled(twice.unionByName(below).distinct())
+    after = back.join(slow, "graph_key", "left_anti").select("graph_key", F.col("dst").alias("node_id"), F.col("from").alias("after"))
+    easy = keyed.select("graph_key", "node_id", _key().alias("k"))
+    easy = easy.join(slow, "graph_key", "left_anti").join(after, ["graph_key", "node_id"], "left")
+    late = F.col("after").isNotNull()
+    order = W.partitionBy("graph_key").orderBy(F.coalesce("after", "k"), late, "k")
+    place = easy.select("graph_key", "node_id", (F.row_number().over(order) - 1).cast("long").alias("pos"))
+    if slow.isEmpty():
+        none = place.sparkSession.createDataFrame([], "graph_key string, cycle string")
+        return place, none
     some = keyed.join(slow, "graph_key", "left_semi").select("graph_key", "node_id", start_key(F.col("started_at")).alias("t"))
-    stated = edges.where(F.col("kind").isin(*STATED_KINDS)).select("graph_key", "src", "dst").join(slow, "graph_key", "left_semi")
+    stated = e.join(slow, "graph_key", "left_semi").select("graph_key", "src", "dst")
 
-    large = settled(nodes.groupBy("graph_key").count().where(F.col("count") > largest).select("graph_key"))
+    large = settled(some.groupBy("graph_key").count().where(F.col("count") > largest).select("graph_key"))
     more = None
     if not large.isEmpty():
         more = in_rounds(some.join(large, "graph_key", "left_semi"), stated.join(large, "graph_key", "left_semi"))
@@ -109,5 +127,6 @@ def positions(nodes: DataFrame, edges: DataFrame, largest: int = LARGEST) -> tup
         return pa.table({"graph_key": pa.array([key] * len(ids), pa.string()), "node_id": pa.array(ids, pa.string()), "pos": pa.array(range(len(ids)), pa.int64()), "cycle": pa.array(cycle, pa.string())})
 
     made = some.toDF("graph_key", "node_id", "t").groupBy("graph_key").cogroup(stated.toDF("g", "src", "dst").groupBy("g")).applyInArrow(sort, "graph_key string, node_id string, pos long, cycle string")
-    place, cycle = fast.unionByName(made.drop("cycle")), made.where(F.col("cycle").isNotNull()).select("graph_key", "cycle")
+    made = settled(made)
+    place, cycle = place.unionByName(made.drop("cycle")), made.where(F.col("cycle").isNotNull()).select("graph_key", "cycle")
     return (place, cycle) if more is None else (place.unionByName(more[0]), cycle.unionByName(more[1]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..schema import NODE_KINDS
+from ..schema import NODE_KINDS, NO_NODE, NOT_HERE, UNNAMED
 
 
 def tallies(nodes: DataFrame, edges: DataFrame, diagnostics: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -60,9 +60,9 @@ def askers(nodes: DataFrame, diagnostics: DataFrame, code: str = "unpaired_call"
     some = diagnostics.where(F.col("code") == code).select("graph_key", "node_id")
     known = nodes.select("graph_key", "node_id", "operation", "kind")
     name: Column = (
-        F.when(F.col("node_id").isNull(), "(no node on the diagnostic)")
-        .when(F.col("kind").isNull(), "(node not in this graph)")
-        .otherwise(F.coalesce(F.nullif("operation", F.lit("")), F.concat(F.lit("(unnamed "), F.col("kind"), F.lit(")"))))
+        F.when(F.col("node_id").isNull(), NO_NODE)
+        .when(F.col("kind").isNull(), NOT_HERE)
+        .otherwise(F.coalesce(F.nullif("operation", F.lit("")), F.format_string(UNNAMED, F.col("kind"))))
     )
     return some.join(known, ["graph_key", "node_id"], "left").groupBy(name.alias("asker")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -71,21 +71,42 @@ def failures(graphs: DataFrame) -> DataFrame:
     return graphs.where(F.col("error_code").isNotNull()).select("graph_key", "error_code", "error_type", "error_message").orderBy("graph_key")
 
 
+SHAPES = ("tool_call", "no_tool_call", "parallel", "failing", "nested", "retrieves")
+VARIED = "varied_tools"
+
+
 def shapes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_key, tools, parallel, failing, nested, retrieves): which shapes each graph shows."""
+    """(graph_key, tools, and a boolean for each of SHAPES): what each graph shows; parallel: a node asked for several calls that were answered."""
     n = nodes.groupBy("graph_key").agg(
         F.sort_array(F.collect_set(F.when(F.col("kind") == "tool", F.col("operation")))).alias("tools"), F.bool_or(F.col("status") == "error").alias("failing"),
         (F.count_if(F.col("kind") == "agent") > 1).alias("nested"), F.bool_or(F.col("kind") == "retriever").alias("retrieves"),
+        F.bool_or(F.col("kind") == "tool").alias("tool_call"), (~F.bool_or(F.col("kind") == "tool")).alias("no_tool_call"),
     )
     fan = edges.where("kind = 'call_result'").groupBy("graph_key", "src").agg(F.count(F.lit(1)).alias("c")).groupBy("graph_key").agg((F.max("c") > 1).alias("parallel"))
     return n.join(fan, "graph_key", "left").withColumn("parallel", F.coalesce("parallel", F.lit(False)))
 
 
 def coverage(shapes_: DataFrame) -> DataFrame:
-    """(shape, graphs): how many graphs show each shape, zeros too."""
-    names = ("parallel", "failing", "nested", "retrieves")
-    one = shapes_.agg(*[F.count_if(F.col(c)).alias(c) for c in names])
-    return one.unpivot([], list(names), "shape", "graphs")
+    """(shape, graphs): how many graphs show each shape, zeros too. Tools are varied if the graphs use more than one between
+    them; then each graph with a tool shows it."""
+    used = shapes_.select(F.explode("tools").alias("tool")).agg((F.countDistinct("tool") > 1).alias("many"))
+    one = shapes_.agg(*[F.count_if(F.col(c)).alias(c) for c in SHAPES], F.count_if(F.size("tools") > 0).alias("with_tools"))
+    both = one.crossJoin(used).withColumn(VARIED, F.when(F.col("many"), F.col("with_tools")).otherwise(F.lit(0).cast("long")))  # a row each
+    return both.select(*SHAPES, VARIED).unpivot([], [*SHAPES, VARIED], "shape", "graphs")
+
+
+def showing(shapes_: DataFrame) -> DataFrame:
+    """(shape, graph_key): the graphs behind each count of coverage()."""
+    each = shapes_.select("graph_key", "tools", F.explode(F.array(*[F.when(F.col(c), F.lit(c)) for c in SHAPES])).alias("shape"))
+    out = each.where("shape is not null").select("shape", "graph_key")
+    used = shapes_.select(F.explode("tools").alias("tool")).agg((F.countDistinct("tool") > 1).alias("many")).where("many")
+    varied = shapes_.where(F.size("tools") > 0).crossJoin(F.broadcast(used)).select(F.lit(VARIED).alias("shape"), "graph_key")  # by one row, or none
+    return out.unionByName(varied)
+
+
+def missing(shapes_: DataFrame, wanted=(*SHAPES, VARIED)) -> DataFrame:
+    """(shape): those wanted that no graph shows."""
+    return coverage(shapes_).where(F.col("shape").isin(*wanted) & (F.col("graphs") == 0)).select("shape")
 
 
 def usage_up_the_tree(nodes: DataFrame, descendants: DataFrame) -> DataFrame:

@@ -15,46 +15,66 @@ def _of(edges: DataFrame, kinds) -> DataFrame:
     return edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
 
 
+MERGED = 16  # tables of levels that a plan holds
+
+
 def breadth_first(edges: DataFrame, starts: DataFrame, kinds=("parent",), backward: bool = False, max_depth: int | None = None) -> DataFrame:
     """(graph_key, start, node_id, depth, rank): what each start (graph_key, start) reaches, itself excluded.
 
-    rank is the place in a queue that takes the edges of a node by (kind, src, dst, basis)."""
+    rank is the place in a queue that takes the edges of a node by (kind, src, dst, basis). The edges are written once, by the
+    node that a level asks for; a level is written once too, and read again to tell what is visited."""
     a, b = ("dst", "src") if backward else ("src", "dst")
     e = _of(edges, kinds).select("graph_key", F.col(a).alias("at"), F.col(b).alias("to"), F.struct("kind", "src", "dst", "basis").alias("k"))
-    e = e.groupBy("graph_key", "at", "to").agg(F.min("k").alias("k"))
+    e = settled(e.groupBy("graph_key", "at", "to").agg(F.min("k").alias("k")))
     start = starts.select("graph_key", "start").distinct()
-    seen = settled(start.select("*", F.col("start").alias("node_id"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank")))
-    frontier, depth = seen, 0
+    frontier = settled(start.select("*", F.col("start").alias("node_id"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank")))
+    levels, depth = [frontier], 0
     while max_depth is None or depth < max_depth:
         depth += 1
+        if len(levels) > MERGED:
+            levels = [settled(_all(levels))]
         step = frontier.select("graph_key", "start", F.col("node_id").alias("at"), "rank").join(e, ["graph_key", "at"])
         step = step.groupBy("graph_key", "start", F.col("to").alias("node_id")).agg(F.min(F.struct("rank", "k")).alias("o"))
-        new = step.join(seen, ["graph_key", "start", "node_id"], "left_anti")
+        new = step.join(_all(levels).select("graph_key", "start", "node_id"), ["graph_key", "start", "node_id"], "left_anti")
         order = W.partitionBy("graph_key", "start").orderBy("o")
         frontier = settled(new.select("graph_key", "start", "node_id", F.lit(depth).alias("depth"), F.row_number().over(order).cast("long").alias("rank")))
         if frontier.isEmpty():
             break
-        seen = settled(seen.unionByName(frontier))
-    place = F.row_number().over(W.partitionBy("graph_key", "start").orderBy("depth", "rank")) - 1
-    return seen.where("depth > 0").withColumn("rank", place.cast("long"))
+        levels.append(frontier)
+    found = _all(levels)
+    # a level's ranks begin where those before it end: counts a level, not a sort of all
+    counts = found.groupBy("graph_key", "start", "depth").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("graph_key", "start").orderBy("depth").rowsBetween(W.unboundedPreceding, -1))
+    base = counts.withColumn("base", F.coalesce(before, F.lit(0)) - 2).drop("n")
+    out = found.where("depth > 0").join(base, ["graph_key", "start", "depth"])
+    return out.select("graph_key", "start", "node_id", "depth", (F.col("rank") + F.col("base")).alias("rank"))
+
 
+def _all(levels: list[DataFrame]) -> DataFrame:
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out
 
-def simple_paths(edges: DataFrame, src: str, dst: str, kinds=None, max_length: int = 64) -> DataFrame:
+
+def simple_paths(edges: DataFrame, src: str, dst: str, kinds=None, max_length: int | None = None) -> DataFrame:
     """(graph_key, path array<string>, rank): all paths without repeated nodes, in the order of a depth-first search.
 
-    Their number is exponential by nature; max_length bounds the edges in one, and is an error if it is reached."""
+    Their number is exponential by nature. max_length: only paths of that many edges or fewer; else all, however long."""
     e = _of(edges, kinds).select("graph_key", F.col("src").alias("at"), F.col("dst").alias("to"), F.struct("kind", "src", "dst", "basis").alias("k"))
-    e = e.groupBy("graph_key", "at", "to").agg(F.min("k").alias("k"))
-    found = None
-    live = e.where((F.col("at") == src) & (F.col("to") != src)).select("graph_key", F.array("at", "to").alias("path"), F.array("k").alias("ranks"))
-    for _ in range(max_length):
-        live = settled(live)
-        done = live.where(F.element_at("path", -1) == dst)
-        found = done if found is None else found.unionByName(done)
+    e = settled(e.groupBy("graph_key", "at", "to").agg(F.min("k").alias("k")))
+    live = settled(e.where((F.col("at") == src) & (F.col("to") != src)).select("graph_key", F.array("at", "to").alias("path"), F.array("k").alias("ranks")))
+    arrived = lambda paths: paths.where(F.element_at("path", -1) == dst)
+    found, length = [arrived(live)], 1
+    while max_length is None or length < max_length:
         going = live.where(F.element_at("path", -1) != dst)
-        if going.isEmpty():
-            order = W.partitionBy("graph_key").orderBy("ranks")
-            return found.select("graph_key", "path", (F.row_number().over(order) - 1).cast("long").alias("rank"))
         step = going.withColumn("at", F.element_at("path", -1)).join(e, ["graph_key", "at"]).where(~F.array_contains("path", F.col("to")))
-        live = step.select("graph_key", F.concat("path", F.array("to")).alias("path"), F.concat("ranks", F.array("k")).alias("ranks"))
-    raise ValueError(f"some paths have more than {max_length} edges")
+        live = settled(step.select("graph_key", F.concat("path", F.array("to")).alias("path"), F.concat("ranks", F.array("k")).alias("ranks")))
+        length += 1
+        if live.isEmpty():
+            break
+        found.append(arrived(live))
+        if len(found) > MERGED:
+            found = [settled(_all(found))]
+    order = W.partitionBy("graph_key").orderBy("ranks")
+    return _all(found).select("graph_key", "path", (F.row_number().over(order) - 1).cast("long").alias("rank"))

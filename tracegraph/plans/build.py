@@ -108,7 +108,7 @@ class TraceGraphs:
     def reachable(self, node_id: str | DataFrame, edge_kinds: Kinds = None) -> DataFrame:
         return traverse.breadth_first(self.edges_df, self._starts(node_id), selector(edge_kinds))
 
-    def paths(self, src: str, dst: str, edge_kinds: Kinds = None, max_length: int = 64) -> DataFrame:
+    def paths(self, src: str, dst: str, edge_kinds: Kinds = None, max_length: int | None = None) -> DataFrame:
         return traverse.simple_paths(self.edges_df, src, dst, selector(edge_kinds), max_length)
 
     # -- projection and annotation ---------------------------------------------------------------------
@@ -129,12 +129,13 @@ class TraceGraphs:
             raise ValueError(f"there is no node {node_id!r}")
         return replace(self, annotations_df=annotate.replaced(self.annotations_df, at))
 
-    def annotate_all(self, entries: DataFrame) -> TraceGraphs:
-        """These graphs with all entries (ANNOTATIONS columns) of nodes they have, one a key."""
-        if not entries.where(F.col("namespace").isNull() | (F.col("namespace") == "") | (F.col("namespace") == annotate.RESERVED)).isEmpty():
-            raise ValueError("an annotation has no namespace, or a reserved one")
-        known = entries.join(self.nodes_df.select("graph_key", "node_id"), ["graph_key", "node_id"], "left_semi")
-        return replace(self, annotations_df=annotate.replaced(self.annotations_df, known.dropDuplicates(annotate.KEY)))
+    def annotate_all(self, entries: DataFrame, order: str) -> TraceGraphs:
+        """These graphs with all entries (ANNOTATIONS columns and one to order by); of one key's the last by order. ValueError, and
+        nothing is taken, if any has what annotate() refuses; `annotate.refusals` lists those."""
+        made = settled(annotate.canonical_values(entries))
+        for r in annotate.refusals(made, self.nodes_df).limit(1).collect():
+            raise ValueError(f"{r['refused']}: {r['namespace']!r}, node {r['node_id']!r} of {r['graph_key']!r}, key {r['key']!r}")
+        return replace(self, annotations_df=annotate.replaced(self.annotations_df, annotate.latest(made, order)))
 
     def annotations(self) -> DataFrame:
         return self.annotations_df.orderBy("graph_key", "namespace", "node_id", "key")
@@ -157,10 +158,10 @@ class TraceGraphs:
 
 def build_graphs(
     spans: DataFrame, *, adapter: str = "tables", version: str = "0.1.0", temporal: bool = True, graphs: DataFrame | None = None,
-    malformed: DataFrame | None = None, slices: int = 1,
+    malformed: DataFrame | None = None, slices: int | None = None,
 ) -> TraceGraphs:
     """All graphs of spans (see schema.SPANS). graphs: a row an input, with its adapter or its refusal;
-    malformed: diagnostics of its unreadable lines; temporal=False leaves out the derived edges and what is said about them."""
+    malformed: diagnostics of its unreadable lines; temporal=False leaves out the derived edges and what is said about them; slices: see edges.siblings."""
     null = lambda kind="string": F.lit(None).cast(kind)
     if graphs is None:
         graphs = spans.select("graph_key").distinct().select(
@@ -174,7 +175,7 @@ def build_graphs(
     ided = identity.identified(spans, traces, F.col("adapter_id"))
     clash = identity.collisions(ided)
     refused = clash.groupBy("graph_key").agg(F.min("node_id").alias("id"))
-    ided = ided.join(refused, "graph_key", "left_anti").persist()  # six branches read it
+    ided = settled(ided.join(refused, "graph_key", "left_anti"))  # many branches read it
     said = F.concat(F.lit("two records resolve to the node id "), F.col("id"))
     stated = graphs.join(refused, "graph_key", "left").join(traces, "graph_key", "left")
     code = F.coalesce("error_code", F.when(F.col("id").isNotNull(), "duplicate_node_id"))
@@ -192,7 +193,7 @@ def build_graphs(
     late = edge.temporal_edges(nodes, parent, slices) if temporal else None
     edges = edge.all_edges(parent, calls, edge.data_edges(ided, sides), edge.link_edges(ided), late)
     place, cycle = order.positions(nodes.select("graph_key", "node_id", "started_at"), parent.unionByName(calls))
-    found = [diag.of_spans(ided), diag.foreign_traces(ided), diag.backward_time(ided), diag.duplicate_source_ids(ided), diag.orphans(parents), diag.unpaired_calls(sides), diag.cycles(cycle)]
+    found = [diag.of_spans(ided), diag.foreign_traces(ided, traces), diag.backward_time(ided), diag.duplicate_source_ids(ided), diag.orphans(parents), diag.unpaired_calls(sides), diag.cycles(cycle)]
     if temporal:
         found.append(diag.missing_starts(nodes))
     if malformed is not None:
@@ -206,7 +207,7 @@ def build_graphs(
 
 def build_all(spark: SparkSession, *sources: str | bytes | Path, adapter: str | None = None, temporal: bool = True, registry: Registry | None = None) -> TraceGraphs:
     """The graphs of all sources; refused ones are rows of graphs."""
-    rows = reader.parsed(reader.inputs(spark, *sources), adapter, registry).persist()  # the parse runs once
+    rows = settled(reader.parsed(reader.inputs(spark, *sources), adapter, registry))  # the parse runs once
     return build_graphs(reader.spans_of(rows), graphs=reader.graphs_of(rows), malformed=reader.malformed_of(rows), temporal=temporal)
 
 

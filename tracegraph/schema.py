@@ -24,6 +24,11 @@ LINK_BASIS = "span.link"
 TEMPORAL_BASIS = "sibling start_time ordering"
 TIED_BASIS = "sibling start_time ordering (tied, broken by node_id)"
 
+# What stands for an asker without a name of its own.
+NO_NODE = "(no node on the diagnostic)"
+NOT_HERE = "(node not in this graph)"
+UNNAMED = "(unnamed %s)"
+
 # Diagnostic codes, error codes.
 DIAGNOSTIC_CODES = (
     "unknown_span_kind", "unmapped_attributes", "payload_parse_failed", "orphan_parent", "unpaired_call",

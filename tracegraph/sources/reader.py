@@ -26,16 +26,49 @@ PARSED = (
 )
 _BATCH = 500  # spans handed on at a time
 
+def _literal(spark: SparkSession, path: str) -> tuple[str, str] | None:
+    """(path as a glob of itself, file name) of a path that names a file; None if there is none of that very name."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    try:
+        at = hadoop(path)
+        status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+    except Exception:  # the file system has its own errors for what is no path or not there
+        return None
+    if status.isDirectory():
+        return None
+    return "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in status.getPath().toString()), at.getName()
+
+
+def _bytes_of(spark: SparkSession, path: str) -> bytes:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 def inputs(spark: SparkSession, *sources: str | bytes | Path) -> DataFrame:
-    """(graph_key, content) of the sources: bytes are content, "-" is standard input, all else a path or glob."""
-    paths = [str(s) for s in sources if not isinstance(s, bytes) and s != "-"]
-    given = [(f"input-{i}", s if isinstance(s, bytes) else sys.stdin.buffer.read()) for i, s in enumerate(sources) if isinstance(s, bytes) or s == "-"]
+    """(graph_key, content) of the sources: bytes are content, "-" is standard input, all else the path of a file, or
+    a folder or glob where no file has that very name. Spark leaves out files whose names begin with _ or . ; those that are named
+    as they are, and not by a glob, are read by the driver."""
+    paths, given = [], []
+    for i, s in enumerate(sources):
+        if isinstance(s, bytes) or s == "-":
+            given.append((f"input-{i}", s if isinstance(s, bytes) else sys.stdin.buffer.read()))
+            continue
+        named = _literal(spark, str(s))
+        if named is not None and named[1][:1] in "_.":
+            given.append((str(s), _bytes_of(spark, str(s))))
+        else:
+            paths.append(str(s) if named is None else named[0])
     out = spark.createDataFrame([(k, bytearray(c)) for k, c in given], "graph_key string, content binary") if given or not paths else None
     if paths:
         files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("graph_key"), "content")
         out = files if out is None else files.unionByName(out)
     return out
 
+
 def records_of(content: bytes) -> tuple[list[tuple[int, object]], list[tuple[int | None, str, str]]]:
     """((line, value) of each record, (line, text, problem) of what is none). Lines count from 1, blank ones too."""
     good, bad = [], []
