@@ -6,7 +6,7 @@ import os
 import pytest
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-NAMES = ["edge_counts_by_kind_warrant", "derived_ids", "call_result_edges", "temporal_edges_sliced", "topo_order_activity", "descendants_region", "paths_dialogue", "inspect_tallies", "fleet_failures", "diagnostics_ordered_rank"]
+NAMES = ["edge_counts_by_kind_warrant", "derived_ids", "call_result_edges", "temporal_edges_sliced", "topo_order_activity", "descendants_region", "paths_dialogue", "inspect_tallies", "fleet_failures", "diagnostics_ordered_rank", "roots", "topo_order_commerce", "shared_call_edges", "annotation_last_wins", "graph_coverage", "jsonl_digests", "jsonl_spans", "jsonl_diagnostics", "jsonl_malformed", "jsonl_array_scan", "jsonl_refused", "document_counts", "document_nodes", "document_validation", "unaccounted_records"]
 
 
 @pytest.fixture(scope="module")

@@ -6,11 +6,13 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import canonical_json
+from ..functions.storage import settled
 from ..operators import annotate, diagnostics as diag, edges as edge, identity, order, rollup, traverse
 from ..schema import ANNOTATIONS
-from ..sources import tables
-from .build import build_graphs
-from .document import problems
+from ..sources import openinference, reader, tables  # noqa: F401  the dialect registers itself
+from .build import TraceGraphs, build_graphs
+from .document import documents, problems, unaccounted, validate
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,6 +29,8 @@ def _commerce_sql(without: str = "false", key: str = _LINE) -> str:
 
 
 _COMMERCE = _commerce_sql()
+# lines whose order is left out or is not there: an anti join by hash, which ends at any size
+_ORPHANS = "x as (select a.g, a.id, a.p from s a anti join s b on b.g = a.g and b.id = a.p where a.p is not null)"
 _LOST = "o_orderkey % 5 = 0"
 _HIERARCHY = """s as (select 'world' g, 'r' || r_regionkey id, null::varchar p from region union all select 'world', 'n' || n_nationkey, 'r' || n_regionkey from nation
   union all select 'world', 'c' || c_custkey, 'n' || c_nationkey from customer union all select 'world', 'o' || o_orderkey, 'c' || o_custkey from orders)"""
@@ -75,6 +79,12 @@ def _hierarchy(spark, d):
     return _ided(tables.hierarchy(spark, d))
 
 
+def _graphs(nodes: DataFrame, edges: DataFrame) -> TraceGraphs:
+    """Graphs of these nodes and edges alone, for the methods that need no more."""
+    empty = nodes.sparkSession.createDataFrame([], ANNOTATIONS)
+    return TraceGraphs(nodes, edges, empty, empty, empty)
+
+
 def _n(c="n"):
     return F.count(F.lit(1)).alias(c)
 
@@ -94,7 +104,8 @@ def node_status_counts(spark, d):
 
 @query("node_filter_kind", f"with {_ACTIVITY} select g graph_key, id node_id, op operation from s where kind in ('llm', 'agent')")
 def node_filter_kind(spark, d):
-    return _activity(spark, d).where(F.col("kind").isin("llm", "agent")).select("graph_key", "node_id", "operation")
+    ided = _activity(spark, d)
+    return _graphs(ided, ided).nodes(["llm", "agent"]).select("graph_key", "node_id", "operation")
 
 
 @query("derived_ids", f"""with {_commerce_sql(key="'l' || l_orderkey || '-' || l_linenumber")}, k as (select o_custkey::varchar g, 'l' || l_orderkey || '-' || l_linenumber id, {_LINE} sk
@@ -150,17 +161,15 @@ def parent_edges(spark, d):
     return edge.parent_edges(edge.parents(_hierarchy(spark, d))).select("graph_key", "src", "dst")
 
 
-@query("orphan_parent_diag", f"""with {_commerce_sql(_LOST)} select a.g graph_key, a.id node_id, '"' || a.p || '"' source_json from s a where p is not null
-  and not exists (select 1 from s b where b.g = a.g and b.id = a.p)""")
+@query("orphan_parent_diag", f"""with {_commerce_sql(_LOST)}, {_ORPHANS} select g graph_key, id node_id, '"' || p || '"' source_json from x""")
 def orphan_parent_diag(spark, d):
     return diag.orphans(edge.parents(_commerce(spark, d, without=_LOST))).select("graph_key", "node_id", "source_json")
 
 
-@query("roots", f"with {_commerce_sql(_LOST)} select g graph_key, id node_id from s a where not exists (select 1 from s b where b.g = a.g and b.id = a.p)")
+@query("roots", f"with {_commerce_sql(_LOST)}, {_ORPHANS} select g graph_key, id node_id from s where p is null union all select g, id from x")
 def roots(spark, d):
     ided = _commerce(spark, d, without=_LOST)
-    below = edge.parent_edges(edge.parents(ided)).select("graph_key", F.col("dst").alias("node_id"))
-    return ided.select("graph_key", "node_id").join(below, ["graph_key", "node_id"], "left_anti")
+    return _graphs(ided, edge.parent_edges(edge.parents(ided))).roots().select("graph_key", "node_id")
 
 
 @query("leaf_nodes", f"with {_HIERARCHY} select left(id, 1) level, count(*) n from s a where not exists (select 1 from s b where b.p = a.id) group by 1")
@@ -171,21 +180,16 @@ def leaf_nodes(spark, d):
     return leaves.groupBy(F.left("node_id", F.lit(1)).alias("level")).agg(_n())
 
 
-@query("children", f"with {_HIERARCHY} select id node_id, row_number() over (order by id) - 1 rank from s where p = 'r1'")
+@query("children", f"with {_HIERARCHY} select id node_id from s where p = 'r1'")
 def children(spark, d):
-    return _below(spark, d, "src", "dst", "r1")
+    ided = _hierarchy(spark, d)
+    return _graphs(ided, edge.parent_edges(edge.parents(ided))).children("r1").select("node_id")
 
 
-@query("parents", f"with {_HIERARCHY} select p node_id, 0::bigint rank from s where id = 'n3'")
+@query("parents", f"with {_HIERARCHY} select p node_id from s where id = 'n3'")
 def parents(spark, d):
-    return _below(spark, d, "dst", "src", "n3")
-
-
-def _below(spark, d, at, to, node):
-    g = edge.parent_edges(edge.parents(_hierarchy(spark, d))).where(F.col(at) == node)
-    one = g.groupBy(F.col(to).alias("node_id")).agg(F.min(F.struct("kind", "src", "dst", "basis")).alias("k"))
-    ranked = one.selectExpr("node_id", "cast(row_number() over (order by k) - 1 as bigint) rank")
-    return ranked
+    ided = _hierarchy(spark, d)
+    return _graphs(ided, edge.parent_edges(edge.parents(ided))).parents("n3").select("node_id")
 
 
 @query("call_result_edges", f"with {_DIALOGUE} select req.g graph_key, req.id src, ful.id dst from req join ful using (g, c)")
@@ -222,7 +226,16 @@ def link_edges_with_foreign_target(spark, d):
   case when nt = t then 'sibling start_time ordering (tied, broken by node_id)' else 'sibling start_time ordering' end basis from w where nid is not null""")
 def temporal_edges(spark, d):
     ided = _commerce(spark, d)
-    return edge.temporal_edges(ided, edge.parent_edges(edge.parents(ided))).select("graph_key", "src", "dst", "basis")
+    return edge.temporal_edges(ided, edge.parent_edges(edge.parents(ided)), None).select("graph_key", "src", "dst", "basis")
+
+
+# Each turn asks for and answers the same two calls, so that nodes share several.
+@query("shared_call_edges", f"""with {_DIALOGUE} select distinct a.g graph_key, a.id src, b.id dst from s a join s b on a.g = b.g and a.role = 'user' and b.role = 'assistant'""")
+def shared_call_edges(spark, d):
+    both = F.array(F.lit("c1"), F.lit("c2"))
+    spans = tables.dialogue(spark, d).withColumn("call_ids", F.when(F.col("call_role").isNotNull(), both).otherwise(F.col("call_ids")))
+    g = build_graphs(spans, temporal=False)
+    return g.edges("call_result").select("graph_key", "src", "dst")
 
 
 @query("temporal_edges_sliced", f"with {_COMMERCE}, {_TEMPORAL} select g graph_key, id src, nid dst from w where nid is not null")
@@ -259,12 +272,11 @@ def unknown_kind_diag(spark, d):
 @query("multi_trace_diag", f"""with {_ACTIVITY}, c as (select g, tr, count(*) n from s group by g, tr), m as (select g, arg_min(tr, (-n, tr)) tr from c group by g)
   select s.g graph_key, s.id node_id, '"' || s.tr || '"' source_json from s join m on s.g = m.g where s.tr <> m.tr""")
 def multi_trace_diag(spark, d):
-    return diag.foreign_traces(_activity(spark, d)).select("graph_key", "node_id", "source_json")
+    return diag.foreign_traces(_activity(spark, d), identity.majority_trace(tables.activity(spark, d))).select("graph_key", "node_id", "source_json")
 
 
-@query("diagnostics_ordered_rank", f"""with {_commerce_sql(_LOST)}, x as (select g, 'orphan_parent' code, id, '"' || p || '"' src from s a where p is not null and not exists (select 1 from s b where b.g = a.g and b.id = a.p)
-  union all select g, 'nonmonotonic_time', id, null from s where e < t)
-  select g graph_key, code, id node_id, row_number() over (partition by g order by code, id) - 1 pos from x""")
+@query("diagnostics_ordered_rank", f"""with {_commerce_sql(_LOST)}, {_ORPHANS}, y as (select g, 'orphan_parent' code, id from x union all select g, 'nonmonotonic_time', id from s where e < t)
+  select g graph_key, code, id node_id, row_number() over (partition by g order by code, id) - 1 pos from y""")
 def diagnostics_ordered_rank(spark, d):
     ided = _commerce(spark, d, without=_LOST)
     found = diag.orphans(edge.parents(ided)).unionByName(diag.backward_time(ided))
@@ -283,7 +295,9 @@ def topo_order_activity(spark, d):
     return order.positions(ided, edge.parent_edges(edge.parents(ided)))[0]
 
 
-@query("topo_order_commerce")
+# of two levels: a node goes after all that is less, and one that is less than its parent right after it
+@query("topo_order_commerce", f"""with {_COMMERCE}, k as (select a.g, a.id, a.t, b.id pid, b.t pt, b.id is not null and (b.t > a.t or b.t = a.t and b.id > a.id) late from s a left join s b on b.g = a.g and b.id = a.p)
+  select g graph_key, id node_id, row_number() over (partition by g order by case when late then pt else t end, case when late then pid else id end, late, t, id) - 1 pos from k""")
 def topo_order_commerce(spark, d):
     ided = _commerce(spark, d)
     return order.positions(ided, edge.parent_edges(edge.parents(ided)))[0]
@@ -312,9 +326,9 @@ def depth_histogram(spark, d):
 
 
 @query("ancestors_order", """select 'o' || o_orderkey start, x.id node_id, x.depth::int depth from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey,
-  lateral (select 'c' || c_custkey id, 1 depth union all select 'n' || n_nationkey, 2 union all select 'r' || n_regionkey, 3) x where o_orderkey % 10 = 0""")
+  lateral (select 'c' || c_custkey id, 1 depth union all select 'n' || n_nationkey, 2 union all select 'r' || n_regionkey, 3) x""")
 def ancestors_order(spark, d):
-    starts = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 10 = 0").select(F.lit("world").alias("graph_key"), F.expr("concat('o', o_orderkey)").alias("start"))
+    starts = spark.read.parquet(f"{d}/orders.parquet").select(F.lit("world").alias("graph_key"), F.expr("concat('o', o_orderkey)").alias("start"))
     return traverse.breadth_first(_hierarchy_edges(spark, d), starts, backward=True).select("start", "node_id", "depth")
 
 
@@ -355,7 +369,8 @@ def paths_dialogue(spark, d):
 
 @query("subgraph_edges", f"with {_DIALOGUE} select 'call_result' kind, count(*) n from req join ful using (g, c)")
 def subgraph_edges(spark, d):
-    return _dialogue_edges(spark, d).where(F.col("kind").isin("parent", "call_result")).groupBy("kind").agg(_n())
+    ided = _dialogue(spark, d)
+    return _graphs(ided, _dialogue_edges(spark, d)).subgraph(["parent", "call_result"]).edges().groupBy("kind").agg(_n())
 
 
 # -- annotations, validation, roll-ups -----------------------------------------------------------------------
@@ -372,11 +387,13 @@ def annotations_join(spark, d):
     return ided.join(annotate.nodes_with(_entries(ided), "demo", "week", 2), ["graph_key", "node_id"], "left_semi").select("graph_key", "node_id", "kind")
 
 
-@query("annotation_last_wins", "select conv_id::varchar graph_key, arg_max(role, turn) value_json from conversations group by conv_id")
+@query("annotation_last_wins", "select conv_id::varchar graph_key, '\"' || arg_max(role, turn) || '\"' value_json from conversations group by conv_id")
 def annotation_last_wins(spark, d):
-    c = spark.read.parquet(f"{d}/conversations.parquet")
-    all_ = c.select(F.col("conv_id").cast("string").alias("graph_key"), F.lit("demo").alias("namespace"), F.lit("t0").alias("node_id"), F.lit("last").alias("key"), F.col("role").alias("value_json"), "turn")
-    return annotate.latest(all_, "turn").select("graph_key", "value_json")
+    c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "role", "turn")
+    value = F.concat(F.lit(' "'), "role", F.lit('" '))  # made canonical on the way
+    entries = c.select(F.col("conv_id").cast("string").alias("graph_key"), F.lit("demo").alias("namespace"), F.lit("t0").alias("node_id"), F.lit("last").alias("key"), value.alias("value_json"), "turn")
+    ided = _dialogue(spark, d)
+    return _graphs(ided, ided).annotate_all(entries, "turn").annotations_df.select("graph_key", "value_json")
 
 
 @query("validate_dangling", f"""with {_DIALOGUE} select conv_id::varchar graph_key, 'edge temporal ' || id || ' nowhere ends outside the graph' problem from s where t = 0""")
@@ -388,10 +405,7 @@ def validate_dangling(spark, d):
 
 
 def _check(spark, nodes, edges):
-    from .build import TraceGraphs
-
-    empty = spark.createDataFrame([], ANNOTATIONS)
-    return problems(TraceGraphs(nodes, edges, empty, empty, empty))
+    return problems(_graphs(nodes, edges))
 
 
 @query("validate_duplicates", """select o_custkey::varchar graph_key, 'node ids are not unique: l' || l_orderkey || '-' || l_linenumber problem from lineitem join orders on l_orderkey = o_orderkey
@@ -466,9 +480,145 @@ def graph_shapes(spark, d):
     return made.select("graph_key", F.when(F.size("tools") > 0, F.array_join("tools", ",")).alias("tools"), "failing", "nested", "retrieves")
 
 
+@query("graph_coverage", f"""with {_ACTIVITY}, x as (select g, bool_or(kind = 'tool') t, bool_or(status = 'error') f, count(*) filter (kind = 'agent') > 1 n, bool_or(kind = 'retriever') r from s group by g),
+  v as (select count(distinct op) > 1 many from s where kind = 'tool')
+  select shape, n graphs from (select 'tool_call' shape, count(*) filter (t) n from x union all select 'no_tool_call', count(*) filter (not t) from x union all select 'parallel', 0
+  union all select 'failing', count(*) filter (f) from x union all select 'nested', count(*) filter (n) from x union all select 'retrieves', count(*) filter (r) from x
+  union all select 'varied_tools', case when many then (select count(*) filter (t) from x) else 0 end from v)""")
+def graph_coverage(spark, d):
+    ided = _activity(spark, d)
+    return rollup.coverage(rollup.shapes(ided, edge.call_result_edges(edge.call_sides(ided))))
+
+
 @query("whole_build_edges", f"""with {_DIALOGUE} select g graph_key, count(*) n from (
   select req.g, req.id a, ful.id b, 1 k from req join ful using (g, c) union all select g, id, 't0', 2 from s union all select g, id, 'x' || conv_id, 2 from s where role = 'user'
   union all select g, a, b, 3 from (select g, id a, lead(id) over (partition by g order by t, id) b from s) where b is not null
   union all select distinct s.g, ful.id, s.id, 4 from s join ful on ful.g = s.g and ful.c = 'q' || (s.t - 2) where role = 'user' and ful.id <> s.id) group by g""")
 def whole_build_edges(spark, d):
     return build_graphs(tables.dialogue(spark, d)).edges_df.groupBy("graph_key").agg(_n())
+
+
+# -- telemetry: events rendered as records, read, parsed, built and written ------------------------------------------
+
+# A record an event, as text. Every kind but TOOL and LLM is the event's type, in capitals; errors have no kind. usage: whole cents.
+_RECORDS = """r as (select user_id::varchar g, event_id, event_type, epoch_us(ts) t, props, floor(value)::bigint n,
+  '{"trace_id": "u' || user_id || '", "span_id": "e' || event_id || '", "name": "' || event_type || '", "start_time": ' || epoch_us(ts) || ', "status": "' || case when event_type = 'error' then 'ERROR' else 'ok' end
+  || '", "spare": 1, "attributes": {' || case event_type when 'error' then '' when 'click' then '"openinference.span.kind": "TOOL", "tool.name": "f", ' when 'purchase' then '"openinference.span.kind": "llm", "llm.model_name": "m", '
+  else '"openinference.span.kind": "' || upper(event_type) || '", ' end || '"llm.token_count.prompt": ' || floor(value)::bigint || ', "input.mime_type": "application/json", "input.value": "' || replace(props, '"', '\\"') || '"}}' line from events)"""
+_KINDS = "case event_type when 'click' then 'tool' when 'purchase' then 'llm' else 'unknown' end"
+
+
+def _lines(spark, d) -> DataFrame:
+    """(graph_key, event_id, line): the records as text, as _RECORDS has them."""
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("t", tables._micros("ts"))
+    line = F.expr(
+        """concat('{"trace_id": "u', user_id, '", "span_id": "e', event_id, '", "name": "', event_type, '", "start_time": ', t, ', "status": "', if(event_type = 'error', 'ERROR', 'ok'),
+        '", "spare": 1, "attributes": {', case event_type when 'error' then '' when 'click' then '"openinference.span.kind": "TOOL", "tool.name": "f", '
+        when 'purchase' then '"openinference.span.kind": "llm", "llm.model_name": "m", ' else concat('"openinference.span.kind": "', upper(event_type), '", ') end,
+        '"llm.token_count.prompt": ', cast(floor(value) as bigint), ', "input.mime_type": "application/json", "input.value": "', replace(props, '"', '\\\\"'), '"}}')"""
+    )
+    return e.select(F.col("user_id").cast("string").alias("graph_key"), "event_id", line.alias("line"))
+
+
+def _telemetry(spark, d, before: str = "", between: str = "\n", after: str = "") -> DataFrame:
+    """(graph_key, content): an input a user, its records in order of event."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"])
+    text = F.concat(F.lit(before), F.array_join(rows, between), F.lit(after))
+    return _lines(spark, d).groupBy("graph_key").agg(text.cast("binary").alias("content"))
+
+
+def _parsed(spark, d, **kw) -> DataFrame:
+    return settled(reader.parsed(_telemetry(spark, d, **kw)))
+
+
+@query("jsonl_digests", f"""with {_RECORDS} select g graph_key, sha256(string_agg(line, chr(10) order by event_id)) source_digest, 'openinference' adapter_id, 0.9::double declared_confidence from r group by g""")
+def jsonl_digests(spark, d):
+    return reader.graphs_of(_parsed(spark, d)).select("graph_key", "source_digest", "adapter_id", "declared_confidence")
+
+
+@query("jsonl_spans", f"""with {_RECORDS} select g graph_key, row_number() over (partition by g order by event_id) record_index, 'e' || event_id span_id, {_KINDS} kind,
+  case event_type when 'click' then 'f' when 'purchase' then 'm' end operation, case event_type when 'error' then 'error' else 'ok' end status, t::double started_at, n input_tokens,
+  'present' state, replace(props, ' ', '') value_json, props raw, '<record>.spare' unmapped from r""")
+def jsonl_spans(spark, d):
+    s = reader.spans_of(_parsed(spark, d))
+    return s.select("graph_key", "record_index", "span_id", "kind", "operation", "status", "started_at", "usage.input_tokens", "inputs.state", "inputs.value_json", "inputs.raw", F.array_join("unmapped", ",").alias("unmapped"))
+
+
+@query("jsonl_diagnostics", f"""with {_RECORDS} select g graph_key, 'e' || event_id node_id, code from r, lateral (select 'unmapped_attributes' code
+  union all select 'unknown_span_kind' where {_KINDS} = 'unknown') x""")
+def jsonl_diagnostics(spark, d):
+    rows = _parsed(spark, d)
+    g = build_graphs(reader.spans_of(rows), graphs=reader.graphs_of(rows), malformed=reader.malformed_of(rows))
+    return g.diagnostics_df.select("graph_key", "node_id", "code")
+
+
+@query("jsonl_malformed", f"""with {_RECORDS}, x as (select g, count(*) n from r group by g) select g graph_key, 'malformed_record' code, 'line ' || k || ' is not readable' said, '"' || replace(bad, '"', '\\"') || '"' source_json
+  from x, lateral (select 1 k, '{{"cut":' bad union all select n + 3, 'no "json"') y""")
+def jsonl_malformed(spark, d):
+    rows = _parsed(spark, d, before='{"cut": \n', after='\n\nno "json"\n')
+    return reader.malformed_of(rows).select("graph_key", "code", F.regexp_extract("message", "^[^:]*", 0).alias("said"), "source_json")
+
+
+@query("jsonl_array_scan", f"with {_RECORDS} select g graph_key, event_id, row_number() over (partition by g order by event_id) record_index, {_KINDS} kind from r")
+def jsonl_array_scan(spark, d):
+    s = reader.spans_of(_parsed(spark, d, before=" [", between=",\n", after="]"))
+    return s.select("graph_key", F.expr("cast(substr(span_id, 2) as bigint) event_id"), "record_index", "kind")
+
+
+@query("jsonl_refused", """select user_id::varchar || ' ' || kind graph_key, code error_code from (select distinct user_id from events),
+  lateral (select 'strange' kind, 'adapter_unconfident' code union all select 'cut', 'adapter_unconfident' union all select 'empty', 'adapter_unconfident' union all select 'twice', 'duplicate_node_id') x""")
+def jsonl_refused(spark, d):
+    users = spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct()
+    one = '{"span_id": "a", "attributes": {"openinference.span.kind": "TOOL"}}'
+    kinds = {"strange": '{"span_id": "a"}', "cut": '[{"span_id": "a"}', "empty": "", "twice": f"{one}\n{one}"}
+    given = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).cast("binary").alias("c")) for k, v in kinds.items()])).alias("x")
+    source = users.select("user_id", given).select(F.concat_ws(" ", F.col("user_id").cast("string"), "x.k").alias("graph_key"), F.col("x.c").alias("content"))
+    rows = settled(reader.parsed(source))
+    return build_graphs(reader.spans_of(rows), graphs=reader.graphs_of(rows)).graphs_df.where("error_code is not null").select("graph_key", "error_code")
+
+
+def _documents(spark, d) -> DataFrame:
+    rows = _parsed(spark, d)
+    return documents(build_graphs(reader.spans_of(rows), graphs=reader.graphs_of(rows), malformed=reader.malformed_of(rows)))
+
+
+@query("document_counts", f"""with {_RECORDS} select g graph_key, '0.1' schema_version, 'u' || g trace_id, count(*) nodes, count(*) - 1 edges, count(*) + count(*) filter ({_KINDS} = 'unknown') diagnostics from r group by g""")
+def document_counts(spark, d):
+    at = lambda p: F.get_json_object("document", f"$.{p}")
+    n = lambda p: at(f"meta.{p}_count").cast("long")
+    return _documents(spark, d).select("graph_key", at("schema_version").alias("schema_version"), at("trace_id").alias("trace_id"), n("node").alias("nodes"), n("edge").alias("edges"), n("diagnostic").alias("diagnostics"))
+
+
+@query("document_nodes", f"""with {_RECORDS} select g graph_key, row_number() over (partition by g order by t, 'e' || event_id) - 1 pos, 'e' || event_id node_id, {_KINDS} kind, t::double started_at,
+  case when {_KINDS} = 'unknown' and event_type <> 'error' then upper(event_type) end reported_kind, sha256(replace(props, ' ', '')) input from r""")
+def document_nodes(spark, d):
+    node = "struct<id: string, kind: string, started_at: double, attributes: struct<reported_kind: string>, inputs: struct<value: map<string, bigint>>>"
+    made = _documents(spark, d).select("graph_key", F.posexplode(F.from_json("document", f"struct<nodes: array<{node}>>")["nodes"]).alias("pos", "n"))
+    return made.select("graph_key", F.col("pos").cast("long").alias("pos"), F.col("n.id").alias("node_id"), "n.kind", "n.started_at", "n.attributes.reported_kind", F.sha2(F.to_json("n.inputs.value"), 256).alias("input"))
+
+
+@query("document_validation", f"""with {_RECORDS} select g graph_key, 0::bigint problems, true canonical from r group by g""")
+def document_validation(spark, d):
+    """Every document is read again: what is wrong with it, and whether it is written the one canonical way."""
+
+    def check(batches):
+        import json
+
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column("document").to_pylist()
+            values = [json.loads(t) for t in texts]
+            said = [pa.array([len(validate(v)) for v in values], pa.int64()), pa.array([canonical_json(v) == t for v, t in zip(values, texts)], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column("graph_key"), *said], ["graph_key", "problems", "canonical"])
+
+    return _documents(spark, d).mapInArrow(check, "graph_key string, problems long, canonical boolean")
+
+
+@query("unaccounted_records", "select user_id::varchar graph_key, 0::bigint lost from events group by user_id")
+def unaccounted_records(spark, d):
+    """Records of each graph that are neither a node nor in a diagnostic."""
+    rows = _parsed(spark, d)
+    g = build_graphs(reader.spans_of(rows), graphs=reader.graphs_of(rows))
+    lost = unaccounted(reader.spans_of(rows), g).groupBy("graph_key").agg(_n("lost"))
+    return g.graphs_df.select("graph_key").join(lost, "graph_key", "left").select("graph_key", F.coalesce("lost", F.lit(0)).cast("long").alias("lost"))
