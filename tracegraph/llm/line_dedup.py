@@ -9,7 +9,8 @@ doc_id, then line number) matches it. Steps, over all lines of all documents:
 2. Each line sorts its words by rarity and sends its prefix (n - ceil(0.8 n) + 1 words), each as a row
    keyed by the word, and one row keyed by the whole set. A word whose bucket counts 1 stands in no other
    line and sends no row. Rows are shuffled by key and sorted.
-3. Within a key, rows of equal sets keep the first. Rows that share a prefix word are compared by length,
+3. Within a key, rows of equal sets keep the first (those of one slice are told apart before, so a line that all documents have
+   sends a row a slice). Rows that share a prefix word are compared by length,
    position and a bitmap of word parities (a bound on the symmetric difference). Each line names the
    earliest lines that pass. Keys of more than HOT rows are passed on in blocks, and each pair of blocks
    whose lengths can match is compared by a task of its own.
@@ -19,7 +20,8 @@ doc_id, then line number) matches it. Steps, over all lines of all documents:
    matches. It names more lines in each round and all in the last, so the result is exact and the number
    of rows follows the open lines and not the square of a group.
 
-Words are compared by a 48-bit key (8 bits of rarity, 39 of hash, 1 for several lines), sets by a 63-bit sum of mixed keys.
+Words are compared by a 48-bit key (8 bits of rarity, 39 of hash, 1 for several lines), sets by a 63-bit sum of mixed keys with the
+number of words and a bitmap of 64 bits or more. Two words of a pair of lines share a key by chance once in some 10^7 pairs of 100 words.
 Defined results: null texts have one empty line; lines without words never match and always stay; of
 repeated rows (same doc_id, an integer, and text) all stay or go alike; a null doc_id comes before all others; an empty table gives
 no rows; a text is read whole, however long; columns besides doc_id and text pass untouched, whatever their names.
@@ -176,7 +178,8 @@ def _wide(w: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=size) & 1).astype(bool), bitorder="little").tobytes()
 
 
-#: shape: words in the line << 32 | place of the key's word in the prefix + 1, 0 for a whole set. at: _th << 32 | line number.
+GONE = -1
+#: shape: words in the line << 32 | place of the key's word in the prefix + 1, 0 for a whole set; GONE: a line that goes. at: _th << 32 | line number.
 ROWS = "key long, shape long, sid long, bits long, half long, doc long, at long"
 
 
@@ -204,8 +207,8 @@ def signatures(docs: DataFrame, table, wanted=None) -> DataFrame:
                 for row, number, w, begin, n, sid in _sets(text_or_empty(part), table.value):
                     place = th[row] | number
                     order = np.lexsort((place, doc[row], sid))
-                    once = order[np.concatenate([[True], sid[order][1:] != sid[order][:-1]])]
-                    exact = np.arange(len(sid))
+                    leads = np.concatenate([[True], sid[order][1:] != sid[order][:-1]])
+                    once, exact = order[leads], np.arange(len(sid))
                     near = np.sort(once[n[once] >= 4])  # of three words or fewer, only equal sets match
                     count = n[near] - needed(n[near]) + 1
                     pos = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -219,8 +222,12 @@ def signatures(docs: DataFrame, table, wanted=None) -> DataFrame:
                     pos, word, of = pos[seen], word[seen], of[seen]
                     k = np.concatenate([exact, of])
                     key = np.concatenate([-1 - sid.astype(np.int64)[exact], word.astype(np.int64)])
-                    bits, half = (x.view(np.int64) for x in _bitmaps(w, begin, n))
                     shape = n[k].astype(np.int64) << 32 | np.concatenate([np.zeros(len(exact), np.int64), pos + 1])
+                    if wanted is None:  # of equal lines of a slice, all but the first go wherever they are dealt, and so to no one task
+                        again = order[~leads]
+                        key[again] = -1 - (mix64(_number(key[again], doc[row[again]], place[again])) >> np.uint64(1)).astype(np.int64)
+                        shape[again] = GONE
+                    bits, half = (x.view(np.int64) for x in _bitmaps(w, begin, n))
                     cols = [pa.array(c) for c in (key, shape, sid.astype(np.int64)[k], bits[k], half[k], doc[row][k], place[k])]
                     if wanted is None:
                         yield pa.RecordBatch.from_arrays(cols, COLUMNS)
@@ -314,7 +321,10 @@ def _match(r: dict, named: int | None, small_key: int = SMALL):
     near = key[first] >= 0
     whole = np.repeat(first[~near], sizes[~near])
     i = np.flatnonzero(np.repeat(~near, sizes))
-    gone = _after(r, i, whole)
+    said = r["shape"][i] == GONE
+    # equal sets agree in their hash, and to be sure in number of words and parities, another 64 bits or more
+    alike = (r["shape"][i] == r["shape"][whole]) & (r["bits"][i] == r["bits"][whole]) & (r["half"][i] == r["half"][whole])
+    gone = said | alike & _after(r, i, whole)
     yield 0, i[gone], r["sid"][i[gone]]
     small = near & (sizes <= small_key) & (sizes > 1)
     rows = np.flatnonzero(np.repeat(small, sizes))
