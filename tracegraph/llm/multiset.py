@@ -24,7 +24,7 @@ from ._common import cut, documents, fresh_path
 
 SEEDS = 8
 #: The run of up to three words at each word, as group 1; it does not go past the end of a line.
-RUNS = r"(?<![^ \t-\r])(?=([^ \t-\r]++(?:[ \t\x0B\f\r]++[^ \t-\r]++){0,2}+))"
+RUNS = r"(?=([^ \t-\r]++(?:[ \t\x0B\f\r]++[^ \t-\r]++){0,2}+))[^ \t-\r]++"
 PAIR = 0x0000000100000001  # two lanes of 32 bits in one sum, so that no lane runs over into the next
 LOW = 0xFFFFFFFF
 NULL_ID = -(1 << 63)
