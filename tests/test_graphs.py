@@ -314,3 +314,15 @@ def test_order_of_large_graphs(spark):
     for a, b in zip(want, got):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert 0 < want[1].count() < 12 and nodes.count() == got[0].select("graph_key", "pos").distinct().where(F.col("pos") >= 0).count()
+
+
+def test_graph_in_hand(fleet):
+    """One graph as Python values, equal to its document."""
+    g = T.Graph.of(fleet.one("calls").annotate("x", "me", "k", {"v": 1}))
+    assert [n.id for n in g.nodes] == ["a", "l", "x", "y", "z"] and len(g) == g.meta.node_count == 5
+    llm = g.node("l")
+    assert llm.kind is T.NodeKind.LLM and llm.usage == T.Usage(3, None, None, {"cached": 1}) and llm.inputs.state is T.PayloadState.ABSENT and not llm.inputs.has_content
+    assert {e.warrant for e in g.edges if e.kind == T.EdgeKind.TEMPORAL} == {T.Warrant.DERIVED} and g.node("nobody") is None
+    assert g.annotations.get("me", "x", "k") == {"v": 1} and g.annotations.for_node("x", "me") == {"k": {"v": 1}} and len(g.annotations) == 1
+    assert {d.level for d in g.diagnostics} <= set(T.DiagnosticLevel) and [a.value for a in g.annotations] == [{"v": 1}]
+    assert set(T.__all__) <= set(dir(T))

@@ -29,7 +29,7 @@ def _payload(p: dict | None) -> dict:
 def _node(n: dict) -> dict:
     usage = n["usage"]
     if usage is not None:
-        usage = dict(usage) | {"extra": dict(usage["extra"] or {})}
+        usage = dict(usage) | {"extra": {e["key"]: e["value"] for e in usage["extra"] or []}}
     same = ("kind", "name", "operation", "started_at", "ended_at", "status", "status_note")
     return {"id": n["node_id"], **{k: n[k] for k in same}} | {
         "inputs": _payload(n["inputs"]),
@@ -62,11 +62,13 @@ def documents(graphs: TraceGraphs) -> DataFrame:
 
     def lists(df: DataFrame, name: str, order: list, columns: list[str]) -> DataFrame:
         keyed = df.select("graph_key", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*columns).alias("v")).alias("x"))
-        return keyed.groupBy("graph_key").agg(F.array_sort(F.collect_list("x"), _by(len(order))).alias("l")).select("graph_key", F.col("l.v").alias(name))
+        return keyed.groupBy("graph_key").agg(F.sort_array(F.collect_list("x")).alias("l")).select("graph_key", F.col("l.v").alias(name))
 
     c = F.col
     drop = {"graph_key", "pos", "record_index"}
-    n = lists(graphs.nodes_df, "nodes", [c("pos")], [x for x in graphs.nodes_df.columns if x not in drop])
+    u = c("usage")  # a map has no order, and what is sorted needs one
+    plain = F.when(u.isNotNull(), F.struct(u["input_tokens"].alias("input_tokens"), u["output_tokens"].alias("output_tokens"), u["total_tokens"].alias("total_tokens"), F.map_entries(u["extra"]).alias("extra")))
+    n = lists(graphs.nodes_df.withColumn("usage", plain), "nodes", [c("pos")], [x for x in graphs.nodes_df.columns if x not in drop])
     e = lists(graphs.edges_df, "edges", [c("kind"), c("src"), c("dst"), c("basis")], ["src", "dst", "kind", "warrant", "basis", "adapter"])
     d = lists(graphs.diagnostics_df, "diagnostics", ordered(graphs.diagnostics_df), ["code", "level", "message", "node_id", "source_json", "adapter"])
     a = lists(graphs.annotations_df, "annotations", [c("namespace"), c("node_id"), c("key")], ["namespace", "node_id", "key", "value_json"])
@@ -86,18 +88,6 @@ def documents(graphs: TraceGraphs) -> DataFrame:
     return whole.mapInArrow(write, "graph_key string, document string")
 
 
-def _by(n: int):
-    def compare(x, y):
-        out = F.lit(0)
-        for i in reversed(range(n)):
-            out = F.when(x[f"o{i}"] < y[f"o{i}"], -1).when(x[f"o{i}"] > y[f"o{i}"], 1).otherwise(out)
-        return out
-
-    return compare
-
-
-
-
 def to_document(graphs: TraceGraphs) -> dict:
     (row,) = documents(graphs).collect()
     return json.loads(row["document"])
