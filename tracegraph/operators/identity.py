@@ -17,9 +17,12 @@ def identified(spans: DataFrame, traces: DataFrame, adapter: Column) -> DataFram
     """spans with node_id and unique (whether span_id names this span alone). traces: majority_trace() of the inputs.
 
     adapter: a column of the adapter's id, a literal or of spans itself. Only spans whose id is derived, or claimed twice, meet their
-    input's trace; the others keep the id they have."""
-    claims = spans.where(F.col("span_id").isNotNull()).groupBy("graph_key", "span_id").agg(F.count(F.lit(1)).alias("_claims"))
-    many = claims.where("_claims > 1").select("graph_key", "span_id")
+    input's trace; the others keep the id they have. Counts the claims of ids at once, and plans joins only where some are odd."""
+    claims = spans.groupBy("graph_key", "span_id").agg(F.count(F.lit(1)).alias("_claims"))
+    odd = claims.where("_claims > 1 or span_id is null")
+    if not odd.agg(F.count(F.lit(1))).first()[0]:  # known beforehand, no span has to move for it
+        return spans.select("*", F.lit(True).alias("unique"), F.col("span_id").alias("node_id"))
+    many = odd.where("_claims > 1 and span_id is not null").select("graph_key", "span_id")
     own = spans.where(F.col("span_id").isNotNull()).join(many, ["graph_key", "span_id"], "left_anti").select("*", F.lit(True).alias("unique"), F.col("span_id").alias("node_id"))
     rest = spans.where(F.col("span_id").isNull()).unionByName(spans.join(many, ["graph_key", "span_id"], "left_semi"))
     rest = rest.join(traces.withColumnRenamed("trace_id", "_majority"), "graph_key", "left")
