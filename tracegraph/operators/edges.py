@@ -75,10 +75,14 @@ GROUP = 1_000_000  # siblings that one task sorts, about
 
 
 def slices_for(nodes: DataFrame, parent: DataFrame) -> int:
-    """How many slices the largest group of siblings wants; from counts alone, which are summed before they move."""
-    below = parent.groupBy("graph_key", "src").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    every = nodes.groupBy("graph_key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0 if below <= GROUP else below
-    return max(1, -(-max(below, every) // GROUP))
+    """How many slices the largest group of siblings wants; from counts alone, which are summed before they move. No group has more
+    nodes than its graph, so the groups themselves are counted only where a graph is that large."""
+    largest = lambda df, *by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    every = largest(nodes, "graph_key")
+    if every <= GROUP:
+        return 1
+    rooted = nodes.join(parent.select("graph_key", F.col("dst").alias("node_id")), ["graph_key", "node_id"], "left_anti")
+    return max(1, -(-max(largest(parent, "graph_key", "src"), largest(rooted, "graph_key")) // GROUP))
 
 
 def siblings(nodes: DataFrame, parent: DataFrame, slices: int | None = 1) -> DataFrame:
