@@ -1,5 +1,6 @@
 """Each operator against brute force, on documents with nulls, empty and long texts, ties, repeats and odd columns."""
 
+import functools
 import hashlib
 import math
 import zlib
@@ -684,6 +685,15 @@ def _kneser_ney(texts):
     edge = chr(lang_id.EDGE)
     words = [(lang, w) for lang, t in texts for w in "".join(c if c.isalpha() else " " for c in t.lower()).split()]
     alphabet = len({c for _, w in words for c in w} | {edge}) + 1
+
+    def p(counts, discount, context, g):
+        k = len(g)
+        if not k:
+            return 1 / alphabet
+        total, types = context[k].get(g[:-1], (0, 0))
+        low = p(counts, discount, context, g[1:])
+        return max(counts[k][g] - discount[k], 0) / total + discount[k] * types / total * low if total else low
+
     out = {}
     for lang in sorted({lang for lang, _ in texts}):
         counts = {4: Counter()}
@@ -702,16 +712,7 @@ def _kneser_ney(texts):
                 context[k][g[:-1]][0] += v
                 context[k][g[:-1]][1] += 1
 
-        def p(g, counts=counts, discount=discount, context=context):
-            k = len(g)
-            if not k:
-                return 1 / alphabet
-            total, types = context[k].get(g[:-1], (0, 0))
-            if not total:
-                return p(g[1:])
-            return max(counts[k][g] - discount[k], 0) / total + discount[k] * types / total * p(g[1:])
-
-        out[lang] = p
+        out[lang] = functools.partial(p, counts, discount, context)
     return out
 
 
