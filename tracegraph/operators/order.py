@@ -89,7 +89,7 @@ def in_rounds(keyed: DataFrame, stated: DataFrame) -> tuple[DataFrame, DataFrame
 
 def positions(nodes: DataFrame, edges: DataFrame, largest: int = LARGEST) -> tuple[DataFrame, DataFrame]:
     """((graph_key, node_id, pos from 0), (graph_key, ids json) of graphs with a cycle)."""
-    keyed = nodes.select("graph_key", "node_id", "started_at")
+    keyed = settled(nodes.select("graph_key", "node_id", "started_at"))  # both ends of edges and the window read it
     e = settled(ordering_edges(keyed, edges))
     back = e.where(~(F.col("from") < F.col("to")))
     turned = back.select("graph_key").distinct()
