@@ -97,6 +97,46 @@ def test_line_dedup_of_short_lines(spark, limits):
     assert {r["doc"] for r in line_dedup.line_decisions(docs, **limits).collect()} == want
 
 
+@pytest.mark.parametrize("named", [2, None])
+def test_memory_of_a_large_key(named):
+    """What is held while a key's rows are compared, and each part that is passed on, does not follow the square of the key."""
+    import tracemalloc
+
+    n = 4096 if named else 1024
+    same = lambda x, kind: np.full(n, x, kind)
+    r = {"key": same(7, np.int64), "shape": same(100 << 32 | 1, np.int64), "sid": np.arange(n), "bits": same(5, np.uint64), "half": same(9, np.uint64), "doc": np.arange(n), "at": same(0, np.int64)}
+    found, largest = [0, 0, 0], 0
+    tracemalloc.start()
+    for kind, i, _ in line_dedup._match(r, named):
+        found[kind] += len(i)
+        largest = max(largest, len(i))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == ([0, 2 * n - 3, n - 3] if named else [0, n * (n - 1) // 2, 0])
+    assert peak < 40e6 and largest < 3e5
+
+
+def test_memory_of_sampling():
+    """A worker's arrays while a megabyte of text with few repeated words is segmented."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    letters = np.array(list("etaoinshrdlucmwfgypbvk"))
+    texts = [" ".join("".join(letters[rng.integers(0, 22, rng.integers(2, 12))]) for _ in range(300)) for _ in range(600)]
+    v = pieces.vocabulary(pieces.default_model())
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    tracemalloc.start()
+    for part in pieces.pieces_of(batch, pieces.SLICE):
+        some = part.column("text").to_pylist()
+        ids, stops = pieces.sample(v, some, np.arange(len(some)).astype(np.uint64))
+        assert pieces.decode_all(v, ids.astype(np.int64), stops) == some
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6, peak
+
+
 def test_token_store(spark, sf_dir, corpus, monkeypatch):
     from tokenizers import Tokenizer
 

@@ -40,6 +40,7 @@ SLICES = 64
 HELD = 1 << 20  # buckets that a task counts at a time
 HOT = 8192  # rows of a key that one task compares
 SMALL = 48  # rows of a key that are compared with those of many other keys at once
+PAIRS = 1 << 17  # pairs of rows of larger keys that are compared, or passed on, at once
 NAMED = 2  # candidates that a line names within a key
 LATER = (4, 64, None)  # candidates that an open line names in the rounds after the first
 NULL_ID = -(1 << 63)
@@ -291,14 +292,18 @@ def _after(r: dict, i, j) -> np.ndarray:
     return (r["doc"][i] > r["doc"][j]) | (r["doc"][i] == r["doc"][j]) & (r["at"][i] > r["at"][j])
 
 
-def _in_large(r: dict, xs: np.ndarray, ys: np.ndarray, named: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later, earlier) rows of r among xs and ys that may match, `named` of them for each x at most, and the x that had more."""
-    left, right, more = [], [], []
+def _in_large(r: dict, xs: np.ndarray, ys: np.ndarray, named: int | None):
+    """Yields (later, earlier) rows of r among xs and ys that may match, `named` of them for each x at most, and the x that had more.
+
+    What is held at once, and what is yielded, follows PAIRS and len(ys) and not the square of a key."""
     if "wide" in r:
         xs = xs[r["asks"][xs]]
     y = tuple(f[None] for f in _fields(r, ys))
-    for a in range(0, len(xs), 256):
-        some = xs[a : a + 256]
+    step = max(1, PAIRS // max(1, len(ys)))
+    join = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
+    left, right, more, held = [], [], [], 0
+    for a in range(0, len(xs), step):
+        some = xs[a : a + step]
         ok = _passes(tuple(f[:, None] for f in _fields(r, some)), y) & _after(r, some[:, None], ys[None])
         i, j = np.nonzero(ok)
         ok[i, j] = _passes_too(r, some[i], ys[j])
@@ -309,8 +314,11 @@ def _in_large(r: dict, xs: np.ndarray, ys: np.ndarray, named: int | None) -> tup
         i, j = np.nonzero(ok)
         left.append(some[i])
         right.append(ys[j])
-    join = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
-    return join(left), join(right), join(more)
+        held += len(i)
+        if held >= PAIRS:
+            yield join(left), join(right), join(more)
+            left, right, more, held = [], [], [], 0
+    yield join(left), join(right), join(more)
 
 
 def _match(r: dict, named: int | None, small_key: int = SMALL):
@@ -346,9 +354,9 @@ def _match(r: dict, named: int | None, small_key: int = SMALL):
         yield 1, rows[ok], r["sid"][(lead + d)[ok]]
     for g in np.flatnonzero(near & (sizes > small_key)):
         own = np.arange(first[g], first[g] + sizes[g])
-        i, j, rest = _in_large(r, own, own, named)
-        yield 1, i, r["sid"][j]
-        yield 2, rest, r["sid"][rest]
+        for i, j, rest in _in_large(r, own, own, named):
+            yield 1, i, r["sid"][j]
+            yield 2, rest, r["sid"][rest]
 
 
 def _table(batch) -> dict:
@@ -439,8 +447,8 @@ def hot_matches(hot: DataFrame, named: int | None = NAMED) -> DataFrame:
         other = np.asarray(group.column("other"))
         xs, ys = np.flatnonzero(other == j), np.flatnonzero(other == i)
         ys = ys[np.lexsort((r["at"][ys], r["doc"][ys]))]
-        left, right, more = _in_large(r, xs, ys, named)
-        return pa.Table.from_batches([_out(1, r, left, r["sid"][right]), _out(2, r, more, r["sid"][more])])
+        parts = ((_out(1, r, left, r["sid"][right]), _out(2, r, more, r["sid"][more])) for left, right, more in _in_large(r, xs, ys, named))
+        return pa.Table.from_batches([x for part in parts for x in part])
 
     return rows.groupBy("key", "i", "j").applyInArrow(run, _out_schema(hot))
 

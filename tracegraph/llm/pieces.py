@@ -28,7 +28,7 @@ SPACE, MARK = 0x20, 0x2581
 ALPHA = 1.0
 OFFSET = 10.0
 BYTE_COST = -14.0  # log weight of a byte
-SLICE = 1 << 20  # bytes of text worked on at a time
+SLICE = 1 << 18  # bytes of text worked on at a time; the arrays of its characters and edges are many times that
 LONG = 64  # characters of a part that are worked on with those of all others
 FEW = 16  # parts that are written one by one
 
