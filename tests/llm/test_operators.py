@@ -97,6 +97,34 @@ def test_line_dedup_of_short_lines(spark, limits):
     assert {r["doc"] for r in line_dedup.line_decisions(docs, **limits).collect()} == want
 
 
+def test_line_dedup_splits_texts_once_for_all_later_rounds(spark, monkeypatch):
+    made = []
+    real = line_dedup.signatures
+    monkeypatch.setattr(line_dedup, "signatures", lambda *a: made.append(len(a)) or real(*a))
+    rng = np.random.default_rng(3)
+    often, base = [f"often{k}" for k in range(60)], [f"w{k}" for k in range(100)]
+    near = lambda n: " ".join([*rng.permutation(base)[n:], *rng.permutation(often)[:n]])
+    texts = [near(15) for _ in range(40)] + [near(5), " ".join(base), *(near(15) for _ in range(5)), " ".join(often * 500)]
+    sets = [frozenset(t.split()) for t in texts]
+    want = {i for i, x in enumerate(sets) if any(5 * len(x & y) >= 4 * len(x | y) for y in sets[:i])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc"] for r in line_dedup.line_decisions(docs, named=1, later=(1, 2, 3, None)).collect()}
+    assert got == want and made == [2, 3]
+
+
+def test_line_dedup_reads_only_the_lines_of_pairs():
+    import pyarrow as pa
+
+    texts, ids, th = ["a b\nc\n\nd", None, "", "e\nü f"], [4, None, 5, 6], [-7, 1, 0, 9]
+    part = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts), pa.array(th, pa.int32())], ["doc_id", "text", "_th"])
+    places = [(4, -7, 0), (4, -7, 3), (6, 9, 1)]
+    doc, at = np.array([x[0] for x in places], np.int64), np.array([x[1] << 32 | x[2] for x in places], np.int64)
+    bits = np.zeros(line_dedup.FILTER, np.uint8)
+    bits[(line_dedup.mix64(line_dedup._number(np.zeros(3, np.int64), doc, at)) & np.uint64(line_dedup.FILTER - 1)).astype(np.int64)] = 1
+    assert line_dedup._lines_of(part, np.packbits(bits)).to_pylist() == ["a b\n", "d\n", "ü f\n"]
+    assert not len(line_dedup._lines_of(part, np.packbits(bits * 0)))
+
+
 @pytest.mark.parametrize("named", [2, None])
 def test_memory_of_a_large_key(named):
     """What is held while a key's rows are compared, and each part that is passed on, does not follow the square of the key."""

@@ -244,7 +244,8 @@ BITMAPS = ("bits", "half")
 ASKED = "asks boolean, wide binary"
 COLUMNS, ASKED_COLUMNS = ([c.split()[0] for c in x.split(", ")] for x in (ROWS, ASKED))
 #: kind 0: the line (doc, at) goes. 1: it may match the set `other`. 2: it may have more candidates than it named. 3: a row of a hot key, with its block in `other`.
-OUT = f"kind int, {ROWS}, other long"
+#: other_doc, other_at: a line that is the set `other`.
+OUT = f"kind int, {ROWS}, other long, other_doc long, other_at long"
 
 
 def _fields(r: dict, i=slice(None)) -> tuple[np.ndarray, ...]:
@@ -322,7 +323,7 @@ def _in_large(r: dict, xs: np.ndarray, ys: np.ndarray, named: int | None):
 
 
 def _match(r: dict, named: int | None, small_key: int = SMALL):
-    """r: rows sorted by key and place, whole keys only. Yields (kind, indexes of rows, other)."""
+    """r: rows sorted by key and place, whole keys only. Yields (kind, indexes of rows, those of the others)."""
     key, n = r["key"], len(r["key"])
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.concatenate([first, [n]]))
@@ -333,7 +334,7 @@ def _match(r: dict, named: int | None, small_key: int = SMALL):
     # equal sets agree in their hash, and to be sure in number of words and parities, another 64 bits or more
     alike = (r["shape"][i] == r["shape"][whole]) & (r["bits"][i] == r["bits"][whole]) & (r["half"][i] == r["half"][whole])
     gone = said | alike & _after(r, i, whole)
-    yield 0, i[gone], r["sid"][i[gone]]
+    yield 0, i[gone], i[gone]
     small = near & (sizes <= small_key) & (sizes > 1)
     rows = np.flatnonzero(np.repeat(small, sizes))
     lead = np.repeat(first[small], sizes[small])
@@ -344,19 +345,19 @@ def _match(r: dict, named: int | None, small_key: int = SMALL):
         later = rows - lead > d
         full = later & (said >= named) if named is not None else np.zeros(len(rows), bool)
         if full.any():
-            yield 2, rows[full], r["sid"][rows[full]]
+            yield 2, rows[full], rows[full]
         rows, lead, said = (x[later & ~full] for x in (rows, lead, said))
         if not len(rows):
             break
         ok = _passes(_fields(r, rows), _fields(r, lead + d)) & _after(r, rows, lead + d)
         ok[ok] = _passes_too(r, rows[ok], lead[ok] + d)
         said += ok
-        yield 1, rows[ok], r["sid"][(lead + d)[ok]]
+        yield 1, rows[ok], (lead + d)[ok]
     for g in np.flatnonzero(near & (sizes > small_key)):
         own = np.arange(first[g], first[g] + sizes[g])
         for i, j, rest in _in_large(r, own, own, named):
-            yield 1, i, r["sid"][j]
-            yield 2, rest, r["sid"][rest]
+            yield 1, i, j
+            yield 2, rest, rest
 
 
 def _table(batch) -> dict:
@@ -369,15 +370,18 @@ def _table(batch) -> dict:
     return t
 
 
-def _out(kind: int, r: dict, i: np.ndarray, other: np.ndarray):
+def _out(kind: int, r: dict, i: np.ndarray, j: np.ndarray | None = None, block: int = 0):
+    """OUT rows of rows i and their others j; kind 3 has a block and no others."""
     import pyarrow as pa
 
     cols = [pa.array(np.full(len(i), kind, np.int32)), *(pa.array((r[c].view(np.int64) if c in BITMAPS else r[c])[i]) for c in COLUMNS)]
-    cols.append(pa.array(other.astype(np.int64)))
+    cols.append(pa.array(np.full(len(i), block) if j is None else r["sid"][j]))
+    cols += [pa.array(r[c][j]) if kind == 1 else pa.nulls(len(i), pa.int64()) for c in ("doc", "at")]
+    names = ["kind", *COLUMNS, "other", "other_doc", "other_at"]
     if "wide" not in r:
-        return pa.RecordBatch.from_arrays(cols, ["kind", *COLUMNS, "other"])
+        return pa.RecordBatch.from_arrays(cols, names)
     wide = pa.array(r["wide"][i].tolist(), pa.binary()) if kind == 3 else pa.nulls(len(i), pa.binary())
-    return pa.RecordBatch.from_arrays([*cols, pa.array(r["asks"][i]), wide], ["kind", *COLUMNS, "other", *ASKED_COLUMNS])
+    return pa.RecordBatch.from_arrays([*cols, pa.array(r["asks"][i]), wide], names + ASKED_COLUMNS)
 
 
 def _out_schema(rows: DataFrame) -> str:
@@ -402,29 +406,29 @@ def matches(rows: DataFrame, named: int | None = NAMED, hot: int = HOT, small: i
                 whole = {k: v[:cut_at] for k, v in r.items()}
                 if block:  # the key that was passed on in blocks ends here
                     end = int(np.searchsorted(whole["key"], whole["key"][0], side="right"))
-                    yield _out(3, whole, np.arange(end), np.full(end, block))
+                    yield _out(3, whole, np.arange(end), block=block)
                     whole = {k: v[end:] for k, v in whole.items()}
                     block = 0
                 if len(whole["key"]):
-                    for kind, i, other in _match(whole, named, small):
+                    for kind, i, j in _match(whole, named, small):
                         if len(i):
-                            yield _out(kind, whole, i, other)
+                            yield _out(kind, whole, i, j)
             held = {k: v[cut_at:] for k, v in r.items()}
             if held["key"][0] < 0 and len(held["key"]) > 1:  # of equal sets, only the first is needed later
-                for kind, i, other in _match(held, named, small):
+                for kind, i, j in _match(held, named, small):
                     if len(i):
-                        yield _out(kind, held, i, other)
+                        yield _out(kind, held, i, j)
                 held = {k: v[:1] for k, v in held.items()}
             while held["key"][0] >= 0 and len(held["key"]) > hot:
-                yield _out(3, held, np.arange(hot), np.full(hot, block))
+                yield _out(3, held, np.arange(hot), block=block)
                 held = {k: v[hot:] for k, v in held.items()}
                 block += 1
         if held is not None and block:
-            yield _out(3, held, np.arange(len(held["key"])), np.full(len(held["key"]), block))
+            yield _out(3, held, np.arange(len(held["key"])), block=block)
         elif held is not None:
-            for kind, i, other in _match(held, named, small):
+            for kind, i, j in _match(held, named, small):
                 if len(i):
-                    yield _out(kind, held, i, other)
+                    yield _out(kind, held, i, j)
 
     return rows.repartition("key").sortWithinPartitions("key", "doc", "at").mapInArrow(run, _out_schema(rows))
 
@@ -447,7 +451,7 @@ def hot_matches(hot: DataFrame, named: int | None = NAMED) -> DataFrame:
         other = np.asarray(group.column("other"))
         xs, ys = np.flatnonzero(other == j), np.flatnonzero(other == i)
         ys = ys[np.lexsort((r["at"][ys], r["doc"][ys]))]
-        parts = ((_out(1, r, left, r["sid"][right]), _out(2, r, more, r["sid"][more])) for left, right, more in _in_large(r, xs, ys, named))
+        parts = ((_out(1, r, left, right), _out(2, r, more, more)) for left, right, more in _in_large(r, xs, ys, named))
         return pa.Table.from_batches([x for part in parts for x in part])
 
     return rows.groupBy("key", "i", "j").applyInArrow(run, _out_schema(hot))
@@ -477,28 +481,65 @@ def _let_through(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+def _lines_of(part, wanted: np.ndarray):
+    """The lines of docs' rows that the filter of (0, doc, at) lets through, as an Arrow string array; others are not split into words."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pc.binary_join_element_wise(text_or_empty(part), *(pa.scalar(x, pa.large_string()) for x in ("", "\n")))
+    data, offsets = column_bytes(texts)
+    breaks = np.flatnonzero(data == 10)
+    row = np.searchsorted(offsets[1:], breaks, side="right")
+    number = np.arange(len(breaks)) - np.searchsorted(breaks, offsets[:-1])[row]
+    doc = np.asarray(pc.fill_null(part.column("doc_id").cast(pa.int64()), NULL_ID))
+    th = np.asarray(part.column("_th")).astype(np.int64) << 32
+    have = _let_through(wanted, _number(np.zeros(len(row), np.int64), doc[row], th[row] | number))
+    cuts = np.concatenate([[0], breaks + 1]).astype(np.int64)
+    lines = pa.Array.from_buffers(pa.large_string(), len(breaks), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
+    return lines.filter(pa.array(have))
+
+
 def _word_sets(docs: DataFrame, table, wanted) -> DataFrame:
-    """(sid, words) of the sets that the filter `wanted` lets through, once each."""
+    """(sid, words) of the lines (doc, at) that the filter `wanted` lets through, each set once."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for part in pieces_of(batch):
-                for _, _, w, begin, n, sid in _sets(text_or_empty(part), table.value):
-                    have = np.flatnonzero(_let_through(wanted.value, sid))
-                    have = have[np.unique(sid[have], return_index=True)[1]]
+                lines = _lines_of(part, wanted.value)
+                if not len(lines):
+                    continue
+                for _, _, w, begin, n, sid in _sets(lines, table.value):
+                    have = np.unique(sid, return_index=True)[1]
                     words = [w[begin[k] : begin[k] + n[k]].tobytes() for k in have]
                     yield pa.RecordBatch.from_arrays([pa.array(sid[have].astype(np.int64)), pa.array(words, pa.binary())], ["sid", "words"])
 
-    return docs.select("text").mapInArrow(run, "sid long, words binary").groupBy("sid").agg(F.first("words").alias("words"))
+    return docs.select("doc_id", "text", "_th").mapInArrow(run, "sid long, words binary").groupBy("sid").agg(F.first("words").alias("words"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, table) -> DataFrame:
-    """Of (sid, other) pairs, those with a Jaccard index of 0.8 or more."""
-    spark = pairs.sparkSession
-    sids = pairs.select("sid").union(pairs.select(F.col("other").alias("sid"))).distinct()
-    sets = stored(_word_sets(docs, table, spark.sparkContext.broadcast(_filter_of(sids, "sid"))), "sets")
+def _asked(rows: DataFrame, wanted) -> DataFrame:
+    """signatures(wanted=wanted), from those of a round before that asked for these keys and others."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            key, doc, at = (np.asarray(batch.column(c)) for c in ("key", "doc", "at"))
+            asks = pa.array(_let_through(wanted.value[1], _number(key, doc, at)))
+            have = pa.array(_let_through(wanted.value[0], key.view(np.uint64)))
+            yield batch.set_column(batch.schema.get_field_index("asks"), "asks", asks).filter(have)
+
+    return rows.mapInArrow(run, f"{ROWS}, {ASKED}")
+
+
+def _verified(found: DataFrame, docs: DataFrame, table) -> DataFrame:
+    """Of the (sid, other) pairs of OUT rows, those with a Jaccard index of 0.8 or more. Only lines that stand in pairs are read again."""
+    spark = found.sparkSession
+    links = found.where("kind = 1")
+    pairs = links.select("sid", "other").distinct()
+    places = links.select(F.lit(0).cast("long").alias("key"), "doc", "at").union(links.select(F.lit(0).cast("long"), "other_doc", "other_at"))
+    sets = stored(_word_sets(docs, table, spark.sparkContext.broadcast(_filter_of(places, "key", "doc", "at"))), "sets")
     both = pairs.join(sets, "sid").join(sets.select(F.col("sid").alias("other"), F.col("words").alias("other_words")), "other")
 
     def run(batches):
@@ -529,19 +570,21 @@ def removed_lines(docs: DataFrame, named: int = NAMED, hot: int = HOT, small: in
             return out
         return out.where("kind < 3").unionByName(stored(hot_matches(passed, named), "hot-matches"))
 
-    found = found_by(rows, named)
     place = ["doc", "at"]
-    links = lambda found: found.where("kind = 1").select("sid", "other").distinct()
-    pairs = stored(_verified(links(found), docs, table), "pairs")
-    gone = lambda found, pairs: found.where("kind = 1").join(pairs, ["sid", "other"]).select(*place)
-    out = found.where("kind = 0").select(*place).unionByName(gone(found, pairs))
+    found = found_by(rows, named)
+    gone = lambda found: found.where("kind = 1").join(stored(_verified(found, docs, table), "pairs"), ["sid", "other"]).select(*place)
+    last = out = stored(found.where("kind = 0").select(*place).unionByName(gone(found)), "gone")
+    rows = None
     for named in later:  # lines that had more candidates under a key than they named, and no match yet
-        more = cut(found.where("kind = 2").select("key", *place).distinct().join(out.distinct(), place, "left_anti"))
+        more = cut(found.where("kind = 2").select("key", *place).distinct().join(last.distinct(), place, "left_anti"))
         if more.isEmpty():
             break
         asked = sc.broadcast((_filter_of(more, "key"), _filter_of(more, "key", *place)))
-        found = found_by(signatures(docs, table, asked), named)
-        out = out.unionByName(gone(found, stored(_verified(links(found), docs, table), "pairs")))
+        # keys of a round are among those of the round before, so texts are read for the first of them only
+        rows = stored(signatures(docs, table, asked), "asked") if rows is None else _asked(rows, asked)
+        found = found_by(rows, named)
+        last = stored(gone(found), "gone")
+        out = out.unionByName(last)
     return out.distinct()
 
 
