@@ -125,6 +125,61 @@ def test_line_dedup_reads_only_the_lines_of_pairs():
     assert not len(line_dedup._lines_of(part, np.packbits(bits * 0)))
 
 
+def _line_rows(spark, texts, partitions):
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, _th int").repartition(partitions)
+    return line_dedup.signatures(docs, spark.sparkContext.broadcast(line_dedup.word_table(docs)))
+
+
+def test_rows_of_lines_are_dealt_packed(spark):
+    """What is shuffled of a line's rows: few values, in three quarters of the 42 bytes a row that rows of their own took."""
+    rng = np.random.default_rng(7)
+    texts = ["\n".join(" ".join(rng.choice([f"w{k}" for k in range(3000)], 30)) for _ in range(20)) for _ in range(500)]
+    made = _line_rows(spark, texts + texts[:50], 2).collect()
+    rows = np.concatenate([line_dedup._unpacked(memoryview(r["rows"])) for r in made], axis=1)
+    assert rows.shape[1] > 50_000 and len(made) <= 2 * 64
+    assert sum(len(r["rows"]) for r in made) < 32 * rows.shape[1]
+
+
+def test_packed_rows_come_back():
+    rng = np.random.default_rng(2)
+    n = 5000
+    rows = rng.integers(-(1 << 62), 1 << 62, (7, n))
+    rows[0, : n // 2], rows[1] = rng.integers(0, 1 << 48, n // 2), rng.integers(1, 99, n)
+    rows[0, n // 2 :] = -1 - (rows[2, n // 2 :] & (1 << 62) - 1)
+    rows[2, n // 2 :] = -1 - rows[0, n // 2 :]
+    rows[1, n // 2 :] <<= 32  # whole sets
+    made = line_dedup._packed([rows[:, :9].copy(), rows[:, 9:].copy()], 64)
+    parts, back = made.column("part").to_pylist(), [line_dedup._unpacked(x.as_buffer()) for x in made.column("rows")]
+    assert parts == sorted(set(parts)) and len(parts) == 64
+    assert sorted(map(tuple, np.concatenate(back, axis=1).T.tolist())) == sorted(map(tuple, rows.T.tolist()))
+
+
+def test_a_part_is_held_in_bounds(spark):
+    """Where a part has more rows than are held at once, equal lines and hot keys come out the same."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(40)], 8)) for _ in range(120)] * 2 + [" ".join(f"b{k}" for k in range(20) if k != x % 20) + f" c{x}" for x in range(40)] + ["a b c d e"] * 30
+    rows = _line_rows(spark, texts, 7).cache()
+
+    def found(**limits):
+        out = line_dedup.packed_matches(rows, None, **limits).collect()
+        return sorted(tuple(-1 if x is None else x for x in r) for r in out if r["kind"] != 4)
+
+    assert found(most=1) == found() and {r[0] for r in found()} == {0, 1}
+    hot = found(hot=5, most=1)
+    assert hot == found(hot=5) and {r[0] for r in hot} >= {0, 3}
+
+
+def test_hashes_of_words():
+    words = [b"a", b"ab", b"a\0", b"12345678", b"123456789", b"\xff" * 8] + [b"xy" * k for k in range(2, 70)] + [b"xy" * k + b"x" for k in range(2, 70)]
+    lines = [words, words[::-1]]
+    hashes = []
+    for line in lines:
+        data = np.frombuffer(b" ".join(line), np.uint8)
+        ends = np.cumsum([len(w) + 1 for w in line]) - 1
+        hashes.append(dict(zip(line, line_dedup._word_hashes(data, ends - [len(w) for w in line], ends).tolist())))
+    assert hashes[0] == hashes[1] and len(set(hashes[0].values())) == len(words)
+
+
 @pytest.mark.parametrize("named", [2, None])
 def test_memory_of_a_large_key(named):
     """What is held while a key's rows are compared, and each part that is passed on, does not follow the square of the key."""
