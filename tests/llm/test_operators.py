@@ -169,6 +169,15 @@ def test_a_part_is_held_in_bounds(spark):
     assert hot == found(hot=5) and {r[0] for r in hot} >= {0, 3}
 
 
+def test_spans_of_words():
+    import pyarrow as pa
+
+    for texts in ([], [""], ["a"], [" a  b\n", "", "c\td"], ["", "x"], ["ü\x0bz\x00 ", "\n\n"]):
+        data, offsets, starts, ends = line_dedup._spans(pa.array(texts, pa.large_string()))
+        words = [bytes(data[a:b]) for a, b in zip(starts, ends)]
+        assert words == [w for t in texts for w in t.encode().split()] and len(offsets) == len(texts) + 1
+
+
 def test_hashes_of_words():
     words = [b"a", b"ab", b"a\0", b"12345678", b"123456789", b"\xff" * 8] + [b"xy" * k for k in range(2, 70)] + [b"xy" * k + b"x" for k in range(2, 70)]
     lines = [words, words[::-1]]

@@ -33,7 +33,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import Sealed, column_bytes, cut, documents, mix64, pieces_of, row_key, span_hashes, spans_of, stored, text_or_empty
+from ._common import Sealed, column_bytes, cut, documents, mix64, pieces_of, row_key, span_hashes, stored, text_or_empty
 
 BUCKETS = 1 << 25
 COARSE = 3  # bits: so many buckets share a class
@@ -57,13 +57,22 @@ def needed(n):
     return (4 * n + 4) // 5
 
 
-def _words(texts) -> tuple[np.ndarray, ...]:
-    """Of an Arrow string array: hashes of words and the line of each; the row and the number in it of each line."""
+def _spans(texts) -> tuple[np.ndarray, ...]:
+    """Of an Arrow string array: its bytes, each row with a line break after it, offsets of rows, starts and ends of words."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     data, offsets = column_bytes(pc.binary_join_element_wise(texts, *(pa.scalar(x, pa.large_string()) for x in ("", "\n"))))
-    starts, ends = spans_of((data - np.uint8(9) > 4) & (data != 32))
+    word = (data - np.uint8(9) > 4) & (data != 32)
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1  # the last byte is a line break
+    if len(word) and word[0]:
+        edge = np.concatenate([[0], edge])
+    return data, offsets, edge[::2], edge[1::2]
+
+
+def _words(texts) -> tuple[np.ndarray, ...]:
+    """Of an Arrow string array: hashes of words and the line of each; the row and the number in it of each line."""
+    data, offsets, starts, ends = _spans(texts)
     breaks = np.flatnonzero(data == 10)
     line = np.searchsorted(breaks, starts)
     row = np.searchsorted(offsets[1:], breaks, side="right")
@@ -151,7 +160,8 @@ def word_table(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndar
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for part in pieces_of(batch):
-                at, times = np.unique((_words(text_or_empty(part))[0] & np.uint64(BUCKETS - 1)).astype(np.int32), return_counts=True)
+                data, _, starts, ends = _spans(text_or_empty(part))
+                at, times = np.unique((_word_hashes(data, starts, ends) & np.uint64(BUCKETS - 1)).astype(np.int32), return_counts=True)
                 held.append((at, times))
                 if sum(len(x) for x, _ in held) > HELD:
                     held = [_summed(held)]
@@ -886,7 +896,7 @@ def dedup_lines(docs: DataFrame, **limits) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many stay, and which go (numbers from 0)."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     n = F.coalesce(lines, F.lit(1)).cast("long")
     small = row_key(docs).select("doc_id", "_th", n.alias("n_lines"))
     d = line_decisions(docs)
