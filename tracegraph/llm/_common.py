@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import AtomicType, NullType
 
-from ..functions.storage import settled, shared_dir
+from ..functions.storage import fresh_path, remove_tables, settled, shared_dir, stored  # noqa: F401  operators take them from here
 
 #: A word of the contracts is a run of bytes other than these ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,36 +17,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-_made: list[str] = []  # paths of fresh_path
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder. What is written there is read as long as results are; see remove_tables."""
-    _made.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
-
-
-def remove_tables(spark: SparkSession) -> int:
-    """Deletes what operators wrote under fresh_path in this process; results that are not written yet are lost. How many there were."""
-    gone = 0
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
-    return gone
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder and forget how it was made; survives lost executors."""
     return settled(df)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like cut(), as compressed Parquet: for tables of many rows."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on an array of unsigned 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
