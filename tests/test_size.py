@@ -34,3 +34,75 @@ def test_ancestors_share_what_is_above_them(spark, monkeypatch):
     twice = e.unionByName(spark.createDataFrame([("a", "m", "n5", "parent", "")], e.schema))
     some = traverse.breadth_first(twice, spark.createDataFrame([("a", "n5")], "graph_key string, start string"), backward=True)
     assert sorted((r["node_id"], r["depth"], r["rank"]) for r in some.collect()) == [("m", 1, 0), ("n0", 2, 2), ("n1", 1, 1)]
+
+
+def _fleet(spark, inputs, records, text="x"):
+    line = lambda i: '{"span_id": "s%d", "trace_id": "t", "start_time": %d, "name": "%s", "attributes": {"openinference.span.kind": "TOOL", "spare": %d}}' % (i, i, text, i)
+    content = "\n".join(map(line, range(records))).encode()
+    return spark.createDataFrame([(f"g{i}", bytearray(content)) for i in range(inputs)], "graph_key string, content binary").coalesce(1)
+
+
+def _python_rows(df):
+    """Rows of the largest Arrow batch that a task gets or gives, by a plan of one more step."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    return df.mapInArrow(count, "rows long, bytes long")
+
+
+def test_small_inputs_share_batches(spark, monkeypatch):
+    from tracegraph.sources import reader
+
+    made = []
+    monkeypatch.setattr(reader, "_arrow", lambda rows, schema, f=reader._arrow: (made.append(len(rows)), f(rows, schema))[1])
+    reader.parsed(_fleet(spark, 40, 1))  # the session's workers have their own copy; the generator is run here instead
+    import pyarrow as pa
+
+    source = pa.RecordBatch.from_pydict({"graph_key": [f"g{i}" for i in range(300)], "content": [b'{"x": 1}'] * 300})
+    taken = []
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            taken.extend(run([source]))
+
+    reader.parsed(Frame())
+    assert made == [300] and sum(b.num_rows for b in taken) == 300  # 300 refusals in one batch, not a batch each
+
+
+def test_documents_do_not_come_as_whole_batches(spark):
+    """A document is a row of a batch of some MB at most, and its parts come to its task as rows of their own."""
+    import json
+
+    from tracegraph import build_graphs
+    from tracegraph.plans import document
+    from tracegraph.sources import reader
+
+    rows = reader.parsed(_fleet(spark, 60, 40, "x" * 2000))
+    g = build_graphs(reader.spans_of(rows), graphs=reader.graphs_of(rows))
+    widest = max(r["bytes"] for r in _python_rows(document._items(g).where("part = 1")).collect())
+    assert widest / 10_000 < 10_000  # a row is a node, whatever the size of its graph
+    made = {r["graph_key"]: json.loads(r["document"]) for r in document.documents(g).collect()}
+    assert len(made) == 60
+    for d in made.values():
+        assert document.validate(d) == [] and [n["id"] for n in d["nodes"]] == [f"s{i}" for i in range(40)]
+        assert (d["meta"]["node_count"], d["meta"]["edge_count"], d["meta"]["diagnostic_count"]) == (40, 39, 40)
+    assert {(r["problems"], r["canonical"]) for r in document.checked(g).collect()} == {(0, True)}
+
+
+def test_the_table_of_graphs_needs_no_edges(spark, monkeypatch):
+    from tracegraph.operators import edges, order
+    from tracegraph.plans import build
+    from tracegraph.sources import reader
+
+    for module, name in ((edges, "temporal_edges"), (order, "positions")):
+        monkeypatch.setattr(module, name, lambda *_, **__: pytest.fail("no edge is asked for"))
+    rows = reader.parsed(_fleet(spark, 3, 2))
+    _, graphs, _, _ = build.accepted(reader.spans_of(rows), graphs=reader.graphs_of(rows))
+    assert sorted((r["graph_key"], r["trace_id"], r["error_code"]) for r in graphs.collect()) == [(f"g{i}", "t", None) for i in range(3)]

@@ -9,9 +9,8 @@ from pyspark.sql import Column, functions as F
 from ..schema import CONTENT_STATES, DERIVED_LENGTH, DERIVED_PREFIX
 
 
-def canonical_json(value) -> str:
-    """The one JSON encoding: sorted keys, no spaces, characters as they are."""
-    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+canonical_json = json.JSONEncoder(sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode
+"""The one JSON encoding: sorted keys, no spaces, characters as they are."""
 
 
 def derived_id(adapter: Column, trace_id: Column, source_key: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import derived_id
+from ..schema import DERIVED_PREFIX
 
 
 def majority_trace(spans: DataFrame) -> DataFrame:
@@ -16,23 +17,24 @@ def majority_trace(spans: DataFrame) -> DataFrame:
 def identified(spans: DataFrame, traces: DataFrame, adapter: Column) -> DataFrame:
     """spans with node_id and unique (whether span_id names this span alone). traces: majority_trace() of the inputs.
 
-    adapter: a column of the adapter's id, a literal or of spans itself. Only spans whose id is derived, or claimed twice, meet their
-    input's trace; the others keep the id they have. Counts the claims of ids at once, and plans joins only where some are odd."""
-    claims = spans.groupBy("graph_key", "span_id").agg(F.count(F.lit(1)).alias("_claims"))
-    odd = claims.where("_claims > 1 or span_id is null")
-    if not odd.agg(F.count(F.lit(1))).first()[0]:  # known beforehand, no span has to move for it
+    adapter: a column of the adapter's id, a literal or of spans itself. Claims are counted at once, by hashes of ids: where no two are
+    equal, no span has to move. Else the claims of an id are counted beside its spans, and those whose id is derived meet their input's trace."""
+    claims = spans.groupBy(F.xxhash64("graph_key", "span_id").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("span_id").isNull()).alias("none"))
+    if claims.where("n > 1 or none").isEmpty():
         return spans.select("*", F.lit(True).alias("unique"), F.col("span_id").alias("node_id"))
-    many = odd.where("_claims > 1 and span_id is not null").select("graph_key", "span_id")
-    own = spans.where(F.col("span_id").isNotNull()).join(many, ["graph_key", "span_id"], "left_anti").select("*", F.lit(True).alias("unique"), F.col("span_id").alias("node_id"))
-    rest = spans.where(F.col("span_id").isNull()).unionByName(spans.join(many, ["graph_key", "span_id"], "left_semi"))
-    rest = rest.join(traces.withColumnRenamed("trace_id", "_majority"), "graph_key", "left")
-    made = rest.select(*spans.columns, F.lit(False).alias("unique"), derived_id(adapter, F.col("_majority"), F.col("source_key")).alias("node_id"))
+    n = F.count(F.lit(1)).over(W.partitionBy("graph_key", "span_id"))
+    counted = spans.select("*", ((n == 1) & F.col("span_id").isNotNull()).alias("unique"))
+    own = counted.where("unique").select("*", F.col("span_id").alias("node_id"))
+    rest = counted.where("not unique").join(traces.withColumnRenamed("trace_id", "_majority"), "graph_key", "left")
+    made = rest.select(*counted.columns, derived_id(adapter, F.col("_majority"), F.col("source_key")).alias("node_id"))
     return own.unionByName(made)
 
 
 def collisions(ided: DataFrame) -> DataFrame:
-    """(graph_key, node_id): ids that two records of an input resolve to; such an input is refused."""
-    return ided.groupBy("graph_key", "node_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("graph_key", "node_id")
+    """(graph_key, node_id): ids that two records of an input resolve to; such an input is refused. A span id that names one span
+    alone can meet a derived id only, and so only where it looks like one."""
+    met = ided.where(~F.col("unique") | F.col("node_id").startswith(DERIVED_PREFIX))
+    return met.groupBy("graph_key", "node_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("graph_key", "node_id")
 
 
 def references(ided: DataFrame) -> DataFrame:

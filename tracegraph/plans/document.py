@@ -26,10 +26,18 @@ def _payload(p: dict | None) -> dict:
     return {"state": p.get("state"), "mime": p.get("mime"), "value": _value(p.get("value_json")), "raw": p.get("raw")}
 
 
+_NODE = (
+    "node_id", "kind", "name", "operation", "started_at", "ended_at", "status", "status_note", "inputs", "outputs", "usage", "attributes_json",
+    "raw_json", "source_id", "adapter_id", "adapter_version", "dialect_note",
+)
+_META = ("trace_id", "adapter_id", "adapter_version", "declared_confidence", "source_digest")
+_PARTS = ("meta", "nodes", "edges", "diagnostics", "annotations")
+
+
 def _node(n: dict) -> dict:
     usage = n["usage"]
     if usage is not None:
-        usage = dict(usage) | {"extra": {e["key"]: e["value"] for e in usage["extra"] or []}}
+        usage = dict(usage) | {"extra": dict(usage["extra"] or [])}
     same = ("kind", "name", "operation", "started_at", "ended_at", "status", "status_note")
     return {"id": n["node_id"], **{k: n[k] for k in same}} | {
         "inputs": _payload(n["inputs"]),
@@ -41,51 +49,124 @@ def _node(n: dict) -> dict:
     }
 
 
-def _document(row: dict) -> dict:
-    m = row["meta"]
+def _edge(src, dst, kind, warrant, basis, adapter) -> dict:
+    return {"src": src, "dst": dst, "kind": kind, "warrant": warrant, "basis": basis, "adapter": adapter}
+
+
+def _diagnostic(code, level, message, node_id, source_json, adapter) -> dict:
+    return {"code": code, "level": level, "message": message, "node_id": node_id, "source": _value(source_json), "adapter": adapter}
+
+
+def _annotation(namespace, node_id, key, value_json) -> dict:
+    return {"namespace": namespace, "node_id": node_id, "key": key, "value": _value(value_json)}
+
+
+def _text(m: dict, parts: dict[str, list[str]]) -> str:
+    """A document of its meta and the texts of its parts; the keys in order."""
     adapter = {"id": m["adapter_id"], "version": m["adapter_version"], "declared_confidence": m["declared_confidence"]}
-    counts = {f"{k}_count": m[f"{k}_count"] for k in ("node", "edge", "diagnostic")}
-    diagnostic = lambda d: {k: d[k] for k in ("code", "level", "message", "node_id", "adapter")} | {"source": _value(d["source_json"])}
-    return {
-        "schema_version": SCHEMA_VERSION,
-        "trace_id": m["trace_id"] or "",
+    counts = {f"{k}_count": len(parts[f"{k}s"]) for k in ("node", "edge", "diagnostic")}
+    whole = {
+        "schema_version": SCHEMA_VERSION, "trace_id": m["trace_id"] or "",
         "meta": {"engine_version": ENGINE_VERSION, "adapters": [adapter], "source_digest": m["source_digest"]} | counts,
-        "nodes": [_node(n) for n in row["nodes"] or []],
-        "edges": [dict(e) for e in row["edges"] or []],
-        "diagnostics": [diagnostic(d) for d in row["diagnostics"] or []],
-        "annotations": [{k: a[k] for k in ("namespace", "node_id", "key")} | {"value": _value(a["value_json"])} for a in row["annotations"] or []],
-    }
+    }
+    texts = {k: canonical_json(v) for k, v in whole.items()} | {k: f"[{','.join(parts[k])}]" for k in _PARTS[1:]}
+    return "{" + ",".join(f'"{k}":{texts[k]}' for k in ROOT_KEYS) + "}"
 
 
-def documents(graphs: TraceGraphs) -> DataFrame:
-    """(graph_key, document): the canonical JSON text of each graph that was built, all parts in canonical order."""
+def _items(graphs: TraceGraphs) -> DataFrame:
+    """A row for each part of a document: graph_key, part, pos, what it is (v0 to v5) and for nodes and meta their columns; the rows of a
+    graph follow each other in canonical order."""
+    c, null = F.col, lambda kind="string": F.lit(None).cast(kind)
+    types = {f.name: f.dataType for f in graphs.nodes_df.schema.fields} | {f.name: f.dataType for f in graphs.graphs_df.schema.fields if f.name in _META}
+    wide = list(dict.fromkeys(_NODE + _META))
+
+    def of(df: DataFrame, part: str, values: list[str], columns: tuple[str, ...] = (), order: list | None = None) -> DataFrame:
+        pos = c("pos").cast("long") if part == "nodes" else null("long")
+        keys = [k.cast("string") for k in order or []]
+        return df.select(
+            "graph_key", F.lit(_PARTS.index(part)).alias("part"), pos.alias("pos"), *[(keys[i] if i < len(keys) else null()).alias(f"o{i}") for i in range(4)],
+            *[(c(values[i]) if i < len(values) else null()).alias(f"v{i}") for i in range(6)], *[(c(x) if x in columns else null(types[x])).alias(x) for x in wide],
+        )
+
+    said, noted = graphs.diagnostics_df, graphs.annotations_df
+    out = of(graphs.graphs_df.where("error_code is null"), "meta", [], _META)
+    out = out.unionByName(of(graphs.nodes_df, "nodes", [], _NODE))
+    out = out.unionByName(of(graphs.edges_df, "edges", ["src", "dst", "kind", "warrant", "basis", "adapter"], order=[c("kind"), c("src"), c("dst"), c("basis")]))
+    out = out.unionByName(of(said, "diagnostics", ["code", "level", "message", "node_id", "source_json", "adapter"], order=ordered(said)))
+    out = out.unionByName(of(noted, "annotations", ["namespace", "node_id", "key", "value_json"], order=[c("namespace"), c("node_id"), c("key")]))
+    order = ["graph_key", "part", "pos", *(f"o{i}" for i in range(4)), *(f"v{i}" for i in range(6))]
+    return out.repartition("graph_key").sortWithinPartitions(*order).drop(*(f"o{i}" for i in range(4)))
 
-    def lists(df: DataFrame, name: str, order: list, columns: list[str]) -> DataFrame:
-        keyed = df.select("graph_key", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*columns).alias("v")).alias("x"))
-        return keyed.groupBy("graph_key").agg(F.sort_array(F.collect_list("x")).alias("l")).select("graph_key", F.col("l.v").alias(name))
-
-    c = F.col
-    drop = {"graph_key", "pos", "record_index"}
-    u = c("usage")  # a map has no order, and what is sorted needs one
-    plain = F.when(u.isNotNull(), F.struct(u["input_tokens"].alias("input_tokens"), u["output_tokens"].alias("output_tokens"), u["total_tokens"].alias("total_tokens"), F.map_entries(u["extra"]).alias("extra")))
-    n = lists(graphs.nodes_df.withColumn("usage", plain), "nodes", [c("pos")], [x for x in graphs.nodes_df.columns if x not in drop])
-    e = lists(graphs.edges_df, "edges", [c("kind"), c("src"), c("dst"), c("basis")], ["src", "dst", "kind", "warrant", "basis", "adapter"])
-    d = lists(graphs.diagnostics_df, "diagnostics", ordered(graphs.diagnostics_df), ["code", "level", "message", "node_id", "source_json", "adapter"])
-    a = lists(graphs.annotations_df, "annotations", [c("namespace"), c("node_id"), c("key")], ["namespace", "node_id", "key", "value_json"])
-    meta = graphs.meta.where("error_code is null").select("graph_key", F.struct(*[x for x in graphs.meta.columns if x != "graph_key"]).alias("meta"))
-    whole = meta.join(n, "graph_key", "left").join(e, "graph_key", "left").join(d, "graph_key", "left").join(a, "graph_key", "left")
+
+_BYTES = 1 << 22  # of documents handed on at a time
+
+
+def _written(graphs: TraceGraphs, each, schema: str) -> DataFrame:
+    """each(graph_key, text) of each document as a row of schema. A task holds one document and a batch of parts, however many there are."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    makers = (None, None, _edge, _diagnostic, _annotation)
 
     def write(batches):
         import pyarrow as pa
 
+        at, metas, parts, held, size = None, [], {}, [], 0
+
+        def texts():
+            return [_text(m, parts) for m in metas]
+
         for batch in batches:
-            keys = batch.column("graph_key")
-            texts = []
-            for i in range(batch.num_rows):
-                texts.append(canonical_json(_document(batch.slice(i, 1).to_pylist()[0])))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(texts, pa.string())], ["graph_key", "document"])
+            names = batch.schema.names
+            place = {x: batch.column(x) for x in names}
+            keys, kinds = place["graph_key"].to_pylist(), place["part"].to_pylist()
+            values = list(zip(*(place[f"v{i}"].to_pylist() for i in range(6))))
+            runs = [0, *(i for i in range(1, len(kinds)) if kinds[i] != kinds[i - 1] or keys[i] != keys[i - 1]), len(kinds)] if kinds else [0]
+            for a, b in zip(runs, runs[1:]):
+                key, part = keys[a], kinds[a]
+                if key != at or not parts:
+                    for text in texts():
+                        held.append(each(at, text))
+                        size += len(text)
+                    if size >= _BYTES:
+                        yield pa.RecordBatch.from_pylist(held, arrow)
+                        held, size = [], 0
+                    at, metas, parts = key, [], {k: [] for k in _PARTS}
+                if part < 2:
+                    columns = _NODE if part else _META
+                    rows = zip(*(place[x].slice(a, b - a).to_pylist() for x in columns))
+                    for row in rows:
+                        one = dict(zip(columns, row))
+                        if part:
+                            parts["nodes"].append(canonical_json(_node(one)))
+                        else:
+                            metas.append(one)
+                elif metas:
+                    make = makers[part]
+                    n = 4 if part == 4 else 6
+                    parts[_PARTS[part]] += [canonical_json(make(*v[:n])) for v in values[a:b]]
+        held += [each(at, text) for text in texts()]
+        if held:
+            yield pa.RecordBatch.from_pylist(held, arrow)
+
+    return _items(graphs).mapInArrow(write, schema)
+
+
+def documents(graphs: TraceGraphs) -> DataFrame:
+    """(graph_key, document): the canonical JSON text of each graph that was built, all parts in canonical order."""
+    return _written(graphs, lambda key, text: {"graph_key": key, "document": text}, "graph_key string, document string")
+
+
+def checked(graphs: TraceGraphs) -> DataFrame:
+    """(graph_key, problems, canonical): each document as documents() has it, read again by the task that wrote it: how much is wrong with
+    it, and whether it is written the one canonical way."""
+
+    def check(key: str, text: str) -> dict:
+        value = json.loads(text)
+        return {"graph_key": key, "problems": len(validate(value)), "canonical": canonical_json(value) == text}
 
-    return whole.mapInArrow(write, "graph_key string, document string")
+    return _written(graphs, check, "graph_key string, problems long, canonical boolean")
 
 
 def to_document(graphs: TraceGraphs) -> dict:

@@ -24,7 +24,9 @@ PARSED = (
     f"row string, {SPANS}, text string, parse_error string, source_digest string, adapter_id string, adapter_version string, "
     "declared_confidence double, error_code string, error_message string"
 )
-_BATCH = 500  # spans handed on at a time
+_BATCH = 500  # rows handed on at a time, of several inputs where those are small
+_BYTES = 1 << 22  # of content, after which they are handed on too
+ROWS = ("graph", "malformed", "span")
 
 def _literal(spark: SparkSession, path: str) -> tuple[str, str] | None:
     """(path as a glob of itself, file name) of a path that names a file; None if there is none of that very name."""
@@ -87,8 +89,9 @@ def records_of(content: bytes) -> tuple[list[tuple[int, object]], list[tuple[int
                 bad.append((n, text, f"line {n} is not readable: {error}"))
     return good, bad
 
-def parsed(source: DataFrame, adapter: str | None = None, registry: Registry | None = None) -> DataFrame:
-    """PARSED rows of (graph_key, content). adapter: its id; else each input's is detected."""
+def parsed(source: DataFrame, adapter: str | None = None, registry: Registry | None = None, kinds: tuple[str, ...] = ROWS) -> DataFrame:
+    """PARSED rows of (graph_key, content). adapter: its id; else each input's is detected. kinds: the rows that are asked for, of ROWS;
+    every record is read in any case, and spans are made of them only if asked for."""
     registry = registry or registries.default
     if adapter is not None:
         registry.get(adapter)
@@ -104,32 +107,43 @@ def parsed(source: DataFrame, adapter: str | None = None, registry: Registry | N
             chosen, confidence = (registry.get(adapter), None) if adapter is not None else registry.detect(values)
             about |= {"adapter_id": chosen.id, "adapter_version": chosen.version, "declared_confidence": confidence}
         except TraceGraphError as error:
-            yield about | {"error_code": error.code, "error_message": str(error)}
+            if "graph" in kinds:
+                yield about | {"error_code": error.code, "error_message": str(error)}
             return
-        yield about
-        for line, text, problem in bad:
-            yield {"row": "malformed", "graph_key": key, "line_no": line, "text": text, "parse_error": problem, "adapter_id": chosen.id}
-        for (line, _), span in zip(good, chosen.parse(values)):
-            yield {"row": "span", "graph_key": key, "line_no": line} | span
+        if "graph" in kinds:
+            yield about
+        if "malformed" in kinds:
+            for line, text, problem in bad:
+                yield {"row": "malformed", "graph_key": key, "line_no": line, "text": text, "parse_error": problem, "adapter_id": chosen.id}
+        if "span" in kinds:
+            own = {"row": "span", "graph_key": key, "adapter_id": chosen.id, "adapter_version": chosen.version}
+            for (line, _), span in zip(good, chosen.parse(values)):
+                yield own | {"line_no": line} | span
 
     def run(batches):
         import pyarrow as pa
 
+        held, size = [], 0
         for batch in batches:
             for key, content in zip(batch.column("graph_key").to_pylist(), batch.column("content")):
-                held = []
-                for row in rows(key, content.as_py()):
+                content = content.as_py()
+                size += len(content)
+                for row in rows(key, content):
                     held.append(row)
                     if len(held) == _BATCH:
-                        yield pa.RecordBatch.from_pylist([_arrow(r) for r in held], schema)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_pylist([_arrow(r) for r in held], schema)
+                        yield _arrow(held, schema)
+                        held, size = [], 0
+                if size >= _BYTES and held:
+                    yield _arrow(held, schema)
+                    held, size = [], 0
+        if held:
+            yield _arrow(held, schema)
 
     return source.select("graph_key", "content").mapInArrow(run, PARSED)
 
-def _arrow(row: dict) -> dict:
-    """Strings that UTF-8 cannot hold (lone surrogates) as their escapes; maps as Arrow wants them."""
+def _arrow(rows: list[dict], schema):
+    """Rows as an Arrow batch: maps as Arrow wants them, and strings that UTF-8 cannot hold (lone surrogates) as their escapes."""
+    import pyarrow as pa
 
     def fix(x):
         if isinstance(x, str):
@@ -138,19 +152,23 @@ def _arrow(row: dict) -> dict:
                 return x
             except UnicodeEncodeError:
                 return x.encode("utf-8", "backslashreplace").decode()
-        if isinstance(x, list):
-            return [fix(v) for v in x]
+        if isinstance(x, (list, tuple)):
+            return type(x)(fix(v) for v in x)
         if isinstance(x, dict):
             return {k: fix(v) for k, v in x.items()}
         return x
 
-    out = {k: fix(v) for k, v in row.items()}
-    if out.get("usage"):
-        out["usage"] = out["usage"] | {"extra": list(out["usage"]["extra"].items())}
-    return out
+    for r in rows:
+        if used := r.get("usage"):
+            r["usage"] = used | {"extra": list(used["extra"].items())}
+    try:
+        return pa.RecordBatch.from_pylist(rows, schema)
+    except UnicodeError:
+        return pa.RecordBatch.from_pylist([fix(r) for r in rows], schema)
 
 def spans_of(rows: DataFrame) -> DataFrame:
-    return rows.where("row = 'span'").select(*[f.split()[0] for f in _names(SPANS)])
+    """Spans with the adapter of their input; only inputs that are not refused have any."""
+    return rows.where("row = 'span'").select(*_names(SPANS), "adapter_id", "adapter_version")
 
 def graphs_of(rows: DataFrame) -> DataFrame:
     return rows.where("row = 'graph'").select("graph_key", "source_digest", "adapter_id", "adapter_version", "declared_confidence", "error_code", "error_message")
