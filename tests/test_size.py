@@ -104,5 +104,37 @@ def test_the_table_of_graphs_needs_no_edges(spark, monkeypatch):
     for module, name in ((edges, "temporal_edges"), (order, "positions")):
         monkeypatch.setattr(module, name, lambda *_, **__: pytest.fail("no edge is asked for"))
     rows = reader.parsed(_fleet(spark, 3, 2))
-    _, graphs, _, _ = build.accepted(reader.spans_of(rows), graphs=reader.graphs_of(rows))
+    _, graphs, _, _, _ = build.accepted(reader.spans_of(rows), graphs=reader.graphs_of(rows))
     assert sorted((r["graph_key"], r["trace_id"], r["error_code"]) for r in graphs.collect()) == [(f"g{i}", "t", None) for i in range(3)]
+
+
+def test_parents_and_siblings_are_found_where_graphs_lie(spark, monkeypatch):
+    """Spans move once, by graph; orphans, spans without ids, ids claimed twice and large graphs give what joins give."""
+    from tracegraph.operators import edges
+
+    rng, rows = random.Random(7), []
+    for g in "abc":
+        for i in range(80):
+            sid = None if rng.random() < 0.1 else f"s{rng.randrange(40)}" if rng.random() < 0.2 else f"s{i}"
+            rows.append((g, sid, f"{i}", rng.choice([None, f"s{rng.randrange(90)}", "gone"]), float(rng.randrange(9)) if rng.random() < 0.9 else None))
+    claims = {(r[0], r[1]): sum(1 for x in rows if x[:2] == r[:2]) for r in rows}
+    rows = [(g, s, s if s and claims[g, s] == 1 else f"d{k}", bool(s) and claims[g, s] == 1, p, t, "x") for g, s, k, p, t in rows]
+    ided = spark.createDataFrame(rows, "graph_key string, span_id string, node_id string, unique boolean, parent_id string, started_at double, adapter_id string")
+    known = {(r[0], r[1]) for r in rows if r[3]}
+    place = {(r[0], r[2]): r[4] if (r[0], r[4]) in known else None for r in rows}
+    groups: dict = {}
+    for r in rows:
+        if r[5] is not None:
+            groups.setdefault((r[0], place[r[0], r[2]]), []).append((r[5], r[2]))
+    want = sorted((g, a[1], b[1], a[0] == b[0]) for (g, _), x in groups.items() for a, b in zip(sorted(x), sorted(x)[1:]))
+    stated = sorted((r[0], r[2], r[4], place[r[0], r[2]] or "") for r in rows if r[4] is not None)
+    for group in (edges.GROUP, 1):
+        monkeypatch.setattr(edges, "GROUP", group)
+        got = edges.parents(ided).select("graph_key", "node_id", "parent_id", "ref_node").collect()
+        assert sorted((*r[:3], r[3] or "") for r in got) == stated
+        for slices in (None, 1, 5):
+            assert sorted(map(tuple, edges.siblings_of(ided, slices).collect())) == want
+    monkeypatch.setattr(edges, "GROUP", 1000)
+    for slices in (None, 5):
+        plan = edges.temporal_of(ided, slices)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1

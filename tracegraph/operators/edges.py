@@ -18,10 +18,49 @@ def _edges(df: DataFrame, src: str, dst: str, kind: str, basis: Column, adapter:
     )
 
 
+GROUP = 1_000_000  # siblings that one task sorts, about
+_ROWS = 500_000  # spans of a task where graphs stay whole
+
+
+def _sizes(nodes: DataFrame) -> tuple[int, int]:
+    """(nodes of the largest graph, all nodes), from counts that are summed before they move."""
+    n = nodes.groupBy("graph_key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return n[0] or 0, n[1] or 0
+
+
+def _met(ided: DataFrame, columns: list[str], sizes: tuple[int, int]) -> DataFrame:
+    """(graph_key, columns, parent_id, ref_node): every span with the node that its parent_id names; ref_node null: none, or not in the input.
+
+    Where graphs have `GROUP` spans at most, spans are dealt by graph, once: each goes to the id it names as its parent, and to its own id
+    to tell that it is there, within its task; so siblings are then where they are sorted. In larger graphs ids are joined."""
+    child = F.col("parent_id").isNotNull()
+    refs = references(ided)
+    if sizes[0] > GROUP:
+        stated = ided.where(child).select("graph_key", *columns, "parent_id").join(refs.withColumnRenamed("ref", "parent_id"), ["graph_key", "parent_id"], "left")
+        rest = ided.where(~child).select("graph_key", *columns, "parent_id", F.lit(None).cast("string").alias("ref_node"))
+        return stated.select(*rest.columns).unionByName(rest)
+    parts = max(int(ided.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sizes[1] // _ROWS))
+    own = F.col("unique") & F.col("span_id").isNotNull()  # see identity.references: its id then is its node's
+    each = ided.select("graph_key", *columns, "parent_id", F.when(own, F.col("span_id")).alias("own")).repartition(parts, "graph_key")
+    both = F.explode(F.when(child, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("span")  # itself, and what tells of it
+    rows = each.select("graph_key", *columns, "parent_id", "own", both)
+    tells = F.when(child, ~F.col("span")).otherwise(True) & F.col("own").isNotNull()
+    slim = [F.when(F.col("span"), F.col(c)).alias(c) for c in columns]
+    at = F.when(F.col("span"), F.coalesce("parent_id", "own")).otherwise(F.col("own"))
+    rows = rows.select("graph_key", *slim, "span", F.when(F.col("span"), F.col("parent_id")).alias("parent_id"), at.alias("at"), tells.alias("tells"))
+    here = F.bool_or("tells").over(W.partitionBy("graph_key", "at"))
+    found = rows.where("span or tells").select("*", here.alias("here")).where("span")
+    return found.select("graph_key", *columns, "parent_id", F.when(F.col("here"), F.col("parent_id")).alias("ref_node"))
+
+
 def parents(ided: DataFrame) -> DataFrame:
     """(graph_key, node_id, parent_id, ref_node): spans that state a parent; ref_node null: it is not in the input."""
-    stated = ided.where(F.col("parent_id").isNotNull()).select("graph_key", "node_id", "parent_id", "adapter_id")
-    return stated.join(references(ided).withColumnRenamed("ref", "parent_id"), ["graph_key", "parent_id"], "left")
+    return _met(ided, ["node_id", "adapter_id"], _sizes(ided)).where("parent_id is not null")
+
+
+def placed(ided: DataFrame, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """(graph_key, node_id, started_at, parent): every span with its parent in the input, null at the root."""
+    return _met(ided, ["node_id", "started_at"], sizes or _sizes(ided)).withColumnRenamed("ref_node", "parent").drop("parent_id")
 
 
 def parent_edges(parents_: DataFrame) -> DataFrame:
@@ -71,9 +110,6 @@ def data_edges(ided: DataFrame, sides: DataFrame) -> DataFrame:
     )
 
 
-GROUP = 1_000_000  # siblings that one task sorts, about
-
-
 def slices_for(nodes: DataFrame, parent: DataFrame) -> int:
     """How many slices the largest group of siblings wants; from counts alone, which are summed before they move. No group has more
     nodes than its graph, so the groups themselves are counted only where a graph is that large."""
@@ -85,38 +121,68 @@ def slices_for(nodes: DataFrame, parent: DataFrame) -> int:
     return max(1, -(-max(largest(parent, "graph_key", "src"), largest(rooted, "graph_key")) // GROUP))
 
 
-def siblings(nodes: DataFrame, parent: DataFrame, slices: int | None = 1) -> DataFrame:
+def siblings_of(ided: DataFrame, slices: int | None = None) -> DataFrame:
+    """siblings() of spans with ids: their parents are found, and they are sorted, in one go."""
+    sizes = _sizes(ided)
+    at = placed(ided, sizes)
+    if slices is None:
+        slices = 1 if sizes[0] <= GROUP else max(1, -(-(at.groupBy("graph_key", "parent").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) // GROUP))
+    return siblings(at, None, slices, starts=ided, together=sizes[0] <= GROUP)
+
+
+def siblings(nodes: DataFrame, parent: DataFrame | None, slices: int | None = 1, starts: DataFrame | None = None, together: bool = False) -> DataFrame:
     """(graph_key, node_id, next_id, tied): each node with a start and the sibling after it, by start and id.
 
     nodes: graph_key, node_id, started_at. parent: graph_key, src, dst edges; nodes without one are siblings at
     the root. With slices > 1 each group of siblings is also cut at that many quantiles of all starts, so that one
-    huge group is sorted by many tasks; the last of a slice is joined to the first of the next. None: as many as slices_for says.
+    huge group is sorted by many tasks; the last of a slice meets the first of the next. None: as many as slices_for says.
+    parent None: nodes have a column parent (see placed). starts: what the quantiles are taken from, the nodes by default. together: a graph
+    lies in one task already, so slices meet there.
     """
     slices = slices_for(nodes, parent) if slices is None else slices
-    known = nodes.where(F.col("started_at").isNotNull()).select("graph_key", "node_id", "started_at")
-    placed = known.join(parent.select("graph_key", F.col("dst").alias("node_id"), F.col("src").alias("parent")), ["graph_key", "node_id"], "left")
+    nodes = nodes.where(F.col("started_at").isNotNull())
+    known = nodes.select("graph_key", "node_id", "started_at")
+    if parent is None:
+        placed = nodes.select(*known.columns, "parent")
+    else:
+        placed = known.join(parent.select("graph_key", F.col("dst").alias("node_id"), F.col("src").alias("parent")), ["graph_key", "node_id"], "left")
     group, order = ["graph_key", "parent"], ["started_at", "node_id"]
     me = F.struct(*order)
     if slices <= 1:
         after = F.lead(me).over(W.partitionBy(*group).orderBy(*order))
         out = placed.withColumn("after", after)
     else:
-        (bounds,) = known.agg(F.percentile_approx("started_at", [i / slices for i in range(1, slices)])).first()
+        (bounds,) = (known if starts is None else starts.where(F.col("started_at").isNotNull())).agg(F.percentile_approx("started_at", [i / slices for i in range(1, slices)])).first()
         cuts = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.expr("cast(array() as array<double>)")
         cut_up = placed.withColumn("slice", F.size(F.filter(cuts, lambda b: b <= F.col("started_at"))))
+        near = cut_up.withColumn("near", F.lead(me).over(W.partitionBy(*group, "slice").orderBy(*order)))
+        if together:
+            beyond = F.min(me).over(W.partitionBy(*group).orderBy("slice").rangeBetween(1, W.unboundedFollowing))
+            return _following(near.withColumn("after", F.coalesce("near", beyond)))
         firsts = cut_up.groupBy(*group, "slice").agg(F.min(me).alias("first"))
         following = firsts.withColumn("beyond", F.lead("first").over(W.partitionBy(*group).orderBy("slice"))).select(
             *[F.col(c).alias(f"_{c}") for c in (*group, "slice")], "beyond"
         )
-        near = cut_up.withColumn("near", F.lead(me).over(W.partitionBy(*group, "slice").orderBy(*order)))
         same = (F.col("graph_key") == F.col("_graph_key")) & F.col("parent").eqNullSafe(F.col("_parent")) & (F.col("slice") == F.col("_slice"))
         out = near.join(following, same).withColumn("after", F.coalesce("near", "beyond"))
+    return _following(out)
+
+
+def _following(out: DataFrame) -> DataFrame:
     found = out.where(F.col("after").isNotNull())
     return found.select("graph_key", "node_id", F.col("after.node_id").alias("next_id"), (F.col("started_at") == F.col("after.started_at")).alias("tied"))
 
 
 def temporal_edges(nodes: DataFrame, parent: DataFrame, slices: int | None = 1) -> DataFrame:
-    pairs = siblings(nodes, parent, slices)
+    return _temporal(siblings(nodes, parent, slices))
+
+
+def temporal_of(ided: DataFrame, slices: int | None = None) -> DataFrame:
+    """temporal_edges() of spans with ids; see siblings_of."""
+    return _temporal(siblings_of(ided, slices))
+
+
+def _temporal(pairs: DataFrame) -> DataFrame:
     return _edges(pairs, "node_id", "next_id", "temporal", F.when(F.col("tied"), TIED_BASIS).otherwise(TEMPORAL_BASIS), None)
 
 

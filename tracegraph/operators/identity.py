@@ -14,13 +14,18 @@ def majority_trace(spans: DataFrame) -> DataFrame:
     return counts.groupBy("graph_key").agg(F.min_by("trace_id", F.when(F.col("trace_id").isNotNull(), F.struct(-F.col("n"), F.col("trace_id")))).alias("trace_id"))
 
 
-def identified(spans: DataFrame, traces: DataFrame, adapter: Column) -> DataFrame:
+def any_odd(spans: DataFrame) -> bool:
+    """Whether any span may have no id of its own: none is given, or two have ids of one hash."""
+    claims = spans.groupBy(F.xxhash64("graph_key", "span_id").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("span_id").isNull()).alias("none"))
+    return not claims.where("n > 1 or none").isEmpty()
+
+
+def identified(spans: DataFrame, traces: DataFrame, adapter: Column, odd: bool | None = None) -> DataFrame:
     """spans with node_id and unique (whether span_id names this span alone). traces: majority_trace() of the inputs.
 
     adapter: a column of the adapter's id, a literal or of spans itself. Claims are counted at once, by hashes of ids: where no two are
-    equal, no span has to move. Else the claims of an id are counted beside its spans, and those whose id is derived meet their input's trace."""
-    claims = spans.groupBy(F.xxhash64("graph_key", "span_id").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("span_id").isNull()).alias("none"))
-    if claims.where("n > 1 or none").isEmpty():
+    equal, no span has to move (odd: what any_odd() says of them, where it is known). Else the claims of an id are counted beside its spans, and those whose id is derived meet their input's trace."""
+    if not (any_odd(spans) if odd is None else odd):
         return spans.select("*", F.lit(True).alias("unique"), F.col("span_id").alias("node_id"))
     n = F.count(F.lit(1)).over(W.partitionBy("graph_key", "span_id"))
     counted = spans.select("*", ((n == 1) & F.col("span_id").isNotNull()).alias("unique"))

@@ -156,9 +156,9 @@ class TraceGraphs:
         return out
 
 
-def accepted(spans: DataFrame, *, adapter: str = "tables", version: str = "0.1.0", graphs: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(spans with node ids of the inputs that are not refused, the table of graphs, majority traces, refused inputs): all that tells which
-    graphs there are, and none of their edges. See build_graphs."""
+def accepted(spans: DataFrame, *, adapter: str = "tables", version: str = "0.1.0", graphs: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, bool]:
+    """(spans with node ids of the inputs that are not refused, the table of graphs, majority traces, refused inputs, whether spans are
+    joined or dealt for it): all that tells which graphs there are, and none of their edges. See build_graphs."""
     null = lambda kind="string": F.lit(None).cast(kind)
     if graphs is None:
         graphs = spans.select("graph_key").distinct().select(
@@ -169,28 +169,31 @@ def accepted(spans: DataFrame, *, adapter: str = "tables", version: str = "0.1.0
     elif "adapter_id" not in spans.columns:
         spans = spans.join(graphs.where("error_code is null").select("graph_key", "adapter_id", "adapter_version"), "graph_key")
     traces = stored(identity.majority_trace(spans), "traces")
-    ided = identity.identified(spans, traces, F.col("adapter_id"))
+    odd = identity.any_odd(spans)
+    ided = identity.identified(spans, traces, F.col("adapter_id"), odd)
     clash = identity.collisions(ided)
     refused = stored(clash.groupBy("graph_key").agg(F.min("node_id").alias("id")), "refused")
-    if not refused.isEmpty():
+    clashes = not refused.isEmpty()
+    if clashes:
         ided = ided.join(refused, "graph_key", "left_anti")
     said = F.concat(F.lit("two records resolve to the node id "), F.col("id"))
     stated = graphs.join(refused, "graph_key", "left").join(traces, "graph_key", "left")
     code = F.coalesce("error_code", F.when(F.col("id").isNotNull(), "duplicate_node_id"))
     graphs = stated.withColumn("error_code", code).withColumn("error_message", F.coalesce("error_message", said)).withColumn("trace_id", F.coalesce("trace_id", F.lit("")))
     types = F.when(F.col("error_code") == "duplicate_node_id", "DuplicateNodeIdError").when(F.col("error_code") == "unknown_adapter", "UnknownAdapterError")
-    return ided, graphs.withColumn("error_type", types.when(F.col("error_code").isNotNull(), "AdapterSelectionError")).drop("id"), traces, refused
+    return ided, graphs.withColumn("error_type", types.when(F.col("error_code").isNotNull(), "AdapterSelectionError")).drop("id"), traces, refused, odd or clashes
 
 
 def build_graphs(
     spans: DataFrame, *, adapter: str = "tables", version: str = "0.1.0", temporal: bool = True, graphs: DataFrame | None = None,
-    malformed: DataFrame | None = None, slices: int | None = None,
+    malformed: DataFrame | None = None, slices: int | None = None, written: bool = False,
 ) -> TraceGraphs:
     """All graphs of spans (see schema.SPANS). graphs: a row an input, with its adapter or its refusal; spans that have the columns
     adapter_id and adapter_version themselves are all of inputs that are not refused. malformed: diagnostics of unreadable lines;
-    temporal=False leaves out the derived edges and what is said about them; slices: see edges.siblings."""
-    ided, graphs, traces, refused = accepted(spans, adapter=adapter, version=version, graphs=graphs)
-    ided = stored(ided, "spans")  # many branches read it
+    temporal=False leaves out the derived edges and what is said about them; slices: see edges.siblings; written: spans are a written table."""
+    ided, graphs, traces, refused, moved = accepted(spans, adapter=adapter, version=version, graphs=graphs)
+    if moved or not written:
+        ided = stored(ided, "spans")  # many branches read it
     nodes = ided.select(
         "graph_key", "node_id", "kind", "name", "operation", "started_at", "ended_at", "status", "status_note", "inputs", "outputs", "usage",
         "attributes_json", "raw_json", F.col("span_id").alias("source_id"), "adapter_id", "adapter_version", "dialect_note", "record_index",
@@ -217,7 +220,7 @@ def build_graphs(
 def build_all(spark: SparkSession, *sources: str | bytes | Path, adapter: str | None = None, temporal: bool = True, registry: Registry | None = None) -> TraceGraphs:
     """The graphs of all sources; refused ones are rows of graphs."""
     rows = stored(reader.parsed(reader.inputs(spark, *sources), adapter, registry), "parsed")  # the parse runs once
-    return build_graphs(reader.spans_of(rows), graphs=reader.graphs_of(rows), malformed=reader.malformed_of(rows), temporal=temporal)
+    return build_graphs(reader.spans_of(rows), graphs=reader.graphs_of(rows), malformed=reader.malformed_of(rows), temporal=temporal, written=True)
 
 
 def build(spark: SparkSession, source: str | bytes | Path, *, adapter: str | None = None, temporal: bool = True, registry: Registry | None = None) -> TraceGraphs:

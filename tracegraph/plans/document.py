@@ -49,16 +49,42 @@ def _node(n: dict) -> dict:
     }
 
 
-def _edge(src, dst, kind, warrant, basis, adapter) -> dict:
-    return {"src": src, "dst": dst, "kind": kind, "warrant": warrant, "basis": basis, "adapter": adapter}
+_quoted = json.encoder.encode_basestring
 
 
-def _diagnostic(code, level, message, node_id, source_json, adapter) -> dict:
-    return {"code": code, "level": level, "message": message, "node_id": node_id, "source": _value(source_json), "adapter": adapter}
+def _string(x: str | None) -> str:
+    return "null" if x is None else _quoted(x)
 
 
-def _annotation(namespace, node_id, key, value_json) -> dict:
-    return {"namespace": namespace, "node_id": node_id, "key": key, "value": _value(value_json)}
+def _json(text: str | None) -> str:
+    return "null" if text is None else canonical_json(json.loads(text))
+
+
+def _edge(src, dst, kind, warrant, basis, adapter) -> str:
+    return f'{{"adapter":{_string(adapter)},"basis":{_string(basis)},"dst":{_string(dst)},"kind":{_string(kind)},"src":{_string(src)},"warrant":{_string(warrant)}}}'
+
+
+def _diagnostic(code, level, message, node_id, source_json, adapter) -> str:
+    return f'{{"adapter":{_string(adapter)},"code":{_string(code)},"level":{_string(level)},"message":{_string(message)},"node_id":{_string(node_id)},"source":{_json(source_json)}}}'
+
+
+def _annotation(namespace, node_id, key, value_json) -> str:
+    return f'{{"key":{_string(key)},"namespace":{_string(namespace)},"node_id":{_string(node_id)},"value":{_json(value_json)}}}'
+
+
+def _values(a) -> list:
+    """An Arrow array as Python values: as to_pylist(), by whole columns."""
+    import pyarrow as pa
+
+    if a.null_count == len(a):
+        return [None] * len(a)
+    if pa.types.is_string(a.type):
+        return a.to_numpy(zero_copy_only=False).tolist()
+    if pa.types.is_struct(a.type):
+        names = [a.type.field(i).name for i in range(a.type.num_fields)]
+        rows = zip(*map(_values, a.flatten()))
+        return [dict(zip(names, row)) if there else None for row, there in zip(rows, a.is_valid().to_pylist())]
+    return a.to_pylist()
 
 
 def _text(m: dict, parts: dict[str, list[str]]) -> str:
@@ -118,10 +144,10 @@ def _written(graphs: TraceGraphs, each, schema: str) -> DataFrame:
             return [_text(m, parts) for m in metas]
 
         for batch in batches:
-            names = batch.schema.names
-            place = {x: batch.column(x) for x in names}
-            keys, kinds = place["graph_key"].to_pylist(), place["part"].to_pylist()
-            values = list(zip(*(place[f"v{i}"].to_pylist() for i in range(6))))
+            place = {x: _values(batch.column(x)) for x in batch.schema.names}
+            keys, kinds = place["graph_key"], place["part"]
+            values = list(zip(*(place[f"v{i}"] for i in range(6))))
+            rows = {0: list(zip(*(place[x] for x in _META))), 1: list(zip(*(place[x] for x in _NODE)))}
             runs = [0, *(i for i in range(1, len(kinds)) if kinds[i] != kinds[i - 1] or keys[i] != keys[i - 1]), len(kinds)] if kinds else [0]
             for a, b in zip(runs, runs[1:]):
                 key, part = keys[a], kinds[a]
@@ -133,19 +159,14 @@ def _written(graphs: TraceGraphs, each, schema: str) -> DataFrame:
                         yield pa.RecordBatch.from_pylist(held, arrow)
                         held, size = [], 0
                     at, metas, parts = key, [], {k: [] for k in _PARTS}
-                if part < 2:
-                    columns = _NODE if part else _META
-                    rows = zip(*(place[x].slice(a, b - a).to_pylist() for x in columns))
-                    for row in rows:
-                        one = dict(zip(columns, row))
-                        if part:
-                            parts["nodes"].append(canonical_json(_node(one)))
-                        else:
-                            metas.append(one)
+                if part == 0:
+                    metas += [dict(zip(_META, row)) for row in rows[0][a:b]]
+                elif part == 1:
+                    parts["nodes"] += [canonical_json(_node(dict(zip(_NODE, row)))) for row in rows[1][a:b]]
                 elif metas:
                     make = makers[part]
                     n = 4 if part == 4 else 6
-                    parts[_PARTS[part]] += [canonical_json(make(*v[:n])) for v in values[a:b]]
+                    parts[_PARTS[part]] += [make(*v[:n]) for v in values[a:b]]
         held += [each(at, text) for text in texts()]
         if held:
             yield pa.RecordBatch.from_pylist(held, arrow)
