@@ -138,3 +138,27 @@ def test_parents_and_siblings_are_found_where_graphs_lie(spark, monkeypatch):
     for slices in (None, 5):
         plan = edges.temporal_of(ided, slices)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_order_moves_nodes_once(spark, monkeypatch):
+    """Graphs that fit a task are ordered there; the order is Kahn's for trees, late parents, shared targets, cycles and void edges."""
+    from tracegraph.operators import order
+
+    rng, nodes, pairs, want = random.Random(11), [], [], {}
+    for g in map(str, range(30)):
+        own = [(float(rng.randrange(6)), f"n{i}") for i in range(8)]
+        tree = int(g) % 3
+        es = [(f"n{rng.randrange(3)}", f"n{i}") for i in range(3, 8)] if tree else [(f"n{rng.randrange(8)}", f"n{rng.randrange(9)}") for _ in range(6)]
+        es += [("gone", "n1")] * (tree == 2)
+        nodes += [(g, i, t) for t, i in own]
+        pairs += [(g, a, b, "parent") for a, b in es]
+        done, rest = order.kahn(own, es)
+        want |= {(g, n): k for k, n in enumerate(done + rest)}
+    ns = spark.createDataFrame(nodes, "graph_key string, node_id string, started_at double")
+    es = spark.createDataFrame(pairs, "graph_key string, src string, dst string, kind string")
+    for group in (1, 1_000_000):
+        monkeypatch.setattr(order, "GROUP", group)
+        place, _ = order.positions(ns, es)
+        assert {(r["graph_key"], r["node_id"]): r["pos"] for r in place.collect()} == want
+    monkeypatch.setattr(order, "_joined", lambda *_: pytest.fail("graphs fit a task"))
+    order.positions(ns, es)

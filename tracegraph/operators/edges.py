@@ -5,7 +5,7 @@ Every join is on ids that the input declares, within one input; nothing is match
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..schema import CALL_BASIS, PARENT_BASIS, RECEIVED_BASIS, TEMPORAL_BASIS, TIED_BASIS, WARRANTS
 from .identity import references
@@ -22,12 +22,17 @@ GROUP = 1_000_000  # siblings that one task sorts, about
 _ROWS = 500_000  # spans of a task where graphs stay whole
 
 
-def _sizes(nodes: DataFrame) -> tuple[int, int]:
+def sizes_of(nodes: DataFrame) -> tuple[int, int]:
     """(nodes of the largest graph, all nodes), from counts that are summed before they move."""
     n = nodes.groupBy("graph_key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
     return n[0] or 0, n[1] or 0
 
 
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Tasks for graphs that are dealt whole: those of any shuffle, and more where tasks would get more than `_ROWS` spans."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // _ROWS))
+
+
 def _met(ided: DataFrame, columns: list[str], sizes: tuple[int, int]) -> DataFrame:
     """(graph_key, columns, parent_id, ref_node): every span with the node that its parent_id names; ref_node null: none, or not in the input.
 
@@ -39,9 +44,8 @@ def _met(ided: DataFrame, columns: list[str], sizes: tuple[int, int]) -> DataFra
         stated = ided.where(child).select("graph_key", *columns, "parent_id").join(refs.withColumnRenamed("ref", "parent_id"), ["graph_key", "parent_id"], "left")
         rest = ided.where(~child).select("graph_key", *columns, "parent_id", F.lit(None).cast("string").alias("ref_node"))
         return stated.select(*rest.columns).unionByName(rest)
-    parts = max(int(ided.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sizes[1] // _ROWS))
     own = F.col("unique") & F.col("span_id").isNotNull()  # see identity.references: its id then is its node's
-    each = ided.select("graph_key", *columns, "parent_id", F.when(own, F.col("span_id")).alias("own")).repartition(parts, "graph_key")
+    each = ided.select("graph_key", *columns, "parent_id", F.when(own, F.col("span_id")).alias("own")).repartition(parts_for(ided.sparkSession, sizes[1]), "graph_key")
     both = F.explode(F.when(child, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("span")  # itself, and what tells of it
     rows = each.select("graph_key", *columns, "parent_id", "own", both)
     tells = F.when(child, ~F.col("span")).otherwise(True) & F.col("own").isNotNull()
@@ -55,12 +59,12 @@ def _met(ided: DataFrame, columns: list[str], sizes: tuple[int, int]) -> DataFra
 
 def parents(ided: DataFrame) -> DataFrame:
     """(graph_key, node_id, parent_id, ref_node): spans that state a parent; ref_node null: it is not in the input."""
-    return _met(ided, ["node_id", "adapter_id"], _sizes(ided)).where("parent_id is not null")
+    return _met(ided, ["node_id", "adapter_id"], sizes_of(ided)).where("parent_id is not null")
 
 
 def placed(ided: DataFrame, sizes: tuple[int, int] | None = None) -> DataFrame:
     """(graph_key, node_id, started_at, parent): every span with its parent in the input, null at the root."""
-    return _met(ided, ["node_id", "started_at"], sizes or _sizes(ided)).withColumnRenamed("ref_node", "parent").drop("parent_id")
+    return _met(ided, ["node_id", "started_at"], sizes or sizes_of(ided)).withColumnRenamed("ref_node", "parent").drop("parent_id")
 
 
 def parent_edges(parents_: DataFrame) -> DataFrame:
@@ -123,7 +127,7 @@ def slices_for(nodes: DataFrame, parent: DataFrame) -> int:
 
 def siblings_of(ided: DataFrame, slices: int | None = None) -> DataFrame:
     """siblings() of spans with ids: their parents are found, and they are sorted, in one go."""
-    sizes = _sizes(ided)
+    sizes = sizes_of(ided)
     at = placed(ided, sizes)
     if slices is None:
         slices = 1 if sizes[0] <= GROUP else max(1, -(-(at.groupBy("graph_key", "parent").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) // GROUP))
